@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: C0 controls except tab, LF and CR; horizontal white space.
 _CONTROL, _HORIZONTAL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"), re.compile(r"[ \t\r\f\v]+")
@@ -24,7 +25,7 @@ def clean(text: str | None) -> str | None:
     return "\n".join(x for x in (_HORIZONTAL.sub(" ", line).strip() for line in t.split("\n")) if x)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _clean(s: pd.Series) -> pd.Series:
     return s.map(clean)
 
@@ -50,7 +51,7 @@ def vote(tokens) -> int:
     return int.from_bytes(np.packbits((n[:, None] * (2 * bits - 1)).sum(axis=0) >= 0).tobytes(), "big", signed=True)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def _simhash(s: pd.Series) -> pd.Series:
     return s.map(vote).astype("int64")
 
@@ -64,7 +65,7 @@ def split_of(fraction: float):
     if not 0 <= fraction < 1:
         raise ValueError("fraction must be in [0, 1)")
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda v: None if v is None else "val" if blake64(v) / float(2**64 - 1) < fraction else "train")
 
@@ -93,14 +94,14 @@ def chunks(text: str | None, target: int = 4000, most: int = 6000, overlap: int
 
 
 def chunked(target: int, most: int, overlap: int, least: int = 1):
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: chunks(t, target, most, overlap, least))
 
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base64_floats(s: pd.Series) -> pd.Series:
     """Little-endian float32 bytes in base64."""
     import base64
@@ -174,7 +175,7 @@ def rotated_decode(c: dict):
 def codec(kind: str, bits: int = 4):
     """Column function: payload, logical bytes and relative error of each array under ``fp16``, ``fp8`` or ``rotated``."""
 
-    @F.pandas_udf("struct<payload binary, n_bytes long, error double>")
+    @F.pandas_udf(T.StructType([T.StructField("payload", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("error", T.DoubleType())]))
     def run(s: pd.Series) -> pd.DataFrame:
         rows = []
         for v in s:
