@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 def tensor_stats(df: DataFrame, key: str, values: str) -> DataFrame:
     """Counts of NaN and infinite values, and moments of the finite ones."""
-    x = df.select(key, F.explode(values).cast("double").alias("x"))
+    x = df.select(key, F.explode(F.col(values).cast("array<double>")).alias("x"))
     ok = F.when(~F.isnan("x") & (F.abs("x") != float("inf")), F.col("x"))
     return x.groupBy(key).agg(
         F.count("*").alias("n"), F.count_if(F.isnan("x")).alias("n_nan"), F.count_if(F.abs("x") == float("inf")).alias("n_inf"), F.min(ok).alias("lowest"), F.max(ok).alias("highest"),

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone import scratch
+
 
 def offsets(df: DataFrame, size: str, order: list[str], within: list[str] = ()) -> DataFrame:
     """Adds ``start``: the sum of ``size`` over all earlier rows in ``order`` (per ``within``).
 
-    Rows are range-partitioned by the order; a window runs inside a partition, and one over the partitions' totals
-    (a row a partition) gives each its base. No task sorts all rows.
+    Rows are range-partitioned by the order and stored with their partition's number, so that it stays the same for
+    both reads that follow; a window runs inside a partition, and one over the partitions' totals (a row a partition)
+    gives each its base. No task sorts all rows.
     """
     keys = [*within, *order]
-    placed = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    placed = scratch.stored(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()), "ranges")
     inside = Window.partitionBy("_part", *within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     ahead = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1) if within else Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     totals = placed.groupBy("_part", *within).agg(F.sum(size).alias("_total"))

@@ -2,5 +2,496 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siltstone import scratch
+from siltstone.functions import numbers as N
+from siltstone.functions import text as X
+from siltstone.functions import udfs as U
+from siltstone.operators import catalog, control, dedup, normalize, packing, profile, telemetry
+from siltstone.sources import scans, sinks
+from siltstone.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: SQL spellings that several oracles share. White space of the canonical form, letters, and what both leave.
+_CANON = "lower(trim(regexp_replace(text, '[\\s\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{0085}\\x0b]+', ' ', 'g')))"
+_LET, _ALN = "length(regexp_replace(text, '[^\\pL]', '', 'g'))", "length(regexp_replace(text, '[^\\pL\\pN]', '', 'g'))"
+_SOLID = "length(regexp_replace(text, '[\\s\\x0b\\x1c-\\x1f\\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]', '', 'g'))"
+_LOW = f"(length(text) = 0 OR length(regexp_replace(text, '[\\pC\\x{{00A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]', '', 'g')) + length(regexp_replace(text, '[^\\n]', '', 'g')) < 0.98 * length(text) OR (length(text) > 80 AND len(list_distinct(string_split(text, ''))) <= 4) OR (length(text) > 200 AND {_LET} < 0.05 * length(text)))"
+_KEEP = f"(length(text) >= 200 AND {_SOLID} > 0 AND {_LET} >= 0.20 * {_SOLID} AND {_ALN} >= 0.35 * {_SOLID})"
+_WORDS = "len(regexp_extract_all(text, '[\\pL\\pN_]+'))"
+
+
+# Hashes, copies, scalars over documents.
+@query(f"WITH h AS (SELECT doc_id, lang, sha256({_CANON}) AS h FROM documents), k AS (SELECT h, min(doc_id) AS d FROM h GROUP BY h) SELECT lang, count(*) AS n_docs, count(k.d) AS n_kept FROM h LEFT JOIN k ON h.doc_id = k.d GROUP BY lang")
+def doc_hash_exact_dedup(spark, t):
+    d = dedup.first_per_hash(t("documents").select("doc_id", "lang", X.content_hash(F.col("text")).alias("h")), "h", "doc_id")
+    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if("kept").alias("n_kept"))
+
+
+@query(f"SELECT sha256({_CANON}) AS h, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY h HAVING count(*) > 1 ORDER BY n DESC, first_id LIMIT 20")
+def dup_groups_top(spark, t):
+    g = t("documents").groupBy(X.content_hash(F.col("text")).alias("h")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+    return g.filter("n > 1").orderBy(F.desc("n"), "first_id").limit(20)
+
+
+@query(f"SELECT doc_id, {_WORDS} AS n_words, len(regexp_extract_all(text, '\\S+')) AS n_runs, len(regexp_extract_all({_CANON}, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]')) AS n_tokens FROM documents")
+def word_and_token_counts(spark, t):
+    c = F.col("text")
+    return t("documents").select("doc_id", X.word_count(c).cast("long").alias("n_words"), X.solid_runs(c).cast("long").alias("n_runs"), F.size(X.hash_tokens(c)).cast("long").alias("n_tokens"))
+
+
+@query(f"SELECT doc_id, {_LOW} AS low_value FROM documents")
+def doc_quality_flags(spark, t):
+    return t("documents").select("doc_id", X.looks_low_value(F.col("text")).alias("low_value"))
+
+
+@query(f"SELECT lang, count(*) AS n, count(*) FILTER (WHERE {_KEEP}) AS n_kept FROM documents GROUP BY lang")
+def c4_keep_filter(spark, t):
+    return t("documents").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(X.keep_text(F.col("text"))).alias("n_kept"))
+
+
+@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '^[\\s\\x0b]+|[\\s\\x0b]+$', '', 'g'), '[ \\t\\r\\f\\x0b]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g')) AS h FROM documents")
+def c4_normalized(spark, t):
+    return t("documents").select("doc_id", F.sha2(X.normalize_web(F.col("text")), 256).alias("h"))
+
+
+@query("SELECT doc_id, sha256(CASE WHEN length(text) <= 400 THEN text ELSE left(text, 200) || chr(10) || right(text, 200) END) AS h FROM documents")
+def simhash_sample(spark, t):
+    return t("documents").select("doc_id", F.sha2(X.sample_ends(F.col("text"), 400), 256).alias("h"))
+
+
+@query("SELECT doc_id, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS n_terms FROM documents")
+def term_counts(spark, t):
+    return t("documents").select("doc_id", F.size(X.terms(F.col("text"))).cast("long").alias("n_terms"))
+
+
+@query("""WITH x AS (SELECT doc_id, text, list_min(list_filter([instr(text, '. '), instr(text, ' the '), instr(text, chr(10))], lambda i: i > 0)) AS p FROM documents)
+SELECT doc_id, CAST(coalesce(p - 1, length(text)) AS BIGINT) AS n_chars_kept, CASE WHEN p IS NULL THEN 'length' ELSE 'stop' END AS finish FROM x""")
+def stop_sequences(spark, t):
+    cut, met = X.cut_at_stop(F.col("text"), [". ", " the ", "\n", ""])
+    return t("documents").select("doc_id", F.length(cut).cast("long").alias("n_chars_kept"), F.when(met, "stop").otherwise("length").alias("finish"))
+
+
+@query("SELECT doc_id, printf('%s:chunk-%04d', CAST(doc_id AS VARCHAR), CAST(doc_id % 37 AS INTEGER)) AS id, CAST(coalesce(TRY_CAST(regexp_extract(trim(text), '^([0-9]{4})', 1) AS BIGINT), 0) AS BIGINT) AS y, lower(source) IN ('src1', 'src2') AS allowed FROM documents")
+def record_fields(spark, t):
+    return t("documents").select("doc_id", X.record_id(F.col("doc_id"), (F.col("doc_id") % 37).cast("int")).alias("id"), F.coalesce(X.year_of(F.col("text")), F.lit(0)).cast("long").alias("y"), X.allowed(F.col("source"), ["SRC1", "Src2"]).alias("allowed"))
+
+
+@query("SELECT lang, CASE WHEN ('0x' || left(sha256(CAST(doc_id AS VARCHAR)), 8))::BIGINT < 429496730 THEN 'val' ELSE 'train' END AS split, count(*) AS n FROM documents GROUP BY ALL")
+def split_counts(spark, t):
+    draw = F.conv(F.left(F.sha2(F.col("doc_id").cast("string"), 256), F.lit(8)), 16, 10).cast("long")
+    return t("documents").groupBy("lang", F.when(draw < 429496730, "val").otherwise("train").alias("split")).agg(F.count("*").alias("n"))
+
+
+@query()
+def hash_split(spark, t):
+    return t("documents").select("doc_id", U.split_of(0.01)(X.content_hash(F.col("text"))).alias("split"))
+
+
+# Filters with reasons, records, counters.
+_RULES = normalize.Rules(languages=("EN", "de", "fr"), collection_blocks=("SRC3",), min_chars=200, min_words=20)
+
+
+@query(f"""SELECT CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN NOT coalesce(lower(lang) IN ('en', 'de', 'fr'), false) THEN 'language_filtered' WHEN lower(source) = 'src3' THEN 'collection_filtered'
+  WHEN length(text) < 200 THEN 'too_short' WHEN length(text) > 6000 THEN 'too_long' WHEN {_WORDS} < 20 THEN 'too_few_words' WHEN {_LOW} THEN 'low_value' ELSE 'written' END AS reason, count(*) AS n FROM documents GROUP BY 1""")
+def filter_reasons(spark, t):
+    rules = normalize.Rules(**{**_RULES.__dict__, "chunking": False})
+    d = normalize.documents(t("documents"), rules, clean=False)
+    return normalize.counters(d.withColumn("reason", F.coalesce("reason", normalize.chunk_reason(F.col("clean_text"), rules))))
+
+
+@query()
+def normalized_records(spark, t):
+    return normalize.records(t("documents"), _RULES)
+
+
+@query()
+def record_counters(spark, t):
+    d = t("documents")
+    lost = normalize.documents(d, _RULES).filter("reason is not null")
+    return normalize.counters(lost.select("reason").unionByName(normalize.records(d, _RULES).select("reason")))
+
+
+@query()
+def page_text(spark, t):
+    return t("pages").select("page_id", F.length(U.normalized(F.col("html"))).cast("long").alias("n_chars"))
+
+
+@query()
+def chunk_docs(spark, t):
+    return t("documents").select("doc_id", F.posexplode(U.chunked(4000, 6000, 400)(F.col("text"))).alias("chunk", "text")).select("doc_id", "chunk", F.length("text").cast("long").alias("n_chars"))
+
+
+# Near duplicates.
+@query()
+def lsh_pairs(spark, t):
+    sigs = scratch.stored(t("documents").select("doc_id", U.simhash(X.hash_tokens(X.sample_ends(F.col("text"), 200_000), 4096)).alias("s")), "signatures")
+    return dedup.band_pairs(sigs, "s", "doc_id")
+
+
+@query()
+def neardup_keep(spark, t):
+    d = dedup.deduplicate(t("documents").select("doc_id", "text"), "doc_id", "text", U.simhash(X.hash_tokens(X.sample_ends(F.col("text"), 200_000), 4096)))
+    return d.select("doc_id", "text_sha256", "decision")
+
+
+@query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.label, b.label)) AS BIGINT) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id + 1 = b.vec_id")
+def label_hamming(spark, t):
+    e = t("embeddings").select("vec_id", "label")
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("label").alias("label"))
+    return e.join(b, ["vec_id", "label"]).select(F.col("vec_id").alias("a"), "b", X.hamming(F.col("label"), F.col("label")).cast("long").alias("d"))
+
+
+# Profiles.
+@query("SELECT count(*) AS n, min(n)::DOUBLE AS lowest, max(n)::DOUBLE AS highest, round(avg(n), 6) AS mean, round(quantile_cont(n, 0.01), 6) AS p01, round(quantile_cont(n, 0.05), 6) AS p05, round(quantile_cont(n, 0.5), 6) AS p50, round(quantile_cont(n, 0.95), 6) AS p95, round(quantile_cont(n, 0.99), 6) AS p99 FROM (SELECT length(text)::DOUBLE AS n FROM documents)")
+def length_profile(spark, t):
+    p = profile.numeric(t("documents"), F.length("text"))
+    return p.select("n", "lowest", "highest", *(F.round(c, 6).alias(c) for c in ("mean", "p01", "p05", "p50", "p95", "p99")))
+
+
+@query("SELECT * FROM (UNPIVOT (SELECT count(*) FILTER (WHERE doc_id IS NULL) AS doc_id, count(*) FILTER (WHERE text IS NULL) AS text, count(*) FILTER (WHERE lang IS NULL) AS lang, count(*) FILTER (WHERE source IS NULL) AS source, count(*) FILTER (WHERE n_chars IS NULL) AS n_chars FROM documents) ON COLUMNS(*) INTO NAME \"column\" VALUE n_null)")
+def null_profile(spark, t):
+    return profile.nulls(t("documents"))
+
+
+@query(f"SELECT count(*) AS n, count(*) FILTER (WHERE text = '') AS n_empty, count(*) FILTER (WHERE length(text) < 200) AS n_short, count(*) FILTER (WHERE regexp_matches(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]')) AS n_control, count(*) FILTER (WHERE contains(text, chr(65533))) AS n_encoding, count(*) - count(DISTINCT sha256({_CANON})) AS n_duplicate FROM documents")
+def quality_profile(spark, t):
+    return profile.quality(t("documents"), F.col("text"))
+
+
+@query("SELECT lang AS value, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(doc_id) LIMIT 25")
+def lang_top25(spark, t):
+    return profile.top_values(t("documents"), "lang", "doc_id")
+
+
+@query("SELECT source AS value, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(doc_id) LIMIT 25")
+def source_top25(spark, t):
+    return profile.top_values(t("documents"), "source", "doc_id")
+
+
+# Packing of word tokens.
+_TOK = "WITH w AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, regexp_extract_all(text, '\\S+') AS w FROM documents), x AS (SELECT split, doc_id, unnest(w) AS tok, generate_subscripts(w, 1) AS i FROM w), p AS (SELECT split, tok, row_number() OVER (PARTITION BY split ORDER BY doc_id, i) - 1 AS pos FROM x)"
+
+
+def _tokens(t):
+    return t("documents").select("doc_id", F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train").alias("split"), F.regexp_extract_all("text", F.lit("\\S+"), F.lit(0)).alias("tok"))
+
+
+@query(f"{_TOK} SELECT split, pos // 129 AS block, sha256(string_agg(tok, ' ' ORDER BY pos)) AS h FROM p GROUP BY 1, 2 HAVING count(*) = 129")
+def pack_disjoint(spark, t):
+    b = packing.blocks(_tokens(t), "tok", ["doc_id"], 128, False, ["split"])
+    return b.select("split", "block", F.sha2(F.array_join("tokens", " "), 256).alias("h"))
+
+
+@query(f"{_TOK}, q AS (SELECT split, tok, pos, pos // 128 AS block FROM p UNION ALL SELECT split, tok, pos, pos // 128 - 1 FROM p WHERE pos > 0 AND pos % 128 = 0) SELECT split, block, sha256(string_agg(tok, ' ' ORDER BY pos)) AS h FROM q GROUP BY 1, 2 HAVING count(*) = 129")
+def pack_overlap(spark, t):
+    b = packing.blocks(_tokens(t), "tok", ["doc_id"], 128, True, ["split"])
+    return b.select("split", "block", F.sha2(F.array_join("tokens", " "), 256).alias("h"))
+
+
+@query(f"{_TOK}, n AS (SELECT split, count(*) // 129 AS b FROM p GROUP BY split) SELECT split, CAST(s AS BIGINT) AS shard, CAST(least(64, b - s * 64) AS BIGINT) AS blocks, CAST(least(64, b - s * 64) * 129 AS BIGINT) AS tokens FROM n, unnest(generate_series(0, (b - 1) // 64)) AS u(s)")
+def pack_manifest(spark, t):
+    b = packing.blocks(_tokens(t), "tok", ["doc_id"], 128, False, ["split"])
+    return b.groupBy("split", F.expr("block div 64").alias("shard")).agg(F.count("*").alias("blocks"), F.sum(F.size("tokens")).alias("tokens"))
+
+
+@query("SELECT doc_id, CAST((row_number() OVER (ORDER BY doc_id) - 1) // 300 AS INTEGER) AS shard FROM documents")
+def shard_numbers(spark, t):
+    return sinks.numbered_shards(t("documents").select("doc_id"), ["doc_id"], 300)
+
+
+@query("SELECT split, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM (SELECT CASE WHEN doc_id % 10 = 0 THEN 'val' ELSE 'train' END AS split, len(regexp_extract_all(text, '\\S+')) AS n FROM documents) GROUP BY ROLLUP (split)")
+def tokenization_counters(spark, t):
+    return _tokens(t).rollup("split").agg(F.count("*").alias("docs"), F.sum(F.size("tok")).alias("tokens"))
+
+
+@query(f"SELECT sum(length(text))::DOUBLE / sum(n) AS chars_per_token, sum(n)::DOUBLE / sum(greatest(1, w)) AS fertility FROM (SELECT text, len(regexp_extract_all({_CANON}, '[\\pL\\pN_]+|[^\\pL\\pN_\\s]')) AS n, {_WORDS} AS w FROM documents)")
+def tokenizer_report(spark, t):
+    d = t("documents").select(F.length("text").alias("c"), F.size(X.hash_tokens(F.col("text"))).alias("n"), F.greatest(F.lit(1), X.word_count(F.col("text"))).alias("w"))
+    return d.agg((F.sum("c") / F.sum("n")).alias("chars_per_token"), (F.sum("n") / F.sum("w")).alias("fertility"))
+
+
+# Scans.
+@query("WITH n AS (SELECT p_brand AS prefix, CAST(p_partkey % 40 AS INTEGER) AS number FROM part WHERE p_partkey % 7 <> 0 AND p_size % 3 = 0), d AS (SELECT DISTINCT prefix FROM n) SELECT prefix, CAST(s AS INTEGER) AS number FROM d, unnest(generate_series(0, 39)) AS u(s) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.prefix = d.prefix AND n.number = s)")
+def shard_gap_report(spark, t):
+    names = t("part").filter("p_partkey % 7 <> 0 and p_size % 3 = 0").select(F.format_string("%s-%05d-of-00040.parquet", "p_brand", (F.col("p_partkey") % 40).cast("int")).alias("name"))
+    g = scans.numbering_gaps(names)
+    return g.select(F.expr("substring(prefix, 1, length(prefix) - 1)").alias("prefix"), "number")
+
+
+@query("SELECT count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 150)")
+def first_rows(spark, t):
+    return t("documents").select("doc_id").orderBy("doc_id").limit(150).agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query("SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1")
+def repeated_keys(spark, t):
+    return scans.repeated(t("orders"), "o_custkey")
+
+
+# Telemetry on events: a user's values are a run in the order of time.
+@query("WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT user_id, event_id, i, value AS m FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, 0.08 * e.value + 0.92 * r.m FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT event_id, round(m, 6) AS ema FROM r")
+def metric_ema(spark, t):
+    placed = t("events").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("user_id", "event_id", "i", "value")
+    return telemetry.ema(placed, "user_id", "i", "value").select("event_id", F.round("ema", 6).alias("ema"))
+
+
+@query("WITH e AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END AS v FROM events), n AS (SELECT *, count(v) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS c FROM e) SELECT event_id, CASE WHEN count(v) OVER w >= 2 THEN round(stddev_pop(v) OVER w, 5) END AS rolling_std FROM n WINDOW w AS (PARTITION BY user_id ORDER BY c RANGE BETWEEN 24 PRECEDING AND CURRENT ROW)")
+def metric_rolling_std(spark, t):
+    e = t("events").select("event_id", "user_id", F.struct("ts", "event_id").alias("o"), F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("v"))
+    return telemetry.rolling_std(e, "user_id", "o", "v").select("event_id", F.round("rolling_std", 5).alias("rolling_std"))
+
+
+@query("SELECT event_id, round(value - lag(value) OVER w, 6) AS delta, round(sum(abs(value)) OVER w, 4) AS cumulative FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def metric_delta_cumsum(spark, t):
+    e = t("events").select("event_id", "user_id", F.struct("ts", "event_id").alias("o"), "value", F.abs("value").alias("tok"))
+    return telemetry.derived(e, "user_id", "o", "value", "tok").select("event_id", F.round("delta", 6).alias("delta"), F.round("cumulative", 4).alias("cumulative"))
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS repeated FROM events")
+def metric_repeats(spark, t):
+    return telemetry.repeated_steps(t("events"), "user_id", "event_type", "event_id").select("event_id", "repeated")
+
+
+@query("SELECT event_id, value FROM events WHERE value >= 50 ORDER BY value DESC, event_id LIMIT 40")
+def spikes_top40(spark, t):
+    return t("events").filter("value >= 50").orderBy(F.desc("value"), "event_id").limit(40).select("event_id", "value")
+
+
+@query("SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 80")
+def replay_last80(spark, t):
+    return t("events").orderBy(F.desc("ts"), F.desc("event_id")).limit(80).select("event_id", "value")
+
+
+@query("SELECT event_id, value FROM events ORDER BY ts, event_id LIMIT 250 OFFSET 100")
+def visible_window(spark, t):
+    return telemetry.visible(t("events").withColumn("o", F.struct("ts", "event_id")), "o", 100, 250).select("event_id", "value")
+
+
+@query("""SELECT count(*) AS n_rows, min_by(event_id, event_id) AS first_step, max_by(event_id, event_id) AS latest_step, max_by(value, event_id) AS latest_loss, (SELECT value FROM events WHERE value <> 0 ORDER BY value, event_id LIMIT 1) AS best_loss,
+ (SELECT event_id FROM events WHERE value <> 0 ORDER BY value, event_id LIMIT 1) AS best_step, round(quantile_cont(value, 0.5), 6) AS median_tokens, round(sum(value), 2) AS total_tokens, count(event_id) - count(DISTINCT event_id) AS repeated_steps FROM events""")
+def metric_summary(spark, t):
+    s = telemetry.summary(t("events").select("event_id", "value"), "event_id", "event_id", "value", "value")
+    return s.withColumns({"median_tokens": F.round("median_tokens", 6), "total_tokens": F.round("total_tokens", 2)})
+
+
+@query("WITH m AS (SELECT 'l_quantity' AS field, avg(l_quantity) AS s FROM lineitem WHERE l_quantity > 0 UNION ALL SELECT 'l_tax', avg(l_tax) FROM lineitem WHERE l_tax > 0 UNION ALL SELECT 'l_discount', avg(l_discount) FROM lineitem WHERE l_discount > 0) SELECT field, round(s, 6) AS mean_seconds, round(s / sum(s) OVER (), 6) AS share FROM m")
+def timing_composition(spark, t):
+    c = telemetry.composition(t("lineitem"), ["l_quantity", "l_tax", "l_discount"])
+    return c.select("field", F.round("mean_seconds", 6).alias("mean_seconds"), F.round("share", 6).alias("share"))
+
+
+@query("SELECT event_type, count(*) FILTER (WHERE value <= 1) AS le_0, count(*) FILTER (WHERE value <= 5) AS le_1, count(*) FILTER (WHERE value <= 25) AS le_2, count(*) FILTER (WHERE value <= 100) AS le_3, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def latency_histogram(spark, t):
+    return control.histogram(t("events"), "event_type", "value", [1, 5, 25, 100]).withColumn("total", F.round("total", 2))
+
+
+@query("SELECT event_type, round(list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1], 6) AS p95, round(median(value), 6) AS p50 FROM events GROUP BY 1")
+def p95_floor(spark, t):
+    # The exact place is found by rank in ordered ranges, not by collecting a group's values.
+    e = t("events").select("event_type", "value", "event_id")
+    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("p50"))
+    placed = packing.offsets(e.withColumn("one", F.lit(1)), "one", ["value", "event_id"], ["event_type"])
+    return placed.join(n, "event_type").filter(F.col("start") == F.floor(F.lit(0.95) * (F.col("n") - 1))).select("event_type", F.round("value", 6).alias("p95"), F.round("p50", 6).alias("p50"))
+
+
+@query("SELECT event_id, round(exp(least(20, value)), 4) AS ppl, round(CASE WHEN event_id <= 100 THEN 0.0003 * event_id / 100 ELSE 0.0003 * greatest(0.1, 0.5 * (1 + cos(pi() * least(1.0, (event_id - 100) / 900.0)))) END, 12) AS lr_floor, round(CASE WHEN event_id < 100 THEN 0.0003 * event_id / 100 ELSE 0.00003 + 0.5 * (1 + cos(pi() * least(1.0, (event_id - 100) / 900.0))) * 0.00027 END, 12) AS lr_blend, round(CASE WHEN value > 10 THEN 10 / value ELSE 1 END, 9) AS clip, [1.0, 0.5, 0.25][least(event_id % 5, 2) + 1]::DOUBLE AS scale FROM events WHERE value < 15")
+def schedules(spark, t):
+    s = F.col("event_id")
+    return t("events").filter("value < 15").select(
+        "event_id", F.round(N.perplexity(F.col("value")), 4).alias("ppl"), F.round(N.rate_floor(s, 0.0003, 100, 1000, 0.1), 12).alias("lr_floor"), F.round(N.rate_blend(s, 0.0003, 100, 1000, 0.00003), 12).alias("lr_blend"), F.round(N.clip_scale(F.col("value"), 10.0), 9).alias("clip"), N.ladder([1.0, 0.5, 0.25], s % 5).alias("scale"),
+    )
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k, TRY_CAST(event_type AS DOUBLE) AS none FROM events")
+def tolerant_casts(spark, t):
+    return t("events").select("event_id", N.finite(F.get_json_object("props", "$.k")).alias("k"), N.finite(F.col("event_type")).alias("none"))
+
+
+# Conversations.
+@query("SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn) || chr(10) || '<|assistant|>' || chr(10) AS prompt FROM conversations GROUP BY 1")
+def chat_prompt(spark, t):
+    return control.chat_prompt(t("conversations"))
+
+
+@query("WITH c AS (SELECT conv_id, turn, lower(trim(role)) AS role, trim(text) AS text FROM conversations WHERE trim(text) <> ''), g AS (SELECT conv_id, list(text ORDER BY turn) FILTER (WHERE role = 'assistant') AS a, list(text ORDER BY turn) FILTER (WHERE role = 'user') AS u, list(text ORDER BY turn) AS e FROM c GROUP BY 1) SELECT conv_id, CASE WHEN len(a) > 0 THEN array_to_string(list_concat(a, coalesce(u, [])), chr(10) || chr(10)) WHEN len(u) > 0 THEN u[-1] ELSE array_to_string(e, chr(10) || chr(10)) END AS prompt FROM g")
+def context_prompt(spark, t):
+    return control.context_prompt(t("conversations"))
+
+
+@query("SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN 0 ELSE len(regexp_extract_all(text, '\\S+')) END) AS BIGINT) AS prompt_tokens, CAST(sum(CASE WHEN role = 'assistant' THEN len(regexp_extract_all(text, '\\S+')) ELSE 0 END) AS BIGINT) AS completion_tokens FROM conversations GROUP BY 1")
+def usage_by_conv(spark, t):
+    n = X.solid_runs(F.col("text"))
+    return t("conversations").groupBy("conv_id").agg(F.sum(F.when(F.col("role") != "assistant", n).otherwise(0)).cast("long").alias("prompt_tokens"), F.sum(F.when(F.col("role") == "assistant", n).otherwise(0)).cast("long").alias("completion_tokens"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_filter(string_split_regex(trim(text), '\\s+'), lambda w: w <> '')[1:12], ' ') AS head, CASE WHEN len(regexp_extract_all(text, '\\S+')) > 12 THEN 'length' ELSE 'stop' END AS finish FROM conversations")
+def word_limit(spark, t):
+    return t("conversations").select("conv_id", "turn", X.first_words(F.col("text"), 12).alias("head"), F.when(X.solid_runs(F.col("text")) > 12, "length").otherwise("stop").alias("finish"))
+
+
+@query()
+def story_prompts(spark, t):
+    return t("conversations").select("conv_id", "turn", X.story_prompt(F.concat(F.lit("Tell me about a fox named "), "role", F.lit(" who lost his hat."))).alias("prompt"))
+
+
+_TERMS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
+
+
+@query(f"WITH q AS (SELECT item_id AS query_id, {_TERMS} AS t FROM benchmark WHERE item_id < 5), d AS (SELECT doc_id, {_TERMS} AS t FROM documents), s AS (SELECT query_id, doc_id, round(len(list_intersect(q.t, d.t)) / sqrt(len(q.t) * len(d.t)), 9) AS score FROM q, d WHERE len(d.t) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
+def rerank_topn(spark, t):
+    q = t("benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    r = control.rerank(q, t("documents"), 10)
+    return r.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+
+
+# Paging, prefixes, rules.
+@query("WITH o AS (SELECT o_orderkey, o_custkey % 50 AS g, CAST(o_totalprice AS BIGINT) AS b, o_orderdate FROM orders), r AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY g ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM o) SELECT o_orderkey, g, CAST(f AS BIGINT) AS freed_before FROM r WHERE f < 500000")
+def lru_evict(spark, t):
+    o = t("orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("g"), F.expr("cast(round(o_totalprice) as bigint)").alias("n_bytes"), "o_orderdate")
+    return control.evict(o, 500000, "g", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "g", F.col("freed_before").cast("long").alias("freed_before"))
+
+
+@query("WITH p AS (SELECT l_orderkey % 100 AS r, l_orderkey * 10 + l_linenumber AS page_id, CAST(l_partkey AS BIGINT) AS s, CAST(l_partkey + l_quantity AS BIGINT) AS e FROM lineitem), a AS (SELECT o_custkey % 100 AS r, CAST(o_orderkey % 2000 AS BIGINT) AS pos FROM orders WHERE o_orderkey % 97 = 0) SELECT a.r AS request_id, pos, page_id FROM a JOIN p ON a.r = p.r AND s <= pos + 64 AND e >= pos")
+def page_overlap(spark, t):
+    p = t("lineitem").select((F.col("l_orderkey") % 100).alias("request_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page_id"), F.col("l_partkey").cast("long").alias("start"), (F.col("l_partkey") + F.col("l_quantity")).cast("long").alias("end"))
+    a = t("orders").filter("o_orderkey % 97 = 0").select((F.col("o_custkey") % 100).alias("request_id"), (F.col("o_orderkey") % 2000).cast("long").alias("pos"))
+    return control.overlapping(p, a, 64, 256)
+
+
+@query("SELECT o_orderstatus AS tier, count(*) AS pages, round(sum(o_totalprice), 2) AS bytes FROM orders GROUP BY 1")
+def tier_bytes(spark, t):
+    return t("orders").groupBy(F.col("o_orderstatus").alias("tier")).agg(F.count("*").alias("pages"), F.round(F.sum("o_totalprice"), 2).alias("bytes"))
+
+
+@query(f"WITH i AS (SELECT source AS tenant, sha256({_CANON}) AS h, max_by(doc_id, doc_id) AS ref FROM documents WHERE doc_id % 2 = 0 GROUP BY 1, 2) SELECT d.doc_id AS request_id, i.ref AS kv_ref FROM (SELECT doc_id, source, sha256({_CANON}) AS h FROM documents WHERE doc_id % 2 = 1) d LEFT JOIN i ON d.source = i.tenant AND d.h = i.h")
+def prefix_exact(spark, t):
+    d = t("documents").select("doc_id", F.col("source").alias("tenant_id"), F.lit("m").alias("model_id"), X.content_hash(F.col("text")).alias("prefix_hash"))
+    index = d.filter("doc_id % 2 = 0").groupBy("tenant_id", "model_id", "prefix_hash").agg(F.max("doc_id").alias("kv_ref"))
+    return control.exact_lookup(d.filter("doc_id % 2 = 1"), index).select(F.col("doc_id").alias("request_id"), "kv_ref")
+
+
+@query()
+def prefix_lookup(spark, t):
+    d = t("documents").select("doc_id", F.col("source").alias("tenant_id"), F.lit("m").alias("model_id"), X.content_hash(F.col("text")).alias("prefix_hash"), U.simhash(X.hash_tokens(F.col("text"), 2048)).alias("sig"))
+    d = scratch.stored(d, "prefixes")
+    index = d.filter("doc_id % 2 = 0").withColumns({"kv_ref": F.col("doc_id"), "seq": F.col("doc_id")})
+    return control.lookup(d.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "request_id"), index)
+
+
+_MODE = "CASE c_custkey % 4 WHEN 0 THEN 'quality_first' WHEN 1 THEN 'memory_first' WHEN 2 THEN 'throughput_first' ELSE 'balanced' END"
+
+
+@query(f"""WITH b AS (SELECT c_custkey, {_MODE} AS mode, CASE WHEN c_acctbal <= 0 THEN 0.0 ELSE least(2.0, (c_acctbal + 500) / 10000.0) END AS p, c_custkey % 20 AS requests, c_custkey * 7 % 16384 AS context, c_nationkey % 2 = 0 AS fp8 FROM customer),
+r AS (SELECT *, CASE WHEN mode = 'quality_first' AND p < 0.72 AND requests < 16 THEN 'quality' WHEN mode = 'memory_first' OR p >= 0.9 THEN 'memory' WHEN mode = 'throughput_first' OR requests >= 16 THEN 'throughput' ELSE 'balanced' END AS rule FROM b)
+SELECT c_custkey, rule, CASE rule WHEN 'quality' THEN CASE WHEN fp8 THEN 'fp8' ELSE 'turboquant' END WHEN 'balanced' THEN CASE WHEN context >= 8192 THEN 'turboquant' ELSE 'fp8' END ELSE 'turboquant' END AS codec,
+CASE rule WHEN 'quality' THEN 4 WHEN 'memory' THEN CASE WHEN p >= 0.98 THEN 2 ELSE 3 END WHEN 'throughput' THEN 3 ELSE CASE WHEN p < 0.75 THEN 4 ELSE 3 END END AS bits,
+CASE rule WHEN 'quality' THEN 1024 WHEN 'memory' THEN 256 WHEN 'throughput' THEN 384 ELSE CASE WHEN context >= 8192 THEN 512 ELSE 768 END END AS recent_window,
+CAST(CASE rule WHEN 'quality' THEN 0 WHEN 'memory' THEN CASE WHEN p >= 0.98 THEN 0.2 ELSE 0.1 END WHEN 'throughput' THEN CASE WHEN context >= 8192 THEN 0.05 ELSE 0 END ELSE CASE WHEN p >= 0.82 THEN 0.05 ELSE 0 END END AS DOUBLE) AS prune_fraction,
+CASE rule WHEN 'quality' THEN false WHEN 'memory' THEN true WHEN 'throughput' THEN p >= 0.8 ELSE p >= 0.86 END AS to_cpu, rule = 'memory' AND p >= 0.98 AS to_nvme FROM r""")
+def policy_decisions(spark, t):
+    c = t("customer").select("c_custkey", F.expr(_MODE).alias("mode"), F.when(F.col("c_acctbal") <= 0, 0.0).otherwise(control.pressure(F.col("c_acctbal") + 500, F.lit(10000.0))).alias("p"), (F.col("c_custkey") % 20).alias("requests"), (F.col("c_custkey") * 7 % 16384).alias("context"), (F.col("c_nationkey") % 2 == 0).alias("fp8"))
+    return control.decide(c).select("c_custkey", "rule", "codec", "bits", "recent_window", "prune_fraction", "to_cpu", "to_nvme")
+
+
+@query(f"""WITH h AS (SELECT n_nationkey AS hw, CASE WHEN n_nationkey % 3 = 0 THEN 'cpu' ELSE 'cuda' END AS hardware, n_nationkey * 2.0 AS memory_gb, n_nationkey % 4 = 0 AS fp8, n_nationkey % 2 = 0 AS int4, n_nationkey % 5 <> 0 AS bf16 FROM nation),
+m AS (SELECT p_partkey AS model, CASE p_size % 5 WHEN 0 THEN 'fp8' WHEN 1 THEN 'int4' WHEN 2 THEN 'bf16' ELSE 'auto' END AS requested, CASE p_size % 4 WHEN 0 THEN 'quality_first' WHEN 1 THEN 'memory_first' WHEN 2 THEN 'throughput_first' ELSE 'balanced' END AS policy, p_size * 1.0 AS min_memory_gb FROM part WHERE p_partkey % 20 = 0)
+SELECT model, hw, {control.PLAN.replace("if(hardware = 'cpu', 'int8', 'fp16')", "CASE WHEN hardware = 'cpu' THEN 'int8' ELSE 'fp16' END").replace("if(hardware = 'cuda', 'fp16', 'int8')", "CASE WHEN hardware = 'cuda' THEN 'fp16' ELSE 'int8' END").replace("if(int4, 'int4', 'int8')", "CASE WHEN int4 THEN 'int4' ELSE 'int8' END")} AS selected FROM m, h""")
+def quantization_plans(spark, t):
+    h = t("nation").select(F.col("n_nationkey").alias("hw"), F.expr("if(n_nationkey % 3 = 0, 'cpu', 'cuda')").alias("hardware"), (F.col("n_nationkey") * 2.0).alias("memory_gb"), *(F.expr(e).alias(n) for n, e in (("fp8", "n_nationkey % 4 = 0"), ("int4", "n_nationkey % 2 = 0"), ("bf16", "n_nationkey % 5 <> 0"))))
+    m = t("part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("model"), F.expr("case p_size % 5 when 0 then 'fp8' when 1 then 'int4' when 2 then 'bf16' else 'auto' end").alias("requested"), F.expr("case p_size % 4 when 0 then 'quality_first' when 1 then 'memory_first' when 2 then 'throughput_first' else 'balanced' end").alias("policy"), (F.col("p_size") * 1.0).alias("min_memory_gb"), F.lit(False).alias("prequantized"))
+    return control.plan_quantization(m.crossJoin(F.broadcast(h))).select("model", "hw", "selected")
+
+
+@query("WITH c AS (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, greatest(0, 200 - count(*) OVER ()) * n::DOUBLE / greatest(1, sum(n) OVER ()) AS raw, greatest(0, 200 - count(*) OVER ()) AS rest FROM c), w AS (SELECT *, floor(raw) AS f, row_number() OVER (ORDER BY raw - floor(raw) DESC, name DESC) AS place FROM r) SELECT name, n, CAST(1 + f + CASE WHEN place <= rest - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS shards FROM w")
+def shard_apportion(spark, t):
+    return catalog.apportion(t("part").groupBy(F.col("p_brand").alias("name")).agg(F.count("*").alias("n")), "name", "n", 200)
+
+
+# Embeddings and catalogs.
+@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings) SELECT vec_id, count(*) AS n, count(*) FILTER (WHERE isnan(x)) AS n_nan, count(*) FILTER (WHERE isinf(x)) AS n_inf, round(min(x), 6) AS lowest, round(max(x), 6) AS highest, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, round(sqrt(avg(x * x)), 6) AS rms, round(max(abs(x)), 6) AS absmax FROM x GROUP BY 1")
+def vector_stats(spark, t):
+    s = catalog.tensor_stats(t("embeddings"), "vec_id", "embedding")
+    return s.select("vec_id", "n", "n_nan", "n_inf", *(F.round(c, 6).alias(c) for c in ("lowest", "highest", "mean", "std", "rms", "absmax")))
+
+
+@query("SELECT vec_id, CAST(len(list_filter(embedding, lambda x: NOT isfinite(x))) AS BIGINT) AS n_bad FROM embeddings")
+def nonfinite_audit(spark, t):
+    _, n = N.sanitized(F.col("embedding"))
+    return t("embeddings").select("vec_id", n.cast("long").alias("n_bad"))
+
+
+@query("WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS l, generate_subscripts(embedding, 1) - 1 AS tok FROM embeddings), a AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY l DESC, tok) AS rank FROM x WHERE tok <> 0), k AS (SELECT *, exp((l - max(l) OVER (PARTITION BY vec_id)) / 0.7) AS e FROM a WHERE rank <= 20), p AS (SELECT *, sum(e) OVER (PARTITION BY vec_id ORDER BY rank) / sum(e) OVER (PARTITION BY vec_id) AS c FROM k), f AS (SELECT * FROM p WHERE c <= 0.9 OR rank = 1) SELECT vec_id, CAST(tok AS INTEGER) AS tok, CAST(rank AS INTEGER) AS rank, round(e / sum(e) OVER (PARTITION BY vec_id), 8) AS probability FROM f")
+def topk_topp_filter(spark, t):
+    x = t("embeddings").select("vec_id", F.posexplode(F.col("embedding").cast("array<double>")).alias("tok", "l"))
+    return control.nucleus(x, "vec_id", "tok", "l", 0.7, 20, 0.9, (0,)).select("vec_id", "tok", "rank", F.round("probability", 8).alias("probability"))
+
+
+@query("WITH x AS (SELECT o_custkey AS g, o_orderkey AS pos, o_totalprice AS s, count(*) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS back FROM orders), y AS (SELECT *, row_number() OVER (PARTITION BY g, back <= 3 ORDER BY s DESC, pos DESC) AS hot, row_number() OVER (PARTITION BY g, back <= 3 ORDER BY s, pos) AS low FROM x) SELECT pos, CASE WHEN back <= 3 THEN 'recent' WHEN hot <= ceil(n * 0.2) THEN 'hot' ELSE 'cold' END AS tier, back > 3 AND low <= least(floor(n * 0.3), greatest(0, n - 3)) AS prune FROM y")
+def tiers_and_pruning(spark, t):
+    o = t("orders").select(F.col("o_custkey").alias("g"), F.col("o_orderkey").alias("pos"), F.col("o_totalprice").alias("s"))
+    return control.pruned(control.tiers(o, "g", "pos", "s", 3, 0.2), "g", "pos", "s", 3, 0.3).select("pos", "tier", "prune")
+
+
+@query("SELECT coalesce(a.n_nationkey, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' WHEN a.n_nationkey IS NULL THEN 'unexpected' ELSE 'shape_mismatch' END AS issue FROM nation a FULL JOIN (SELECT n_nationkey + 3 AS k, n_regionkey AS r FROM nation) b ON a.n_nationkey = b.k WHERE b.k IS NULL OR a.n_nationkey IS NULL OR a.n_regionkey <> b.r")
+def shape_audit(spark, t):
+    n = t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_regionkey").alias("s"))
+    return catalog.audit_shapes(n, n.withColumn("k", F.col("k") + 3), "k", "s")
+
+
+@query("SELECT l_suppkey, min(l_linenumber) AS first_step, max(l_linenumber) AS last_step, min(l_linenumber) = max(l_linenumber) AS uniform FROM lineitem GROUP BY 1")
+def step_bounds(spark, t):
+    return catalog.step_bounds(t("lineitem"), "l_suppkey", "l_linenumber")
+
+
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, l_quantity, sqrt(avg(l_quantity * l_quantity) OVER (PARTITION BY l_orderkey)) AS rms FROM lineitem) SELECT l_orderkey, l_linenumber, round(0.5 + 0.5 * least(2.0, greatest(0.25, rms / greatest(l_quantity, 1e-12))), 8) AS scale FROM r")
+def clip_factors(spark, t):
+    return catalog.clip_factors(t("lineitem"), "l_orderkey", "l_quantity", 0.25, 2.0, 0.5).select("l_orderkey", "l_linenumber", F.round("scale", 8).alias("scale"))
+
+
+@query()
+def file_packing(spark, t):
+    return catalog.next_fit(t("orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("long").alias("n")), "o_custkey", "o_orderkey", "n", 400000)
+
+
+@query()
+def vector_codecs(spark, t):
+    e = t("embeddings").select("vec_id", *(U.codec(k)(F.col("embedding")).alias(k) for k in ("fp16", "fp8", "rotated")))
+    return e.select("vec_id", *(F.col(f"{k}.n_bytes").alias(f"{k}_bytes") for k in ("fp16", "fp8", "rotated")), *(F.round(f"{k}.error", 6).alias(f"{k}_error") for k in ("fp16", "fp8", "rotated")))
+
+
+# Streams.
+@query()
+def rate_limit_decisions(spark, t):
+    path = scratch.new_path(spark, "rate-limit")
+    t("events").select("user_id", "ts", "event_id").write.parquet(path + "/in")
+    s = streams.files(spark, path + "/in", "user_id long, ts timestamp_ntz, event_id long", 1000)
+    return streams.run_once(streams.limited(s, "user_id", "ts", 1), path + "/out", path + "/state").orderBy("event_id")
+
+
+@query()
+def stream_packing(spark, t):
+    path = scratch.new_path(spark, "stream-packing")
+    _tokens(t).select("split", "doc_id", F.transform("tok", lambda w: F.pmod(F.hash(w), F.lit(50000))).alias("tokens")).write.parquet(path + "/in")
+    s = streams.files(spark, path + "/in", "split string, doc_id long, tokens array<int>", 1)
+    return streams.run_once(streams.packed(s, "split", "doc_id", 128), path + "/out", path + "/state")

@@ -25,9 +25,9 @@ def packed(tokens: DataFrame, key: str, order: str, length: int, overlap: bool =
 
     def update(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held, number = state.get if state.exists else ([], 0)
-        held = list(held)
+        held = list(map(int, held))
         for t in pd.concat(pdfs).sort_values(order)["tokens"]:
-            held += list(t)
+            held += map(int, t)
         out = []
         while len(held) > length:
             out.append((k[0], number, held[: length + 1]))
