@@ -180,6 +180,8 @@ class Predictor:
         self.table = np.zeros((CACHE_ROWS, len(network.languages)), np.float32)
 
     def _fill(self, new: list[bytes]) -> None:
+        if not new:
+            return
         new = sorted(new, key=len)
         first = len(self.place)
         for i in range(0, len(new), 4096):
@@ -204,6 +206,7 @@ class Predictor:
     def predict(self, texts: list[str | None], at_once: int = 1 << 20) -> tuple[list[str], list[float]]:
         """Predictions, over runs of texts whose segments fit the cache."""
         names, scores, run, new, chars = [], [], [], set(), 0
+        known = bool(self.network.languages)
 
         def close():
             if len(self.place) + len(new) > CACHE_ROWS:
@@ -213,12 +216,11 @@ class Predictor:
                 fresh = new
             self._fill(list(fresh))
             for t, p in zip(run, self.pooled([t or "" for t in run]), strict=True):
-                ok = t is not None and len(self.network.languages) > 0
-                names.append(self.network.languages[int(p.argmax())] if ok else "und")
-                scores.append(min(1.0, max(0.0, float(p.max()))) if ok else 0.0)
+                names.append(self.network.languages[int(p.argmax())] if t is not None else "und")
+                scores.append(min(1.0, max(0.0, float(p.max()))) if t is not None else 0.0)
 
         for t in texts:
-            ok = t is not None and any(map(str.isalpha, t))
+            ok = t is not None and known and any(map(str.isalpha, t))
             if ok and len(t) > at_once * 4:
                 close()
                 run, new, chars = [], set(), 0
@@ -240,8 +242,6 @@ class Predictor:
         """A text whose distinct segments may not fit the cache: in runs of segments."""
         import numpy as np
 
-        if not self.network.languages:
-            return "und", 0.0
         own, p = segments(text), np.zeros(len(self.network.languages))
         for i in range(0, len(own), 8192):
             p += self.network.sums(own[i : i + 8192]).sum(axis=0)

@@ -128,7 +128,7 @@ def assemble(found: DataFrame) -> DataFrame:
     heads_of = found.filter(is_root)
     rest = found.filter(~F.coalesce(is_root, F.lit(False))).join(rooted, "record_id", "left")
     body = F.struct("record_id", "record_type", "target_uri", "header", "payload", "refers_to", "payload_digest")
-    sides = rest.groupBy(F.coalesce("root", F.element_at("concurrent_to", 1), "record_id").alias("capture_id")).agg(
+    sides = rest.groupBy(F.coalesce("root", F.get("concurrent_to", F.lit(0)), "record_id").alias("capture_id")).agg(
         F.min(F.when(F.col("record_type") == "request", body)).alias("request"), F.sort_array(F.collect_list(F.when(~F.col("record_type").eqNullSafe("request"), body))).alias("metadata")
     )
     responses = heads_of.select(F.col("record_id").alias("capture_id"), body.alias("response"))
@@ -140,7 +140,7 @@ def digest(captures: DataFrame) -> DataFrame:
 
     ``captures`` should be a stored table; a revisit's page is found by joining it to the captures once more.
     """
-    about = F.element_at(F.filter("metadata", lambda m: m["record_type"] == "metadata"), 1)["payload"].cast("string")
+    about = F.get(F.filter("metadata", lambda m: m["record_type"] == "metadata"), F.lit(0))["payload"].cast("string")
     page = F.expr("try_cast(nullif(regexp_extract(about, 'page-id: (-?[0-9]+)', 1), '') as bigint)")
     size = F.regexp_extract("response.header", "Content-Length: ([0-9]+)", 1).cast("long")
     flat = captures.withColumn("about", about).select("capture_id", page.alias("page_id"), size.alias("payload_bytes"), "response.payload_digest", "response.record_type", F.col("response.refers_to").alias("ref"))
