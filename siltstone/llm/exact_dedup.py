@@ -174,8 +174,13 @@ def lookup(docs: DataFrame, index: DataFrame, carry: tuple[str, ...] = ()) -> Da
     return members.join(entries, ["key", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_keep", "row")
 
 
-def _one_kept(found: DataFrame) -> DataFrame:
-    """Of rows that repeat the kept row's id and text, one stays; they are apart, so that the rest isn't shuffled for it."""
+def _one_kept(found: DataFrame, index: DataFrame) -> DataFrame:
+    """Of rows that repeat the kept row's id and text, one stays. They are apart, so that the rest isn't shuffled for it.
+
+    Where the index has no entry with such rows, there is nothing to choose and ``found`` is read once.
+    """
+    if index.filter("n_keep > 1").isEmpty():
+        return found
     order = Window.partitionBy("doc_id", "text_sha256").orderBy(F.xxhash64("row"))
     tied = found.filter("kept and n_keep > 1").withColumn("kept", F.row_number().over(order) == 1)
     return found.filter("not (kept and n_keep > 1)").unionByName(tied)
@@ -183,12 +188,14 @@ def _one_kept(found: DataFrame) -> DataFrame:
 
 def mark(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
-    return _one_kept(lookup(docs, build_index(docs))).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    index = build_index(docs)
+    return _one_kept(lookup(docs, index), index).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, all their columns, one per distinct text."""
-    found = _one_kept(lookup(docs, build_index(docs), tuple(docs.columns))).filter("kept")
+    index = build_index(docs)
+    found = _one_kept(lookup(docs, index, tuple(docs.columns)), index).filter("kept")
     return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
