@@ -9,9 +9,10 @@ that hold an added token's string, go through the pattern or the library whole.
 from __future__ import annotations
 
 import re
+import struct
 
 #: Bytes of cached chunks a worker holds, about; beyond it the cache starts anew.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 256 << 20
 #: Letters and numbers of Basic Latin to Latin Extended-B, as ranges of a character class.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Characters beyond these ranges go through the library: its Unicode tables may differ from ours.
@@ -27,56 +28,69 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Cache(dict):
+    """A dict that asks ``fill`` for a key it lacks; hits stay inside the interpreter's C code."""
+
+    def __init__(self, fill, *known):
+        super().__init__(*known)
+        self.fill = fill
+
+    def __missing__(self, key):
+        return self.fill(key)
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, packed in bytes."""
 
-    def __init__(self, path: str, frequent: dict[str, bytes] | None = None):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         self.symbols = byte_symbols()
+        self.space = self.symbols[0x20]
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.frequent = frequent or {}
-        self.chunks: dict[str, bytes] = {}
-        self.tokens: dict[str, bytes] = {}
-        self.held = 0
+        self.pack = Cache(lambda n: struct.Struct(f"<{n}I").pack)
+        self.reset()
 
-    def whole(self, text: str) -> bytes:
-        import numpy as np
+    def reset(self) -> None:
+        self.chunks, self.tokens, self.held = Cache(self.fill_chunk), Cache(self.fill_token), 0
 
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def whole(self, text: str) -> bytes:
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def token(self, t: str) -> bytes:
+    def fill_token(self, t: str) -> bytes:
         """A pre-token's ids."""
-        if (ids := self.tokens.get(t)) is None:
-            import struct
-
-            out = [x.id for x in self.model.tokenize(t.encode().decode("latin1").translate(self.symbols))]
-            self.tokens[t] = ids = struct.pack(f"<{len(out)}I", *out)
-            self.held += len(ids) + len(t) + 160
+        shown = t.replace(" ", self.space) if t.isascii() and t.isprintable() else t.encode().decode("latin1").translate(self.symbols)
+        out = [x.id for x in self.model.tokenize(shown)]
+        self.tokens[t] = ids = self.pack[len(out)](*out)
+        self.held += len(ids) + len(t) + 160
         return ids
 
-    def chunk(self, c: str) -> bytes:
-        ids = b"".join(map(self.token, SPLIT.findall(c))) if PLAIN.fullmatch(c) else self.whole(c)
-        self.chunks[c] = ids
+    def stretch(self, c: str) -> bytes:
+        """Ids of what stands between two starts of pre-tokens."""
+        plain = (c.isascii() and c.isprintable()) or PLAIN.fullmatch(c)
+        return b"".join(map(self.tokens.__getitem__, SPLIT.findall(c))) if plain else self.whole(c)
+
+    def fill_chunk(self, c: str) -> bytes:
+        """Ids of a space and the chunk ``c`` after it."""
+        self.chunks[c] = ids = self.stretch(" " + c)
         self.held += len(ids) + len(c) + 160
         return ids
 
-    def parts(self, text: str) -> list[str] | None:
-        """The text's chunks, or None where the chunk cache isn't exact."""
+    def parts(self, text: str) -> tuple[str, list[str]] | None:
+        """What stands before the first space, and the chunks after each; None where cutting at spaces isn't exact."""
         if UNEVEN.search(text) or any(a in text for a in self.added):
             return None
         first, *rest = text.split(" ")
-        # A text that starts with a space has an empty first chunk.
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+        return first, rest
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         if self.held > CACHE_BYTES:
-            self.chunks, self.tokens, self.held = {}, {}, 0
+            self.reset()
         if (parts := self.parts(text)) is None:
             return self.whole(text)
-        near, far, miss = self.frequent, self.chunks, self.chunk
-        return b"".join([near.get(p) or far.get(p) or miss(p) for p in parts])
+        return self.stretch(parts[0]) + b"".join(map(self.chunks.__getitem__, parts[1]))

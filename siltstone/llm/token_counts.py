@@ -45,18 +45,18 @@ class Counts:
     """A worker's counter: the broadcast table, then its own cache, then the library."""
 
     def __init__(self, path: str, table: Table):
-        from siltstone.llm.bpe import Encoder
+        from siltstone.llm.bpe import Cache, Encoder
 
         self.encoder = Encoder(path)
-        self.near = table.spread()
         self.far: dict[str, int] = {}
+        self.near = Cache(self.second, table.spread())
         self.held = 0
 
-    def miss(self, chunk: str) -> int:
-        n = len(self.encoder.chunk(chunk)) >> 2
-        del self.encoder.chunks[chunk]
-        self.far[chunk] = n
-        self.held += len(chunk) + 120
+    def second(self, chunk: str) -> int:
+        """The second tier, for what the table lacks."""
+        if (n := self.far.get(chunk)) is None:
+            n = self.far[chunk] = len(self.encoder.stretch(" " + chunk)) >> 2
+            self.held += len(chunk) + 120
         return n
 
     def count(self, text: str | None) -> int:
@@ -66,21 +66,20 @@ class Counts:
             return 0
         if self.held + self.encoder.held > CACHE_BYTES:
             self.far, self.held = {}, 0
-            self.encoder.tokens, self.encoder.held = {}, 0
+            self.encoder.reset()
         if (parts := self.encoder.parts(text)) is None:
             return len(self.encoder.whole(text)) >> 2
-        near, far, miss = self.near.get, self.far.get, self.miss
-        return sum([near(p) or far(p) or miss(p) for p in parts])
+        return (len(self.encoder.stretch(parts[0])) >> 2) + sum(map(self.near.__getitem__, parts[1]))
 
 
 def frequent_table(docs: DataFrame, path: str, rows: int = TABLE_ROWS) -> Table:
-    """Lengths of the sample's most frequent chunks (a pre-token, with what is attached to it)."""
+    """Lengths of the sample's most frequent chunks (a space, a pre-token, and what is attached to it)."""
     from siltstone.llm.bpe import Encoder
 
     e, seen = Encoder(path), Counter()
     for (text,) in docs.select(F.col("text").cast("string")).filter(f"length(text) <= {SAMPLE_CHARS}").take(SAMPLE_ROWS):
-        seen.update(e.parts(text) or ())
-    return Table({c: len(e.chunk(c)) >> 2 for c, _ in seen.most_common(rows) if len(c) <= KEY_BYTES // 4})
+        seen.update((e.parts(text) or ("", ()))[1])
+    return Table({c: len(e.stretch(" " + c)) >> 2 for c, _ in seen.most_common(rows) if len(c) <= KEY_BYTES // 4})
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
