@@ -38,6 +38,18 @@ def lookup(requests: DataFrame, index: DataFrame, within: int = 3) -> DataFrame:
     return exact.join(near, "request_id", "left").select("request_id", F.coalesce("kv_ref", "near_ref").alias("kv_ref"), F.when(F.col("kv_ref").isNotNull(), "exact").when(F.col("near_ref").isNotNull(), "near").otherwise("miss").alias("match"))
 
 
+def admit(requests: DataFrame, models: DataFrame, index: DataFrame, pages: DataFrame, budget: float, within: int = 3) -> DataFrame:
+    """Policy decision, prefix hit and allocation of each request (request_id, tenant_id, model_id, prefix_hash, sig, context, requests).
+
+    Pressure is what pages (tier, n_bytes) hold in the ``gpu`` tier against the budget: one aggregate row, so the cross
+    join with it adds none. ``models`` has a row a model_id: mode, fp8. A request of an unknown model isn't admitted.
+    """
+    used = pages.agg(F.coalesce(F.sum(F.when(F.col("tier") == "gpu", F.col("n_bytes"))), F.lit(0)).alias("_used"))
+    own = requests.join(models.select("model_id", "mode", "fp8"), "model_id").crossJoin(F.broadcast(used)).withColumn("p", pressure(F.col("_used"), F.lit(float(budget))))
+    hits = lookup(requests.select("request_id", "tenant_id", "model_id", "prefix_hash", "sig"), index, within)
+    return decide(own).drop("_used", "prefix_hash", "sig").join(hits, "request_id").withColumn("allocation_id", F.concat(F.lit("kva_"), F.sha2(F.col("request_id").cast("string"), 256))).withColumn("token_count", F.col("context").cast("long"))
+
+
 def evict(pages: DataFrame, need: int, group: str, order: list[str], size: str = "n_bytes") -> DataFrame:
     """The least recently used pages of each group that free ``need`` bytes: those before whom less has been freed."""
     past = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

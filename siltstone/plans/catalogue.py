@@ -11,7 +11,7 @@ from siltstone import scratch
 from siltstone.functions import numbers as N
 from siltstone.functions import text as X
 from siltstone.functions import udfs as U
-from siltstone.operators import catalog, control, dedup, normalize, packing, profile, telemetry
+from siltstone.operators import catalog, codecs, control, dedup, normalize, packing, profile, telemetry, tokenize
 from siltstone.sources import scans, sinks
 from siltstone.streaming import streams
 
@@ -231,6 +231,33 @@ def tokenizer_report(spark, t):
     return d.agg((F.sum("c") / F.sum("n")).alias("chars_per_token"), (F.sum("n") / F.sum("w")).alias("fertility"))
 
 
+def _tokenizer() -> str:
+    """The public byte-level BPE description that the queries below tokenise with; any other can be given to the operators."""
+    from pathlib import Path
+
+    import public_tokenizers
+
+    return Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+
+
+@query()
+def tokenized_blocks(spark, t):
+    b, _ = tokenize.corpus(t("documents").select("doc_id", "text"), _tokenizer(), ["doc_id"], 512, 64, 0.1)
+    return b.select("split", "shard", "block", F.xxhash64("tokens").alias("h"))
+
+
+@query()
+def tokenized_counters(spark, t):
+    return tokenize.corpus(t("documents").select("doc_id", "text"), _tokenizer(), ["doc_id"], 512, 64, 0.1)[1]
+
+
+@query()
+def web_blocks(spark, t):
+    split = F.when(F.col("doc_id") % 10 == 0, "val").otherwise("train")
+    b, _ = tokenize.web_corpus(t("documents").select("doc_id", "text"), split, _tokenizer(), ["doc_id"], 256, 64)
+    return tokenize.shards(b)
+
+
 # Scans.
 @query("WITH n AS (SELECT p_brand AS prefix, CAST(p_partkey % 40 AS INTEGER) AS number FROM part WHERE p_partkey % 7 <> 0 AND p_size % 3 = 0), d AS (SELECT DISTINCT prefix FROM n) SELECT prefix, CAST(s AS INTEGER) AS number FROM d, unnest(generate_series(0, 39)) AS u(s) WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.prefix = d.prefix AND n.number = s)")
 def shard_gap_report(spark, t):
@@ -399,6 +426,16 @@ def prefix_lookup(spark, t):
     return control.lookup(d.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "request_id"), index)
 
 
+@query()
+def admissions(spark, t):
+    d = t("documents").select("doc_id", F.col("source").alias("tenant_id"), F.coalesce("lang", F.lit("none")).alias("model_id"), X.content_hash(F.col("text")).alias("prefix_hash"), U.simhash(X.hash_tokens(F.col("text"), 2048)).alias("sig"), (F.col("doc_id") * 7 % 16384).alias("context"), (F.col("doc_id") % 20).alias("requests"))
+    d = scratch.stored(d, "admissions")
+    models = d.select("model_id").distinct().select("model_id", F.expr("case when model_id < 'e' then 'memory_first' else 'balanced' end").alias("mode"), (F.length("model_id") % 2 == 0).alias("fp8"))
+    pages = t("orders").select(F.when(F.col("o_orderstatus") == "F", "gpu").otherwise("cpu").alias("tier"), F.col("o_totalprice").alias("n_bytes"))
+    index = d.filter("doc_id % 2 = 0").withColumns({"kv_ref": F.col("doc_id"), "seq": F.col("doc_id")})
+    return control.admit(d.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "request_id"), models, index, pages, 2e9)
+
+
 _MODE = "CASE c_custkey % 4 WHEN 0 THEN 'quality_first' WHEN 1 THEN 'memory_first' WHEN 2 THEN 'throughput_first' ELSE 'balanced' END"
 
 
@@ -480,6 +517,12 @@ def vector_codecs(spark, t):
     return e.select("vec_id", *(F.col(f"{k}.n_bytes").alias(f"{k}_bytes") for k in ("fp16", "fp8", "rotated")), *(F.round(f"{k}.error", 6).alias(f"{k}_error") for k in ("fp16", "fp8", "rotated")))
 
 
+@query()
+def selective_codec(spark, t):
+    e = t("embeddings").select("vec_id", "label", "embedding", F.element_at("embedding", 1).alias("score"))
+    return codecs.selective(e, "label", "vec_id", "score", "embedding", 16, 0.1).select("vec_id", "tier", "n_bytes", F.round("error", 5).alias("error"))
+
+
 # Streams.
 @query()
 def rate_limit_decisions(spark, t):

@@ -42,6 +42,17 @@ def markdown(title: str, df: DataFrame, most: int = 200) -> str:
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
 
 
+def html(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
+    """A page with a table a section; for summaries of few rows."""
+    from html import escape
+
+    out = [f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1>"]
+    for name, df in sections.items():
+        line = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{escape('' if v is None else str(v))}</{tag}>" for v in cells) + "</tr>"
+        out += [f"<h2>{escape(name)}</h2><table>", line("th", df.columns), *(line("td", r) for r in df.limit(most).collect()), "</table>"]
+    return "\n".join(out) + "\n"
+
+
 def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
     """``old`` with the rows of ``new`` in place of those with their keys."""
     return old.join(new.select(*keys), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)

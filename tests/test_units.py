@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from siltstone.functions import numbers as N
 from siltstone.functions import text as X
 from siltstone.functions import udfs as U
-from siltstone.operators import catalog, control, dedup, packing, telemetry
-from siltstone.sources import scans, sinks
+from siltstone.operators import catalog, codecs, control, dedup, packing, telemetry, tokenize
+from siltstone.sources import hosted, scans, sinks
 
 
 def test_clean_and_chunks():
@@ -112,3 +112,64 @@ def test_entry_without_llm(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op1') for k in q), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=100)
     assert said.stdout.split()[1] == "False" and int(said.stdout.split()[0]) > 50, said.stderr
+
+
+def _words():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({w: i for i, w in enumerate("? a b c d e f".split())}, unk_token="?"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    return t
+
+
+def test_tokenise_and_pack(spark, tmp_path):
+    import numpy as np
+
+    rng, tok = random.Random(6), _words()
+    docs = [(i, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 40)))) for i in range(80)] + [(80, None), (81, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    split = F.when(F.col("doc_id") % 3 == 0, "val").otherwise("train")
+    rows = tokenize.tokenized(df, split, tok.to_str(), ["doc_id"])
+    for overlap, step in ((False, 9), (True, 8)):
+        blocks = tokenize.packed(rows, ["doc_id"], 8, 5, overlap)
+        for name, own in (("val", True), ("train", False)):
+            ids = [tok.encode(t or "").ids for i, t in docs if (i % 3 == 0) == own]
+            flat = [k for x in ids if len(x) >= 2 for k in x]
+            due = [flat[i : i + 9] for i in range(0, len(flat) - 8, step)]
+            got = blocks.filter(F.col("split") == name).orderBy("block").collect()
+            assert [r["tokens"] for r in got] == due and [r["shard"] for r in got] == [i // 5 for i in range(len(due))]
+            c = tokenize.counters(rows).filter(F.col("split") == name).first()
+            assert (c["documents"], c["tokens"], c["skipped"]) == (sum(len(x) >= 2 for x in ids), len(flat), sum(len(x) < 2 for x in ids))
+        assert sum(r["blocks"] for r in tokenize.shards(blocks).collect()) == blocks.count()
+    path = tmp_path / "arrays"
+    hosted.write_arrays(blocks, f"file://{path}")
+    found = np.concatenate([np.load(p) for p in sorted(path.glob("train_*.npy"))])
+    assert found.tolist() == [r["tokens"] for r in blocks.filter("split = 'train'").orderBy("block").collect()] and not list(path.glob(".*"))
+
+
+def test_hosted(spark, tmp_path, monkeypatch):
+    (tmp_path / "own_loader.py").write_text("def load(name, n=5):\n    return {'train': [{'id': None if i == 2 else f'r{i}', 'content': f'text {i}', 'k': (i, b'x')} for i in range(n)], 'bare': ['p', 'q']}\n")
+    spark.sparkContext.addPyFile(str(tmp_path / "own_loader.py"))
+    hosted.register(spark)
+    read = spark.read.format("hosted_dataset").option("dataset", "d").option("loader", "own_loader:load")
+    rows = {r["source_row"]: r for r in read.option("arguments", '{"n": 7}').option("shards", "3").load().collect()}
+    assert sorted(rows) == list(range(7)) and rows[2]["doc_id"] == "d:train:2" and rows[3]["doc_id"] == "r3" and rows[6]["text"] == "text 6" and '"k": [0, "x"]' in rows[0]["metadata"]
+    assert [r["source_row"] for r in read.option("maxRecords", "2").load().collect()] == [0, 1]
+    bare = spark.read.format("hosted_dataset").option("dataset", "d").option("loader", "own_loader:load").option("split", "bare").load()
+    assert sorted(r["text"] for r in bare.collect()) == ["p", "q"]
+
+
+def test_admission_and_selective_codec(spark):
+    req = spark.createDataFrame([(1, "t", "m", "h1", 0, 9000, 4), (2, "t", "m", "zz", 3, 10, 20), (3, "t", "gone", "h1", 0, 1, 1), (4, "u", "m", "h1", -1, 1, 1)], "request_id long, tenant_id string, model_id string, prefix_hash string, sig long, context long, requests long")
+    models = spark.createDataFrame([("m", "memory_first", True)], "model_id string, mode string, fp8 boolean")
+    index = spark.createDataFrame([("t", "m", "h1", 0, 10, 1)], "tenant_id string, model_id string, prefix_hash string, sig long, kv_ref long, seq long")
+    pages = spark.createDataFrame([("gpu", 99), ("cpu", 5000)], "tier string, n_bytes long")
+    got = {r["request_id"]: r for r in control.admit(req, models, index, pages, 100.0).collect()}
+    assert {k: r["match"] for k, r in got.items()} == {1: "exact", 2: "near", 4: "miss"} and got[1]["bits"] == 2 and got[1]["token_count"] == 9000 and got[2]["p"] == 0.99
+    rows = [(1, i, float(i % 5), [float(i), 1.0, -2.0, 0.5] * 8) for i in range(20)] + [(2, 0, 1.0, None), (2, 1, 1.0, [])]
+    c = codecs.selective(spark.createDataFrame(rows, "g int, i int, s double, v array<double>"), "g", "i", "s", "v", 4, 0.2).collect()
+    one = {r["i"]: r for r in c if r["g"] == 1}
+    assert sorted(i for i in one if one[i]["tier"] == "recent") == [16, 17, 18, 19] and sum(r["tier"] == "hot" for r in one.values()) == 4
+    assert all(r["error"] < {"recent": 0.001, "hot": 0.07, "cold": 0.4}[r["tier"]] for r in one.values()) and sum(r["n_bytes"] for r in one.values()) < sum(r["raw_bytes"] for r in one.values())
+    assert {r["i"]: (r["payload"], r["n_bytes"]) for r in c if r["g"] == 2} == {0: (None, 0), 1: (b"", 0)}
+    assert "<td>a&amp;b</td>" in sinks.html("t", {"s": spark.createDataFrame([("a&b",)], "x string")})
