@@ -6,8 +6,9 @@ but ASCII white space, cut at ``SEGMENT`` bytes, between two boundary marks; the
 segments have equal sums and a worker computes each once (a cache bounded in rows; exact, not an approximation).
 
 Training runs in numpy by backpropagation through time (Adam on the cross-entropy of every position) on the driver. It
-sees at most ``DOCS_PER_LANGUAGE`` texts of each language and ``TRAIN_CHARS`` characters a text as its fit's bounded sample,
-from rows whose crc32(doc_id) mod 4 is not 2 and whose lang is not null. Everything else covers all rows: the set of
+sees at most ``DOCS_PER_LANGUAGE`` texts of each language as its fit's bounded sample, and of each text at most
+``TRAIN_SEGMENTS`` segments at even distances from its start to its end, from rows whose crc32(doc_id) mod 4 is not 2
+and whose lang is not null. Everything else covers all rows: the set of
 languages is that of all such rows (the ``MAX_LANGUAGES`` most frequent), and whole texts are predicted.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a null doc_id is not held out, and never
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DOCS_PER_LANGUAGE, TRAIN_CHARS, MAX_LANGUAGES = 150, 4000, 64
+DOCS_PER_LANGUAGE, TRAIN_SEGMENTS, MAX_LANGUAGES = 150, 640, 64
 HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 32, 320, 512, 0.02, 7
 CACHE_ROWS, EDGE = 400_000, 0x20
 
@@ -249,6 +250,13 @@ class Predictor:
         return self.network.languages[int(p.argmax())], min(1.0, max(0.0, float(p.max())))
 
 
+def sample(rows: DataFrame, most: int = TRAIN_SEGMENTS) -> DataFrame:
+    """(lang, text) with each text cut down to at most ``most`` segments at even distances; texts without a letter go."""
+    parts = rows.filter(F.col("text").rlike("\\p{L}")).select("lang", F.regexp_extract_all("text", F.lit(f"[^\\x20\\x09-\\x0D]{{1,{SEGMENT}}}"), F.lit(0)).alias("parts"))
+    stride = F.ceil(F.size("parts") / most)
+    return parts.select("lang", F.array_join(F.filter("parts", lambda _, i: i % stride == 0), " ").alias("text"))
+
+
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Network:
     """A network fitted on the bounded sample; reads the lang column once and then a few texts a language."""
     import numpy as np  # noqa: F401
@@ -256,7 +264,8 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Networ
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
     counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
     languages = sorted(r["lang"] for r in counted)
-    texts = [(t, i) for i, lang in enumerate(languages) for (t,) in rows.filter((F.col("lang") == lang) & F.col("text").rlike("\\p{L}")).select(F.left("text", F.lit(TRAIN_CHARS))).take(docs_per_language)]
+    spread = sample(rows)
+    texts = [(t, i) for i, lang in enumerate(languages) for (t,) in spread.filter(F.col("lang") == lang).select("text").take(docs_per_language)]
     return Network(languages).fit(texts)
 
 

@@ -293,6 +293,15 @@ def test_language_gradients():
             assert abs((up - down) / 2e-3 - g[k][at]) < 2e-3 * max(1, abs(g[k][at]))
 
 
+def test_language_sample_spans_whole_texts(spark):
+    texts = [" ".join(f"w{i}" for i in range(10_000)), "x" * 100_000, "short one", "123"]
+    got = {r["lang"]: r["text"].split() for r in langid.sample(spark.createDataFrame(list(zip("abcd", texts)), "lang string, text string"), 100).collect()}
+    assert set(got) == {"a", "b", "c"}
+    assert got["a"] == [f"w{i}" for i in range(0, 10_000, 100)]
+    assert len(got["b"]) <= 100 and max(map(len, got["b"])) <= langid.SEGMENT
+    assert got["c"] == ["short", "one"]
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = langid.train(docs)
