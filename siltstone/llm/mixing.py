@@ -9,8 +9,9 @@ scaled to the target, is the source's cumulative demand; the k-th pass over a so
 hash) meets demand from k times the source's words on. A document's position in training is the time at which the
 inverse of the demand reaches its first word. The documents are range-sorted by position.
 
-Prefix sums have two levels: documents fall by hash into buckets whose number follows the row count, so a source with a
-third of all rows is many small windows; the second level has a row per source and bucket. Every source takes exactly
+Prefix sums have three levels: documents fall by hash into buckets whose number follows the row count, so a source with
+a third of all rows is many small windows; buckets are grouped by the square root of their number, so that neither a
+group's window nor a source's window over its groups holds more than that root. Every source takes exactly
 its rounded target: passes over all its documents and, at the last one's end, part of one document at most.
 
 Defined cases: a null text has size 0 and is taken 0 words; all-empty corpora have targets 0; null ids and repeated rows
@@ -20,6 +21,8 @@ empty table gives no rows; other columns are only carried, under any name.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,8 +83,12 @@ def plan(docs: DataFrame, carry: tuple[str, ...] = (), cap: int = CAP, schedules
         own = scratch.stored(own.drop("row"), "mix-sizes").withColumn("row", F.struct(F.lit(0).alias("_")))
     parts = scratch.stored(own.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "mix-buckets")
     t = targets(parts, cap)
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("offset", F.coalesce(F.sum("size").over(ahead), F.lit(0))).drop("size")
+    span = math.isqrt(buckets - 1) + 1
+    parts = parts.withColumn("block", F.expr(f"bucket div {span}").cast("int"))
+    ahead = lambda by, order: F.coalesce(F.sum("size").over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = parts.groupBy("source", "block").agg(F.sum("size").alias("size")).select(F.col("source").alias("bs"), F.col("block").alias("bb"), ahead(("source",), "block").alias("before"))
+    offsets = parts.withColumn("offset", ahead(("source", "block"), "bucket"))
+    offsets = offsets.join(blocks, offsets["source"].eqNullSafe(blocks["bs"]) & (F.col("block") == F.col("bb"))).select("source", "bucket", (F.col("offset") + F.col("before")).alias("offset"))
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
     offsets = offsets.join(t, same(offsets, t)).select(offsets["source"].alias("s"), F.col("bucket").alias("b"), "offset", "place", "source_size", "target")
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
