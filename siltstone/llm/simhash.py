@@ -147,21 +147,49 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return cells.mapInArrow(_cells(radius), "u long, v long")
 
 
-def cluster(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id reachable over links, itself included)."""
+def _labelled(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp of every row; and fp, root, component_id of every fingerprint. Both in shared files."""
     own = scratch.stored(fingerprints(docs, shingle), "fingerprints")
     nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
     stars = roots(links(nodes.select("fp"), radius), "simhash-stars")
     rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = scratch.stored(rooted.join(named, "root").select("fp", "component_id"), "simhash-labels")
-    return own.join(labels, "fp").select("doc_id", "fp", "component_id")
+    return own, scratch.stored(rooted.join(named, "root").select("fp", "root", "component_id"), "simhash-labels")
+
+
+def cluster(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, fp, component_id (smallest doc_id reachable over links, itself included)."""
+    own, labels = _labelled(docs, shingle, radius)
+    return own.join(labels.drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component; rows without an id stay where their component has none."""
-    ids = cluster(docs, shingle, radius).filter("doc_id <=> component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of ``docs`` of each component: that whose doc_id names it, all its columns.
+
+    An id that names a component and stands in one row tells its row. Ids in several rows, and null ids, don't: of the
+    rows with such an id their fingerprints tell the component, and the least digest of all columns the row that stays.
+    """
+    own, labels = _labelled(docs, shingle, radius)
+    found = own.join(labels, "fp")
+    ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.expr("doc_id <=> component_id")).alias("names")).filter("names")
+    ids = scratch.stored(ids.select(F.col("doc_id").alias("_kept_id"), (F.expr("doc_id is not null and n = 1")).alias("_sure")), "simhash-kept")
+    sure, other = ids.filter("_sure"), ids.filter("not _sure")
+    mine = docs["doc_id"].cast("long")
+    kept = docs.join(sure, mine == sure["_kept_id"], "left_semi")
+    if other.isEmpty():
+        return kept
+    row = F.struct(*(docs[c] for c in docs.columns))
+    rows = docs.join(other, mine.eqNullSafe(other["_kept_id"]), "left_semi").select(mine.alias("doc_id"), docs["text"].cast("string").alias("text"), row.alias("row"))
+    schema = rows.select("doc_id", "row", F.lit(0).cast("long").alias("fp")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = pa.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fps], names=["doc_id", "row", "fp"])
+
+    told = rows.mapInArrow(run, schema).join(labels, "fp").filter("doc_id <=> component_id")
+    one = told.groupBy("root").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
+    return kept.unionByName(one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
 
 
 def op8_simhash(spark, sf_dir) -> DataFrame:

@@ -121,6 +121,23 @@ def test_simhash_odd(spark):
     assert all(sorted(tree.within(q, 2)) == sorted({x for x in xs if (x ^ q).bit_count() <= 2}) for q in range(0, 4096, 97))
 
 
+def test_simhash_keeps_one_row_a_group(spark):
+    other = "one two three four five six seven"
+    again = [(4, other, "en", "a"), (4, other, "en", "b"), (None, "quite another text of its own", "en", "a"), (None, "quite another text of its own", "de", "a")]
+    for rows in (ODD, ODD + again, [r for r in ODD if r[0] not in (None, 4)]):
+        fps = [brute_fingerprint(t) for _, t, *_ in rows]
+        group = components(sorted(set(fps)), lambda a, b: (a ^ b).bit_count() <= 2)
+        ids = {}
+        for (i, *_), f in zip(rows, fps, strict=True):
+            ids.setdefault(group[f], []).append(i)
+        want = sorted(min((i for i in members if i is not None), default=-1) for members in ids.values())
+        docs = make(spark, rows)
+        got = simhash.keep(docs)
+        assert got.columns == docs.columns
+        assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in got.collect()) == want
+    assert simhash.keep(make(spark, [])).count() == 0
+
+
 # Token counts and files.
 def library():
     import public_tokenizers
