@@ -34,26 +34,39 @@ SEGMENTS = ((42, 22), (21, 21), (0, 21))
 CHUNK = 1 << 16
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Signed 64-bit SimHash."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE):
+    """XXH64 of each shingle in order, in arrays of up to ``CHUNK``; none for a text without words."""
     import numpy as np
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     h, joined = xxhash.xxh64_intdigest, b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     n = max(1, len(words) - shingle + 1)
-    votes = np.zeros(64, np.int64)
     starts, ends = starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist()
     for at in range(0, n, CHUNK):
-        hashes = np.array([h(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], ">u8")
+        yield np.array([h(joined[a:b], 42) for a, b in zip(starts[at : at + CHUNK], ends[at : at + CHUNK], strict=True)], ">u8")
+
+
+def voted(chunks) -> int:
+    """Signed 64-bit SimHash of hashes in arrays."""
+    import numpy as np
+
+    votes, n = np.zeros(64, np.int64), 0
+    for hashes in chunks:
         votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big", signed=True)
 
 
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Signed 64-bit SimHash."""
+    return voted(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fp (signed long) of every row's whole text."""
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
@@ -169,7 +182,11 @@ def keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataF
     An id that names a component and stands in one row tells its row. Ids in several rows, and null ids, don't: of the
     rows with such an id their fingerprints tell the component, and the least digest of all columns the row that stays.
     """
-    own, labels = _labelled(docs, shingle, radius)
+    return named_rows(docs, *_labelled(docs, shingle, radius), lambda t: fingerprint(t, shingle))
+
+
+def named_rows(docs: DataFrame, own: DataFrame, labels: DataFrame, mark=None) -> DataFrame:
+    """``keep`` from own (doc_id, fp) and labels (fp, root, component_id); ``mark`` gives a text's fp, without it fp is the text's xxhash64."""
     found = own.join(labels, "fp")
     ids = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.expr("doc_id <=> component_id")).alias("names")).filter("names")
     ids = scratch.stored(ids.select(F.col("doc_id").alias("_kept_id"), (F.expr("doc_id is not null and n = 1")).alias("_sure")), "simhash-kept")
@@ -184,10 +201,11 @@ def keep(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = pa.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], pa.int64())
+            fps = pa.array([mark(t) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fps], names=["doc_id", "row", "fp"])
 
-    told = rows.mapInArrow(run, schema).join(labels, "fp").filter("doc_id <=> component_id")
+    marked = rows.mapInArrow(run, schema) if mark else rows.select("doc_id", "row", F.xxhash64(F.coalesce("text", F.lit(""))).alias("fp"))
+    told = marked.join(labels, "fp").filter("doc_id <=> component_id")
     one = told.groupBy("root").agg(F.min_by("row", F.sha2(F.to_json("row"), 256)).alias("row"))
     return kept.unionByName(one.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
 

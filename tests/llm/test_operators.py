@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from siltstone.llm import bitslice, exact_dedup, langid, line_dedup, mixing, pieces, queries, simhash, token_counts, token_files, warc
+from siltstone.llm import bitslice, exact_dedup, langid, line_dedup, mixing, near, pieces, queries, simhash, token_counts, token_files, warc
 from siltstone.llm.bpe import Encoder
 from tests.compare import duck, same
 
@@ -139,6 +139,41 @@ def test_simhash_keeps_one_row_a_group(spark):
 
 
 # Token counts and files.
+def word_sets(t):
+    words = (t or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def test_near_copies_brute(spark):
+    """The pipeline's stage keeps the smallest id of each component of five-word Jaccard 0.8 or more, at every distance from the limit."""
+    rng, rows = random.Random(5), list(ODD)
+    for g in range(12):
+        words = [f"w{rng.randrange(400)}" for _ in range(rng.choice((6, 40, 200)))]
+        for k in range(6):
+            own = list(words)
+            for _ in range(k * len(words) // 150 + (k > 2)):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+            rows.append((100 + g * 10 + k, " ".join(own), "en", "s"))
+    rows += [(500 + i, " ".join([f"common{j}" for j in range(60)] + [f"own{i}x{j}" for j in range(2 + i % 30)]), "en", "s") for i in range(60)]
+    for docs in (make(spark, rows), spark.read.parquet(f"{SMALL}/documents.parquet")):
+        held = docs.select("doc_id", "text").collect()
+        own = [word_sets(r["text"]) for r in held]
+        linked = [(i, j) for i, j in itertools.combinations(range(len(own)), 2) if 4 * max(len(own[i]), len(own[j])) <= 5 * min(len(own[i]), len(own[j])) and 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j])]
+        root = list(range(len(own)))
+        for i, j in linked * 8:
+            root[i] = root[j] = min(root[i], root[j])
+        while any(root[i] != root[j] for i, j in linked):
+            for i, j in linked:
+                root[i] = root[j] = min(root[i], root[j])
+        groups = {}
+        for i, r in enumerate(held):
+            groups.setdefault(root[i], []).append(r["doc_id"])
+        want = sorted((min((x for x in g if x is not None), default=None) for g in groups.values()), key=str)
+        kept = corpus_pipeline.near_copies(spark, docs.select(*corpus_pipeline.COLUMNS), SMALL)
+        assert sorted((r["doc_id"] for r in kept.collect()), key=str) == want
+    assert corpus_pipeline.near_copies(spark, make(spark, []).select(*corpus_pipeline.COLUMNS), SMALL).count() == 0
+
+
 def library():
     import public_tokenizers
     from tokenizers import Tokenizer
