@@ -205,12 +205,12 @@ class Predictor:
         return out
 
     def predict(self, texts: list[str | None], at_once: int = 1 << 20) -> tuple[list[str], list[float]]:
-        """Predictions, over runs of texts whose segments fit the cache."""
-        names, scores, run, new, chars = [], [], [], set(), 0
+        """Predictions, over runs of texts whose segments fit the cache; a text that has too many alone goes without it."""
+        names, scores, run, new, chars, distinct, rows = [], [], [], set(), 0, 0, len(self.table)
         known = bool(self.network.languages)
 
         def close():
-            if len(self.place) + len(new) > CACHE_ROWS:
+            if len(self.place) + len(new) > rows:
                 self.place.clear()
                 fresh = {w for t in run if t for w in segments(t)}
             else:
@@ -222,20 +222,25 @@ class Predictor:
 
         for t in texts:
             ok = t is not None and known and any(map(str.isalpha, t))
-            if ok and len(t) > at_once * 4:
+            own = set(segments(t)) if ok and len(t) <= at_once * 4 else set()
+            if distinct + len(own) > rows:
                 close()
-                run, new, chars = [], set(), 0
+                run, new, chars, distinct = [], set(), 0, 0
+            if ok and (len(t) > at_once * 4 or len(own) > rows):
+                close()
+                run, new, chars, distinct = [], set(), 0, 0
                 name, score = self._long(t)
                 names.append(name)
                 scores.append(score)
                 continue
             run.append(t if ok else None)
             if ok:
-                new.update(w for w in segments(t) if w not in self.place)
+                new.update(w for w in own if w not in self.place)
                 chars += len(t)
+                distinct += len(own)
             if chars > at_once:
                 close()
-                run, new, chars = [], set(), 0
+                run, new, chars, distinct = [], set(), 0, 0
         close()
         return names, scores
 

@@ -354,6 +354,20 @@ def test_language_sample_spans_whole_texts(spark):
     assert got["c"] == ["short", "one"]
 
 
+def test_language_cache_overflow(monkeypatch):
+    """Texts and runs with more distinct segments than the cache holds are predicted as by the network itself."""
+    monkeypatch.setattr(langid, "CACHE_ROWS", 50)
+    network = langid.Network(["de", "en", "fr"])
+    texts = ["a few words", " ".join(f"x{i}" for i in range(500)), None, "", *(" ".join(f"{k}y{i}" for i in range(20 + k)) for k in range(30)), " ".join(f"z{i % 40}" for i in range(90)), "1 2"]
+    names, scores = langid.Predictor(network).predict(texts)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        if not any(map(str.isalpha, t or "")):
+            assert (name, score) == ("und", 0.0)
+            continue
+        p = network.sums(langid.segments(t)).sum(axis=0) / sum(map(len, langid.segments(t)))
+        assert name == network.languages[int(p.argmax())] and abs(score - float(p.max())) < 1e-5
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = langid.train(docs)
