@@ -9,7 +9,8 @@ Training runs in numpy by backpropagation through time (Adam on the cross-entrop
 sees at most ``DOCS_PER_LANGUAGE`` texts of each language as its fit's bounded sample, and of each text at most
 ``TRAIN_SEGMENTS`` segments at even distances from its start to its end, from rows whose crc32(doc_id) mod 4 is not 2
 and whose lang is not null. Everything else covers all rows: the set of
-languages is that of all such rows (the ``MAX_LANGUAGES`` most frequent), and whole texts are predicted.
+languages is that of all such rows, and whole texts are predicted. Beyond ``FULL`` languages each has a smaller sample, and
+the cache and the steps hold fewer rows, so that memory stays bounded; no language is left out.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; a null doc_id is not held out, and never
 trained on; with no row to learn from, every prediction is ``und``; with one language that one is predicted; repeated
@@ -24,13 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DOCS_PER_LANGUAGE, TRAIN_SEGMENTS, MAX_LANGUAGES = 150, 640, 64
+DOCS_PER_LANGUAGE, TRAIN_SEGMENTS, FULL = 150, 640, 64
 HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 32, 320, 512, 0.02, 7
 CACHE_ROWS, EDGE = 400_000, 0x20
 
 _workers: dict[str, object] = {}
 
 
+def share(most: int, languages: int) -> int:
+    """``most`` up to FULL languages, beyond it in inverse proportion."""
+    return max(1, most * FULL // max(FULL, languages))
+
+
 def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
@@ -160,7 +166,8 @@ class Network:
         by = [b for b in by if len(b)]
         m, v = ({k: np.zeros_like(w) for k, w in self.p.items()} for _ in range(2))
         for step in range(1, steps + 1):
-            at = np.concatenate([rng.choice(b, max(1, batch // len(by))) for b in by])
+            drawn = by if len(by) <= batch else [by[i] for i in rng.choice(len(by), batch, replace=False)]
+            at = np.concatenate([rng.choice(b, max(1, batch // len(drawn))) for b in drawn])
             _, g = self.gradients([words[i] for i in at], labels[at])
             lr = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for k, w in self.p.items():
@@ -178,15 +185,16 @@ class Predictor:
 
         self.network = network
         self.place: dict[bytes, int] = {}
-        self.table = np.zeros((CACHE_ROWS, len(network.languages)), np.float32)
+        self.table = np.zeros((share(CACHE_ROWS, len(network.languages)), len(network.languages)), np.float32)
 
     def _fill(self, new: list[bytes]) -> None:
         if not new:
             return
         new = sorted(new, key=len)
         first = len(self.place)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
+        step = share(4096, len(self.network.languages))
+        for i in range(0, len(new), step):
+            part = new[i : i + step]
             self.table[first + i : first + i + len(part)] = self.network.sums(part)
         self.place |= {w: first + i for i, w in enumerate(new)}
 
@@ -249,8 +257,9 @@ class Predictor:
         import numpy as np
 
         own, p = segments(text), np.zeros(len(self.network.languages))
-        for i in range(0, len(own), 8192):
-            p += self.network.sums(own[i : i + 8192]).sum(axis=0)
+        step = share(8192, len(self.network.languages))
+        for i in range(0, len(own), step):
+            p += self.network.sums(own[i : i + step]).sum(axis=0)
         p /= max(1, sum(map(len, own)))
         return self.network.languages[int(p.argmax())], min(1.0, max(0.0, float(p.max())))
 
@@ -267,10 +276,9 @@ def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Networ
     import numpy as np  # noqa: F401
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r["lang"] for r in counted)
+    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     spread = sample(rows)
-    texts = [(t, i) for i, lang in enumerate(languages) for (t,) in spread.filter(F.col("lang") == lang).select("text").take(docs_per_language)]
+    texts = [(t, i) for i, lang in enumerate(languages) for (t,) in spread.filter(F.col("lang") == lang).select("text").take(share(docs_per_language, len(languages)))]
     return Network(languages).fit(texts)
 
 

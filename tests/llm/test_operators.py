@@ -368,6 +368,15 @@ def test_language_cache_overflow(monkeypatch):
         assert name == network.languages[int(p.argmax())] and abs(score - float(p.max())) < 1e-5
 
 
+def test_language_learns_every_language(spark, monkeypatch):
+    """More languages than have a whole sample: each is a class, and predictions come out."""
+    monkeypatch.setattr(langid, "STEPS", 2)
+    docs = make(spark, [(i, f"text in tongue {i % 70}", f"l{i % 70:02}", "a") for i in range(700)])
+    network = langid.train(docs)
+    assert network.languages == [f"l{k:02}" for k in range(70)]
+    assert {r["lang_pred"] for r in langid.identify(docs, network).collect()} <= set(network.languages)
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     net = langid.train(docs)
