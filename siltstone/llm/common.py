@@ -32,6 +32,13 @@ def by_batch(f: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema)
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts, so that few texts at a time become Python objects."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """The rows of a partition, one after another."""
     for batch in batches:

@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import slices
+
 DOCS_PER_LANGUAGE, TRAIN_SEGMENTS, FULL = 150, 640, 64
 HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 32, 320, 512, 0.02, 7
 CACHE_ROWS, EDGE = 400_000, 0x20
@@ -294,7 +296,7 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
         if ident not in own._workers:
             own._workers.clear()
             own._workers[ident] = Predictor(shared.value)
-        for b in batches:
+        for b in slices(batches):
             names, scores = own._workers[ident].predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
@@ -314,7 +316,7 @@ def keep(docs: DataFrame, network: Network) -> DataFrame:
         if ident not in own._workers:
             own._workers.clear()
             own._workers[ident] = Predictor(shared.value)
-        for b in batches:
+        for b in slices(batches):
             names, _ = own._workers[ident].predict(b.column(place).to_pylist())
             yield b.filter(pa.array([x != "und" for x in names], pa.bool_()))
 
