@@ -2,8 +2,9 @@
 
 Candidates: each line begins a run, the shortest with at least ``MIN_WORDS`` words; documents that share a run's hash
 may overlap. A run held by at most ``RARE`` documents pairs each of them with each (so at most RARE - 1 a document);
-a run held by more pairs every later document with the first holder alone, which still finds each repeated run once:
-no run is left out, and pairs grow with the lines, never with the square of a group.
+a run held by more pairs every later document with the first holder alone. Pairs grow with the lines, never with the
+square of a group. What the pairs miss is cut from the table of runs itself (``held_lines``): every block that any
+earlier document holds goes whole. ``n_links`` counts the aligned pairs, so of a frequent run the first holder's alone.
 
 Alignment: a patience diff of the two documents' line hashes. Lines unique in both anchor it (their longest increasing
 subsequence), the stretches between anchors are aligned the same way, and matches grow over equal neighbours. An
@@ -66,6 +67,37 @@ def runs_of(hashes: list[int], words: list[int], least: int = MIN_WORDS) -> list
     return sorted(out)
 
 
+def spans_of(hashes: list[int], words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+    """(hash, first line, last line) of the shortest runs with ``least`` words from each line on, and up to each line."""
+    import struct
+
+    import xxhash
+
+    solid = [i for i, h in enumerate(hashes) if h]
+    packed, spans, end, start, held = struct.pack(f"<{len(solid)}q", *(hashes[i] for i in solid)), set(), 0, 0, 0
+    for first in range(len(solid)):
+        while end < len(solid) and held < least:
+            held += words[solid[end]]
+            end += 1
+        if held < least:
+            break
+        spans.add((first, end))
+        held -= words[solid[first]]
+    held = 0
+    for last in range(len(solid)):
+        held += words[solid[last]]
+        while held - words[solid[start]] >= least:
+            held -= words[solid[start]]
+            start += 1
+        if held >= least:
+            spans.add((start, last + 1))
+    out = []
+    for first, end in sorted(spans):
+        x = xxhash.xxh64_intdigest(packed[8 * first : 8 * end])
+        out.append((x - (x >> 63 << 64), solid[first], solid[end - 1]))
+    return out
+
+
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Longest subsequence of pairs (sorted by the first) whose seconds increase: piles and backpointers."""
     from bisect import bisect_left
@@ -180,6 +212,34 @@ def _align(least: int):
     return run
 
 
+def held_lines(heads: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """doc_id, h, lines: the lines in runs that an earlier document holds, wherever they stand and however many hold them.
+
+    A common block of enough words is covered by the runs from each of its lines on and those up to each, so this cuts
+    every such block whole without pairing its holders.
+    """
+    each = lambda b: zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "hashes", "words")), strict=True)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, h, list({x for x, _, _ in spans_of(hashes, words, least)})) for d, h, hashes, words in each(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 3, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "h", "runs"])
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for (d, h, hashes, words), early in zip(each(b), b.column("early").to_pylist(), strict=True):
+                early = set(early)
+                rows.append((d, h, sorted({i for x, first, last in spans_of(hashes, words, least) if x in early for i in range(first, last + 1)})))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 3, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["doc_id", "h", "lines"])
+
+    held = heads.select("doc_id", "h", "hashes", "words").mapInArrow(runs, "doc_id long, h long, runs array<long>").select(F.struct("doc_id", "h").alias("node"), F.explode("runs").alias("run"))
+    held = scratch.stored(held, "line-spans")
+    firsts = held.groupBy("run").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("run", "first")
+    early = held.join(firsts, "run").filter("node > first").groupBy("node").agg(F.collect_list("run").alias("early")).select("node.doc_id", "node.h", "early")
+    return heads.select("doc_id", "h", "hashes", "words").join(early, ["doc_id", "h"]).mapInArrow(lines, "doc_id long, h long, lines array<int>")
+
+
 def find(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """One row per document (distinct doc_id and text): doc_id, h, class_id, n_links, n_lines, cut (line numbers to delete, in order)."""
     seq = scratch.stored(sequences(docs, least), "line-sequences")
@@ -193,7 +253,7 @@ def find(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFrame
     found = both.select("b.doc_id", "b.h", F.col("a.doc_id").alias("other_id"), F.col("a.h").alias("other_h"), "a_hashes", "b_hashes", "b_words").mapInArrow(_align(least), "doc_id long, h long, other_id long, other_h long, lines array<int>")
     found = scratch.stored(found, "line-blocks")
     ends = found.select("doc_id", "h").unionByName(found.select(F.col("other_id").alias("doc_id"), F.col("other_h").alias("h"))).groupBy("doc_id", "h").agg(F.count("*").alias("n_links"))
-    lines = found.select("doc_id", "h", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    lines = found.select("doc_id", "h", "lines").unionByName(held_lines(heads, least)).select("doc_id", "h", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     of_class = heads.select("doc_id", "h").join(lines, ["doc_id", "h"], "left").join(ends, ["doc_id", "h"], "left").select(F.col("h").alias("ch"), "doc_id", "lines", "n_links").withColumnRenamed("doc_id", "class_id")
     own = seq.select("doc_id", "h", "n_lines", "words").dropDuplicates(["doc_id", "h"])
     own = own.join(of_class, (F.col("h") == F.col("ch")) & F.col("doc_id").isNotNull(), "left")

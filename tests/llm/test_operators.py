@@ -474,6 +474,17 @@ def test_line_dedup_brute(spark):
             firsts.setdefault(r, i)
 
 
+def test_line_dedup_frequent_runs(spark):
+    """Beyond RARE holders: blocks in another order, and lines beside a passage that only later holders share, are cut whole."""
+    line = lambda k, n=20: " ".join(f"l{k}w{i}" for i in range(n))
+    p, q, tail = line("p", 60), "\n".join(line(f"q{j}") for j in range(3)), line("tail", 10)
+    rows = [(1, f"{p}\n{line('x')}\n{q}"), *((10 + i, f"{line(i)}\n{q}\n{line(100 + i)}\n{p}\n{tail}\n{line(200 + i)}") for i in range(12))]
+    docs = make(spark, [(i, t, "en", "s") for i, t in rows])
+    by = {r["doc_id"]: r["text"] for r in line_dedup.apply(docs, line_dedup.find(docs)).collect()}
+    assert by[1] == rows[0][1] and by[10] == f"{line(0)}\n{line(100)}\n{tail}\n{line(200)}"
+    assert all(by[10 + i] == f"{line(i)}\n{line(100 + i)}\n{line(200 + i)}" for i in range(1, 12))
+
+
 # Pipeline.
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] and 4 <= len(corpus_pipeline.STAGES) <= 5
