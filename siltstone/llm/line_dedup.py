@@ -7,7 +7,8 @@ square of a group. What the pairs miss is cut from the table of runs itself (``h
 earlier document holds goes whole. ``n_links`` counts the aligned pairs, so of a frequent run the first holder's alone.
 
 Alignment: a patience diff of the two documents' line hashes. Lines unique in both anchor it (their longest increasing
-subsequence), the stretches between anchors are aligned the same way, and matches grow over equal neighbours. An
+subsequence), the stretches between anchors are aligned the same way, and matches grow over equal neighbours; a stretch
+whose common lines all repeat is aligned by a longest common subsequence, in bounded memory. An
 aligned common block (neighbouring lines in both) of at least ``MIN_WORDS`` words is deleted from the later document.
 Documents of equal text form a class: its first is aligned for all, the others are deleted whole.
 
@@ -30,6 +31,8 @@ from siltstone import scratch
 from siltstone.llm.common import rows_of
 
 MIN_WORDS, RARE = 50, 8
+#: Bits of the table of a longest common subsequence.
+TABLE_BITS = 1 << 28
 SEQUENCE = "doc_id long, h long, n_lines int, hashes array<long>, words array<int>, runs array<long>"
 
 
@@ -118,6 +121,49 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _rows(a: list[int], b: list[int]):
+    """Bits of b's places after each line of a: a 0 where the longest common subsequence grows."""
+    at: dict[int, int] = {}
+    for j, x in enumerate(b):
+        at[x] = at.get(x, 0) | 1 << j
+    v = full = (1 << len(b)) - 1
+    for x in a:
+        u = v & at.get(x, 0)
+        v = (v + u | v - u) & full
+        yield v
+
+
+def longest_common(a: list[int], b: list[int], bits: int = TABLE_BITS) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence; halves a where the table would have over ``bits`` bits."""
+    from itertools import accumulate
+
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        i, j = a1 - a0, b1 - b0
+        if i > 1 and i * j > bits:
+            mid, v, w = (a0 + a1) // 2, 0, 0
+            for v in _rows(a[a0:mid], b[b0:b1]):
+                pass
+            for w in _rows(a[mid:a1][::-1], b[b0:b1][::-1]):
+                pass
+            grown = lambda v: [0, *accumulate(c == "0" for c in f"{v:0{j}b}"[::-1])]  # noqa: B023, E731
+            left, right = grown(v), grown(w)
+            cut = b0 + max(range(j + 1), key=lambda k: left[k] + right[j - k])  # noqa: B023
+            todo += [(a0, mid, b0, cut), (mid, a1, cut, b1)]
+            continue
+        rows = list(_rows(a[a0:a1], b[b0:b1]))
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                out.append((a0 + i, b0 + j))
+    return sorted(out)
+
+
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Aligned positions of equal lines, in order."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -144,6 +190,11 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             edges = [(a0 - 1, b0 - 1), *anchors, (a1, b1)]
             out += anchors
             todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False)]
+            continue
+        own_b = [j for j in range(b0, b1) if b[j] and b[j] in seen]
+        both = {b[j] for j in own_b}
+        own_a = [i for i in range(a0, a1) if a[i] in both]
+        out += [(own_a[i], own_b[j]) for i, j in longest_common([a[i] for i in own_a], [b[j] for j in own_b])]
     return sorted(out)
 
 

@@ -474,6 +474,23 @@ def test_line_dedup_brute(spark):
             firsts.setdefault(r, i)
 
 
+def test_line_dedup_repeated_lines(spark):
+    """A passage without a line that is unique in both is aligned, cut wherever it stands, and counted as a link."""
+    assert line_dedup.patience([1, 9, 2], [3, 9, 4, 9, 5]) in ([(1, 1)], [(1, 3)])
+    rng = random.Random(3)
+    for bits in (1 << 28, 8):
+        for _ in range(150):
+            a, b = ([rng.randrange(1, 5) for _ in range(rng.randrange(0, 20))] for _ in range(2))
+            got, table = line_dedup.longest_common(a, b, bits), [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, j in itertools.product(range(len(a)), range(len(b))):
+                table[i + 1][j + 1] = table[i][j] + 1 if a[i] == b[j] else max(table[i][j + 1], table[i + 1][j])
+            assert len(got) == table[-1][-1] and all(a[i] == b[j] for i, j in got) and all(p[0] < q[0] and p[1] < q[1] for p, q in zip(got, got[1:], strict=False))
+    p = " ".join(f"w{i}" for i in range(60))
+    docs = make(spark, [(1, f"x\n{p}\ny", "en", "s"), (2, f"u\n{p}\nv\n{p}\nw", "en", "s")])
+    by = {r["doc_id"]: r for r in line_dedup.apply(docs, line_dedup.find(docs)).collect()}
+    assert by[2]["text"] == "u\nv\nw" and by[1]["n_links"] == by[2]["n_links"] == 1 and by[1]["n_cut"] == 0
+
+
 def test_line_dedup_frequent_runs(spark):
     """Beyond RARE holders: blocks in another order, and lines beside a passage that only later holders share, are cut whole."""
     line = lambda k, n=20: " ".join(f"l{k}w{i}" for i in range(n))
