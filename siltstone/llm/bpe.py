@@ -1,23 +1,27 @@
-"""Byte-level BPE ids and counts through caches of space-delimited chunks and pre-tokens.
+"""Byte-level BPE ids and counts through caches of pre-tokens.
 
 The vocabulary file's own library encodes whatever no cache holds. Two facts make the caches exact. A pre-token's ids
-do not depend on its neighbours. And where a text has no white space right after a space, and doesn't end in two white
-space characters, each space starts a pre-token, so a text splits into chunks at its spaces. Other texts, and those
-that hold an added token's string, go through the pattern or the library whole.
+do not depend on its neighbours. And a space between two characters that aren't white space starts a pre-token, so a
+text may be cut before each such space and its parts be encoded apart. A text goes through in parts of about ``PART``
+characters; one that holds an added token's string, or characters that the pattern here might class otherwise than the
+library's, is cut at every such space and only the parts concerned go through the library whole.
 """
 
 from __future__ import annotations
 
 import re
 import struct
+from collections.abc import Callable, Iterator
 
-#: Bytes of cached chunks a worker holds, about; beyond it the cache starts anew.
-CACHE_BYTES = 256 << 20
+from siltstone.llm.common import Cache
+
+#: Pre-tokens in a generation of a worker's cache; characters of a part.
+TOKENS, PART = 250_000, 1 << 16
 #: Letters and numbers of Basic Latin to Latin Extended-B, as ranges of a character class.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Characters beyond these ranges go through the library: its Unicode tables may differ from ours.
 PLAIN = re.compile("[\u0000-\u001b -\u0084\u0086-ɏ]*")
-UNEVEN = re.compile(r" (?=\s)|\s\s\Z")
+CUT = re.compile(r"(?<=\S) (?=\S)")
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
 
 
@@ -28,17 +32,6 @@ def byte_symbols() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-class Cache(dict):
-    """A dict that asks ``fill`` for a key it lacks; hits stay inside the interpreter's C code."""
-
-    def __init__(self, fill, *known):
-        super().__init__(*known)
-        self.fill = fill
-
-    def __missing__(self, key):
-        return self.fill(key)
-
-
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers, packed in bytes."""
 
@@ -49,48 +42,48 @@ class Encoder:
         self.model = self.library.model
         self.symbols = byte_symbols()
         self.space = self.symbols[0x20]
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.pack = Cache(lambda n: struct.Struct(f"<{n}I").pack)
-        self.reset()
+        added = self.library.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.wide = any(t.lstrip or t.rstrip or " " in t.content for t in added)
+        self.tokens = Cache(self.token, TOKENS)
 
-    def reset(self) -> None:
-        self.chunks, self.tokens, self.held = Cache(self.fill_chunk), Cache(self.fill_token), 0
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
-        ids = self.library.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
-    def fill_token(self, t: str) -> bytes:
+    def token(self, t: str) -> bytes:
         """A pre-token's ids."""
         shown = t.replace(" ", self.space) if t.isascii() and t.isprintable() else t.encode().decode("latin1").translate(self.symbols)
-        out = [x.id for x in self.model.tokenize(shown)]
-        self.tokens[t] = ids = self.pack[len(out)](*out)
-        self.held += len(ids) + len(t) + 160
-        return ids
-
-    def stretch(self, c: str) -> bytes:
-        """Ids of what stands between two starts of pre-tokens."""
-        plain = (c.isascii() and c.isprintable()) or PLAIN.fullmatch(c)
-        return b"".join(map(self.tokens.__getitem__, SPLIT.findall(c))) if plain else self.whole(c)
-
-    def fill_chunk(self, c: str) -> bytes:
-        """Ids of a space and the chunk ``c`` after it."""
-        self.chunks[c] = ids = self.stretch(" " + c)
-        self.held += len(ids) + len(c) + 160
-        return ids
-
-    def parts(self, text: str) -> tuple[str, list[str]] | None:
-        """What stands before the first space, and the chunks after each; None where cutting at spaces isn't exact."""
-        if UNEVEN.search(text) or any(a in text for a in self.added):
-            return None
-        first, *rest = text.split(" ")
-        return first, rest
+        return self.packed([x.id for x in self.model.tokenize(shown)])
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in parts that can be encoded apart."""
+        at = 0
+        while len(text) - at > PART and (m := CUT.search(text, at + PART)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
+
+    def each(self, text: str, of_token: Callable, of_whole: Callable) -> Iterator:
+        """What ``of_token`` gives for each pre-token and ``of_whole`` for each part that only the library can cut."""
+        if self.wide and any(a in text for a in self.added):
+            yield of_whole(text)
+            return
+        for part in self.parts(text):
+            if self.plain(part):
+                yield from map(of_token, SPLIT.findall(part))
+                continue
+            first, *rest = CUT.split(part)
+            for p in (first, *map(" ".__add__, rest)):
+                if self.plain(p):
+                    yield from map(of_token, SPLIT.findall(p))
+                else:
+                    yield of_whole(p)
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.held > CACHE_BYTES:
-            self.reset()
-        if (parts := self.parts(text)) is None:
-            return self.whole(text)
-        return self.stretch(parts[0]) + b"".join(map(self.chunks.__getitem__, parts[1]))
+        return b"".join(self.each(text, self.tokens.__getitem__, self.whole)) if text else b""

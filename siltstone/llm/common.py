@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: ASCII capitals, in order, and what they become.
@@ -14,22 +14,46 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, CAPITALS, SMALL)
 
 
-def by_batch(f: Callable[[dict[str, list]], dict[str, list]], schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A ``mapInArrow`` function from one that maps a batch's columns to new columns."""
+_state: dict[str, object] = {}
+
+
+def worker_state(key: str, make: Callable[[], object]):
+    """What this worker keeps between tasks under ``key``. It keeps one thing: another operator's or run's is let go first.
+
+    So caches of queries that came before never add up; each cache has its own bound in entries and key lengths.
+    """
+    if key not in _state:
+        _state.clear()
+        _state[key] = make()
+    return _state[key]
+
+
+class Cache(dict):
+    """A dict of bounded size that asks ``fill`` for a key it lacks; hits stay inside the interpreter's C code.
+
+    It holds two generations of at most ``most`` entries whose keys have at most ``longest`` characters: when the young
+    one is full it becomes the old one, and what is asked for again moves back. Frequent keys so outlive any number of
+    rare ones.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict(f(batch.to_pydict()), schema=schema)
+    def __init__(self, fill: Callable, most: int, longest: int = 64):
+        super().__init__()
+        self.fill, self.most, self.longest, self.old = fill, most, longest, {}
 
-    return run
+    def __missing__(self, key):
+        if (value := self.old.pop(key, None)) is None:
+            value = self.fill(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -22,16 +22,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import slices
+from siltstone.llm.common import slices, worker_state
 
 DOCS_PER_LANGUAGE, TRAIN_SEGMENTS, FULL = 150, 640, 64
 HIDDEN, SEGMENT, STEPS, BATCH, RATE, SEED = 12, 32, 320, 512, 0.02, 7
-CACHE_ROWS, EDGE = 400_000, 0x20
-
-_workers: dict[str, object] = {}
+CACHE_ROWS, EDGE = 200_000, 0x20
+#: Pooled probability of the best language below which ``keep`` takes the language as not told.
+LEAST = 0.4
 
 
 def share(most: int, languages: int) -> int:
@@ -43,6 +43,10 @@ def held_out():
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def lettered(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def segments(text: str) -> list[bytes]:
     out = []
     for w in text.encode("utf-8", "surrogatepass").split():
@@ -76,6 +80,15 @@ class Network:
         self.p = {f"{k}{d}": draw(*s) for d in "fb" for k, s in (("x", (256, 3 * hidden)), ("u", (hidden, 2 * hidden)), ("c", (hidden, hidden)))}
         self.p |= {"o": draw(2 * hidden, len(languages)), "a": np.zeros(len(languages), np.float32)}
 
+    def digest(self) -> str:
+        """Of the languages and all weights: equal digests predict the same."""
+        import hashlib
+
+        h = hashlib.sha256(repr((self.languages, self.hidden)).encode())
+        for k in sorted(self.p):
+            h.update(k.encode() + self.p[k].tobytes())
+        return h.hexdigest()
+
     @staticmethod
     def _sigmoid(x):
         import numpy as np
@@ -231,7 +244,7 @@ class Predictor:
                 scores.append(min(1.0, max(0.0, float(p.max()))) if t is not None else 0.0)
 
         for t in texts:
-            ok = t is not None and known and any(map(str.isalpha, t))
+            ok = known and lettered(t)
             own = set(segments(t)) if ok and len(t) <= at_once * 4 else set()
             if distinct + len(own) > rows:
                 close()
@@ -267,58 +280,71 @@ class Predictor:
 
 
 def sample(rows: DataFrame, most: int = TRAIN_SEGMENTS) -> DataFrame:
-    """(lang, text) with each text cut down to at most ``most`` segments at even distances; texts without a letter go."""
-    parts = rows.filter(F.col("text").rlike("\\p{L}")).select("lang", F.regexp_extract_all("text", F.lit(f"[^\\x20\\x09-\\x0D]{{1,{SEGMENT}}}"), F.lit(0)).alias("parts"))
+    """(lang, text, other columns) with each text cut down to at most ``most`` segments at even distances; texts without a letter go."""
+    kept = [c for c in rows.columns if c not in ("lang", "text")]
+    parts = rows.filter(F.col("text").rlike("\\p{L}")).select("lang", *kept, F.regexp_extract_all("text", F.lit(f"[^\\x20\\x09-\\x0D]{{1,{SEGMENT}}}"), F.lit(0)).alias("parts"))
     stride = F.ceil(F.size("parts") / most)
-    return parts.select("lang", F.array_join(F.filter("parts", lambda _, i: i % stride == 0), " ").alias("text"))
+    return parts.select("lang", F.array_join(F.filter("parts", lambda _, i: i % stride == 0), " ").alias("text"), *kept)
 
 
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Network:
-    """A network fitted on the bounded sample; reads the lang column once and then a few texts a language."""
-    import numpy as np  # noqa: F401
+    """A network fitted on the bounded sample.
 
+    One job counts the rows of each language. A second reads the texts of the rows whose hash is below a threshold that
+    about four times the sample of each language passes, and keeps the least hashes of each language, so the sample is
+    spread over the table and the same in every run.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
-    languages = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    spread = sample(rows)
-    texts = [(t, i) for i, lang in enumerate(languages) for (t,) in spread.filter(F.col("lang") == lang).select("text").take(share(docs_per_language, len(languages)))]
-    return Network(languages).fit(texts)
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    languages = sorted(counts)
+    if not languages:
+        return Network(languages)
+    most = share(docs_per_language, len(languages))
+    below = docs.sparkSession.createDataFrame([(lang, min(1.0, 4.0 * most / n)) for lang, n in counts.items()], "l string, part double")
+    drawn = rows.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")).join(F.broadcast(below), F.col("lang") == F.col("l"))
+    drawn = drawn.filter("(h / 18446744073709551616d + 0.5d) <= part").filter(F.col("text").rlike("\\p{L}"))
+    first = Window.partitionBy("lang").orderBy("h", "doc_id")
+    texts = sample(drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most).select("lang", "text", "h", "doc_id"))
+    return Network(languages).fit([(t, languages.index(lang)) for lang, t, *_ in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"]))])
+
+
+def _predicting(docs: DataFrame, network: Network):
+    """A worker's predictor of ``network``. Its key is the weights' digest, so no run meets another's network."""
+    shared = docs.sparkSession.sparkContext.broadcast(network)
+    key = f"language {network.digest()}"
+    return lambda: worker_state(key, lambda: Predictor(shared.value))
 
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
     """doc_id, held_out, lang_pred, score of each row; prediction reads the text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    predictor = _predicting(docs, network)
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-    ident = f"{id(network)}-{docs.sparkSession.sparkContext.applicationId}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from siltstone.llm import langid as own
-
-        if ident not in own._workers:
-            own._workers.clear()
-            own._workers[ident] = Predictor(shared.value)
         for b in slices(batches):
-            names, scores = own._workers[ident].predict(b.column(2).to_pylist())
+            names, scores = predictor().predict(b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep(docs: DataFrame, network: Network) -> DataFrame:
-    """The rows of ``docs`` whose language is told: those that would be ``und`` go; all columns as they are."""
-    shared = docs.sparkSession.sparkContext.broadcast(network)
-    ident = f"{id(network)}-{docs.sparkSession.sparkContext.applicationId}"
-    place = docs.columns.index("text")
+def keep(docs: DataFrame, network: Network, least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` whose language the network tells; their ``lang``, where it was null, is the one it tells.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from siltstone.llm import langid as own
+    Rows go that would be ``und``, and those whose best language has a pooled probability below ``least``. Without a
+    language to learn, every row is ``und``. The other columns are as they are.
+    """
+    predictor = _predicting(docs, network)
+    text, lang, known = docs.columns.index("text"), docs.columns.index("lang"), bool(network.languages)
 
-        if ident not in own._workers:
-            own._workers.clear()
-            own._workers[ident] = Predictor(shared.value)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            names, _ = own._workers[ident].predict(b.column(place).to_pylist())
-            yield b.filter(pa.array([x != "und" for x in names], pa.bool_()))
+            texts = b.column(text).to_pylist()
+            names, scores = predictor().predict(texts)
+            told = [known and lettered(t) and s >= least for t, s in zip(texts, scores, strict=True)]
+            filled = pa.array([n if old is None else old for old, n in zip(b.column(lang).to_pylist(), names, strict=True)], b.schema.field(lang).type)
+            yield b.set_column(lang, b.schema.field(lang), filled).filter(pa.array(told, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -11,7 +11,9 @@ is the one that the merges give: an edge may follow a path's last piece if mergi
 these two, and then exactly one path reaches a boundary, that of the merges of the text so far.
 
 Some character pairs stand in no piece of the model (a letter and the space after it, say): all paths run through the
-boundary between them. Texts are cut there first, and a worker keeps the ids of such stretches in a bounded cache.
+boundary between them. Texts are cut there first, ``PART`` characters at a time, and a worker keeps the ids of short
+stretches in a bounded cache. A stretch without such a boundary, however long, is fed to the search in steps, and its
+pieces become ids as they are committed.
 
 Defined cases: null and empty texts have no ids and decode to an empty text; the leading space that the model adds is
 taken off again in decoding; U+2581 is the model's sign for a space and decodes to one; unpaired surrogates can't
@@ -22,21 +24,25 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.llm.common import Cache, slices, worker_state
+
 #: Fixed value: the model's sign for a space.
 SPACE = "▁"
+CUT = re.compile(f"(?<=[^ {SPACE}]) ")
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Model types of the format.
 UNIGRAM, BPE = 1, 2
-CACHE_BYTES, PAIRS = 140 << 20, 1 << 20
-
-_workers: dict[str, object] = {}
+#: Entries of a generation of the cache of stretches; pairs of pieces; characters of a part, and of a step of the search.
+STRETCHES, PAIRS, PART, STEP = 150_000, 1 << 19, 1 << 16, 4096
 
 
 class Model:
@@ -90,7 +96,7 @@ class Model:
 
 
 class Viterbi:
-    """The search over one stream of characters: ``feed`` them, then ``finish``; committed pieces go to ``out``."""
+    """The search over one stream of characters: ``feed`` them, then ``finish``; ``drain`` hands over what is committed since."""
 
     def __init__(self, model: Model):
         self.model = model
@@ -169,15 +175,19 @@ class Viterbi:
         while at:
             path.append(self.text[self.back[at] : at])
             at = self.back[at]
+        self.before = path[0]
         self.out += reversed(path)
-        self.before = self.out[-1]
+
+    def drain(self) -> list[str]:
+        out, self.out = self.out, []
+        return out
 
     def finish(self) -> list[str]:
         self._run(len(self.text))
         if self.text:
             self._emit(len(self.text))
         self.text, self.back, self.score, self.done = "", [0], [0.0], 0
-        return self.out
+        return self.drain()
 
 
 class Codec:
@@ -185,66 +195,70 @@ class Codec:
 
     def __init__(self, proto: bytes):
         self.model = Model(proto)
-        self.cache: dict[str, bytes] = {}
-        self.held = 0
+        self.cache = Cache(self._stretch, STRETCHES)
+        self.cuts = Cache(self._search, STRETCHES // 2)
         self.plain = not any(a != SPACE and b == SPACE for a, b in self.model.inner)
 
     def _search(self, chars: str) -> bytes:
-        v, step = Viterbi(self.model), 4096
-        for i in range(0, len(chars), step):
-            v.feed(chars[i : i + step])
-        ids = [k for p in v.finish() for k in self.model.ids(p)]
-        return struct.pack(f"<{len(ids)}i", *ids)
+        v, ids = Viterbi(self.model), array("i")
+        for i in range(0, len(chars), STEP):
+            v.feed(chars[i : i + STEP])
+            for p in v.drain():
+                ids.extend(self.model.ids(p))
+        for p in v.finish():
+            ids.extend(self.model.ids(p))
+        return struct.pack(f"<{len(ids)}i", *ids) if sys.byteorder != "little" else ids.tobytes()
 
     def _stretch(self, chars: str) -> bytes:
         """Ids of characters with no neighbours; cut where no piece spans, each cut's ids cached."""
-        inner, cache, out, start = self.model.inner, self.cache, [], 0
+        inner, out, start = self.model.inner, [], 0
         for i in range(1, len(chars) + 1):
             if i == len(chars) or chars[i - 1 : i + 1] not in inner:
-                cut = chars[start:i]
-                if (ids := cache.get(cut)) is None:
-                    ids = self._search(cut)
-                    if len(cut) <= 64:
-                        cache[cut] = ids
-                        self.held += len(cut) + len(ids) + 140
-                out.append(ids)
+                out.append(self.cuts[chars[start:i]])
                 start = i
-        ids = b"".join(out)
-        if len(chars) <= 64 and chars not in cache:
-            cache[chars] = ids
-            self.held += len(chars) + len(ids) + 140
-        return ids
+        return b"".join(out)
+
+    def parts(self, text: str) -> Iterator[str]:
+        """The text in parts that can be encoded apart: the model's space sign starts each but the first."""
+        at = 0
+        while self.plain and len(text) - at > PART and (m := CUT.search(text, at + PART)):
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.held > CACHE_BYTES:
-            self.cache, self.held = {}, 0
-        chars = (SPACE if self.model.prefix else "") + text.replace(" ", SPACE)
-        if not self.plain or SPACE * 2 in chars:
-            return b"".join([self.cache.get(p) or self._stretch(p) for p in re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", chars)]) if self.plain else self._stretch(chars)
-        first, *rest = chars.split(SPACE)
-        get, own = self.cache.get, self._stretch
-        ids = b"".join([get(p) or own(p) for p in map(SPACE.__add__, rest)])
-        return own(first) + ids if first else ids
+        get, out = self.cache.__getitem__, []
+        for i, part in enumerate(self.parts(text)):
+            chars = (SPACE if self.model.prefix and not i else "") + part.replace(" ", SPACE)
+            if not self.plain:
+                out.append(self._stretch(chars))
+            elif SPACE * 2 in chars:
+                out += map(get, re.findall(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+", chars))
+            else:
+                first, *rest = chars.split(SPACE)
+                if first:
+                    out.append(get(first))
+                out += map(get, map(SPACE.__add__, rest))
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         import numpy as np
 
-        raw = b"".join(map(self.model.raw.__getitem__, np.frombuffer(ids, "<i4").tolist()))
+        own = np.frombuffer(ids, "<i4")
+        raw = b"".join(b"".join(map(self.model.raw.__getitem__, own[i : i + PART].tolist())) for i in range(0, len(own), PART))
         if self.model.prefix and raw.startswith(b" "):
             raw = raw[1:]
         return raw.decode("utf-8", "replace")
 
 
 def _codec(model: str) -> Codec:
-    if model not in _workers:
-        from pathlib import Path
+    from pathlib import Path
 
-        import public_tokenizers
+    import public_tokenizers
 
-        _workers[model] = Codec(Path(public_tokenizers.path(model)).read_bytes())
-    return _workers[model]
+    return worker_state(f"pieces {model}", lambda: Codec(Path(public_tokenizers.path(model)).read_bytes()))
 
 
 MODEL = "piece_bpe_32k.model"
@@ -257,10 +271,8 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        from siltstone.llm import pieces as own
-
-        code = own._codec(model).encode
-        for b in batches:
+        code = _codec(model).encode
+        for b in slices(batches):
             packed = [code(t) for t in b.column(1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(p) >> 2 for p in packed]))).astype(np.int32)
             ids = pa.array(np.frombuffer(b"".join(packed), "<i4"))
@@ -276,10 +288,8 @@ def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        from siltstone.llm import pieces as own
-
-        back = own._codec(model).decode
-        for b in batches:
+        back = _codec(model).decode
+        for b in slices(batches):
             texts = [back(np.asarray(x or [], "<i4").tobytes()) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], schema=schema)
 
@@ -294,10 +304,8 @@ def round_trip(docs: DataFrame, model: str = MODEL) -> DataFrame:
         import hashlib
         import zlib
 
-        from siltstone.llm import pieces as own
-
-        codec = own._codec(model)
-        for b in batches:
+        codec = _codec(model)
+        for b in slices(batches):
             rows = []
             for text in b.column(1).to_pylist():
                 ids = codec.encode(text)

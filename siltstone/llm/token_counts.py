@@ -13,6 +13,7 @@ rows; very long texts are counted whole; empty tables give no rows; other column
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -20,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TABLE_ROWS, KEY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS, LIMIT = 32768, 64, 1500, 32768, 512
-
-_workers: dict[str, object] = {}
+from siltstone.llm.common import slices, worker_state
 
+TABLE_ROWS, KEY_BYTES, SAMPLE_ROWS, SAMPLE_CHARS, LIMIT = 32768, 64, 1500, 32768, 512
 
 class Table:
     """Strings and their small lengths as flat arrays (key bytes, ends, lengths), about 20 bytes an entry; a worker hashes them once."""
@@ -41,45 +41,39 @@ class Table:
         return {self.keys[a:b].decode(): n for a, b, n in zip(ends[:-1], ends[1:], self.lengths.tolist(), strict=True)}
 
 
+class Near(dict):
+    """The first tier: the broadcast table; what it lacks is asked of the second and not kept here."""
+
+    def __missing__(self, token: str) -> int:
+        return self.far[token]
+
+
 class Counts:
     """A worker's counter: the broadcast table, then its own cache, then the library."""
 
     def __init__(self, path: str, table: Table):
-        from siltstone.llm.bpe import Cache, Encoder
+        from siltstone.llm.bpe import TOKENS, Encoder
+        from siltstone.llm.common import Cache
 
         self.encoder = Encoder(path)
-        self.far: dict[str, int] = {}
-        self.near = Cache(self.second, table.spread())
-        self.held = 0
+        self.near = Near(table.spread())
+        self.near.far = Cache(lambda t: len(self.encoder.token(t)) >> 2, TOKENS)
 
-    def second(self, chunk: str) -> int:
-        """The second tier, for what the table lacks."""
-        if (n := self.far.get(chunk)) is None:
-            n = self.far[chunk] = len(self.encoder.stretch(" " + chunk)) >> 2
-            self.held += len(chunk) + 120
-        return n
+    def whole(self, text: str) -> int:
+        return len(self.encoder.whole(text)) >> 2
 
     def count(self, text: str | None) -> int:
-        from siltstone.llm.bpe import CACHE_BYTES
-
-        if not text:
-            return 0
-        if self.held + self.encoder.held > CACHE_BYTES:
-            self.far, self.held = {}, 0
-            self.encoder.reset()
-        if (parts := self.encoder.parts(text)) is None:
-            return len(self.encoder.whole(text)) >> 2
-        return (len(self.encoder.stretch(parts[0])) >> 2) + sum(map(self.near.__getitem__, parts[1]))
+        return sum(self.encoder.each(text, self.near.__getitem__, self.whole)) if text else 0
 
 
 def frequent_table(docs: DataFrame, path: str, rows: int = TABLE_ROWS) -> Table:
-    """Lengths of the sample's most frequent chunks (a space, a pre-token, and what is attached to it)."""
+    """Lengths of the sample's most frequent pre-tokens."""
     from siltstone.llm.bpe import Encoder
 
     e, seen = Encoder(path), Counter()
     for (text,) in docs.select(F.col("text").cast("string")).filter(f"length(text) <= {SAMPLE_CHARS}").take(SAMPLE_ROWS):
-        seen.update((e.parts(text) or ("", ()))[1])
-    return Table({c: len(e.stretch(" " + c)) >> 2 for c, _ in seen.most_common(rows) if len(c) <= KEY_BYTES // 4})
+        seen.update(t for t in e.each(text, str, lambda _: None) if t)
+    return Table({t: len(e.token(t)) >> 2 for t, _ in seen.most_common(rows) if len(t) <= KEY_BYTES // 4})
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFrame:
@@ -87,19 +81,14 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     import public_tokenizers
 
     shared = docs.sparkSession.sparkContext.broadcast(frequent_table(docs, public_tokenizers.path(vocabulary)))
+    key = f"counts {vocabulary} {uuid.uuid4()}"
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
 
-        from siltstone.llm import token_counts as own
-
-        key = f"{vocabulary}/{shared.id if hasattr(shared, 'id') else id(shared)}"
-        if key not in own._workers:
-            own._workers.clear()
-            own._workers[key] = Counts(public_tokenizers.path(vocabulary), shared.value)
-        count = own._workers[key].count
-        for b in batches:
+        count = worker_state(key, lambda: Counts(public_tokenizers.path(vocabulary), shared.value)).count
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             n = [count(t) for t in texts]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])], schema=schema)

@@ -7,8 +7,9 @@ frames, a descriptor byte (checksums) and the closing magic number. Any zstandar
 reader with the seek table decompresses only the frames of the documents asked for, and checks each.
 
 Documents are dealt by ranges of doc_id and sorted, so files in the order of their number hold ascending doc_ids; a
-document's start among all ids follows from the files' totals (a row per file) and the sizes in the seek tables. Spark
-writes the bytes: a row of the text writer is a file, and the row separator is the closing magic number. So files reach
+document's start among all ids follows from the tasks' and files' totals and the sizes in the seek tables. A folder may
+hold an index (``index``): per file its range of doc_ids, so that a reader who asks for documents opens the files that
+may hold them and no other. Spark writes the bytes: a row of the text writer is a file, and the row separator is the closing magic number. So files reach
 any store Spark writes to, with its commit protocol, and a task's retry replaces what a lost one left.
 
 Defined cases: null and empty texts hold the end id alone; null doc_ids come first; repeated rows are repeated
@@ -27,26 +28,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone import scratch
-from siltstone.llm.common import rows_of
+from siltstone.llm.common import rows_of, slices, worker_state
 
 #: Fixed values of the format: magic numbers of skippable frames (documents, seek table) and of the file's end.
 DOCS_MAGIC, SEEK_MAGIC, END_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 #: Compressed bytes at which a file is closed; zstandard level; descriptor: checksums are present.
-FILE_BYTES, LEVEL, CHECKSUMS = 4 << 20, 1, 0x80
+FILE_BYTES, LEVEL, CHECKSUMS = 16 << 20, 1, 0x80
 END_ID = 2
+#: Folder of the index below the files' own; Spark's readers pass it over.
+INDEX = "_index"
 NULL_ID = -(2**63)
 
-_workers: dict[str, object] = {}
-
-
 def _encoder(vocabulary: str):
-    if vocabulary not in _workers:
-        import public_tokenizers
+    import public_tokenizers
 
-        from siltstone.llm.bpe import Encoder
+    from siltstone.llm.bpe import Encoder
 
-        _workers[vocabulary] = Encoder(public_tokenizers.path(vocabulary))
-    return _workers[vocabulary]
+    return worker_state(f"bpe {vocabulary}", lambda: Encoder(public_tokenizers.path(vocabulary)))
 
 
 def _closed(task: int, place: int, frames: list[bytes], table: list[tuple[int, int, int]], ids: list[int]) -> bytes:
@@ -63,12 +61,10 @@ def _files(vocabulary: str, end_id: int, file_bytes: int):
         import xxhash
         import zstandard
 
-        from siltstone.llm import token_files as own
-
-        encode, squeeze = own._encoder(vocabulary).encode, zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True).compress
+        encode, squeeze = _encoder(vocabulary).encode, zstandard.ZstdCompressor(level=LEVEL, write_checksum=True, write_content_size=True).compress
         task, place, end = TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
         frames, table, ids, size = [], [], [], 0
-        for doc_id, text in rows_of(batches):
+        for doc_id, text in rows_of(slices(batches)):
             raw = encode(text) + end
             frame = squeeze(raw)
             frames.append(frame)
@@ -145,21 +141,57 @@ def _read(wanted: frozenset[int | None] | None, with_ids: bool):
     return run
 
 
-def read(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
+def _summary():
+    schema = pa.schema([("file", pa.string()), ("task", pa.int64()), ("place", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("nulls", pa.bool_()), ("n_tokens", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, data in rows_of(batches):
+            task, place, entries = seek_table(data)
+            ids = [e[0] for e in entries if e[0] is not None]
+            row = (name, task, place, min(ids, default=None), max(ids, default=None), len(ids) < len(entries), sum(e[3] >> 2 for e in entries))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True))], schema=schema)
+
+    return run
+
+
+def index(spark: SparkSession, path: str) -> DataFrame:
+    """Writes, and returns, the folder's index: file, task, place, first_id, last_id, nulls (has null ids), n_tokens of each file."""
+    ddl = "file string, task long, place long, first_id long, last_id long, nulls boolean, n_tokens long"
+    spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_summary(), ddl).write.mode("overwrite").parquet(f"{path}/{INDEX}")
+    return spark.read.schema(ddl).parquet(f"{path}/{INDEX}")
+
+
+def _holding(indexed: DataFrame, doc_ids: list[int | None]) -> list[str]:
+    """The files whose range holds one of the ids."""
+    ids = indexed.sparkSession.createDataFrame([(i,) for i in doc_ids], "id long")
+    holds = (F.col("id").isNull() & F.col("nulls")) | F.col("id").between(F.col("first_id"), F.col("last_id"))
+    return [r["file"] for r in indexed.join(F.broadcast(ids), holds, "left_semi").select("file").collect()]
+
+
+def read(spark: SparkSession, path: str, doc_ids: list[int | None] | None = None, with_ids: bool = True, indexed: DataFrame | None = None) -> DataFrame:
     """The documents of a folder: task, place, position, doc_id, before (ids ahead of it in its file), n_tokens, ids_crc32, ids.
 
-    With ``doc_ids`` only those documents' frames are decompressed.
+    With ``doc_ids`` only those documents' frames are decompressed, and with an index only files that may hold them read.
     """
     ddl = "task long, place long, position long, doc_id long, before long, n_tokens long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
     wanted = None if doc_ids is None else frozenset(doc_ids)
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(_read(wanted, with_ids), ddl)
+    files = path if doc_ids is None or indexed is None else _holding(indexed, doc_ids)
+    if not files:
+        return spark.createDataFrame([], ddl)
+    return spark.read.format("binaryFile").load(files).select("content").mapInArrow(_read(wanted, with_ids), ddl)
 
 
 def with_starts(read_docs: DataFrame) -> DataFrame:
-    """Adds ``start``: the ids of all documents before it. Its window runs over a row per file, not per document."""
+    """Adds ``start``: the ids of all documents before it.
+
+    Two levels of sums: over the files of a task, and over a row per writing task.
+    """
     files = read_docs.groupBy("task", "place").agg(F.sum("n_tokens").alias("total"))
-    ahead = Window.orderBy("task", "place").rowsBetween(Window.unboundedPreceding, -1)
-    bases = files.select(F.col("task").alias("_t"), F.col("place").alias("_p"), F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("base"))
+    tasks = files.groupBy("task").agg(F.sum("total").alias("total"))
+    before = lambda w: F.coalesce(F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    tasks = tasks.select(F.col("task").alias("_k"), before(Window.orderBy("task")).alias("_base"))
+    bases = files.withColumn("_inside", before(Window.partitionBy("task").orderBy("place"))).join(tasks, F.col("task") == F.col("_k"))
+    bases = bases.select(F.col("task").alias("_t"), F.col("place").alias("_p"), (F.col("_base") + F.col("_inside")).alias("base"))
     return read_docs.join(bases, (F.col("task") == F.col("_t")) & (F.col("place") == F.col("_p"))).withColumn("start", F.col("base") + F.col("before")).drop("_t", "_p", "base")
 
 
