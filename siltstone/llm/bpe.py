@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Callable, Iterator
+import sys
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 from siltstone.llm.common import Cache
 
 #: Pre-tokens in a generation of a worker's cache; characters of a part.
-TOKENS, PART = 250_000, 1 << 16
+TOKENS, PART = 350_000, 1 << 16
 #: Letters and numbers of Basic Latin to Latin Extended-B, as ranges of a character class.
 LETTERS, NUMBERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾"
 #: Characters beyond these ranges go through the library: its Unicode tables may differ from ours.
 PLAIN = re.compile("[\u0000-\u001b -\u0084\u0086-ɏ]*")
+LITTLE = sys.byteorder == "little" and array("I").itemsize == 4
 CUT = re.compile(r"(?<=\S) (?=\S)")
 SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\\s{LETTERS}{NUMBERS}]+|\\s+(?!\\S)|\\s+")
 
@@ -40,7 +43,7 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.symbols = byte_symbols()
+        self.symbols = [s for _, s in sorted(byte_symbols().items())]
         self.space = self.symbols[0x20]
         added = self.library.get_added_tokens_decoder().values()
         self.added = [t.content for t in added]
@@ -48,14 +51,14 @@ class Encoder:
         self.tokens = Cache(self.token, TOKENS)
 
     def packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", ids).tobytes() if LITTLE else struct.pack(f"<{len(ids)}I", *ids)
 
     def whole(self, text: str) -> bytes:
         return self.packed(self.library.encode(text, add_special_tokens=False).ids)
 
     def token(self, t: str) -> bytes:
         """A pre-token's ids."""
-        shown = t.replace(" ", self.space) if t.isascii() and t.isprintable() else t.encode().decode("latin1").translate(self.symbols)
+        shown = t.replace(" ", self.space) if t.isascii() and t.isprintable() else "".join(map(self.symbols.__getitem__, t.encode()))
         return self.packed([x.id for x in self.model.tokenize(shown)])
 
     def parts(self, text: str) -> Iterator[str]:
@@ -69,21 +72,18 @@ class Encoder:
     def plain(self, text: str) -> bool:
         return PLAIN.fullmatch(text) is not None and not any(a in text for a in self.added)
 
-    def each(self, text: str, of_token: Callable, of_whole: Callable) -> Iterator:
-        """What ``of_token`` gives for each pre-token and ``of_whole`` for each part that only the library can cut."""
+    def each(self, text: str, of_token: Callable, of_whole: Callable) -> Iterator[Iterable]:
+        """Runs of what ``of_token`` gives for each pre-token and ``of_whole`` for each part that only the library can cut."""
         if self.wide and any(a in text for a in self.added):
-            yield of_whole(text)
+            yield (of_whole(text),)
             return
         for part in self.parts(text):
             if self.plain(part):
-                yield from map(of_token, SPLIT.findall(part))
+                yield map(of_token, SPLIT.findall(part))
                 continue
             first, *rest = CUT.split(part)
             for p in (first, *map(" ".__add__, rest)):
-                if self.plain(p):
-                    yield from map(of_token, SPLIT.findall(p))
-                else:
-                    yield of_whole(p)
+                yield map(of_token, SPLIT.findall(p)) if self.plain(p) else (of_whole(p),)
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(self.each(text, self.tokens.__getitem__, self.whole)) if text else b""
+        return b"".join(map(b"".join, self.each(text, self.tokens.__getitem__, self.whole))) if text else b""

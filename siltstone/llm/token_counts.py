@@ -63,7 +63,7 @@ class Counts:
         return len(self.encoder.whole(text)) >> 2
 
     def count(self, text: str | None) -> int:
-        return sum(self.encoder.each(text, self.near.__getitem__, self.whole)) if text else 0
+        return sum(map(sum, self.encoder.each(text, self.near.__getitem__, self.whole))) if text else 0
 
 
 def frequent_table(docs: DataFrame, path: str, rows: int = TABLE_ROWS) -> Table:
@@ -72,7 +72,8 @@ def frequent_table(docs: DataFrame, path: str, rows: int = TABLE_ROWS) -> Table:
 
     e, seen = Encoder(path), Counter()
     for (text,) in docs.select(F.col("text").cast("string")).filter(f"length(text) <= {SAMPLE_CHARS}").take(SAMPLE_ROWS):
-        seen.update(t for t in e.each(text, str, lambda _: None) if t)
+        for run in e.each(text, str, lambda _: None):
+            seen.update(t for t in run if t)
     return Table({t: len(e.token(t)) >> 2 for t, _ in seen.most_common(rows) if len(t) <= KEY_BYTES // 4})
 
 

@@ -249,7 +249,7 @@ def test_warc(spark, tmp_path):
     rows = [(1, "http://a/ b", big), (2, None, big), (2, "http://a/2", big), (3, "http://c", None), (None, "http://n", big), (5, "http://d", "small"), (6, "http://e", "small"), (7, "http://f", "")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string")
     path = f"file://{tmp_path}/w"
-    warc.write(pages, path, records_per_file=4)
+    warc.write(pages, path, file_bytes=1)
     got = warc.digest(warc.assemble(warc.read(spark, path))).collect()
     assert len(got) == len(rows)
     size = len(big.encode())
@@ -268,6 +268,40 @@ def test_warc_assembly(spark):
     assert got["r1"]["request"]["record_id"] == "q1" and [m["record_id"] for m in got["r1"]["metadata"]] == ["m1", "m2"] and got["r2"]["request"]["record_id"] == "q2" and got["gone"]["response"] is None
 
 
+def test_warc_whole_captures(spark, tmp_path):
+    """Every capture holds its whole payload, a page of 50 MB too; an archive with it is read a record at a time."""
+    huge = "".join(f"<p>{i}é</p>" for i in range(4_500_000))
+    rows = [(1, "http://huge", huge), (2, "http://huge/again", huge), (3, "http://c", "<b>small</b>"), (4, "http://d", "")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write(pages, path)
+    whole = {r["response"]["target_uri"]: r for r in warc.assemble(warc.read(spark, path)).collect()}
+    assert whole["http://huge/again"]["response"]["payload"] == huge.encode() and whole["http://c"]["response"]["payload"] == b"<b>small</b>"
+    assert whole["http://huge"]["response"]["record_type"] == "revisit" and whole["http://huge"]["response"]["payload"] == b""
+    assert all(r["request"]["record_type"] == "request" and len(r["metadata"]) == 1 for r in whole.values())
+    packed = warc.assemble(warc.read(spark, path, packed=True), packed=True)
+    assert {r["response"]["target_uri"]: r for r in packed.collect()} == whole
+    got = {r["page_id"]: tuple(r)[1:] for r in warc.digest(packed).collect()}
+    size, sha = len(huge.encode()), hashlib.sha1(huge.encode()).hexdigest()
+    assert got[1] == (size, sha, "revisit", 2) and got[2] == (size, sha, "response", None) and got[4] == (0, hashlib.sha1(b"").hexdigest(), "response", None)
+
+
+def test_warc_archives(spark, tmp_path):
+    """Archives are gzip members that any reader takes; plain ones are read too; damage is an error; an empty table is none."""
+    import gzip
+
+    pages = spark.createDataFrame([(i, f"http://x/{i}", f"page {i} " * 40) for i in range(30)], "page_id long, url string, html string")
+    warc.write(pages.coalesce(1), f"file://{tmp_path}/w")
+    data = next(p for p in (tmp_path / "w").glob("part-*")).read_bytes()
+    plain = gzip.decompress(data)
+    assert plain.count(b"WARC/1.1\r\n") == 90 and list(warc.parse(plain)) == list(warc.parse(data)) == list(warc.parse(gzip.compress(plain)))
+    for broken in (data[:-40], plain[:-30], plain[5:], plain.replace(b"page 7 page 7", b"page 7 page 8", 1)):
+        with pytest.raises(ValueError):
+            list(warc.parse(broken))
+    warc.write(pages.limit(0), f"file://{tmp_path}/none")
+    assert warc.digest(warc.assemble(warc.read(spark, f"file://{tmp_path}/none"))).count() == 0
+
+
 # Mixing.
 def test_mixing(spark):
     rng = random.Random(4)
@@ -309,21 +343,44 @@ def test_inverse_demand(spark):
 
 
 # Exact top-k.
+def brute_top(rows, k):
+    """By exact integers; every row but the query's own is a candidate; scores beyond a long are the nearest one."""
+    from fractions import Fraction
+
+    q = [(n, i, [int(Fraction(x) * 64 // 1) for x in e]) for n, (i, e) in enumerate(rows) if i is not None and e is not None and all(x is not None and abs(x) < float("inf") for x in e)]
+    want = []
+    for n, i, a in q:
+        if i % 20 == 0:
+            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for m, j, b in q if m != n and len(a) == len(b))[:k]
+            want += [(i, place + 1, j, max(-(2**63), min(2**63 - 1, -x))) for place, (x, j) in enumerate(s)]
+    return sorted(want)
+
+
+def vectors(spark, rows):
+    return bitslice.quantised(spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, score string, q int"))
+
+
 def test_bitslice(spark):
     rng = random.Random(6)
     rows = [(i, [rng.choice([-1.5, -0.02, 0.0, 0.3, 2.0]) for _ in range(5)]) for i in range(300)]
     rows += [(400, None), (420, [1.0, None, 0.0, 0.0, 0.0]), (440, [float("nan")] * 5), (460, [float("inf")] * 5), (480, []), (481, []), (500, [1.0]), (20, [1.0] * 5), (None, [1.0] * 5), (520, [1e30] * 5)]
-    v = bitslice.quantised(spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, score string"))
-    got = bitslice.top_k(v.filter("vec_id % 20 = 0"), bitslice.build_index(v, 64), 20, 7).collect()
-    import math
+    v = vectors(spark, rows)
+    got = bitslice.top_k(v.filter("vec_id % 20 = 0"), bitslice.build_index(v, 64), 20, 700).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, 20)
 
-    q = [(i, [math.floor(64 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and abs(x) < 1e6 for x in e)]
-    want = []
-    for i, a in q:
-        if i % 20 == 0:
-            s = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in q if j != i and len(a) == len(b))[:20]
-            want += [(i, k + 1, j, -s_) for k, (s_, j) in enumerate(s)]
-    assert sorted(map(tuple, got)) == sorted(want)
+
+def test_bitslice_wide_and_long(spark):
+    """Components past any limit, ties throughout, and vectors of many attributes."""
+    rng = random.Random(7)
+    rows = [(i, [rng.choice([2.0e7, -3.5e9, 1e18, -1.0, 1.7e308, 5e-324, -0.0]) for _ in range(3)]) for i in range(90)]
+    rows += [(200 + i, [1.0, 1.0]) for i in range(90)] + [(600 + i, [rng.gauss(0, 1) for _ in range(700)]) for i in range(45)]
+    v = vectors(spark, rows)
+    got = bitslice.top_k(v.filter("vec_id % 20 = 0"), bitslice.build_index(v, 16), 7).collect()
+    assert sorted(map(tuple, got)) == brute_top(rows, 7)
+    v = vectors(spark, [])
+    assert bitslice.top_k(v, bitslice.build_index(v)).count() == 0
+    keys = [-(10**40), -(2**70), -(2**70) + 1, -1, 0, 1, 255, 256, 2**64, 10**40]
+    assert sorted(keys, key=bitslice.sort_key) == keys
 
 
 # Language ID.
@@ -390,6 +447,53 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(make(spark, ODD), langid.train(make(spark, []))).collect()} == {"und"}
 
 
+def test_language_network_equals_plain_loops():
+    """States and pooled probabilities against recurrences written out for one position at a time."""
+    import numpy as np
+
+    net = langid.Network(["a", "b", "c"], hidden=4, seed=3)
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def layer(bytes_, d):
+        s, out = np.zeros(4), []
+        for byte in bytes_:
+            g = net.p["x" + d][byte].astype(float)
+            r, z = sig(g[:4] + s @ net.p["u" + d][:, :4]), sig(g[4:8] + s @ net.p["u" + d][:, 4:])
+            s = s + z * (np.tanh(g[8:] + (r * s) @ net.p["c" + d]) - s)
+            out.append(s)
+        return out
+
+    text = "ein é word"
+    want = np.zeros(3)
+    for w in langid.segments(text):
+        own = [langid.EDGE, *w, langid.EDGE]
+        for f, b in list(zip(layer(own, "f"), layer(own[::-1], "b")[::-1], strict=True))[1:-1]:
+            e = np.exp(np.concatenate((f, b)) @ net.p["o"] + net.p["a"])
+            want += e / e.sum()
+    want /= sum(map(len, langid.segments(text)))
+    assert np.allclose(net.sums(langid.segments(text)).sum(axis=0) / sum(map(len, langid.segments(text))), want, atol=1e-5)
+    names, scores = langid.Predictor(net).predict([text, text])
+    assert names == ["abc"[int(want.argmax())]] * 2 and abs(scores[0] - want.max()) < 1e-5
+
+
+def test_language_decisions(spark, monkeypatch):
+    """The network's verdict counts: unsure texts go, null languages are filled in; a language called und is one like others; each network has its own state."""
+    words = {"und": "kolme neljae viisi kuusi", "en": "the of and with which", "de": "der die das und nicht"}
+    rng = random.Random(11)
+    docs = make(spark, [(i, " ".join(rng.choices(words[lang].split(), k=30)), lang, "a") for i, lang in enumerate(rng.choices(list(words), k=240))])
+    net = langid.train(docs)
+    mixed = "the kolme der of neljae die and viisi das with kuusi nicht which und"
+    asked = make(spark, [(1, "the of and with which the of", None, "a"), (2, mixed, "en", "a"), (3, "kolme neljae viisi kuusi kolme", "und", "a"), (4, "12 34", "en", "a"), (5, None, "en", "a")])
+    kept = {r["doc_id"]: r["lang"] for r in langid.keep(asked, net, 0.7).collect()}
+    assert kept == {1: "en", 3: "und"} and set(langid.keep(asked, net).toPandas()["doc_id"]) == {1, 2, 3}
+    other = langid.Network(["x", "y"], seed=5)
+    assert other.digest() != net.digest() and {r["lang_pred"] for r in langid.identify(asked, other).collect()} <= {"x", "y", "und"}
+    assert {r["lang_pred"] for r in langid.identify(asked, net).collect()} <= {*words, "und"}
+    monkeypatch.setattr(langid, "STEPS", 1)
+    a, b = langid.train(docs), langid.train(docs.repartition(7))
+    assert a.digest() == b.digest()
+
+
 # SentencePiece.
 def test_pieces(spark):
     import public_tokenizers
