@@ -3,7 +3,8 @@
 Writing: a page becomes three records (request, response or revisit, metadata); request and metadata name the response
 through WARC-Concurrent-To. Of records whose payloads are equal and at least ``MIN_BYTES`` long, the one with the
 largest page_id is a response and the others are revisits that refer to it. A record is one gzip member, so that a
-reader can hold one at a time. Responses are compressed where their page is read, and only that travels. Archives of
+reader can hold one at a time. Which pages are revisits is found on narrow rows; the pages that are responses leave them out by a
+broadcast where these rows have at most ``BROADCAST_BYTES``, beyond that by an exchange. Archives of
 about ``FILE_BYTES`` are rows of Spark's text writer, whose row separator is an empty gzip member, so they reach any store
 Spark writes to, under its commit protocol.
 
@@ -35,6 +36,8 @@ from siltstone.llm.common import rows_of, slices
 
 #: Least payload of a revisit; compressed bytes of an archive; decompressed bytes taken at a time; bytes of rows handed on at a time.
 MIN_BYTES, FILE_BYTES, CHUNK, HELD = 1000, 8 << 20, 1 << 20, 4 << 20
+#: Bytes of the revisits' ids up to which they are broadcast, and of one such id, about.
+BROADCAST_BYTES, ID_BYTES = 32 << 20, 120
 #: Fixed values of the format.
 LINE, GAP = "\r\n", "\r\n\r\n"
 GZIP = b"\x1f\x8b"
@@ -74,19 +77,16 @@ def _rows(pages: DataFrame) -> DataFrame:
 
 
 def _responses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (page_id, url, payload, rid) with size, digests and the response record, ready compressed, in the payload's place."""
+    """Rows (page_id, url, rid, payload) with size, digest and the response record, ready compressed, in the payload's place."""
     import hashlib
 
     for b in slices(batches, 64):
-        urls, rids = b.column(1).to_pylist(), b.column(3).to_pylist()
-        sizes, digests, same, members = [], [], [], []
-        for url, rid, payload in zip(urls, rids, b.column(2).cast(pa.binary()).to_pylist(), strict=True):
-            digest = hashlib.sha1(payload).hexdigest()
+        sizes, digests, members = [], [], []
+        for url, rid, payload in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).cast(pa.binary()).to_pylist(), strict=True):
             sizes.append(len(payload))
-            digests.append(digest)
-            same.append(hashlib.sha256(payload).hexdigest())
-            members.append(_member("response", rid, _http(len(payload)) + payload, _about_response(url, digest)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(same, pa.string()), pa.array(members, pa.binary())], names=["page_id", "url", "rid", "size", "digest", "same", "response"])
+            digests.append(hashlib.sha1(payload).hexdigest())
+            members.append(_member("response", rid, _http(len(payload)) + payload, _about_response(url, digests[-1])))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), pa.array(members, pa.binary())], names=["page_id", "url", "rid", "size", "digest", "response"])
 
 
 def _archives(file_bytes: int):
@@ -112,14 +112,18 @@ def _archives(file_bytes: int):
     return run
 
 
-def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES) -> None:
+def write(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES, file_bytes: int = FILE_BYTES, broadcast_bytes: int = BROADCAST_BYTES) -> None:
     """Archives of about ``file_bytes`` compressed bytes in the folder ``path``."""
     own = _rows(pages)
-    narrow = own.select("page_id", "rid", "url", F.octet_length("payload").alias("size"), F.sha2("payload", 256).alias("same")).filter(F.col("size") >= min_bytes)
+    narrow = own.select("page_id", "rid", "url", F.octet_length("payload").cast("long").alias("size"), F.sha1(F.col("payload").cast("binary")).alias("digest"), F.sha2("payload", 256).alias("same")).filter(F.col("size") >= min_bytes)
+    narrow = scratch.stored(narrow, "warc-narrow")
     firsts = narrow.groupBy("same").agg(F.max(F.struct("page_id", "rid", "url")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("same", "first")
-    made = own.mapInArrow(_responses, "page_id long, url string, rid string, size long, digest string, same string, response binary").join(firsts, "same", "left")
-    again = F.col("first.rid") != F.col("rid")
-    sent = made.select("page_id", "url", "rid", "size", "digest", F.when(again, None).otherwise(F.col("response")).alias("response"), F.when(again, F.col("first.rid")).alias("first_rid"), F.when(again, F.col("first.url")).alias("first_url"))
+    again = narrow.join(firsts, "same").filter("first.rid <> rid")
+    again = scratch.stored(again.select("page_id", "url", "rid", "size", "digest", F.lit(None).cast("binary").alias("response"), F.col("first.rid").alias("first_rid"), F.col("first.url").alias("first_url")), "warc-revisits")
+    ids = again.select("rid")
+    rest = own.select("page_id", "url", "rid", "payload").join(F.broadcast(ids) if again.count() * ID_BYTES <= broadcast_bytes else ids, "rid", "left_anti")
+    made = rest.select("page_id", "url", "rid", "payload").mapInArrow(_responses, "page_id long, url string, rid string, size long, digest string, response binary")
+    sent = made.select("*", F.lit(None).cast("string").alias("first_rid"), F.lit(None).cast("string").alias("first_url")).unionByName(again)
     archives = sent.mapInArrow(_archives(file_bytes), "value binary").select(F.col("value").cast("string"))
     archives.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin1")).text(path)
 
@@ -291,4 +295,6 @@ FROM q
 def op2_warc(spark, sf_dir) -> DataFrame:
     path = scratch.new_path(spark, "warc")
     write(spark.read.parquet(f"{sf_dir}/pages.parquet"), path)
-    return digest(assemble(scratch.stored(read(spark, path, packed=True), "warc-records"), packed=True))
+    found = scratch.stored(read(spark, path, packed=True), "warc-records")
+    scratch.drop(spark, path)  # its records are stored
+    return digest(assemble(found, packed=True))

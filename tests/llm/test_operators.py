@@ -251,6 +251,8 @@ def test_warc(spark, tmp_path):
     path = f"file://{tmp_path}/w"
     warc.write(pages, path, file_bytes=1)
     got = warc.digest(warc.assemble(warc.read(spark, path))).collect()
+    warc.write(pages, path + "x", file_bytes=1, broadcast_bytes=0)
+    assert sorted(map(str, warc.digest(warc.assemble(warc.read(spark, path + "x"))).collect())) == sorted(map(str, got))
     assert len(got) == len(rows)
     size = len(big.encode())
     bigs = [r for r in got if r["payload_bytes"] == size]
