@@ -16,7 +16,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import scratch
@@ -174,29 +174,34 @@ def lookup(docs: DataFrame, index: DataFrame, carry: tuple[str, ...] = ()) -> Da
     return members.join(entries, ["key", "text_sha256"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", "n_keep", "row")
 
 
-def _one_kept(found: DataFrame, index: DataFrame) -> DataFrame:
-    """Of rows that repeat the kept row's id and text, one stays. They are apart, so that the rest isn't shuffled for it.
-
-    Where the index has no entry with such rows, there is nothing to choose and ``found`` is read once.
-    """
-    if index.filter("n_keep > 1").isEmpty():
-        return found
-    order = Window.partitionBy("doc_id", "text_sha256").orderBy(F.xxhash64("row"))
-    tied = found.filter("kept and n_keep > 1").withColumn("kept", F.row_number().over(order) == 1)
-    return found.filter("not (kept and n_keep > 1)").unionByName(tied)
+def _tied() -> Column:
+    """Rows of which the index can't tell which one stays: they repeat the kept row's id and its text."""
+    return F.col("kept") & (F.col("n_keep") > 1)
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+
+    Rows that repeat the kept row's id and text only differ in ``kept``, so they are told off from their index entry:
+    one is kept, the other n_keep - 1 aren't. However many they are, no task gathers them.
+    """
     index = build_index(docs)
-    return _one_kept(lookup(docs, index), index).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    found, columns = lookup(docs, index), ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    tied = index.filter("n_keep > 1").select("keep_id", "group_size", F.col("sha").alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "n_keep")).alias("i"))
+    tied = tied.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", (F.col("i") == 1).alias("kept"), "text_sha256")
+    return found.filter(~_tied()).select(*columns).unionByName(tied.select(*columns))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns, one per distinct text."""
+    """The rows of ``docs`` that stay, all their columns, one per distinct text; of rows that repeat its id and text, the one whose columns' digest is least."""
     index = build_index(docs)
-    found = _one_kept(lookup(docs, index, tuple(docs.columns)), index).filter("kept")
-    return found.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    found = lookup(docs, index, tuple(docs.columns)).filter("kept")
+    ties = not index.filter("n_keep > 1").isEmpty()
+    kept = found.filter(~_tied()).select("row") if ties else found.select("row")
+    if ties:
+        one = found.filter(_tied()).withColumn("digest", F.xxhash64("row")).groupBy("doc_id", "text_sha256").agg(F.min_by("row", "digest").alias("row"))
+        kept = kept.unionByName(one.select("row"))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 ORACLE = """

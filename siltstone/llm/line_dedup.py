@@ -1,21 +1,23 @@
 """Line dedup by pairwise alignment.
 
-Candidates: each line begins a run, the shortest with at least ``MIN_WORDS`` words; documents that share a run's hash
-may overlap. A run held by at most ``RARE`` documents pairs each of them with each (so at most RARE - 1 a document);
-a run held by more pairs every later document with the first holder alone. Pairs grow with the lines, never with the
-square of a group. What the pairs miss is cut from the table of runs itself (``held_lines``): every block that any
-earlier document holds goes whole. ``n_links`` counts the aligned pairs, so of a frequent run the first holder's alone.
+Candidates: documents that share a rare line (held by at most ``RARE`` documents), or a run of lines of at least
+``MIN_WORDS`` words. A line or run with at most RARE holders pairs each of them with each (so at most RARE - 1 a document); a run held by
+more, whose lines may all be frequent, pairs every later document with the first holder alone. Pairs grow with the lines, never with the
+square of a group. What the pairs miss is cut from the table of runs itself (``held_runs``): every block that any
+earlier document holds goes whole. ``n_links`` counts the aligned pairs that share a block: their closure is that of all overlaps,
+but of a frequent run only the links with its first holder are counted.
 
 Alignment: a patience diff of the two documents' line hashes. Lines unique in both anchor it (their longest increasing
 subsequence), the stretches between anchors are aligned the same way, and matches grow over equal neighbours; a stretch
 whose common lines all repeat is aligned by a longest common subsequence, in bounded memory. An
 aligned common block (neighbouring lines in both) of at least ``MIN_WORDS`` words is deleted from the later document.
-Documents of equal text form a class: its first is aligned for all, the others are deleted whole.
+Documents of equal text (by SHA-256) form a class: its first is aligned for all, the others are deleted whole.
 
-Order: "later" is by doc_id, then by the text's hash. Lines are compared without white space at their ends; blank lines
+Order: "later" is by doc_id, then by the text's hash. Lines are told apart by 128 bits of their hash, without white space at their ends; blank lines
 never anchor, but go with a block around them. Defined cases: a null text has no lines; a null doc_id takes no part
-(nothing is deleted, links 0); rows that repeat an id and its text are one document and get the same result; texts
-without MIN_WORDS words have no runs and are only compared whole; very long texts are aligned by their lines' hashes alone; an empty table
+(nothing is deleted, links 0); rows that repeat an id and its text are one document and get the same result; rows that repeat an
+id with different texts are different documents; texts
+without MIN_WORDS words have no runs and lose no line unless equal to another; very long texts are aligned by their lines' hashes alone; an empty table
 gives no rows; other columns are not read.
 """
 
@@ -28,56 +30,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import scratch
-from siltstone.llm.common import rows_of
+from siltstone.llm.common import rows_of, slices
 
-MIN_WORDS, RARE = 50, 8
+MIN_WORDS, RARE = 25, 8
 #: Bits of the table of a longest common subsequence.
 TABLE_BITS = 1 << 28
-SEQUENCE = "doc_id long, h long, n_lines int, hashes array<long>, words array<int>, runs array<long>"
+SEQUENCE = "doc_id long, h long, sha binary, n_lines int, hashes array<binary>, words array<int>"
 
 
-def line_hashes(text: str | None) -> tuple[list[int], list[int]]:
-    """Signed XXH64 and words of each line; blank lines hash to 0."""
+def line_hashes(text: str | None) -> tuple[list[bytes], list[int]]:
+    """128-bit hash and words of each line; blank lines have an empty one."""
     import xxhash
 
     hashes, words = [], []
     for line in (text or "").encode().split(b"\n") if text else []:
         own = line.strip()
-        x = xxhash.xxh64_intdigest(own) if own else 0
-        hashes.append(x - (x >> 63 << 64))
+        hashes.append(xxhash.xxh3_128_digest(own) if own else b"")
         words.append(len(own.split()))
     return hashes, words
 
 
-def runs_of(hashes: list[int], words: list[int], least: int = MIN_WORDS) -> list[int]:
-    """Hashes of the shortest runs of lines with ``least`` words, from each line that isn't blank."""
-    import struct
+def runs_of(hashes: list[bytes], words: list[int], least: int = MIN_WORDS) -> list[bytes]:
+    """Hashes of the shortest runs of lines with ``least`` words from each line on, and up to each line."""
+    return sorted({x for x, _, _ in spans_of(hashes, words, least)})
 
-    import xxhash
-
-    packed, out, end, held = struct.pack(f"<{len(hashes)}q", *hashes), set(), 0, 0
-    solid = [i for i, h in enumerate(hashes) if h]
-    packed = struct.pack(f"<{len(solid)}q", *(hashes[i] for i in solid))
-    for start in range(len(solid)):
-        while end < len(solid) and held < least:
-            held += words[solid[end]]
-            end += 1
-        if held < least:
-            break
-        x = xxhash.xxh64_intdigest(packed[8 * start : 8 * end])
-        out.add(x - (x >> 63 << 64))
-        held -= words[solid[start]]
-    return sorted(out)
 
-
-def spans_of(hashes: list[int], words: list[int], least: int = MIN_WORDS) -> list[tuple[int, int, int]]:
+def spans_of(hashes: list[bytes], words: list[int], least: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
     """(hash, first line, last line) of the shortest runs with ``least`` words from each line on, and up to each line."""
-    import struct
-
     import xxhash
 
     solid = [i for i, h in enumerate(hashes) if h]
-    packed, spans, end, start, held = struct.pack(f"<{len(solid)}q", *(hashes[i] for i in solid)), set(), 0, 0, 0
+    packed, spans, end, start, held = b"".join(hashes[i] for i in solid), set(), 0, 0, 0
     for first in range(len(solid)):
         while end < len(solid) and held < least:
             held += words[solid[end]]
@@ -94,11 +77,7 @@ def spans_of(hashes: list[int], words: list[int], least: int = MIN_WORDS) -> lis
             start += 1
         if held >= least:
             spans.add((start, last + 1))
-    out = []
-    for first, end in sorted(spans):
-        x = xxhash.xxh64_intdigest(packed[8 * first : 8 * end])
-        out.append((x - (x >> 63 << 64), solid[first], solid[end - 1]))
-    return out
+    return [(xxhash.xxh3_128_digest(packed[16 * first : 16 * end]), solid[first], solid[end - 1]) for first, end in sorted(spans)]
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -217,97 +196,113 @@ def common_blocks(a: list[int], b: list[int], words: list[int], least: int = MIN
     return out
 
 
-def sequences(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """Each row's line hashes, words and runs (``SEQUENCE``); h is the whole text's XXH64."""
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-    schema = pa.schema([(n.split()[0], k) for n, k in zip(SEQUENCE.split(", "), kinds, strict=True)])
+def _batch(rows: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "array<binary>": pa.list_(pa.binary()), "array<int>": pa.list_(pa.int32())}
+    schema = pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+
+def sequences(docs: DataFrame) -> DataFrame:
+    """Each row's line hashes and words (``SEQUENCE``); h and sha are the whole text's XXH64 and SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        import hashlib
+
+        for batch in slices(batches):
             rows = []
             for doc_id, h, text in rows_of([batch]):
                 hashes, words = line_hashes(text)
-                rows.append((doc_id, h, len(hashes), hashes, words, runs_of(hashes, words, least)))
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema=schema)
+                sha = None if text is None else hashlib.sha256(text.encode()).digest()
+                rows.append((doc_id, h, sha, len(hashes), hashes, words))
+            yield _batch(rows, SEQUENCE)
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(run, SEQUENCE)
 
 
-def pairs(seq: DataFrame, rare: int = RARE) -> DataFrame:
-    """Pairs (a earlier than b) of class representatives that share a run, as structs (doc_id, h)."""
-    held = seq.select(F.struct("doc_id", "h").alias("node"), F.explode("runs").alias("run"))
-    stats = held.groupBy("run").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shared = held.join(stats, "run")
+def held_runs(heads: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+    """node, run: the runs that each document holds; node is the struct (doc_id, h)."""
+    ddl = "doc_id long, h long, runs array<binary>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield _batch([(d, h, runs_of(hashes, words, least)) for d, h, hashes, words in rows_of([b])], ddl)
+
+    found = heads.select("doc_id", "h", "hashes", "words").mapInArrow(run, ddl)
+    return scratch.stored(found.select(F.struct("doc_id", "h").alias("node"), F.explode("runs").alias("run")), "line-runs")
+
+
+def pairs(heads: DataFrame, runs: DataFrame, rare: int = RARE) -> DataFrame:
+    """Pairs (a earlier than b) of class representatives that share a rare line or a run, as structs (doc_id, h)."""
+    solid = F.array_distinct(F.filter("hashes", lambda x: F.octet_length(x) > 0))
+    lines = heads.select(F.struct("doc_id", "h").alias("node"), F.explode(solid).alias("key"))
+    runs = runs.select("node", F.col("run").alias("key"))
+    count = lambda held: held.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
+    shared = runs.join(count(runs), "key")
     star = shared.filter(F.col("n") > rare).filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    few = shared.filter(F.col("n") <= rare).groupBy("run").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
+    few = shared.filter(F.col("n") <= rare).select("key", "node").unionByName(lines.join(count(lines).filter(F.col("n") <= rare).select("key"), "key").select("key", "node"))
+    # A run of one line has another hash than the line itself, so a key is of one kind.
+    few = few.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
     each = F.flatten(F.transform("nodes", lambda b, i: F.transform(F.slice("nodes", F.lit(1), i), lambda a: F.struct(a.alias("a"), b.alias("b")))))
     return star.unionByName(few.select(F.explode(each).alias("p")).select("p.a", "p.b")).distinct()
 
 
 def _align(least: int):
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-    schema = pa.schema(list(zip(("doc_id", "h", "other_id", "other_h", "lines"), kinds, strict=True)))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc_id, h, other_id, other_h, a, b, words in rows_of([batch]):
                 cut = [i for first, last in common_blocks(a, b, words, least) for i in range(first, last + 1)]
                 if cut:
                     rows.append((doc_id, h, other_id, other_h, cut))
-            columns = list(zip(*rows, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema=schema)
+            yield _batch(rows, BLOCKS)
 
     return run
 
 
-def held_lines(heads: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+BLOCKS = "doc_id long, h long, other_id long, other_h long, lines array<int>"
+
+
+def held_lines(heads: DataFrame, runs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """doc_id, h, lines: the lines in runs that an earlier document holds, wherever they stand and however many hold them.
 
     A common block of enough words is covered by the runs from each of its lines on and those up to each, so this cuts
     every such block whole without pairing its holders.
     """
-    each = lambda b: zip(*(b.column(c).to_pylist() for c in ("doc_id", "h", "hashes", "words")), strict=True)
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [(d, h, list({x for x, _, _ in spans_of(hashes, words, least)})) for d, h, hashes, words in each(b)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 3, (pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], names=["doc_id", "h", "runs"])
+    ddl = "doc_id long, h long, lines array<int>"
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = []
-            for (d, h, hashes, words), early in zip(each(b), b.column("early").to_pylist(), strict=True):
+            for d, h, hashes, words, early in rows_of([b]):
                 early = set(early)
                 rows.append((d, h, sorted({i for x, first, last in spans_of(hashes, words, least) if x in early for i in range(first, last + 1)})))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows, strict=True)) or [()] * 3, (pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=["doc_id", "h", "lines"])
+            yield _batch(rows, ddl)
 
-    held = heads.select("doc_id", "h", "hashes", "words").mapInArrow(runs, "doc_id long, h long, runs array<long>").select(F.struct("doc_id", "h").alias("node"), F.explode("runs").alias("run"))
-    held = scratch.stored(held, "line-spans")
-    firsts = held.groupBy("run").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("run", "first")
-    early = held.join(firsts, "run").filter("node > first").groupBy("node").agg(F.collect_list("run").alias("early")).select("node.doc_id", "node.h", "early")
-    return heads.select("doc_id", "h", "hashes", "words").join(early, ["doc_id", "h"]).mapInArrow(lines, "doc_id long, h long, lines array<int>")
+    firsts = runs.groupBy("run").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("run", "first")
+    early = runs.join(firsts, "run").filter("node > first").groupBy("node").agg(F.collect_list("run").alias("early")).select("node.doc_id", "node.h", "early")
+    return heads.select("doc_id", "h", "hashes", "words").join(early, ["doc_id", "h"]).mapInArrow(lines, ddl)
 
 
 def find(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """One row per document (distinct doc_id and text): doc_id, h, class_id, n_links, n_lines, cut (line numbers to delete, in order)."""
-    seq = scratch.stored(sequences(docs, least), "line-sequences")
+    seq = scratch.stored(sequences(docs), "line-sequences")
     known = seq.filter("doc_id is not null")
-    classes = known.groupBy("h").agg(F.min("doc_id").alias("class_id"))
-    heads = known.join(classes.select(F.col("h").alias("ch"), "class_id"), (F.col("h") == F.col("ch")) & (F.col("doc_id") == F.col("class_id"))).dropDuplicates(["doc_id", "h"])
-    heads = scratch.stored(heads.select("doc_id", "h", "hashes", "words", "runs"), "line-heads")
-    linked = scratch.stored(pairs(heads, rare), "line-pairs")
+    classes = known.groupBy("sha").agg(F.min("doc_id").alias("class_id")).select(F.col("sha").alias("cs"), "class_id")
+    heads = known.join(classes, F.col("sha").eqNullSafe(F.col("cs")) & (F.col("doc_id") == F.col("class_id"))).dropDuplicates(["doc_id", "h"])
+    heads = scratch.stored(heads.select("doc_id", "h", "sha", "hashes", "words"), "line-heads")
+    runs = held_runs(heads, least)
+    linked = scratch.stored(pairs(heads, runs, rare), "line-pairs")
     side = lambda n: heads.select(F.struct("doc_id", "h").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("hashes", "words")))
     both = linked.join(side("b"), "b").join(side("a").drop("a_words"), "a")
-    found = both.select("b.doc_id", "b.h", F.col("a.doc_id").alias("other_id"), F.col("a.h").alias("other_h"), "a_hashes", "b_hashes", "b_words").mapInArrow(_align(least), "doc_id long, h long, other_id long, other_h long, lines array<int>")
+    found = both.select("b.doc_id", "b.h", F.col("a.doc_id").alias("other_id"), F.col("a.h").alias("other_h"), "a_hashes", "b_hashes", "b_words").mapInArrow(_align(least), BLOCKS)
     found = scratch.stored(found, "line-blocks")
     ends = found.select("doc_id", "h").unionByName(found.select(F.col("other_id").alias("doc_id"), F.col("other_h").alias("h"))).groupBy("doc_id", "h").agg(F.count("*").alias("n_links"))
-    lines = found.select("doc_id", "h", "lines").unionByName(held_lines(heads, least)).select("doc_id", "h", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    of_class = heads.select("doc_id", "h").join(lines, ["doc_id", "h"], "left").join(ends, ["doc_id", "h"], "left").select(F.col("h").alias("ch"), "doc_id", "lines", "n_links").withColumnRenamed("doc_id", "class_id")
-    own = seq.select("doc_id", "h", "n_lines", "words").dropDuplicates(["doc_id", "h"])
-    own = own.join(of_class, (F.col("h") == F.col("ch")) & F.col("doc_id").isNotNull(), "left")
+    lines = found.select("doc_id", "h", "lines").unionByName(held_lines(heads, runs, least)).select("doc_id", "h", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    of_class = heads.select("doc_id", "h", "sha").join(lines, ["doc_id", "h"], "left").join(ends, ["doc_id", "h"], "left").select(F.col("sha").alias("cs"), F.col("doc_id").alias("class_id"), "lines", "n_links")
+    own = seq.select("doc_id", "h", "sha", "n_lines").dropDuplicates(["doc_id", "h"])
+    own = own.join(of_class, F.col("sha").eqNullSafe(F.col("cs")) & F.col("doc_id").isNotNull(), "left")
     whole = F.sequence(F.lit(0), F.col("n_lines") - 1)
     none = F.array().cast("array<int>")
     cut = F.when(F.col("doc_id").isNull() | (F.col("n_lines") == 0), none).when(F.col("doc_id") != F.col("class_id"), whole).otherwise(F.coalesce("lines", none))

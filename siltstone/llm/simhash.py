@@ -1,17 +1,18 @@
 """SimHash near-dedup by BK-trees.
 
-A text's 64-bit fingerprint holds a bit where over half of its shingles' XXH64 hashes (seed 42) hold it. Two
-fingerprints within ``radius`` = 2 bits agree in one of three segments (22, 21, 21 bits), so distinct fingerprints are
-dealt to shards by segment and its value: a shard is what agrees in one segment. A shard's fingerprints form BK-trees
-(a child's edge is its Hamming distance to the parent; a search follows edges within the radius of its own distance).
-A shard tree holds about ``TREE`` fingerprints; a larger shard has several, and each is sent to every block of ``BLOCK``
-of the shard's queries, so no shard is one task's work and no pair is missed. The exchange carries the trees: sending
-them through the driver would take all fingerprints there. A cell of tree and block gives its links as a
-spanning forest, at most a link per row, never all pairs.
+A text's 64-bit fingerprint holds a bit where over half of its shingles' XXH64 hashes (seed 42) hold it. Cut in s
+segments, two fingerprints within ``radius`` = 2 bits agree in s - radius of them, so distinct fingerprints are dealt to shards by
+each choice of so many segments and their value: a shard is what agrees there. s grows with the number of fingerprints, so that shards stay small. A
+shard's fingerprints form BK-trees (a child's edge is its Hamming distance to the parent; a search follows edges within
+the radius of its own distance). A tree holds about ``TREE`` fingerprints; a larger shard has several. Each is built once and stored
+as flat arrays. The shards' fingerprints, in blocks of about ``BLOCK``, then search the trees of their own shard: the trees are broadcast where all
+together have at most ``BROADCAST_BYTES``, and beyond that meet the blocks by an exchange, so that neither the driver nor a
+worker holds what grows with the corpus. A cell of tree and block gives its links as a spanning forest, at most a link per row, never all pairs.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; fewer words than a shingle
 make one shingle; exact copies have one fingerprint, hence one component. A null doc_id is a member that never names a
-component while another member has an id. Repeated rows give repeated result rows. Empty tables give no rows. Other
+component while another member has an id. Repeated rows give repeated result rows; ids that repeat with other texts are
+members each. Very long texts are hashed ``CHUNK`` shingles at a time. Empty tables give no rows. Other
 columns are not read.
 """
 
@@ -24,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import scratch
-from siltstone.llm.common import grouped, rows_of
+from siltstone.llm.common import grouped, rows_of, slices
 from siltstone.llm.components import roots
 
 SHINGLE, RADIUS, TREE, BLOCK = 3, 2, 512, 1024
-#: First bit and width of each segment; one more than the radius.
-SEGMENTS = ((42, 22), (21, 21), (0, 21))
+#: Bytes of all trees up to which they are broadcast.
+BROADCAST_BYTES = 16 << 20
 #: Shingles of a text that are hashed at a time.
 CHUNK = 1 << 16
 
@@ -72,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], pa.int64())], schema=schema)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
@@ -85,6 +86,27 @@ class BKTree:
         self.items: list[int] = []
         self.children: list[dict[int, int]] = []
 
+    def packed(self) -> tuple[bytes, bytes, bytes]:
+        """Items, and of each but the first its parent's place and its edge, as flat arrays."""
+        import numpy as np
+
+        parents, edges = np.zeros(len(self.items), "<u4"), np.zeros(len(self.items), np.uint8)
+        for at, kids in enumerate(self.children):
+            for edge, kid in kids.items():
+                parents[kid], edges[kid] = at, edge
+        return np.array(self.items, "<u8").tobytes(), parents.tobytes(), edges.tobytes()
+
+    @classmethod
+    def unpacked(cls, items: bytes, parents: bytes, edges: bytes) -> BKTree:
+        import numpy as np
+
+        tree = cls()
+        tree.items = np.frombuffer(items, "<u8").tolist()
+        tree.children = [{} for _ in tree.items]
+        for kid, (at, edge) in enumerate(zip(np.frombuffer(parents, "<u4").tolist()[1:], edges[1:], strict=True), 1):
+            tree.children[at][edge] = kid
+        return tree
+
     def insert(self, x: int) -> None:
         new = len(self.items)
         if new:
@@ -112,31 +134,47 @@ class BKTree:
         return found
 
 
+TREES = "combo int, value long, piece int, items binary, parents binary, edges binary"
+
+
+def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (combo, value, piece, fp) to a packed tree per (combo, value, piece)."""
+    schema = pa.schema([("combo", pa.int32()), ("value", pa.int64()), ("piece", pa.int32()), ("items", pa.binary()), ("parents", pa.binary()), ("edges", pa.binary())])
+    mask, rows = 2**64 - 1, []
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * 6, schema.types, strict=True)], schema=schema)
+    for key, own in grouped(batches, 3):
+        tree = BKTree()
+        for *_, fp in own:
+            tree.insert(fp & mask)
+        rows.append((*key, *tree.packed()))
+        if len(rows) == 1000:
+            yield batch()
+            rows = []
+    yield batch()
+
+
 def _cells(radius: int):
-    """Rows (segment, value, piece, block, tree?, fp), those of the tree first, to links (u, v)."""
+    """Rows (items, parents, edges, fps) of a tree and a block of its shard to links (u, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask, schema = 2**64 - 1, pa.schema([("u", pa.int64()), ("v", pa.int64())])
         us, vs = [], []
         batch = lambda: pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=schema)
-        for _, rows in grouped(batches, 4):
-            tree, parent = BKTree(), {}
+        for items, parents, edges, fps in rows_of(slices(batches, 256)):
+            tree, parent = BKTree.unpacked(items, parents, edges), {}
 
             def find(x, parent=parent):
                 while (p := parent.setdefault(x, x)) != x:
                     parent[x] = x = parent[p] if p in parent else p
                 return x
 
-            for *_, query, fp in rows:
+            for fp in fps:
                 x = fp & mask
-                if not query:
-                    tree.insert(x)
-                else:
-                    for y in tree.within(x, radius):
-                        if y != x and (a := find(x)) != (b := find(y)):
-                            parent[a] = b
-                            us.append(fp)
-                            vs.append(y - (y >> 63 << 64))
+                for y in tree.within(x, radius):
+                    if y != x and (a := find(x)) != (b := find(y)):
+                        parent[a] = b
+                        us.append(fp)
+                        vs.append(y - (y >> 63 << 64))
             if len(us) > 50_000:
                 yield batch()
                 us, vs = [], []
@@ -145,25 +183,41 @@ def _cells(radius: int):
     return run
 
 
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Distinct fingerprints (fp) to links (u, v) whose transitive closure is that of all pairs within ``radius`` bits."""
-    if radius >= len(SEGMENTS):
-        raise ValueError("radius must be below the number of segments")
-    parts = F.array(*(F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned("fp", low).bitwiseAND(F.lit((1 << width) - 1)).alias("value")) for i, (low, width) in enumerate(SEGMENTS)))
-    members = fps.select("fp", F.explode(parts).alias("s")).select("fp", "s.segment", "s.value")
-    sizes = members.groupBy("segment", "value").agg(F.count("*").alias("n")).filter("n > 1")
-    sized = members.join(sizes, ["segment", "value"]).select("*", F.ceil(F.col("n") / TREE).cast("int").alias("trees"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.abs(F.xxhash64("fp") % 2_000_003).alias("h"))
-    mine, block = F.expr("cast(h % trees as int)"), F.expr("cast(shiftright(h, 3) % blocks as int)")
-    in_tree = sized.select("segment", "value", mine.alias("piece"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), F.lit(0).alias("query"), "fp")
-    asks = sized.select("segment", "value", F.explode(F.expr("sequence(0, trees - 1)")).alias("piece"), block.alias("block"), F.lit(1).alias("query"), "fp")
-    cells = in_tree.unionByName(asks).repartition("segment", "value", "piece", "block").sortWithinPartitions("segment", "value", "piece", "block", "query")
-    return cells.mapInArrow(_cells(radius), "u long, v long")
+def shard_masks(n: int, radius: int) -> list[int]:
+    """The bits that the fingerprints of a shard agree in, for each way to choose segments, given ``n`` fingerprints."""
+    from itertools import combinations
+
+    segments = radius + (1 if n <= 1 << 26 else 2 if n <= 1 << 34 else 3)
+    ends = [64 * i // segments for i in range(segments + 1)]
+    bits = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)]
+    return [sum(c) for c in combinations(bits, segments - radius)]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Distinct fingerprints (fp) to links (u, v) whose transitive closure is that of all pairs within ``radius`` bits.
+
+    ``fps`` should be a stored table: it is read several times.
+    """
+    masks = [m - (m >> 63 << 64) for m in shard_masks(fps.count(), radius)]
+    shards = F.array(*(F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for i, m in enumerate(masks)))
+    members = fps.select("fp", F.explode(shards).alias("s")).select("fp", "s.combo", "s.value")
+    sizes = members.groupBy("combo", "value").agg(F.count("*").alias("n")).filter("n > 1")
+    cut = lambda most: F.ceil(F.col("n") / most).cast("int")
+    sized = members.join(sizes, ["combo", "value"]).select("fp", "combo", "value", cut(TREE).alias("trees"), cut(BLOCK).alias("blocks"), F.abs(F.xxhash64("fp") % 2_000_003).alias("h"))
+    sized = scratch.stored(sized, "simhash-shards")
+    planted = sized.select("combo", "value", F.expr("cast(h % trees as int)").alias("piece"), "fp").repartition("combo", "value", "piece").sortWithinPartitions("combo", "value", "piece")
+    trees = scratch.stored(planted.mapInArrow(_build, TREES), "simhash-trees")
+    blocks = sized.groupBy("combo", "value", "trees", F.expr("cast(shiftright(h, 3) % blocks as int)").alias("block")).agg(F.collect_list("fp").alias("fps"))
+    asks = blocks.select("combo", "value", F.explode(F.expr("sequence(0, trees - 1)")).alias("piece"), "fps")
+    size = trees.agg(F.sum(F.octet_length("items") + F.octet_length("parents") + F.octet_length("edges") + 100)).first()[0] or 0
+    cells = asks.join(F.broadcast(trees) if size <= broadcast_bytes else trees, ["combo", "value", "piece"])
+    return cells.select("items", "parents", "edges", "fps").mapInArrow(_cells(radius), "u long, v long")
 
 
 def _labelled(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """doc_id, fp of every row; and fp, root, component_id of every fingerprint. Both in shared files."""
     own = scratch.stored(fingerprints(docs, shingle), "fingerprints")
-    nodes = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    nodes = scratch.stored(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     stars = roots(links(nodes.select("fp"), radius), "simhash-stars")
     rooted = nodes.join(stars, nodes["fp"] == stars["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
