@@ -32,6 +32,17 @@ def hash_tokens(t: Column, most: int | None = None) -> Column:
     return F.when(F.size(all_) < most, all_).otherwise(F.concat(F.slice(all_, 1, head) if head else F.array().cast("array<string>"), F.slice(last, F.greatest(F.lit(1), F.size(last) - tail + 1), F.lit(tail))))
 
 
+def segment_pairs(s: Column, within: int) -> Column:
+    """The bits of each two of ``within`` + 2 segments of a 64-bit signature: signatures up to ``within`` bits apart share one at its place."""
+    from itertools import combinations
+
+    n = within + 2
+    ends = [64 * i // n for i in range(n + 1)]
+    bits = [(1 << b) - (1 << a) for a, b in zip(ends, ends[1:], strict=False)]
+    masks = [a | b for a, b in combinations(bits, 2)]
+    return F.array(*(s.bitwiseAND(F.lit(m - (m >> 63 << 64))) for m in masks))
+
+
 def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
@@ -132,6 +143,7 @@ def story_prompt(t: Column) -> Column:
     flat = F.trim(F.regexp_replace(t, "\\s+", " "))
     size = F.coalesce(*(F.when(F.startswith(F.lower(flat), F.lit(p)), F.lit(len(p))) for p in STORY_OPENINGS))
     subject = F.regexp_replace(F.substring(flat, size + 1, F.length(flat)), "^[ .]+|[ .]+$", "")
+    #: The two patterns of a request.
     named = "(?i)\\b(?:(a|an|the)\\s+)?([A-Za-z]+)\\s+named\\s+([A-Za-z][A-Za-z0-9_-]*)"
     lost = "(?i)\\blost\\s+(?:(his|her|their|the)\\s+)?([A-Za-z0-9 -]+)$"
     kind, name, given = F.regexp_extract(subject, named, 2), F.regexp_extract(subject, named, 3), F.regexp_extract(subject, named, 1)

@@ -72,25 +72,43 @@ def split_of(fraction: float):
     return run
 
 
+def _ends(text: str, mark: str) -> list[int]:
+    """Where a chunk may end at ``mark``: after the mark's first character, in order."""
+    return [m.start() + 1 for m in re.finditer(f"(?={re.escape(mark)})", text)]
+
+
 def chunks(text: str | None, target: int = 4000, most: int = 6000, overlap: int = 400, least: int = 1) -> list[str]:
-    """Windows of ``most`` characters at most, each ended after the last blank line, else sentence end, past half the target; overlapping."""
+    """Overlapping windows of at most ``most`` characters of a text that is longer than that.
+
+    The marks at which a window may end are listed first. A window that doesn't reach the text's end stops at its last
+    blank line past half the target, where there is none at its last sentence end there, else at its full width.
+    """
     if text is None:
         return []
     if len(text) <= most:
         return [text]
-    target = max(least, target)
-    most, overlap = max(target, most), max(0, min(overlap, target // 2))
-    out, at = [], 0
-    while True:
-        stop = min(at + most, len(text))
-        if stop < len(text):
-            cuts = (text.rfind(mark, at + target // 2, stop) for mark in ("\n\n", ". "))
-            stop = next((c + 1 for c in cuts if c > at), stop)
-        if piece := text[at:stop].strip():
-            out.append(piece)
-        if stop >= len(text):
-            return out
-        at = max(stop - overlap, at + 1)
+    from bisect import bisect_right
+
+    goal = max(least, target)
+    width, back = max(goal, most), max(0, min(overlap, goal // 2))
+    marks = [(len(mark), _ends(text, mark)) for mark in ("\n\n", ". ")]
+
+    def end(start: int) -> int:
+        if start + width >= len(text):
+            return len(text)
+        for size, ends in marks:
+            # The whole mark lies in the window: it begins one before the cut, and ends by the window's own end.
+            place = bisect_right(ends, start + width - size + 1) - 1
+            if place >= 0 and ends[place] > max(start + goal // 2, start + 1):
+                return ends[place]
+        return start + width
+
+    windows, start = [], 0
+    while not windows or windows[-1][1] < len(text):
+        stop = end(start)
+        windows.append((start, stop))
+        start = max(stop - back, start + 1)
+    return [piece for first, stop in windows if (piece := text[first:stop].strip())]
 
 
 def chunked(target: int, most: int, overlap: int, least: int = 1):
@@ -134,42 +152,51 @@ def fp8_decode(code):
 
 
 def pack(values, bits: int) -> bytes:
-    """Signed n-bit integers, the low bit first."""
-    u = (np.asarray(values, np.int64) & ((1 << bits) - 1)).astype(np.uint8)
+    """Signed n-bit integers as their distance from the least one, the low bit first."""
+    u = np.asarray(values, np.int64) + ((1 << (bits - 1)) - 1)
+    if len(u) and (u.min() < 0 or u.max() >= 1 << bits):
+        raise ValueError("a value doesn't fit")
     return np.packbits((u[:, None] >> np.arange(bits) & 1).astype(np.uint8).ravel(), bitorder="little").tobytes()
 
 
 def unpack(data: bytes, bits: int, n: int):
     raw = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")[: n * bits].reshape(n, bits).astype(np.int64)
-    u = (raw << np.arange(bits)).sum(axis=1)
-    return np.where(u >= 1 << (bits - 1), u - (1 << bits), u)
+    return (raw << np.arange(bits)).sum(axis=1) - ((1 << (bits - 1)) - 1)
 
 
 def rotation(dim: int, seed: int):
-    """A seeded orthogonal matrix."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
-    return (q * np.sign(np.diag(r))).astype(np.float32)
+    """A seeded orthogonal matrix; its generator starts from 32 bits of the SHA-256 of ``dim:seed``."""
+    start = int.from_bytes(hashlib.sha256(f"{dim}:{seed}".encode()).digest()[:8], "little") % 2**32
+    q, r = np.linalg.qr(np.random.default_rng(start).standard_normal((dim, dim), dtype=np.float32))
+    return (q * np.where(np.diag(r) < 0, -1, 1)).astype(np.float32)
 
 
 def rotated_encode(x, bits: int = 4, group: int = 16, residual: float = 0.002, seed: int = 7) -> dict:
-    """Rotate, quantise by groups with float16 scales, and keep the largest residuals as they are."""
+    """Rotate, quantise by groups with float16 scales, and keep the largest errors of the values themselves in float16."""
     x = np.asarray(x, np.float32)
     top = (1 << (bits - 1)) - 1
     turned = np.pad(x @ rotation(len(x), seed), (0, -len(x) % group)).reshape(-1, group)
-    scale = np.maximum(np.abs(turned).max(axis=1) / top, 1e-8).astype(np.float16).astype(np.float32)
-    scale = np.maximum(scale, np.float32(6e-8))
-    q = np.clip(np.round(turned / scale[:, None]), -top - 1, top).astype(np.int64)
-    left = (turned - q * scale[:, None]).ravel()
-    n = int(np.ceil(len(left) * residual)) if residual > 0 else 0
-    at = np.sort(np.argsort(-np.abs(left), kind="stable")[:n])
-    return {"n": len(x), "bits": bits, "group": group, "seed": seed, "payload": pack(q.ravel(), bits), "scales": scale.tolist(), "at": at.tolist(), "residuals": left[at].tolist()}
+    scale = np.maximum(np.abs(turned).max(axis=1) / top, 1e-8)
+    q = np.clip(np.round(turned / scale[:, None]), -top, top).astype(np.int64)
+    c = {"n": len(x), "bits": bits, "group": group, "seed": seed, "payload": pack(q.ravel(), bits), "scales": scale.astype(np.float16).tolist(), "at": [], "residuals": []}
+    if residual > 0 and len(x):
+        left = x - rotated_decode(c)
+        at = np.sort(np.argsort(-np.abs(left), kind="stable")[: max(1, int(len(x) * residual))])
+        c |= {"at": at.tolist(), "residuals": left[at].astype(np.float16).tolist()}
+    return c
+
+
+def rotated_bytes(c: dict) -> int:
+    """What an encoded vector takes: its codes, two bytes a scale, six a residual."""
+    return len(c["payload"]) + 2 * len(c["scales"]) + 6 * len(c["at"])
 
 
 def rotated_decode(c: dict):
     size = len(c["scales"]) * c["group"]
-    flat = (unpack(c["payload"], c["bits"], size).reshape(-1, c["group"]) * np.asarray(c["scales"], np.float32)[:, None]).ravel()
-    flat[list(c["at"])] += np.asarray(c["residuals"], np.float32)
-    return flat[: c["n"]] @ rotation(c["n"], c["seed"]).T
+    flat = (unpack(c["payload"], c["bits"], size).reshape(-1, c["group"]) * np.asarray(c["scales"], np.float32)[:, None]).ravel().astype(np.float32)
+    out = flat[: c["n"]] @ rotation(c["n"], c["seed"]).T
+    out[list(c["at"])] += np.asarray(c["residuals"], np.float32)
+    return out
 
 
 def codec(kind: str, bits: int = 4):
@@ -184,16 +211,16 @@ def codec(kind: str, bits: int = 4):
                 continue
             x = np.asarray(v, np.float32)
             if kind == "fp16":
-                payload = x.astype("<f2").tobytes()
+                payload, size = x.astype("<f2").tobytes(), 2 * len(x)
                 back = np.frombuffer(payload, "<f2").astype(np.float32)
             elif kind == "fp8":
                 scale = max(float(np.abs(x).max()) / LARGEST, 1e-8)
                 code = fp8_encode(x / np.float32(scale))
-                payload, back = code.tobytes(), fp8_decode(code) * np.float32(scale)
+                payload, back, size = code.tobytes(), fp8_decode(code) * np.float32(scale), len(x)
             else:
                 c = rotated_encode(x, bits)
-                payload, back = c["payload"], rotated_decode(c)
-            rows.append((payload, len(payload), float(np.linalg.norm(x - back) / max(np.linalg.norm(x), 1e-12))))
+                payload, back, size = c["payload"], rotated_decode(c), rotated_bytes(c)
+            rows.append((payload, size, float(np.linalg.norm(x - back) / max(np.linalg.norm(x), 1e-12))))
         return pd.DataFrame(rows, columns=["payload", "n_bytes", "error"])
 
     return run

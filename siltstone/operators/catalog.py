@@ -56,6 +56,13 @@ def next_fit(df: DataFrame, run: str, order: str, size: str, most: int) -> DataF
     return df.repartition(run).sortWithinPartitions(run, order).mapInPandas(partition, T.StructType([*df.schema.fields, T.StructField("file", T.LongType())]))
 
 
+def weight_map(packed: DataFrame, run: str, name: str) -> DataFrame:
+    """run, name, file_name of items that ``next_fit`` gave a file: ``model.safetensors`` where a run has one file, else numbered from 1."""
+    n = packed.groupBy(run).agg((F.max("file") + 1).alias("_n"))
+    numbered = F.format_string("model-%05d-of-%05d.safetensors", F.col("file") + 1, F.col("_n"))
+    return packed.join(n, run).select(run, name, F.when(F.col("_n") == 1, "model.safetensors").otherwise(numbered).alias("file_name"))
+
+
 def split_counts(rows: list[int], sizes: list[int], parts: int) -> list[int]:
     """Pieces per tensor: the one with the largest piece is split once more until there are ``parts``; none beyond its rows."""
     import heapq
@@ -71,6 +78,28 @@ def split_counts(rows: list[int], sizes: list[int], parts: int) -> list[int]:
     return pieces
 
 
+def placement(keys: list[str], rows: list[int], sizes: list[int], parts: int) -> list[tuple[int, str, int, int, int]]:
+    """(part, key, chunk_index, chunks, rows) of each piece: tensors are split as ``split_counts`` says, as evenly as their rows go, and dealt to the parts in turn."""
+    pieces = [(k, i, n, r // n + (i < r % n)) for k, r, n in zip(keys, rows, split_counts(rows, sizes, parts), strict=True) for i in range(n)]
+    return [(place % parts, *p) for place, p in enumerate(pieces)]
+
+
+def placed(df: DataFrame, run: str, key: str, rows: str, size: str, parts: int) -> DataFrame:
+    """``placement`` of each run's tensors (a run's tensors, some thousands at most, are one group)."""
+    schema = T.StructType([df.schema[run], T.StructField("part", T.LongType()), df.schema[key], *(T.StructField(n, T.LongType()) for n in ("chunk_index", "chunks", "rows"))])
+
+    def place(pdf):
+        import pandas as pd
+
+        own = pdf.sort_values(key)
+        found = placement(own[key].tolist(), own[rows].astype(int).tolist(), own[size].astype(int).tolist(), parts)
+        out = pd.DataFrame(found, columns=["part", key, "chunk_index", "chunks", "rows"])
+        out.insert(0, run, own[run].iloc[0])
+        return out
+
+    return df.select(run, key, rows, size).groupBy(run).applyInPandas(place, schema)
+
+
 def clip_factors(df: DataFrame, run: str, norm: str, floor: float, most: float, blend: float) -> DataFrame:
     """Per shard: RMS of the run's norms over its own, clamped, blended with 1."""
     rms = F.sqrt(F.avg(F.col(norm) * F.col(norm)).over(Window.partitionBy(run)))
@@ -78,6 +107,77 @@ def clip_factors(df: DataFrame, run: str, norm: str, floor: float, most: float,
     return df.withColumn("scale", F.lit(1 - blend) + scale * blend)
 
 
+def shard_scales(df: DataFrame, run: str, norm_sq: str, parameters: str, floor: float, most: float, blend: float) -> DataFrame:
+    """Adds ``raw_scale``, the run's gradient RMS per parameter over the shard's own, and ``scale``, clamped and blended with 1; both 1 without a gradient."""
+    total = df.groupBy(run).agg(F.sum(norm_sq).alias("_q"), F.sum(parameters).alias("_p"))
+    own = df.join(total, run)
+    none = (F.col("_q") <= 0) | (F.col("_p") <= 0) | (F.col(norm_sq) <= 0) | (F.col(parameters) <= 0)
+    raw = F.sqrt(F.col("_q") / F.col("_p")) / F.greatest(F.sqrt(F.col(norm_sq) / F.col(parameters)), F.lit(1e-12))
+    own = own.withColumn("raw_scale", F.when(none, 1.0).otherwise(raw))
+    clamped = F.least(F.lit(most), F.greatest(F.lit(floor), F.col("raw_scale")))
+    idle = (F.col("_q") <= 0) | (F.col("_p") <= 0)
+    return own.withColumn("scale", F.when(idle, 1.0).otherwise(1.0 + blend * (clamped - 1.0))).drop("_q", "_p")
+
+
+def scale_summary(scaled: DataFrame, run: str) -> DataFrame:
+    """Per run the least, mean and largest raw and applied scale."""
+    ends = [f(c).alias(f"{name}_{what}") for c, name in (("raw_scale", "raw"), ("scale", "applied")) for f, what in ((F.min, "min"), (F.avg, "mean"), (F.max, "max"))]
+    return scaled.groupBy(run).agg(*ends)
+
+
+def norm_summary(df: DataFrame, run: str, norm: str) -> DataFrame:
+    """Per run the mean and the largest norm, 0 where there is none."""
+    return df.groupBy(run).agg(F.coalesce(F.avg(norm), F.lit(0.0)).alias("mean"), F.coalesce(F.max(norm), F.lit(0.0)).alias("max"))
+
+
+def audit_summary(issues: DataFrame, steps: DataFrame, step: str) -> DataFrame:
+    """One row: issues by severity (error, warning), least and greatest step; steps that differ are one more warning."""
+    n = issues.agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"))
+    ends = steps.agg(F.min(step).alias("step_min"), F.max(step).alias("step_max"))
+    row = n.crossJoin(F.broadcast(ends)).withColumn("uniform", F.coalesce(F.col("step_min") == F.col("step_max"), F.lit(True)))
+    row = row.withColumn("warnings", F.col("warnings") + F.when(F.col("uniform"), 0).otherwise(1))
+    return row.withColumn("issue_count", F.col("errors") + F.col("warnings"))
+
+
+def repaired(states: DataFrame, per_step: float) -> DataFrame:
+    """States (global_step, optimizer_step, tokens_seen; step_min and step_max of their shards) brought up to their shards' step.
+
+    ``status``: ok, repaired (tokens are extrapolated at the state's own rate, or ``per_step``), inconsistent (shards at different steps: left as it is).
+    """
+    old = F.coalesce("tokens_seen", F.lit(0))
+    at = F.coalesce("global_step", F.lit(0))
+    status = F.when(F.col("step_min") != F.col("step_max"), "inconsistent").when(F.coalesce(F.col("step_max") > at, F.lit(False)), "repaired").otherwise("ok")
+    rate = F.when((at > 0) & (old > 0), old / F.greatest(at, F.lit(1))).otherwise(F.lit(float(per_step)))
+    lag = F.col("status") == "repaired"
+    own = states.withColumn("status", status).withColumn("_tokens", F.greatest(old, F.bround(rate * F.col("step_max")).cast("long")))
+    own = own.withColumns({"global_step": F.when(lag, F.col("step_max")).otherwise(F.col("global_step")), "optimizer_step": F.when(lag, F.greatest(F.coalesce("optimizer_step", F.lit(0)), F.col("step_max"))).otherwise(F.col("optimizer_step")), "tokens_seen": F.when(lag, F.col("_tokens")).otherwise(F.col("tokens_seen"))})
+    return own.drop("_tokens")
+
+
+def parameter_totals(df: DataFrame, shard: str, numel: str) -> DataFrame:
+    """Parameters per shard and, with a null shard, in all."""
+    return df.rollup(shard).agg(F.count("*").alias("tensors"), F.sum(numel).alias("parameters"))
+
+
+def activity(df: DataFrame, run: str, order: str, active: str) -> DataFrame:
+    """Adds ``most_active``: the largest number of active shards that the run has shown so far."""
+    return df.withColumn("most_active", F.max(active).over(Window.partitionBy(run).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def prefetch_window(mode, wanted, resident):
+    """Shards to fetch ahead: none when off, else what is wanted (0: as many as may be resident), as many as may be resident at most."""
+    return F.when(mode == "off", 0).otherwise(F.greatest(F.lit(0), F.least(F.when(wanted > 0, wanted).otherwise(resident), resident)))
+
+
+def residency(df: DataFrame) -> DataFrame:
+    """Adds ``violation``: too_many_params, too_many_optimizers, full_model (all of a model that has more than its largest shard), null if none.
+
+    Columns: params, optimizers (active shards), resident (allowed), active_parameters, total_parameters, largest_parameters.
+    """
+    full = (F.col("total_parameters") > 0) & (F.col("active_parameters") >= F.col("total_parameters")) & (F.col("total_parameters") > F.col("largest_parameters"))
+    return df.withColumn("violation", F.when(F.col("params") > F.col("resident"), "too_many_params").when(F.col("optimizers") > F.col("resident"), "too_many_optimizers").when(full, "full_model"))
+
+
 def rebuild(chunks: DataFrame, key: str) -> DataFrame:
     """Chunks (key, chunk_index, chunks, values) joined in order; a key with a chunk missing or twice is an error."""
     g = chunks.groupBy(key).agg(F.max("chunks").alias("due"), F.count("*").alias("n"), F.count_distinct("chunk_index").alias("own"), F.sort_array(F.collect_list(F.struct("chunk_index", "values"))).alias("c"))

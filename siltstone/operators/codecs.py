@@ -38,7 +38,7 @@ def selective(df: DataFrame, group: str, position: str, score: str, vector: str,
             else:
                 c = U.rotated_encode(x, cold_bits, residual=residual, seed=seed)
                 payload, back = c["payload"], U.rotated_decode(c)
-                extra = 4 + 2 * len(c["scales"]) + 8 * len(c["at"])
+                extra = 4 + U.rotated_bytes(c) - len(payload)
             rows.append((payload, len(payload) + extra, float(np.linalg.norm(x - back) / max(np.linalg.norm(x), 1e-12))))
         return pd.DataFrame(rows, columns=["payload", "n_bytes", "error"])
 

@@ -16,13 +16,10 @@ def exact_lookup(requests: DataFrame, index: DataFrame) -> DataFrame:
 def near_lookup(requests: DataFrame, index: DataFrame, within: int = 3) -> DataFrame:
     """Per request (``request_id``, ``sig``) the entry of its tenant and model at the least distance up to ``within``; the earliest (``seq``) of ties.
 
-    Signatures that close agree in one of four 16-bit bands if within is 3 or less, so the join is on tenant, model and
-    band, not on all of a tenant's entries.
+    Signatures that close agree in all but ``within`` of ``within`` + 2 segments, so the join is on tenant, model and the bits of
+    two segments, not on all of a tenant's entries.
     """
-    if within > 3:
-        banded = lambda df, s: df.withColumn("band", F.lit(0)).withColumn("bits", F.lit(0).cast("long"))
-    else:
-        banded = lambda df, s: df.select("*", F.posexplode(F.array(*(F.shiftrightunsigned(s, 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)))).alias("band", "bits"))
+    banded = lambda df, s: df.select("*", F.posexplode(X.segment_pairs(F.col(s), within)).alias("band", "bits"))
     a, b = banded(requests, "sig").alias("a"), banded(index, "sig").alias("b")
     keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("tenant_id", "model_id", "band", "bits")]
     d = X.hamming(F.col("a.sig"), F.col("b.sig"))
@@ -81,17 +78,29 @@ POLICY = {
     "balanced": ("if(long, 'turboquant', 'fp8')", "if(p < 0.75, 4, 3)", "0.002D", "if(long, 512, 768)", "0.12D", "if(p >= 0.82, 0.05D, 0.0D)", "p >= 0.86", "false", "1024"),
 }
 
+#: The reason that each rule states.
+REASONS = {
+    "quality": "quality_first under available GPU memory",
+    "memory": "memory pressure requires aggressive KV compression and pruning",
+    "throughput": "throughput/concurrency favors smaller KV and predictable paging",
+    "balanced": "balanced policy",
+}
+
 
 def decide(df: DataFrame) -> DataFrame:
-    """Adds the policy decision of rows with mode, p (pressure), requests, context, fp8."""
+    """Adds the policy decision of rows with mode, p (pressure), requests, context, fp8, and its reason."""
     own = df.withColumn("long", F.col("context") >= 8192).withColumn("many", F.col("requests") >= 16)
     rule = F.expr("case when mode = 'quality_first' and p < 0.72 and not many then 'quality' when mode = 'memory_first' or p >= 0.9 then 'memory' when mode = 'throughput_first' or many then 'throughput' else 'balanced' end")
     own = own.withColumn("rule", rule)
     for i, name in enumerate(POLICY_FIELDS):
         own = own.withColumn(name, F.expr("case rule " + " ".join(f"when '{k}' then {v[i]}" for k, v in POLICY.items()) + " end"))
-    return own.drop("long", "many")
+    reason = F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair))
+    return own.withColumn("reason", F.element_at(reason, F.col("rule"))).drop("long", "many")
 
 
+#: The quantisation planner's outcomes in their order; data types; reasons.
+DTYPES = {"bf16": "bfloat16", "fp16": "float16", "fp8": "float8", "int4": "int4_awq", "int8": "int8"}
+PLAN_REASONS = {"quality_first": "quality_first auto policy", "memory_first": "memory_first auto policy", "throughput_first": "throughput_first auto policy"}
 PLAN = """
 case when requested <> 'auto' then
   case when requested = 'fp8' and not fp8 then if(hardware = 'cpu', 'int8', 'fp16')
@@ -107,10 +116,15 @@ case when requested <> 'auto' then
 
 
 def plan_quantization(df: DataFrame) -> DataFrame:
-    """Adds ``selected`` and its load format for models (requested, policy, min_memory_gb, prequantized) on hardware (hardware, memory_gb, fp8, int4, bf16)."""
+    """Adds ``selected``, its data type, load format, cache type and reason for models (requested, policy, min_memory_gb, prequantized) on hardware (hardware, memory_gb, fp8, int4, bf16)."""
     own = df.withColumn("selected", F.expr(PLAN))
     fmt = F.expr("case selected when 'fp8' then if(prequantized, 'fp8', 'safetensors') when 'int4' then if(prequantized, 'awq', 'safetensors') when 'int8' then if(prequantized, 'int8', 'bitsandbytes') else 'safetensors' end")
-    return own.withColumn("load_format", fmt).withColumn("quantize", F.expr("selected in ('fp8', 'int4', 'int8') and not prequantized"))
+    dtype = F.element_at(F.create_map(*(F.lit(x) for pair in DTYPES.items() for x in pair)), F.col("selected"))
+    reason = F.when(F.col("requested") != "auto", "registry requested mode")
+    for mode, text in PLAN_REASONS.items():
+        reason = reason.when(F.col("policy") == mode, text)
+    own = own.withColumns({"load_format": fmt, "dtype": dtype, "kv_dtype": F.when(F.col("selected") == "fp8", "fp8").otherwise("auto"), "reason": reason.otherwise("balanced auto policy")})
+    return own.withColumn("quantize", F.expr("selected in ('fp8', 'int4', 'int8') and not prequantized"))
 
 
 def nucleus(df: DataFrame, group: str, token: str, logit: str, temperature: float, top_k: int, top_p: float, suppressed: tuple = ()) -> DataFrame:
@@ -165,10 +179,74 @@ def histogram(df: DataFrame, group: str, value: str, bounds: list[float]) -> Dat
     return df.groupBy(group).agg(*(F.count_if(F.col(value) <= b).alias(f"le_{i}") for i, b in enumerate(bounds)), F.count("*").alias("n"), F.sum(value).alias("total"))
 
 
-def floor_quantile(values: Column, q: float) -> Column:
-    """The value at place floor(q (n - 1)) of the sorted list; for groups of bounded size."""
-    s = F.sort_array(values)
-    return F.element_at(s, (F.floor((F.size(s) - 1) * q) + 1).cast("int"))
+#: Upper bounds of the latency buckets, in seconds.
+LATENCY = (0.005, 0.01, 0.025, 0.05, 0.1, 0.25, 0.5, 1, 2.5, 5, 10, 30)
+
+
+def registry(df: DataFrame, labels: list[str], order: str, counted: list[str] = (), gauged: list[str] = ()) -> DataFrame:
+    """Metrics per label set: rows seen (``requests``), sums of the counters, and of each gauge the value that was set last."""
+    return df.groupBy(*labels).agg(F.count("*").alias("requests"), *(F.sum(c).alias(c) for c in counted), *(F.max_by(g, F.when(F.col(g).isNotNull(), F.col(order))).alias(g) for g in gauged))
+
+
+def ranked(df: DataFrame, value: str, order: list[str], within: list[str]) -> DataFrame:
+    """Adds ``rank`` (from 0 by value, then ``order``) and ``n`` per group, by prefix sums over ordered ranges: no task holds a group's values."""
+    from siltstone.operators import packing
+
+    sizes = df.groupBy(*within).agg(F.count(value).alias("n")) if within else df.agg(F.count(value).alias("n"))
+    placed = packing.offsets(df.filter(F.col(value).isNotNull()).withColumn("_one", F.lit(1)), "_one", [value, *order], within).withColumnRenamed("start", "rank").drop("_one")
+    return placed.join(sizes, within) if within else placed.crossJoin(F.broadcast(sizes))
+
+
+def quantiles(df: DataFrame, value: str, order: list[str], within: list[str]) -> DataFrame:
+    """Per group its median (``p50``) and the value at place floor(0.95 (n - 1)) of all in order (``p95``), exact."""
+    r = ranked(df, value, order, within)
+    middle = F.col("rank").between(F.floor((F.col("n") - 1) / 2), F.ceil((F.col("n") - 1) / 2))
+    high = F.col("rank") == F.floor(F.lit(0.95) * (F.col("n") - 1))
+    return r.filter(middle | high).groupBy(*within).agg(F.max("n").alias("n"), F.avg(F.when(middle, F.col(value))).alias("p50"), F.max(F.when(high, F.col(value))).alias("p95"))
+
+
+def load_stats(samples: DataFrame, latency: str, tokens: str, order: list[str], within: list[str], elapsed: Column) -> DataFrame:
+    """A load test's figures per group: requests, rps, tokens_per_s, p50, p95; ``elapsed`` is an aggregate, in seconds."""
+    sums = samples.groupBy(*within).agg(F.count("*").alias("requests"), (F.count("*") / elapsed).alias("rps"), (F.sum(tokens) / elapsed).alias("tokens_per_s"))
+    return sums.join(quantiles(samples.select(*within, latency, *order), latency, order, within).drop("n"), within)
+
+
+def reuse(looked_up: DataFrame, ref: str = "kv_ref") -> DataFrame:
+    """lookups, hits and their ratio (0 without lookups)."""
+    n = looked_up.agg(F.count("*").alias("lookups"), F.count(ref).alias("hits"))
+    return n.withColumn("rate", F.when(F.col("lookups") == 0, 0.0).otherwise(F.col("hits") / F.col("lookups")))
+
+
+def evict_tenant(index: DataFrame, tenant: str) -> tuple[DataFrame, int]:
+    """The index without a tenant's entries, and how many those were."""
+    gone = F.col("tenant_id").eqNullSafe(F.lit(tenant))
+    return index.filter(~gone), index.filter(gone).count()
+
+
+#: The tier below each.
+BELOW = (("gpu", "cpu"), ("cpu", "nvme"))
+
+
+def demote(pages: DataFrame, need: int, order: list[str], size: str = "n_bytes") -> DataFrame:
+    """Pages (``tier``) with ``to_tier``: the least recently used of each tier that free ``need`` bytes move one tier down (gpu, cpu, nvme, then null: deleted); others stay.
+
+    What is freed before a page follows from prefix sums over ordered ranges, so a tier with most pages is no single task's work.
+    """
+    from siltstone.operators import packing
+
+    placed = packing.offsets(pages, size, order, ["tier"])
+    below = F.coalesce(*(F.when(F.col("tier") == a, b) for a, b in BELOW))
+    return placed.withColumn("to_tier", F.when(F.col("start") < need, below).otherwise(F.col("tier"))).drop("start")
+
+
+def energy(df: DataFrame, group: str, key: Column, value: Column) -> DataFrame:
+    """Adds ``energy``: mean absolute key plus mean absolute value of each token, scaled to 0..1 within its group where they differ."""
+    mean = lambda a: F.aggregate(a.cast("array<double>"), F.lit(0.0), lambda s, x: s + F.abs(x)) / F.size(a)
+    own = df.withColumn("_e", mean(key) + mean(value))
+    ends = own.groupBy(group).agg(F.min("_e").alias("_lo"), F.max("_e").alias("_hi"))
+    own = own.join(ends, group)
+    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col("_e") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(F.col("_e"))
+    return own.withColumn("energy", scaled).drop("_e", "_lo", "_hi")
 
 
 def remove(rows: DataFrame, released: DataFrame, *keys: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import scratch
@@ -16,13 +16,13 @@ def first_per_hash(df: DataFrame, digest: str, position: str) -> DataFrame:
 
 
 def band_pairs(sigs: DataFrame, sig: str, position: str, within: int = 3) -> DataFrame:
-    """Pairs (earlier, later, distance) of positions whose signatures differ in at most ``within`` bits and agree in one of four 16-bit bands.
+    """Pairs (earlier, later, distance) of positions whose signatures differ in at most ``within`` bits: such two agree in two of ``within`` + 2 segments.
 
-    Complete up to 3 bits. Rows of one signature are represented by their first, and a band bucket is met only by
+    Complete. Rows of one signature are represented by their first, and a bucket, about 25 bits wide for 3, is met only by
     distinct signatures, so copies make no pairs among themselves.
     """
-    own = sigs.groupBy(F.col(sig).alias("s")).agg(F.min(position).alias("p"))
-    banded = own.select("s", "p", F.posexplode(F.array(*(F.shiftrightunsigned("s", 16 * i).bitwiseAND(F.lit(0xFFFF)) for i in range(4)))).alias("band", "value"))
+    own = scratch.stored(sigs.groupBy(F.col(sig).alias("s")).agg(F.min(position).alias("p")), "distinct-signatures")
+    banded = own.select("s", "p", F.posexplode(X.segment_pairs(F.col("s"), within)).alias("band", "value"))
     a, b = banded.alias("a"), banded.alias("b")
     near = X.hamming(F.col("a.s"), F.col("b.s"))
     found = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.value") == F.col("b.value")) & (F.col("a.p") < F.col("b.p")) & (near <= within))
@@ -53,15 +53,22 @@ def greedy_keep(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def deduplicate(df: DataFrame, position: str, text: str, signature, within: int = 3) -> DataFrame:
-    """Adds ``text_sha256`` and ``decision`` (kept, exact, near): exact copies first, then the greedy choice among the rest."""
-    hashed = first_per_hash(df.withColumn("text_sha256", X.content_hash(F.col(text))), "text_sha256", position)
-    sigs = scratch.stored(hashed.filter("kept").select(F.col(position).alias("p"), signature.alias("s")), "signatures")
-    firsts = sigs.groupBy("s").agg(F.min("p").alias("p"))
-    kept = greedy_keep(firsts, band_pairs(sigs, "s", "p", within))
-    near = sigs.join(kept.withColumn("_k", F.lit(True)), "p", "left").select(F.col("p").alias(position), F.coalesce("_k", F.lit(False)).alias("_k"))
-    joined = hashed.join(near, position, "left")
-    return joined.withColumn("decision", F.when(~F.col("kept"), "exact").when(F.col("_k"), "kept").otherwise("near")).drop("kept", "_k")
-
-
-def numbered(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(Window.orderBy(order)))
+    """Adds ``text_sha256`` and ``decision`` (kept, exact, near): exact copies first, then the greedy choice among the rest.
+
+    Copies of a text that is near a kept one are near it too. Hashes and signatures are computed once, in one pass over
+    the texts; what follows works on (position, hash, signature).
+    """
+    own = scratch.stored(df.select(F.col(position).alias("p"), X.content_hash(F.col(text)).alias("h"), signature.alias("s")), "signatures")
+    hashed = first_per_hash(own, "h", "p")
+    firsts = hashed.filter("kept").groupBy("s").agg(F.min("p").alias("p"))
+    firsts = scratch.stored(firsts, "first-signatures")
+    chosen = greedy_keep(firsts, band_pairs(firsts, "s", "p", within)).withColumn("_k", F.lit(True))
+    by_hash = hashed.filter("kept").select("h", "p").join(chosen, "p", "left").select(F.col("h").alias("_h"), F.coalesce("_k", F.lit(False)).alias("_k"))
+    told = hashed.join(by_hash, F.col("h") == F.col("_h")).select("p", "h", F.when(~F.col("_k"), "near").when(F.col("kept"), "kept").otherwise("exact").alias("decision"))
+    return df.join(told.select(F.col("p").alias(position), F.col("h").alias("text_sha256"), "decision"), position)
+
+
+def counters(decided: DataFrame) -> DataFrame:
+    """seen, exact_duplicates, approx_duplicates, written."""
+    n = lambda d: F.count_if(F.col("decision") == d)
+    return decided.agg(F.count("*").alias("seen"), n("exact").alias("exact_duplicates"), n("near").alias("approx_duplicates"), n("kept").alias("written"))

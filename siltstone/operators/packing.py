@@ -37,12 +37,14 @@ def blocks(docs: DataFrame, tokens: str, order: list[str], length: int, overlap:
     slices of tokens travel, not single tokens.
     """
     width, step = length + 1, length if overlap else length + 1
-    placed = offsets(docs.withColumn("_n", F.size(tokens)).filter("_n > 0"), "_n", order, within)
+    own = docs.select(*within, *order, F.col(tokens).alias("_tokens"), F.size(tokens).alias("_n"), F.monotonically_increasing_id().alias("_row")).filter("_n > 0")
+    own = scratch.stored(own, "tokens")
+    starts = offsets(own.drop("_tokens"), "_n", order, within).select("_row", "start")  # of keys and sizes alone
     first, last = F.expr(f"greatest(0, floor((start - {width - step}) / {step}))"), F.expr(f"(start + _n - 1) div {step}")
-    cut = placed.withColumn("block", F.explode(F.sequence(first.cast("long"), last)))
+    cut = own.join(starts, "_row").withColumn("block", F.explode(F.sequence(first.cast("long"), last)))
     low = F.greatest(F.col("block") * step, F.col("start"))
     high = F.least(F.col("block") * step + width, F.col("start") + F.col("_n"))
-    part = cut.filter(high > low).select(*within, "block", low.alias("low"), F.slice(tokens, (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("part"))
+    part = cut.filter(high > low).select(*within, "block", low.alias("low"), F.slice("_tokens", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("part"))
     whole = part.groupBy(*within, "block").agg(F.sort_array(F.collect_list(F.struct("low", "part"))).alias("parts")).select(*within, "block", F.flatten(F.transform("parts", lambda p: p["part"])).alias("tokens"))
     return whole.filter(F.size("tokens") == width)
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.functions.numbers import finite, whole
+from siltstone.functions.numbers import finite, perplexity, whole
+from siltstone.operators import control
 
 _NUM = "train_loss double, loss double, lr double, learning_rate double, base_lr double, tokens_per_sec double, step_seconds double, data_load_seconds double, forward_compute_seconds double, shard_update_seconds double, backward_update_seconds double, commit_seconds double, global_grad_norm double, global_grad_clip_scale double, val_loss double, val_perplexity double, validation_batches double"
 LOG = (
@@ -43,6 +44,26 @@ def validation_rows(parsed: DataFrame) -> DataFrame:
     return parsed.filter("kind = 'validation'").select("i", F.col("e.step").alias("step"), finite(F.col("e.val_loss")).alias("val_loss"), finite(F.col("e.val_perplexity")).alias("val_perplexity"), whole(F.col("e.validation_batches")).alias("batches"))
 
 
+#: The columns of an exported window, in order, and where a log line has those that it names otherwise.
+EXPORTED = (
+    "i", "step", "train_loss", "train_loss_ema", "train_loss_delta", "lr", "base_lr", "tokens_per_sec", "step_seconds", "global_grad_norm", "global_grad_clip_scale", "grad_mean", "grad_max", "guard_attempts", "guard_lr_scale", "guard_grad_norm_scale",
+    "guard_loss_before", "guard_loss_after", "forward_trace_seconds", "shard_update_seconds", "backward_update_seconds", "module_build_seconds", "h2d_seconds", "memory_reserved_mb",
+)
+PATHS = {
+    "grad_mean": "grad_norm.mean", "grad_max": "grad_norm.max", "guard_attempts": "guarded_step_replay.attempts", "guard_lr_scale": "guarded_step_replay.accepted_lr_scale", "guard_grad_norm_scale": "guarded_step_replay.accepted_grad_norm_scale",
+    "guard_loss_before": "guarded_step_replay.loss_before", "guard_loss_after": "guarded_step_replay.accepted_loss_after", "memory_reserved_mb": "memory.reserved_mb",
+}
+
+
+def metrics(parsed: DataFrame) -> DataFrame:
+    """Train rows with the columns of ``EXPORTED``; a log is one run, so its moving values are one ordered fold."""
+    at = lambda path: finite(F.get_json_object("line", f"$.{path}"))
+    plain = [c for c in EXPORTED[3:] if not c.startswith("train_loss_")]
+    rows = parsed.filter("kind = 'train'").select(F.lit(0).alias("_run"), "i", F.col("e.step").alias("step"), F.coalesce(at("train_loss"), at("loss")).alias("train_loss"), *(F.coalesce(at(PATHS.get(c, c)), *([at(f"timing_breakdown.{c}")] if c.endswith("_seconds") else [])).alias(c) for c in plain))
+    moved = ema(derived(rows, "_run", "i", "train_loss", "tokens_per_sec"), "_run", "i", "train_loss")
+    return moved.select(*(F.col({"train_loss_ema": "ema", "train_loss_delta": "delta"}.get(c, c)).alias(c) for c in EXPORTED))
+
+
 def ema(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.08) -> DataFrame:
     """Adds ``ema`` per run: the first value seeds it, a null carries it on. One run's rows are one ordered fold, as the recursion asks."""
 
@@ -83,12 +104,40 @@ def repeated_steps(df: DataFrame, run: str, step: str, order: str) -> DataFrame:
 
 
 def summary(df: DataFrame, order: str, step: str, loss: str, tokens: str) -> DataFrame:
-    """One row: first and latest, best (a loss of 0 counts as none), median and total tokens, repeated steps."""
+    """One row: first and latest, best (a loss of 0 counts as none), median and total tokens, repeated steps. The median is found by rank in ordered ranges."""
     best = F.min_by(F.struct(F.col(step).alias("s"), F.col(loss).alias("l")), F.when((F.col(loss) != 0), F.struct(F.col(loss), F.col(order))))
-    return df.agg(
+    row = df.agg(
         F.count("*").alias("n_rows"), F.min_by(step, order).alias("first_step"), F.max_by(step, order).alias("latest_step"), F.max_by(loss, F.when(F.col(loss).isNotNull(), F.col(order))).alias("latest_loss"),
-        best["l"].alias("best_loss"), best["s"].alias("best_step"), F.percentile(tokens, 0.5).alias("median_tokens"), F.sum(tokens).alias("total_tokens"), (F.count(step) - F.count_distinct(step)).alias("repeated_steps"),
+        best["l"].alias("best_loss"), best["s"].alias("best_step"), F.sum(tokens).alias("total_tokens"), (F.count(step) - F.count_distinct(step)).alias("repeated_steps"),
     )
+    middle = control.quantiles(df.select(F.col(tokens).alias("_v"), F.col(order).alias("_o")), "_v", ["_o"], []).select(F.col("p50").alias("median_tokens"))
+    return row.crossJoin(F.broadcast(middle))  # a row each
+
+
+def kpis(df: DataFrame, order: str, step: str, loss: str, norm: str, clip: str, rate: str, seconds: str, attempts: str, rejected: str) -> DataFrame:
+    """One row of key figures: latest and best loss (the first of equals) with their steps, means, and the share of updates that were replayed."""
+    at = F.struct("_s", "_l")
+    own = df.withColumns({"_s": F.col(step), "_l": F.col(loss)})
+    replayed = (F.coalesce(attempts, F.lit(0)) > 1) | (F.coalesce(rejected, F.lit(0)) > 0)
+    best = F.min_by(at, F.when(F.col(loss).isNotNull(), F.struct(loss, order)))
+    row = own.agg(F.max_by(at, order).alias("last"), best.alias("best"), F.avg(norm).alias("avg_grad_norm"), F.avg(clip).alias("avg_clip"), F.avg(rate).alias("avg_tokens_per_sec"), F.avg(seconds).alias("avg_step_seconds"), F.count_if(replayed).alias("replayed"), F.count("*").alias("_n"))
+    return row.select(F.col("last._s").alias("latest_step"), F.col("last._l").alias("latest_loss"), F.col("best._s").alias("best_step"), F.col("best._l").alias("best_loss"), "avg_grad_norm", "avg_clip", "avg_tokens_per_sec", "avg_step_seconds", "replayed", (100.0 * F.col("replayed") / F.greatest(F.lit(1), F.col("_n"))).alias("replay_percent"))
+
+
+def slowest(df: DataFrame, seconds: str, order: str, most: int = 40) -> DataFrame:
+    """The slowest updates; the earlier of equals first."""
+    return df.filter(F.col(seconds).isNotNull()).orderBy(F.desc(seconds), order).limit(most)
+
+
+def validation_table(df: DataFrame, step: str, order: str) -> DataFrame:
+    return df.orderBy(step, order)
+
+
+def validation_mean(losses: DataFrame, loss: str, order: str, most: int | None = None) -> DataFrame:
+    """Mean loss of the first batches, its perplexity and their number; without a batch the row's figures are null."""
+    own = losses.filter(F.col(loss).isNotNull())
+    row = (own.orderBy(order).limit(most) if most is not None else own).agg(F.avg(loss).alias("val_loss"), F.count("*").alias("validation_batches"))
+    return row.select("val_loss", perplexity(F.col("val_loss")).alias("val_perplexity"), "validation_batches")
 
 
 def composition(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -85,3 +85,78 @@ def web_corpus(docs: DataFrame, split: Column, tokenizer_json: str, order: list[
     clean = docs.withColumn("text", X.normalize_web(F.col("text")))
     rows = tokenized(clean.filter(X.keep_text(F.col("text"), least)), split, tokenizer_json, order)
     return packed(rows, order, length, blocks_per_shard, True), counters(rows)
+
+
+def behaviour(prompts: DataFrame, tokenizer_json: str, prompt: str = "prompt") -> DataFrame:
+    """prompt, token_count, tokens, ids of each row, special tokens as the description adds them."""
+    shared = prompts.sparkSession.sparkContext.broadcast(tokenizer_json)
+
+    @F.pandas_udf(T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    def run(s: pd.Series) -> pd.DataFrame:
+        from tokenizers import Tokenizer
+
+        own = Tokenizer.from_str(shared.value)
+        found = [own.encode(t or "") for t in s]
+        return pd.DataFrame({"tokens": [e.tokens for e in found], "ids": [e.ids for e in found]})
+
+    rows = prompts.select(F.col(prompt).alias("prompt"), run(F.col(prompt)).alias("e"))
+    return rows.select("prompt", F.size("e.ids").alias("token_count"), "e.tokens", "e.ids")
+
+
+def evaluation(docs: DataFrame, tokenizer_json: str, order: list[str], sample: int | None = 2000, examples: int = 20, text: str = "text") -> tuple[dict, list[dict]]:
+    """A tokenizer's figures over the first ``sample`` texts in order (all: None), and its first segmentations.
+
+    Ratios are of sums: characters per token, tokens per word (a text counts one word at least), unknown tokens, tokens
+    of one character (without the sign for a space).
+    """
+    from tokenizers import Tokenizer
+
+    known = Tokenizer.from_str(tokenizer_json)
+    unknown = known.token_to_id("<unk>")
+    first = docs.orderBy(*order) if sample is None else docs.orderBy(*order).limit(sample)
+    told = behaviour(scratch.stored(first.select(*order, F.col(text).alias("prompt")), "evaluated"), tokenizer_json)
+    single = F.size(F.filter("tokens", lambda t: F.length(F.replace(t, F.lit("Ġ"), F.lit(""))) <= 1))
+    odd = F.size(F.filter("ids", lambda i: i == F.lit(unknown))) if unknown is not None else F.lit(0)
+    n = told.agg(
+        F.count("*").alias("sample_count"), F.sum(F.length("prompt")).alias("total_sample_chars"), F.sum("token_count").alias("total_sample_tokens"), F.sum(F.greatest(F.lit(1), X.word_count(F.col("prompt")))).alias("words"), F.sum(odd).alias("unknown"), F.sum(single).alias("single")
+    ).first()
+    tokens = max(1, n["total_sample_tokens"] or 0)
+    report = {
+        "sample_count": n["sample_count"], "vocab_size": known.get_vocab_size(), "average_chars_per_token": (n["total_sample_chars"] or 0) / tokens, "fertility_tokens_per_word": (n["total_sample_tokens"] or 0) / max(1, n["words"] or 0),
+        "unk_token_rate": (n["unknown"] or 0) / tokens, "single_char_token_rate": (n["single"] or 0) / tokens, "total_sample_chars": n["total_sample_chars"] or 0, "total_sample_tokens": n["total_sample_tokens"] or 0,
+    }
+    shown = behaviour(docs.orderBy(*order).limit(examples).select(F.col(text).alias("prompt")), tokenizer_json).collect()
+    return report, [{"text_preview": r["prompt"][:200], "tokens": r["tokens"][:80], "token_count": r["token_count"], "chars_per_token": len(r["prompt"]) / max(1, r["token_count"])} for r in shown]
+
+
+def epochs(docs: DataFrame, tokenizer_json: str, order: list[str], length: int, n: int, least: int = 50) -> DataFrame:
+    """``n`` passes over raw web texts as one stream of overlapping blocks (block, tokens): what an epoch leaves over begins the next one's first block. Texts are tokenised once."""
+    clean = docs.withColumn("text", X.normalize_web(F.col("text"))).filter(X.keep_text(F.col("text"), least))
+    rows = tokenized(clean, F.lit("train"), tokenizer_json, order)
+    passes = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return packing.blocks(passes, "ids", ["epoch", *order], length, True)
+
+
+def job(spark: SparkSession, splits: dict[str, list[str]], tokenizer_json: str, out: str, length: int, blocks_per_shard: int, max_docs: dict[str, int] | None = None, least: int = 200, resume: bool = True) -> dict:
+    """Files of each split, in natural order, to blocks below ``out``; the manifest of what is there.
+
+    ``max_docs`` takes the first documents of a split. A split whose tables are complete is not made again when a job is resumed.
+    """
+    from siltstone.sources import scans
+
+    made = {}
+    for split, paths in splits.items():
+        if not paths:
+            raise FileNotFoundError(f"no files of split {split}")
+        blocks_at, counts_at = f"{out}/{split}/blocks", f"{out}/{split}/counters"
+        if not (resume and scans.discover(spark, counts_at, "_SUCCESS")):
+            docs = scans.parquet(spark, sorted(paths, key=scans.natural_key), ["text"], limit=(max_docs or {}).get(split))
+            seen = scratch.stored(docs.select("path_no", "source_path", "source_row", "text"), "job-texts")
+            blocks, counted = web_corpus(seen, F.lit(split), tokenizer_json, ["path_no", "source_path", "source_row"], length, blocks_per_shard, least)
+            blocks.write.mode("overwrite").parquet(blocks_at)
+            counted.crossJoin(seen.agg(F.count("*").alias("seen"))).write.mode("overwrite").parquet(counts_at)
+        n = spark.read.parquet(counts_at).first()
+        parts = shards(spark.read.parquet(blocks_at)).orderBy("shard").collect()
+        made[split] = {"stats": n.asDict() if n else {}, "shards": [r.asDict() for r in parts]}
+    every = [s for m in made.values() for s in m["shards"]]
+    return {"stage": "tokenize", "complete": True, "length": length, "splits": made, "total_blocks": sum(s["blocks"] for s in every), "total_tokens": sum(s["tokens"] for s in every)}

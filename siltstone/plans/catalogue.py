@@ -11,7 +11,7 @@ from siltstone import scratch
 from siltstone.functions import numbers as N
 from siltstone.functions import text as X
 from siltstone.functions import udfs as U
-from siltstone.operators import catalog, codecs, control, dedup, normalize, packing, profile, telemetry, tokenize
+from siltstone.operators import catalog, codecs, control, dedup, normalize, packing, profile, requests, telemetry, tokenize
 from siltstone.sources import scans, sinks
 from siltstone.streaming import streams
 
@@ -44,7 +44,8 @@ _WORDS = "len(regexp_extract_all(text, '[\\pL\\pN_]+'))"
 # Hashes, copies, scalars over documents.
 @query(f"WITH h AS (SELECT doc_id, lang, sha256({_CANON}) AS h FROM documents), k AS (SELECT h, min(doc_id) AS d FROM h GROUP BY h) SELECT lang, count(*) AS n_docs, count(k.d) AS n_kept FROM h LEFT JOIN k ON h.doc_id = k.d GROUP BY lang")
 def doc_hash_exact_dedup(spark, t):
-    d = dedup.first_per_hash(t("documents").select("doc_id", "lang", X.content_hash(F.col("text")).alias("h")), "h", "doc_id")
+    hashed = scratch.stored(t("documents").select("doc_id", "lang", X.content_hash(F.col("text")).alias("h")), "hashed")
+    d = dedup.first_per_hash(hashed, "h", "doc_id")
     return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count_if("kept").alias("n_kept"))
 
 
@@ -127,9 +128,7 @@ def normalized_records(spark, t):
 
 @query()
 def record_counters(spark, t):
-    d = t("documents")
-    lost = normalize.documents(d, _RULES).filter("reason is not null")
-    return normalize.counters(lost.select("reason").unionByName(normalize.records(d, _RULES).select("reason")))
+    return normalize.stage_counters(t("documents"), _RULES)
 
 
 @query()
@@ -137,11 +136,35 @@ def page_text(spark, t):
     return t("pages").select("page_id", F.length(U.normalized(F.col("html"))).cast("long").alias("n_chars"))
 
 
-@query()
+# Windows of 6000 characters that end past 2000, at the last blank line, else sentence end; 400 characters overlap.
+_WINDOW = "substr(text, CAST(s + 2001 AS BIGINT), 4000)"
+_STOP = f"CASE WHEN s + 6000 >= n THEN n WHEN instr(reverse({_WINDOW}), chr(10) || chr(10)) > 0 THEN s + 6000 - instr(reverse({_WINDOW}), chr(10) || chr(10)) WHEN instr(reverse({_WINDOW}), ' .') > 0 THEN s + 6000 - instr(reverse({_WINDOW}), ' .') ELSE s + 6000 END"
+_CHUNKS = f"""WITH RECURSIVE w AS (SELECT doc_id, text, n, s, {_STOP} AS stop FROM (SELECT doc_id, text, length(text) AS n, 0::BIGINT AS s FROM documents) WHERE n > 6000 UNION ALL SELECT doc_id, text, n, s, {_STOP} FROM (SELECT doc_id, text, n, greatest(stop - 400, s + 1) AS s FROM w WHERE stop < n)),
+p AS (SELECT doc_id, s, regexp_replace(substr(text, CAST(s + 1 AS BIGINT), CAST(stop - s AS BIGINT)), '^\\s+|\\s+$', '', 'g') AS text FROM w),
+c AS (SELECT doc_id, 0 AS chunk, text FROM documents WHERE length(text) <= 6000 UNION ALL SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1, text FROM p WHERE text <> '') """
+
+
+@query(_CHUNKS + "SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(length(text) AS BIGINT) AS n_chars FROM c")
 def chunk_docs(spark, t):
     return t("documents").select("doc_id", F.posexplode(U.chunked(4000, 6000, 400)(F.col("text"))).alias("chunk", "text")).select("doc_id", "chunk", F.length("text").cast("long").alias("n_chars"))
 
 
+_STAYS = "(SELECT doc_id AS d, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN NOT coalesce(lower(lang) IN ('en', 'de', 'fr'), false) THEN 'language_filtered' WHEN lower(source) = 'src3' THEN 'collection_filtered' END AS lost FROM documents)"
+_CHUNK_REASON = f"CASE WHEN length(text) < 200 THEN 'too_short' WHEN {_WORDS} < 20 THEN 'too_few_words' WHEN {_LOW} THEN 'low_value' END"
+
+
+@query(_CHUNKS + f"SELECT printf('%s:chunk-%04d', CAST(doc_id AS VARCHAR), CAST(chunk AS INTEGER)) AS id, sha256({_CANON}) AS text_sha256, CAST(length(text) AS BIGINT) AS char_count, CAST({_WORDS} AS BIGINT) AS word_count, {_CHUNK_REASON} AS reason FROM c JOIN {_STAYS} x ON c.doc_id = x.d WHERE lost IS NULL")
+def raw_records(spark, t):
+    r = normalize.records(t("documents"), _RULES, clean=False)
+    return r.select("id", "text_sha256", F.col("char_count").cast("long").alias("char_count"), F.col("word_count").cast("long").alias("word_count"), "reason")
+
+
+@query(_CHUNKS + f""", k AS (SELECT c.*, lost FROM c JOIN {_STAYS} x ON c.doc_id = x.d), m AS (SELECT doc_id, count(*) AS n FROM k WHERE lost IS NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT coalesce({_CHUNK_REASON}, 'written') AS reason, count(*) AS n FROM k WHERE lost IS NULL GROUP BY 1 UNION ALL SELECT lost, count(*) FROM {_STAYS} WHERE lost IS NOT NULL GROUP BY 1 UNION ALL SELECT 'seen', count(*) FROM documents UNION ALL SELECT 'oversized_docs_chunked', count(*) FROM m UNION ALL SELECT 'chunks_created', CAST(coalesce(sum(n), 0) AS BIGINT) FROM m""")
+def raw_counters(spark, t):
+    return normalize.stage_counters(t("documents"), _RULES, clean=False)
+
+
 # Near duplicates.
 @query()
 def lsh_pairs(spark, t):
@@ -155,11 +178,40 @@ def neardup_keep(spark, t):
     return d.select("doc_id", "text_sha256", "decision")
 
 
-@query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.label, b.label)) AS BIGINT) AS d FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id + 1 = b.vec_id")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, CAST(bit_count(xor(a.label * 37, b.label * 37)) AS BIGINT) AS d FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")
 def label_hamming(spark, t):
-    e = t("embeddings").select("vec_id", "label")
-    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("label").alias("label"))
-    return e.join(b, ["vec_id", "label"]).select(F.col("vec_id").alias("a"), "b", X.hamming(F.col("label"), F.col("label")).cast("long").alias("d"))
+    e = t("embeddings").select("vec_id", (F.col("label") * 37).alias("x"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("b"), F.col("x").alias("y"))
+    return e.join(b, "vec_id").select(F.col("vec_id").alias("a"), "b", X.hamming(F.col("x"), F.col("y")).cast("long").alias("d"))
+
+
+# Signatures from the signs of a vector's components, so that SQL can hold the near-duplicate plans whole.
+_SIGNED = "SELECT vec_id AS p, CAST(list_sum(list_transform(embedding[1:16], lambda x, i: CASE WHEN x > 0 THEN CAST(pow(2, 4 * (i - 1)) AS BIGINT) ELSE 0::BIGINT END)) AS BIGINT) AS s, sha256('v' || label || ':' || CAST(vec_id % 60 AS VARCHAR)) AS h FROM embeddings"
+
+
+def _signed(t):
+    signs = F.expr("aggregate(transform(slice(embedding, 1, 16), (x, i) -> if(x > 0, shiftleft(1L, 4 * i), 0L)), 0L, (a, b) -> a + b)")
+    return t("embeddings").select("vec_id", F.concat(F.lit("v"), "label", F.lit(":"), (F.col("vec_id") % 60).cast("string")).alias("text"), signs.alias("s"))
+
+
+@query(f"WITH x AS ({_SIGNED}), o AS (SELECT s, min(p) AS p FROM x GROUP BY s) SELECT a.p AS earlier, b.p AS later, CAST(bit_count(xor(a.s, b.s)) AS INTEGER) AS distance FROM o a JOIN o b ON a.p < b.p AND bit_count(xor(a.s, b.s)) <= 3")
+def sign_pairs(spark, t):
+    return dedup.band_pairs(_signed(t), "s", "vec_id")
+
+
+_GREEDY = f"""WITH RECURSIVE x AS ({_SIGNED}), u AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY p) AS c, min(p) OVER (PARTITION BY h) AS f FROM x), o AS (SELECT p, s, row_number() OVER (ORDER BY p) AS i FROM u WHERE c = 1),
+g AS (SELECT 0::BIGINT AS i, NULL::BIGINT AS p, false AS kept, []::BIGINT[] AS held UNION ALL SELECT o.i, o.p, len(list_filter(held, lambda k: bit_count(xor(k, o.s)) <= 3)) = 0, CASE WHEN len(list_filter(held, lambda k: bit_count(xor(k, o.s)) <= 3)) = 0 THEN list_append(held, o.s) ELSE held END FROM g JOIN o ON o.i = g.i + 1),
+d AS (SELECT u.p, CASE WHEN NOT g.kept THEN 'near' WHEN u.c = 1 THEN 'kept' ELSE 'exact' END AS decision FROM u JOIN g ON u.f = g.p) """
+
+
+@query(_GREEDY + "SELECT p AS vec_id, decision FROM d")
+def sign_dedup(spark, t):
+    return dedup.deduplicate(_signed(t), "vec_id", "text", F.col("s")).select("vec_id", "decision")
+
+
+@query(_GREEDY + "SELECT count(*) AS seen, count(*) FILTER (WHERE decision = 'exact') AS exact_duplicates, count(*) FILTER (WHERE decision = 'near') AS approx_duplicates, count(*) FILTER (WHERE decision = 'kept') AS written FROM d")
+def dedup_counters(spark, t):
+    return dedup.counters(dedup.deduplicate(_signed(t), "vec_id", "text", F.col("s")))
 
 
 # Profiles.
@@ -335,17 +387,26 @@ def latency_histogram(spark, t):
 
 @query("SELECT event_type, round(list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1], 6) AS p95, round(median(value), 6) AS p50 FROM events GROUP BY 1")
 def p95_floor(spark, t):
-    # The exact place is found by rank in ordered ranges, not by collecting a group's values.
-    e = t("events").select("event_type", "value", "event_id")
-    n = e.groupBy("event_type").agg(F.count("*").alias("n"), F.percentile("value", 0.5).alias("p50"))
-    placed = packing.offsets(e.withColumn("one", F.lit(1)), "one", ["value", "event_id"], ["event_type"])
-    return placed.join(n, "event_type").filter(F.col("start") == F.floor(F.lit(0.95) * (F.col("n") - 1))).select("event_type", F.round("value", 6).alias("p95"), F.round("p50", 6).alias("p50"))
+    q = control.quantiles(t("events").select("event_type", "value", "event_id"), "value", ["event_id"], ["event_type"])
+    return q.select("event_type", F.round("p95", 6).alias("p95"), F.round("p50", 6).alias("p50"))
+
+
+@query("SELECT event_type, count(*) AS requests, round(count(*) / 86400.0, 6) AS rps, round(sum(user_id) / 86400.0, 6) AS tokens_per_s, round(list_sort(list(value))[CAST(floor(0.95 * (count(*) - 1)) AS BIGINT) + 1], 6) AS p95, round(median(value), 6) AS p50 FROM events GROUP BY 1")
+def load_stats(spark, t):
+    r = control.load_stats(t("events"), "value", "user_id", ["event_id"], ["event_type"], F.lit(86400.0))
+    return r.select("event_type", "requests", *(F.round(c, 6).alias(c) for c in ("rps", "tokens_per_s", "p95", "p50")))
+
+
+@query("SELECT event_type, count(*) AS requests, CAST(sum(user_id) AS BIGINT) AS tokens, max_by(value, event_id) AS resident FROM (SELECT event_type, user_id, event_id, value FROM events) GROUP BY 1")
+def metric_registry(spark, t):
+    e = t("events").select("event_type", "event_id", F.col("user_id").alias("tokens"), F.col("value").alias("resident"))
+    return control.registry(e, ["event_type"], "event_id", ["tokens"], ["resident"])
 
 
-@query("SELECT event_id, round(exp(least(20, value)), 4) AS ppl, round(CASE WHEN event_id <= 100 THEN 0.0003 * event_id / 100 ELSE 0.0003 * greatest(0.1, 0.5 * (1 + cos(pi() * least(1.0, (event_id - 100) / 900.0)))) END, 12) AS lr_floor, round(CASE WHEN event_id < 100 THEN 0.0003 * event_id / 100 ELSE 0.00003 + 0.5 * (1 + cos(pi() * least(1.0, (event_id - 100) / 900.0))) * 0.00027 END, 12) AS lr_blend, round(CASE WHEN value > 10 THEN 10 / value ELSE 1 END, 9) AS clip, [1.0, 0.5, 0.25][least(event_id % 5, 2) + 1]::DOUBLE AS scale FROM events WHERE value < 15")
+@query("SELECT event_id, round(exp(least(20, value)), 4) AS ppl, round(CASE WHEN event_id <= 100 THEN 0.0003 * event_id / 100 ELSE 0.0003 * greatest(0.1, 0.5 * (1 + cos(pi() * least(1.0, (event_id - 100) / 900.0)))) END, 12) AS lr_floor, round(CASE WHEN event_id < 100 THEN 0.0003 * event_id / 100 ELSE 0.00003 + 0.5 * (1 + cos(pi() * least(1.0, (event_id - 100) / 900.0))) * 0.00027 END, 12) AS lr_blend, round(CASE WHEN value > 10 THEN 10 / value ELSE 1 END, 9) AS clip, [1.0, 0.5, 0.25][least(event_id % 5, 2) + 1]::DOUBLE AS scale FROM events")
 def schedules(spark, t):
     s = F.col("event_id")
-    return t("events").filter("value < 15").select(
+    return t("events").select(
         "event_id", F.round(N.perplexity(F.col("value")), 4).alias("ppl"), F.round(N.rate_floor(s, 0.0003, 100, 1000, 0.1), 12).alias("lr_floor"), F.round(N.rate_blend(s, 0.0003, 100, 1000, 0.00003), 12).alias("lr_blend"), F.round(N.clip_scale(F.col("value"), 10.0), 9).alias("clip"), N.ladder([1.0, 0.5, 0.25], s % 5).alias("scale"),
     )
 
@@ -385,9 +446,9 @@ def story_prompts(spark, t):
 _TERMS = "list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))"
 
 
-@query(f"WITH q AS (SELECT item_id AS query_id, {_TERMS} AS t FROM benchmark WHERE item_id < 5), d AS (SELECT doc_id, {_TERMS} AS t FROM documents), s AS (SELECT query_id, doc_id, round(len(list_intersect(q.t, d.t)) / sqrt(len(q.t) * len(d.t)), 9) AS score FROM q, d WHERE len(d.t) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10")
+@query(f"WITH q AS (SELECT item_id AS query_id, {_TERMS} AS t FROM benchmark), d AS (SELECT doc_id, {_TERMS} AS t FROM documents), s AS (SELECT query_id, doc_id, len(list_intersect(q.t, d.t)) / sqrt(len(q.t) * len(d.t)) AS score FROM q, d WHERE len(d.t) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) SELECT query_id, doc_id, round(score, 9) AS score, rank FROM r WHERE rank <= 10")
 def rerank_topn(spark, t):
-    q = t("benchmark").filter("item_id < 5").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    q = t("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     r = control.rerank(q, t("documents"), 10)
     return r.select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
@@ -399,10 +460,10 @@ def lru_evict(spark, t):
     return control.evict(o, 500000, "g", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "g", F.col("freed_before").cast("long").alias("freed_before"))
 
 
-@query("WITH p AS (SELECT l_orderkey % 100 AS r, l_orderkey * 10 + l_linenumber AS page_id, CAST(l_partkey AS BIGINT) AS s, CAST(l_partkey + l_quantity AS BIGINT) AS e FROM lineitem), a AS (SELECT o_custkey % 100 AS r, CAST(o_orderkey % 2000 AS BIGINT) AS pos FROM orders WHERE o_orderkey % 97 = 0) SELECT a.r AS request_id, pos, page_id FROM a JOIN p ON a.r = p.r AND s <= pos + 64 AND e >= pos")
+@query("WITH p AS (SELECT l_orderkey % 100 AS r, l_orderkey * 10 + l_linenumber AS page_id, CAST(l_partkey AS BIGINT) AS s, CAST(l_partkey + l_quantity AS BIGINT) AS e FROM lineitem), a AS (SELECT o_custkey % 100 AS r, CAST(o_orderkey % 2000 AS BIGINT) AS pos FROM orders) SELECT a.r AS request_id, pos, page_id FROM a JOIN p ON a.r = p.r AND s <= pos + 64 AND e >= pos")
 def page_overlap(spark, t):
     p = t("lineitem").select((F.col("l_orderkey") % 100).alias("request_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page_id"), F.col("l_partkey").cast("long").alias("start"), (F.col("l_partkey") + F.col("l_quantity")).cast("long").alias("end"))
-    a = t("orders").filter("o_orderkey % 97 = 0").select((F.col("o_custkey") % 100).alias("request_id"), (F.col("o_orderkey") % 2000).cast("long").alias("pos"))
+    a = t("orders").select((F.col("o_custkey") % 100).alias("request_id"), (F.col("o_orderkey") % 2000).cast("long").alias("pos"))
     return control.overlapping(p, a, 64, 256)
 
 
@@ -445,19 +506,23 @@ SELECT c_custkey, rule, CASE rule WHEN 'quality' THEN CASE WHEN fp8 THEN 'fp8' E
 CASE rule WHEN 'quality' THEN 4 WHEN 'memory' THEN CASE WHEN p >= 0.98 THEN 2 ELSE 3 END WHEN 'throughput' THEN 3 ELSE CASE WHEN p < 0.75 THEN 4 ELSE 3 END END AS bits,
 CASE rule WHEN 'quality' THEN 1024 WHEN 'memory' THEN 256 WHEN 'throughput' THEN 384 ELSE CASE WHEN context >= 8192 THEN 512 ELSE 768 END END AS recent_window,
 CAST(CASE rule WHEN 'quality' THEN 0 WHEN 'memory' THEN CASE WHEN p >= 0.98 THEN 0.2 ELSE 0.1 END WHEN 'throughput' THEN CASE WHEN context >= 8192 THEN 0.05 ELSE 0 END ELSE CASE WHEN p >= 0.82 THEN 0.05 ELSE 0 END END AS DOUBLE) AS prune_fraction,
-CASE rule WHEN 'quality' THEN false WHEN 'memory' THEN true WHEN 'throughput' THEN p >= 0.8 ELSE p >= 0.86 END AS to_cpu, rule = 'memory' AND p >= 0.98 AS to_nvme FROM r""")
+CASE rule WHEN 'quality' THEN false WHEN 'memory' THEN true WHEN 'throughput' THEN p >= 0.8 ELSE p >= 0.86 END AS to_cpu, rule = 'memory' AND p >= 0.98 AS to_nvme, CASE rule WHEN 'quality' THEN 'quality_first under available GPU memory' WHEN 'memory' THEN 'memory pressure requires aggressive KV compression and pruning' WHEN 'throughput' THEN 'throughput/concurrency favors smaller KV and predictable paging' ELSE 'balanced policy' END AS reason FROM r""")
 def policy_decisions(spark, t):
     c = t("customer").select("c_custkey", F.expr(_MODE).alias("mode"), F.when(F.col("c_acctbal") <= 0, 0.0).otherwise(control.pressure(F.col("c_acctbal") + 500, F.lit(10000.0))).alias("p"), (F.col("c_custkey") % 20).alias("requests"), (F.col("c_custkey") * 7 % 16384).alias("context"), (F.col("c_nationkey") % 2 == 0).alias("fp8"))
-    return control.decide(c).select("c_custkey", "rule", "codec", "bits", "recent_window", "prune_fraction", "to_cpu", "to_nvme")
+    return control.decide(c).select("c_custkey", "rule", "codec", "bits", "recent_window", "prune_fraction", "to_cpu", "to_nvme", "reason")
 
 
-@query(f"""WITH h AS (SELECT n_nationkey AS hw, CASE WHEN n_nationkey % 3 = 0 THEN 'cpu' ELSE 'cuda' END AS hardware, n_nationkey * 2.0 AS memory_gb, n_nationkey % 4 = 0 AS fp8, n_nationkey % 2 = 0 AS int4, n_nationkey % 5 <> 0 AS bf16 FROM nation),
-m AS (SELECT p_partkey AS model, CASE p_size % 5 WHEN 0 THEN 'fp8' WHEN 1 THEN 'int4' WHEN 2 THEN 'bf16' ELSE 'auto' END AS requested, CASE p_size % 4 WHEN 0 THEN 'quality_first' WHEN 1 THEN 'memory_first' WHEN 2 THEN 'throughput_first' ELSE 'balanced' END AS policy, p_size * 1.0 AS min_memory_gb FROM part WHERE p_partkey % 20 = 0)
-SELECT model, hw, {control.PLAN.replace("if(hardware = 'cpu', 'int8', 'fp16')", "CASE WHEN hardware = 'cpu' THEN 'int8' ELSE 'fp16' END").replace("if(hardware = 'cuda', 'fp16', 'int8')", "CASE WHEN hardware = 'cuda' THEN 'fp16' ELSE 'int8' END").replace("if(int4, 'int4', 'int8')", "CASE WHEN int4 THEN 'int4' ELSE 'int8' END")} AS selected FROM m, h""")
+@query("""WITH h AS (SELECT n_nationkey AS hw, CASE WHEN n_nationkey % 3 = 0 THEN 'cpu' ELSE 'cuda' END AS hardware, n_nationkey * 2.0 AS memory_gb, n_nationkey % 4 = 0 AS fp8, n_nationkey % 2 = 0 AS int4, n_nationkey % 5 <> 0 AS bf16 FROM nation),
+m AS (SELECT p_partkey AS model, CASE p_size % 5 WHEN 0 THEN 'fp8' WHEN 1 THEN 'int4' WHEN 2 THEN 'bf16' ELSE 'auto' END AS requested, CASE p_size % 4 WHEN 0 THEN 'quality_first' WHEN 1 THEN 'memory_first' WHEN 2 THEN 'throughput_first' ELSE 'balanced' END AS policy, p_size * 1.0 AS min_memory_gb FROM part)
+SELECT model, hw, selected, CASE selected WHEN 'bf16' THEN 'bfloat16' WHEN 'fp16' THEN 'float16' WHEN 'fp8' THEN 'float8' WHEN 'int4' THEN 'int4_awq' ELSE 'int8' END AS dtype, CASE selected WHEN 'fp8' THEN 'fp8' ELSE 'auto' END AS kv_dtype,
+ CASE WHEN requested <> 'auto' THEN 'registry requested mode' WHEN policy = 'balanced' THEN 'balanced auto policy' ELSE policy || ' auto policy' END AS reason FROM (SELECT *, CASE
+ WHEN requested = 'fp8' THEN (CASE WHEN fp8 THEN 'fp8' WHEN hardware = 'cpu' THEN 'int8' ELSE 'fp16' END) WHEN requested = 'int4' THEN (CASE WHEN int4 THEN 'int4' ELSE 'int8' END) WHEN requested = 'bf16' THEN (CASE WHEN bf16 THEN 'bf16' WHEN hardware = 'cuda' THEN 'fp16' ELSE 'int8' END)
+ WHEN policy = 'quality_first' THEN (CASE WHEN bf16 THEN 'bf16' WHEN hardware = 'cuda' THEN 'fp16' ELSE 'int8' END) WHEN policy = 'memory_first' THEN (CASE WHEN int4 THEN 'int4' ELSE 'int8' END) WHEN policy = 'throughput_first' THEN (CASE WHEN fp8 THEN 'fp8' WHEN int4 THEN 'int4' ELSE 'int8' END)
+ WHEN fp8 AND memory_gb >= min_memory_gb THEN 'fp8' WHEN int4 AND memory_gb < greatest(1.0, 1.25 * min_memory_gb) THEN 'int4' WHEN bf16 THEN 'bf16' WHEN hardware = 'cuda' THEN 'fp16' ELSE 'int8' END AS selected FROM m, h)""")
 def quantization_plans(spark, t):
     h = t("nation").select(F.col("n_nationkey").alias("hw"), F.expr("if(n_nationkey % 3 = 0, 'cpu', 'cuda')").alias("hardware"), (F.col("n_nationkey") * 2.0).alias("memory_gb"), *(F.expr(e).alias(n) for n, e in (("fp8", "n_nationkey % 4 = 0"), ("int4", "n_nationkey % 2 = 0"), ("bf16", "n_nationkey % 5 <> 0"))))
-    m = t("part").filter("p_partkey % 20 = 0").select(F.col("p_partkey").alias("model"), F.expr("case p_size % 5 when 0 then 'fp8' when 1 then 'int4' when 2 then 'bf16' else 'auto' end").alias("requested"), F.expr("case p_size % 4 when 0 then 'quality_first' when 1 then 'memory_first' when 2 then 'throughput_first' else 'balanced' end").alias("policy"), (F.col("p_size") * 1.0).alias("min_memory_gb"), F.lit(False).alias("prequantized"))
-    return control.plan_quantization(m.crossJoin(F.broadcast(h))).select("model", "hw", "selected")
+    m = t("part").select(F.col("p_partkey").alias("model"), F.expr("case p_size % 5 when 0 then 'fp8' when 1 then 'int4' when 2 then 'bf16' else 'auto' end").alias("requested"), F.expr("case p_size % 4 when 0 then 'quality_first' when 1 then 'memory_first' when 2 then 'throughput_first' else 'balanced' end").alias("policy"), (F.col("p_size") * 1.0).alias("min_memory_gb"), F.lit(False).alias("prequantized"))
+    return control.plan_quantization(m.crossJoin(h)).select("model", "hw", "selected", "dtype", "kv_dtype", "reason")
 
 
 @query("WITH c AS (SELECT p_brand AS name, count(*) AS n FROM part GROUP BY 1), r AS (SELECT *, greatest(0, 200 - count(*) OVER ()) * n::DOUBLE / greatest(1, sum(n) OVER ()) AS raw, greatest(0, 200 - count(*) OVER ()) AS rest FROM c), w AS (SELECT *, floor(raw) AS f, row_number() OVER (ORDER BY raw - floor(raw) DESC, name DESC) AS place FROM r) SELECT name, n, CAST(1 + f + CASE WHEN place <= rest - sum(f) OVER () THEN 1 ELSE 0 END AS BIGINT) AS shards FROM w")
@@ -506,11 +571,17 @@ def clip_factors(spark, t):
     return catalog.clip_factors(t("lineitem"), "l_orderkey", "l_quantity", 0.25, 2.0, 0.5).select("l_orderkey", "l_linenumber", F.round("scale", 8).alias("scale"))
 
 
-@query()
+@query("WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders), r AS (SELECT o_custkey, o_orderkey, n, i, 0::BIGINT AS file, n AS held FROM o WHERE i = 1 UNION ALL SELECT o.o_custkey, o.o_orderkey, o.n, o.i, CASE WHEN held > 0 AND held + o.n > 400000 THEN file + 1 ELSE file END, CASE WHEN held > 0 AND held + o.n > 400000 THEN o.n ELSE held + o.n END FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i + 1) SELECT o_custkey, o_orderkey, n, file FROM r")
 def file_packing(spark, t):
     return catalog.next_fit(t("orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("long").alias("n")), "o_custkey", "o_orderkey", "n", 400000)
 
 
+@query("WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, CAST(trunc(o_totalprice) AS BIGINT) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i FROM orders), r AS (SELECT o_custkey, o_orderkey, i, 0::BIGINT AS file, n AS held FROM o WHERE i = 1 UNION ALL SELECT o.o_custkey, o.o_orderkey, o.i, CASE WHEN held > 0 AND held + o.n > 400000 THEN file + 1 ELSE file END, CASE WHEN held > 0 AND held + o.n > 400000 THEN o.n ELSE held + o.n END FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i + 1) SELECT o_custkey, o_orderkey, CASE WHEN max(file) OVER (PARTITION BY o_custkey) = 0 THEN 'model.safetensors' ELSE printf('model-%05d-of-%05d.safetensors', file + 1, max(file) OVER (PARTITION BY o_custkey) + 1) END AS file_name FROM r")
+def weight_maps(spark, t):
+    packed = catalog.next_fit(t("orders").select("o_custkey", "o_orderkey", F.col("o_totalprice").cast("long").alias("n")), "o_custkey", "o_orderkey", "n", 400000)
+    return catalog.weight_map(packed, "o_custkey", "o_orderkey")
+
+
 @query()
 def vector_codecs(spark, t):
     e = t("embeddings").select("vec_id", *(U.codec(k)(F.col("embedding")).alias(k) for k in ("fp16", "fp8", "rotated")))
@@ -523,8 +594,226 @@ def selective_codec(spark, t):
     return codecs.selective(e, "label", "vec_id", "score", "embedding", 16, 0.1).select("vec_id", "tier", "n_bytes", F.round("error", 5).alias("error"))
 
 
-# Streams.
+# Requests and tenants.
+@query("WITH h AS (SELECT item_id, sha256(text || ':0') || sha256(text || ':1') AS h FROM benchmark), v AS (SELECT item_id, list_transform(range(40), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) / 127.5 - 1) AS v FROM h), n AS (SELECT item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT item_id, round(v[1] / n, 9) AS first, round(v[40] / n, 9) AS last, round(list_sum(list_transform(v, lambda x, i: x * i)) / n, 7) AS mixed FROM n")
+def hash_embeddings(spark, t):
+    e = t("benchmark").select("item_id", requests.hash_embedding(F.col("text"), 40).alias("e"))
+    mixed = F.aggregate(F.transform("e", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return e.select("item_id", F.round(F.col("e")[0], 9).alias("first"), F.round(F.col("e")[39], 9).alias("last"), F.round(mixed, 7).alias("mixed"))
+
+
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN event_id || ' ' || user_id WHEN 1 THEN event_id || ' 7|' || user_id WHEN 2 THEN event_type || '|' || user_id WHEN 3 THEN event_type ELSE '' END AS inputs FROM events")
+def embedding_inputs(spark, t):
+    v = F.expr("case event_id % 5 when 0 then format_string('[%d, %d]', event_id, user_id) when 1 then format_string('[[%d,7],[%d]]', event_id, user_id) when 2 then format_string('[\"%s\", \"%d\"]', event_type, user_id) when 3 then format_string('\"%s\"', event_type) else '[]' end")
+    return t("events").select("event_id", F.array_join(requests.embedding_inputs(v), "|").alias("inputs"))
+
+
+@query("WITH i AS (SELECT l_orderkey, list(CAST(l_quantity AS INTEGER) % 3 ORDER BY l_linenumber, CAST(l_quantity AS INTEGER) % 3) AS ids FROM lineitem GROUP BY 1), k AS (SELECT *, list_max(list_transform(ids, lambda x, i: CASE WHEN x <> 0 THEN i ELSE 0 END)) AS k FROM i) SELECT l_orderkey, CASE WHEN k = 0 THEN '9' ELSE array_to_string(ids[1:k], ' ') END AS ids FROM k")
+def prompt_ids(spark, t):
+    own = t("lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", (F.col("l_quantity").cast("int") % 3).alias("i")))), lambda x: x["i"]).alias("ids"))
+    return own.select("l_orderkey", F.array_join(requests.prompt_ids(F.col("ids"), 9, 0), " ").alias("ids"))
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_size % 3 <> 0 THEN p_size % 3 WHEN p_size % 5 <> 0 THEN p_size % 5 ELSE 256 END AS INTEGER) AS n FROM part")
+def token_limits(spark, t):
+    return t("part").select("p_partkey", requests.token_limit(F.col("p_size") % 3, F.col("p_size") % 5).cast("int").alias("n"))
+
+
+@query("SELECT conv_id, turn, array_to_string(string_split(text, '. '), ' ') AS text FROM conversations")
+def message_parts(spark, t):
+    parts = F.transform(F.split("text", "\\. "), lambda x: F.struct(F.lit("text").alias("type"), x.alias("text")))
+    return t("conversations").select("conv_id", "turn", requests.parts_text(parts).alias("text"))
+
+
+@query("""WITH a AS (SELECT DISTINCT conv_id, concat_ws(chr(10), CASE WHEN conv_id % 3 = 0 THEN 'Available tools must be called with JSON: [{"id": ' || conv_id || '}]' END, CASE WHEN conv_id % 2 = 0 THEN 'Respond with JSON that conforms to: {"type": "json_object"}' END) AS text FROM conversations),
+u AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, -1, 'system', text FROM a WHERE text <> '') SELECT conv_id, string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn) || chr(10) || '<|assistant|>' || chr(10) AS prompt FROM u GROUP BY 1""")
+def control_prompts(spark, t):
+    turns = t("conversations")
+    asks = turns.select("conv_id").distinct().select("conv_id", F.expr("if(conv_id % 3 = 0, concat('[{\"id\": ', conv_id, '}]'), null)").alias("tools"), F.expr("case when conv_id % 2 = 0 then '{\"type\": \"json_object\"}' when conv_id % 5 = 0 then '{\"type\": \"text\"}' end").alias("response_format"))
+    return control.chat_prompt(requests.with_control(turns, asks))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 AND event_id % 4 = 0 THEN 'tool_calls' WHEN event_id % 2 = 0 AND event_id % 4 = 2 AND event_id % 7 = 0 THEN 'invalid' ELSE 'content' END AS kind FROM events")
+def answer_kinds(spark, t):
+    text = F.expr("case when event_id % 4 = 0 then '{\"tool_calls\": [1]}' when event_id % 7 = 0 then concat('{', props) else props end")
+    tools, form = F.expr("if(event_id % 3 = 0, '[]', null)"), F.expr("case when event_id % 2 = 0 then '{\"type\": \"json_schema\"}' else '{\"type\": \"text\"}' end")
+    return t("events").select("event_id", requests.answer_kind(text, tools, form).alias("kind"))
+
+
+@query("""WITH m AS (SELECT s_suppkey AS model_id, CASE WHEN s_suppkey % 3 = 0 THEN 'embed' ELSE 'chat' END AS task, CASE s_nationkey % 5 WHEN 0 THEN 'dev' WHEN 1 THEN 'vllm' WHEN 2 THEN 'transformers' WHEN 3 THEN 'perkunas' ELSE 'other' END AS backend, s_suppkey % 2 = 0 AS need, CASE WHEN s_nationkey % 2 = 0 THEN 'fp8' ELSE 'turboquant' END AS kv, s_suppkey % 7 = 0 AS forced FROM supplier)
+SELECT p_partkey, backend, CASE WHEN m.model_id IS NULL THEN 'unknown_model' WHEN task <> 'chat' THEN 'wrong_task' WHEN backend = 'other' THEN 'unknown_backend' WHEN need AND NOT forced AND backend <> 'dev' AND NOT (backend = 'vllm' AND kv = 'fp8') THEN 'kv_contract' END AS refused FROM part LEFT JOIN m ON p_partkey % 130 = m.model_id""")
+def model_contracts(spark, t):
+    e = F.expr
+    m = t("supplier").select(F.col("s_suppkey").alias("model_id"), e("if(s_suppkey % 3 = 0, 'embed', 'chat')").alias("task"), e("case s_nationkey % 5 when 0 then 'dev' when 1 then 'vllm' when 2 then 'transformers' when 3 then 'perkunas' else 'other' end").alias("backend"), e("s_suppkey % 2 = 0").alias("kv_required"), e("if(s_nationkey % 2 = 0, 'fp8', 'turboquant')").alias("kv_mode"), e("s_suppkey % 7 = 0").alias("forced"))
+    return requests.admitted_models(t("part").select("p_partkey", (F.col("p_partkey") % 130).alias("model_id"), F.lit("chat").alias("task_type")), m).select("p_partkey", "backend", "refused")
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'a' END AS tenant_id, CASE WHEN c_custkey % 4 < 3 THEN left(sha256('t' || c_custkey % 4), 16) END AS token_hash FROM customer")
+def tenants(spark, t):
+    asks = t("customer").select("c_custkey", F.concat(F.lit("t"), F.col("c_custkey") % 4).alias("token"))
+    return requests.authenticated(asks, requests.token_map("a:t0, b:t1, a2:t2")).select("c_custkey", F.regexp_replace("tenant_id", "2", "").alias("tenant_id"), "token_hash")
+
+
+@query("SELECT source, count(*) AS lookups, count(k) AS hits, round(CASE WHEN count(*) = 0 THEN 0 ELSE count(k) * 1.0 / count(*) END, 9) AS rate FROM (SELECT 1 AS source, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS k FROM documents) GROUP BY 1")
+def reuse_rate(spark, t):
+    r = control.reuse(t("documents").select(F.expr("if(doc_id % 3 = 0, doc_id, null)").alias("kv_ref")))
+    return r.select(F.lit(1).alias("source"), "lookups", "hits", F.round("rate", 9).alias("rate"))
+
+
+@query("SELECT count(*) FILTER (WHERE source IS DISTINCT FROM 'src3') AS entries, count(*) FILTER (WHERE source = 'src3') AS removed FROM documents")
+def tenant_eviction(spark, t):
+    rest, n = control.evict_tenant(t("documents").withColumnRenamed("source", "tenant_id"), "src3")
+    return rest.agg(F.count("*").alias("entries"), F.lit(n).cast("long").alias("removed"))
+
+
+@query("WITH o AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'gpu' WHEN 'O' THEN 'cpu' ELSE 'nvme' END AS tier, CAST(round(o_totalprice) AS BIGINT) AS b, o_orderdate FROM orders), r AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY tier ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM o) SELECT o_orderkey, tier, CASE WHEN f >= 3000000 THEN tier WHEN tier = 'gpu' THEN 'cpu' WHEN tier = 'cpu' THEN 'nvme' END AS to_tier FROM r")
+def lru_demote(spark, t):
+    o = t("orders").select("o_orderkey", F.expr("case o_orderstatus when 'F' then 'gpu' when 'O' then 'cpu' else 'nvme' end").alias("tier"), F.round("o_totalprice").cast("long").alias("n_bytes"), "o_orderdate")
+    return control.demote(o, 3000000, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "tier", "to_tier")
+
+
+@query("WITH e AS (SELECT vec_id, label, list_avg(list_transform(embedding[1:32], lambda x: abs(x::DOUBLE))) + list_avg(list_transform(embedding[33:64], lambda x: abs(x::DOUBLE))) AS e FROM embeddings), w AS (SELECT *, min(e) OVER (PARTITION BY label) AS lo, max(e) OVER (PARTITION BY label) AS hi FROM e) SELECT vec_id, round(CASE WHEN hi > lo THEN (e - lo) / (hi - lo) ELSE e END, 7) AS energy FROM w")
+def energy_scores(spark, t):
+    e = control.energy(t("embeddings"), "label", F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    return e.select("vec_id", F.round("energy", 7).alias("energy"))
+
+
+# More of a run's telemetry and of its shards.
+@query("SELECT max_by(event_id, event_id) AS latest_step, max_by(value, event_id) AS latest_loss, (SELECT event_id FROM events ORDER BY value, event_id LIMIT 1) AS best_step, min(value) AS best_loss, round(avg(value * 2), 6) AS avg_grad_norm, round(avg(value / 7), 6) AS avg_clip, round(avg(user_id), 6) AS avg_tokens_per_sec, round(avg(value), 6) AS avg_step_seconds, count(*) FILTER (WHERE event_id % 6 > 1 OR event_id % 5 > 0) AS replayed, round(100.0 * count(*) FILTER (WHERE event_id % 6 > 1 OR event_id % 5 > 0) / count(*), 6) AS replay_percent FROM events")
+def run_kpis(spark, t):
+    e = t("events").select("event_id", "value", (F.col("value") * 2).alias("norm"), (F.col("value") / 7).alias("clip"), "user_id", (F.col("event_id") % 6).alias("attempts"), (F.col("event_id") % 5).alias("rejected"))
+    k = telemetry.kpis(e, "event_id", "event_id", "value", "norm", "clip", "user_id", "value", "attempts", "rejected")
+    return k.select("latest_step", "latest_loss", "best_step", "best_loss", *(F.round(c, 6).alias(c) for c in ("avg_grad_norm", "avg_clip", "avg_tokens_per_sec", "avg_step_seconds")), "replayed", F.round("replay_percent", 6).alias("replay_percent"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 40")
+def slowest_top40(spark, t):
+    return telemetry.slowest(t("events"), "value", "event_id").select("event_id", "value")
+
+
+@query("SELECT event_id, user_id, value FROM events WHERE event_type = 'view' ORDER BY user_id, event_id")
+def validation_rows(spark, t):
+    return telemetry.validation_table(t("events").filter("event_type = 'view'"), "user_id", "event_id").select("event_id", "user_id", "value")
+
+
+@query("SELECT round(avg(value), 9) AS val_loss, round(exp(least(20, avg(value))), 4) AS val_perplexity, count(*) AS validation_batches FROM (SELECT value FROM events ORDER BY event_id LIMIT 100)")
+def validation_mean(spark, t):
+    m = telemetry.validation_mean(t("events"), "value", "event_id", 100)
+    return m.select(F.round("val_loss", 9).alias("val_loss"), F.round("val_perplexity", 4).alias("val_perplexity"), "validation_batches")
+
+
+@query("WITH v AS (SELECT value, event_id FROM events WHERE event_type = 'view'), r AS (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events WHERE user_id % 3 = 0) SELECT event_id FROM v, r WHERE event_id BETWEEN lo AND hi")
+def validation_in_range(spark, t):
+    e = t("events")
+    return telemetry.in_range_of(e.filter("event_type = 'view'"), e.filter("user_id % 3 = 0"), "event_id").select("event_id")
+
+
+@query("SELECT count(*) FILTER (WHERE c_custkey % 11 = 0) AS errors, count(*) FILTER (WHERE c_custkey % 7 = 0 AND c_custkey % 11 <> 0) + CASE WHEN min(c_nationkey) = max(c_nationkey) THEN 0 ELSE 1 END AS warnings, min(c_nationkey) AS step_min, max(c_nationkey) AS step_max, min(c_nationkey) = max(c_nationkey) AS uniform, count(*) FILTER (WHERE c_custkey % 11 = 0 OR c_custkey % 7 = 0) + CASE WHEN min(c_nationkey) = max(c_nationkey) THEN 0 ELSE 1 END AS issue_count FROM customer")
+def audit_summary(spark, t):
+    c = t("customer")
+    issues = c.select(F.expr("case when c_custkey % 11 = 0 then 'error' when c_custkey % 7 = 0 then 'warning' end").alias("severity")).filter("severity is not null")
+    return catalog.audit_summary(issues, c, "c_nationkey").select("errors", F.col("warnings").cast("long").alias("warnings"), "step_min", "step_max", "uniform", F.col("issue_count").cast("long").alias("issue_count"))
+
+
+@query("""WITH s AS (SELECT o_orderkey, o_orderkey % 40 AS g, o_orderkey % 30 AS o, CAST(round(o_totalprice) AS BIGINT) % 5 * o_orderkey % 9000 AS k, o_custkey % 60 AS lo, CASE WHEN o_orderkey % 9 = 0 THEN o_custkey % 60 + 1 ELSE o_custkey % 60 END AS hi FROM orders), r AS (SELECT *, CASE WHEN lo <> hi THEN 'inconsistent' WHEN hi > g THEN 'repaired' ELSE 'ok' END AS status FROM s)
+SELECT o_orderkey, status, CASE WHEN status = 'repaired' THEN hi ELSE g END AS global_step, CASE WHEN status = 'repaired' THEN greatest(o, hi) ELSE o END AS optimizer_step, CAST(CASE WHEN status = 'repaired' THEN greatest(k, CAST(round_even(CASE WHEN g > 0 AND k > 0 THEN k::DOUBLE / g ELSE 512.0 END * hi, 0) AS BIGINT)) ELSE k END AS BIGINT) AS tokens_seen FROM r""")
+def state_repairs(spark, t):
+    s = t("orders").select("o_orderkey", (F.col("o_orderkey") % 40).alias("global_step"), (F.col("o_orderkey") % 30).alias("optimizer_step"), (F.round("o_totalprice").cast("long") % 5 * F.col("o_orderkey") % 9000).alias("tokens_seen"), (F.col("o_custkey") % 60).alias("step_min"), F.expr("o_custkey % 60 + if(o_orderkey % 9 = 0, 1, 0)").alias("step_max"))
+    return catalog.repaired(s, 512.0).select("o_orderkey", "status", "global_step", "optimizer_step", "tokens_seen")
+
+
+@query("WITH x AS (SELECT l_suppkey AS run, l_extendedprice AS q, l_quantity AS p FROM lineitem), t AS (SELECT *, sqrt(sum(q) OVER (PARTITION BY run) / sum(p) OVER (PARTITION BY run)) AS target FROM x), r AS (SELECT run, target / greatest(sqrt(q / p), 1e-12) AS raw FROM t), a AS (SELECT run, raw, 1 + 0.5 * (least(2.0, greatest(0.9, raw)) - 1) AS a FROM r) SELECT run, round(min(raw), 8) AS raw_min, round(avg(raw), 8) AS raw_mean, round(max(raw), 8) AS raw_max, round(min(a), 8) AS applied_min, round(avg(a), 8) AS applied_mean, round(max(a), 8) AS applied_max FROM a GROUP BY 1")
+def scale_summary(spark, t):
+    x = t("lineitem").select(F.col("l_suppkey").alias("run"), "l_extendedprice", "l_quantity")
+    r = catalog.scale_summary(catalog.shard_scales(x, "run", "l_extendedprice", "l_quantity", 0.9, 2.0, 0.5), "run")
+    return r.select("run", *(F.round(c, 8).alias(c) for c in r.columns if c != "run"))
+
+
+@query("SELECT l_suppkey, round(avg(l_tax), 9) AS mean, max(l_tax) AS max FROM lineitem GROUP BY 1")
+def norm_summary(spark, t):
+    return catalog.norm_summary(t("lineitem"), "l_suppkey", "l_tax").select("l_suppkey", F.round("mean", 9).alias("mean"), "max")
+
+
+@query("SELECT p_brand, count(*) AS tensors, CAST(sum(p_size) AS BIGINT) AS parameters FROM part GROUP BY ROLLUP (p_brand)")
+def parameter_totals(spark, t):
+    return catalog.parameter_totals(t("part"), "p_brand", "p_size")
+
+
+@query("SELECT event_id, max(CAST(value AS BIGINT)) OVER (PARTITION BY user_id ORDER BY event_id) AS most_active FROM (SELECT event_id, user_id, floor(value) AS value FROM events)")
+def shard_activity(spark, t):
+    e = t("events").select("event_id", "user_id", F.floor("value").cast("long").alias("active"))
+    return catalog.activity(e, "user_id", "event_id", "active").select("event_id", "most_active")
+
+
+@query("SELECT p_partkey, CAST(CASE WHEN p_size % 4 = 0 THEN 0 ELSE greatest(0, least(CASE WHEN p_size % 6 > 0 THEN p_size % 6 ELSE 3 END, 3)) END AS INTEGER) AS ahead, CASE WHEN p_size % 7 > 3 THEN 'too_many_params' WHEN p_size % 11 > 3 THEN 'too_many_optimizers' WHEN p_partkey % 100 >= 50 THEN 'full_model' END AS violation FROM part")
+def residency_limits(spark, t):
+    p = t("part").select("p_partkey", "p_size", (F.col("p_size") % 7).alias("params"), (F.col("p_size") % 11).alias("optimizers"), F.lit(3).alias("resident"), (F.col("p_partkey") % 100).alias("active_parameters"), F.lit(50).alias("total_parameters"), F.lit(20).alias("largest_parameters"))
+    mode = F.when(F.col("p_size") % 4 == 0, "off").otherwise("on")
+    return catalog.residency(p).select("p_partkey", catalog.prefetch_window(mode, F.col("p_size") % 6, F.col("resident")).cast("int").alias("ahead"), "violation")
+
+
 @query()
+def tensor_placement(spark, t):
+    p = t("part").select("p_brand", F.col("p_partkey").alias("key"), F.col("p_size").cast("long").alias("rows"), (F.col("p_size") * 16).cast("long").alias("numel"))
+    return catalog.placed(p, "p_brand", "key", "rows", "numel", 200)
+
+
+@query("SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ',' ORDER BY l_linenumber, l_partkey) AS keys FROM lineitem GROUP BY 1")
+def rebuilt_chunks(spark, t):
+    n = t("lineitem").groupBy("l_orderkey").agg(F.count("*").alias("chunks"))
+    c = t("lineitem").join(n, "l_orderkey").withColumn("chunk_index", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")) - 1).withColumn("values", F.array("l_partkey"))
+    return catalog.rebuild(c.select("l_orderkey", "chunk_index", "chunks", "values"), "l_orderkey").select("l_orderkey", F.array_join("values", ",").alias("keys"))
+
+
+# Whole profile, scans with limits, blocks by number, upserts.
+@query(f"""WITH d AS (SELECT *, length(text) AS n, {_WORDS} AS w, sha256({_CANON}) AS h FROM documents),
+s AS (SELECT 'char_length' AS section, n AS v FROM d UNION ALL SELECT 'word_count', w FROM d), q AS (SELECT section, count(v)::DOUBLE AS n, min(v)::DOUBLE AS lowest, max(v)::DOUBLE AS highest, avg(v) AS mean, quantile_cont(v, 0.01) AS p01, quantile_cont(v, 0.05) AS p05, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.95) AS p95, quantile_cont(v, 0.99) AS p99 FROM s GROUP BY 1),
+l AS (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(doc_id) LIMIT 25), c AS (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1 ORDER BY n DESC, min(doc_id) LIMIT 25)
+SELECT 'counts' AS section, name, value::DOUBLE AS value FROM (UNPIVOT (SELECT count(*) AS rows, count(*) FILTER (WHERE text = '') AS empty, count(*) FILTER (WHERE n < 200) AS short, count(*) FILTER (WHERE regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]')) AS control_chars, count(*) FILTER (WHERE contains(text, chr(65533))) AS encoding_issues, count(*) - count(DISTINCT h) AS exact_duplicates, count(DISTINCT h) AS unique_texts FROM d) ON COLUMNS(*) INTO NAME name VALUE value)
+UNION ALL SELECT 'nulls', name, value::DOUBLE FROM (UNPIVOT (SELECT count(*) FILTER (WHERE doc_id IS NULL) AS doc_id, count(*) FILTER (WHERE text IS NULL) AS text, count(*) FILTER (WHERE lang IS NULL) AS lang, count(*) FILTER (WHERE source IS NULL) AS source, count(*) FILTER (WHERE n_chars IS NULL) AS n_chars FROM d) ON COLUMNS(*) INTO NAME name VALUE value)
+UNION ALL SELECT section, name, round(value, 6) FROM (UNPIVOT q ON n, lowest, highest, mean, p01, p05, p50, p95, p99 INTO NAME name VALUE value)
+UNION ALL SELECT 'lang_top', lang, n::DOUBLE FROM l UNION ALL SELECT 'source_top', source, n::DOUBLE FROM c""")
+def whole_profile(spark, t):
+    p = profile.whole(t("documents"), "text", "doc_id", ("lang", "source"), clean=False)
+    return p.select("section", "name", F.round("value", 6).alias("value"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT o_orderkey FROM orders LIMIT 777)")
+def scan_limit(spark, t):
+    return scans.parquet(spark, t("orders").inputFiles(), ["o_orderkey"], per_file=900, limit=777).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@query("WITH b AS (SELECT CAST(p_size AS BIGINT) AS blocks, row_number() OVER (ORDER BY p_partkey) - 1 AS shard FROM part), c AS (SELECT *, sum(blocks) OVER (ORDER BY shard) AS hi FROM b) SELECT w.k AS block, CAST(shard AS BIGINT) AS shard, CAST(w.k - (hi - blocks) AS BIGINT) AS row FROM c JOIN (SELECT c_custkey AS k FROM customer) w ON w.k >= hi - blocks AND w.k < hi")
+def block_lookup(spark, t):
+    shards = t("part").select(F.col("p_partkey").alias("shard"), F.col("p_size").cast("long").alias("blocks"))
+    return packing.block_at(shards, t("customer").select(F.col("c_custkey").alias("block")))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'new' ELSE c_mktsegment END AS segment FROM customer")
+def upserted(spark, t):
+    c = t("customer").select("c_custkey", F.col("c_mktsegment").alias("segment"))
+    return sinks.upsert(c, c.filter("c_custkey % 3 = 0").withColumn("segment", F.lit("new")), "c_custkey")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey % 5 <> 0")
+def released_rows(spark, t):
+    o = t("orders").select("o_orderkey", "o_custkey")
+    return control.remove(o, o.filter("o_custkey % 5 = 0"), "o_orderkey").select("o_orderkey")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def zipped_segments(spark, t):
+    x = t("orders")
+    return control.zip_segments(x.select("o_orderkey", "o_custkey"), x.select("o_orderkey", "o_orderstatus"), "o_orderkey")
+
+
+@query("SELECT doc_id, len(list_intersect([lower(lang), lower(source)], ['en', 'src2'])) > 0 AS ok FROM documents")
+def allowed_any(spark, t):
+    return t("documents").select("doc_id", X.allowed_any(F.array("lang", "source"), ["EN", "src2"]).alias("ok"))
+
+
+# Streams.
+@query("WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS sec, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events), r AS (SELECT user_id, event_id, i, sec, 1.0::DOUBLE AS level FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, e.sec, least(1.0, r.level - CASE WHEN r.level >= 1 THEN 1 ELSE 0 END + (e.sec - r.sec) * 1 / 60) FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1) SELECT user_id, event_id, level >= 1 AS allowed FROM r")
 def rate_limit_decisions(spark, t):
     path = scratch.new_path(spark, "rate-limit")
     t("events").select("user_id", "ts", "event_id").write.parquet(path + "/in")

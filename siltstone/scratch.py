@@ -1,7 +1,7 @@
 """Tables that cut lineage, in the folder that the driver and all executors share.
 
-The folder is the one named by ``spark.checkpoint.dir``. Only where a session has none (local tests) is a
-temporary folder made and set as the session's own.
+The folder is the one named by ``spark.checkpoint.dir``. Only where a session has none and its master is local (tests) is a
+temporary folder made and set as the session's own; on a cluster a machine's own folder would scatter the tables.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URI; sets a local one where the session names none."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
@@ -32,7 +34,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -40,3 +44,10 @@ def drop(spark: SparkSession, path: str) -> None:
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(jsc.hadoopConfiguration()).delete(p, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more. What isn't one of ``stored`` is passed over."""
+    for t in tables:
+        if path := getattr(t, "_scratch", None):
+            drop(t.sparkSession, path)

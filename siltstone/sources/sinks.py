@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.operators.packing import offsets
@@ -35,21 +35,28 @@ def combined(manifests: list[dict]) -> dict:
     return {"complete": all(m.get("complete") for m in manifests), "stages": {m["stage"]: m for m in manifests}}
 
 
-def markdown(title: str, df: DataFrame, most: int = 200) -> str:
+def _rows(df: DataFrame, most: int | None) -> tuple[list, str]:
+    """A report's rows, and a line that says so where there are more than ``most``."""
+    rows = (df if most is None else df.limit(most + 1)).collect()
+    return (rows, "") if most is None or len(rows) <= most else (rows[:most], f"The first {most} rows; there are more.")
+
+
+def markdown(title: str, df: DataFrame, most: int | None = 200) -> str:
     """A report table; for summaries of few rows."""
-    rows = df.limit(most).collect()
+    rows, more = _rows(df, most)
     lines = [f"# {title}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows)]) + "\n"
+    return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows), *(["", more] if more else [])]) + "\n"
 
 
-def html(title: str, sections: dict[str, DataFrame], most: int = 200) -> str:
+def html(title: str, sections: dict[str, DataFrame], most: int | None = 200) -> str:
     """A page with a table a section; for summaries of few rows."""
     from html import escape
 
     out = [f"<!doctype html><meta charset=utf-8><title>{escape(title)}</title><h1>{escape(title)}</h1>"]
     for name, df in sections.items():
         line = lambda tag, cells: "<tr>" + "".join(f"<{tag}>{escape('' if v is None else str(v))}</{tag}>" for v in cells) + "</tr>"
-        out += [f"<h2>{escape(name)}</h2><table>", line("th", df.columns), *(line("td", r) for r in df.limit(most).collect()), "</table>"]
+        rows, more = _rows(df, most)
+        out += [f"<h2>{escape(name)}</h2><table>", line("th", df.columns), *(line("td", r) for r in rows), "</table>", *([f"<p>{more}</p>"] if more else [])]
     return "\n".join(out) + "\n"
 
 
@@ -59,4 +66,5 @@ def upsert(old: DataFrame, new: DataFrame, *keys: str) -> DataFrame:
 
 
 def last_of(df: DataFrame, order: str, n: int) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(order)))).filter(F.col("_r") <= n).drop("_r")
+    """The last ``n`` rows in order: partial limits first, no window over the table."""
+    return df.orderBy(F.desc(order)).limit(n)

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from siltstone.functions import text as X
+
 
 def files(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
     """Parquet files as they come, oldest first; the checkpoint resumes at the file where a run stopped."""
@@ -67,3 +69,41 @@ def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") ->
 def windowed(events: DataFrame, ts: str, key: str, value: str, width: str = "1 day", late: str = "1 hour") -> DataFrame:
     """Tumbling-window counts and sums under a watermark; an extension."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, width), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
+
+
+def web_tokens(docs: DataFrame, tokenizer_json: str, key: str, order: str, length: int, text: str = "text", least: int = 200) -> DataFrame:
+    """A stream of raw web texts, normalised, filtered and tokenised, to overlapping blocks; the checkpoint holds the files that are done and the tokens left over, so a run goes on where the last one stopped."""
+    from siltstone.operators import tokenize
+
+    clean = docs.withColumn(text, X.normalize_web(F.col(text))).filter(X.keep_text(F.col(text), least))
+    ids = clean.select(key, order, tokenize.encoder(docs.sparkSession, tokenizer_json)(F.col(text)).alias("tokens")).filter(F.size("tokens") >= 2)
+    return packed(ids, key, order, length)
+
+
+def indexed(events: DataFrame) -> DataFrame:
+    """A stream of inserts (with kv_ref) and lookups (without) of prefixes to the lookups' answers; state per tenant, model and prefix: its last reference, hits, last use.
+
+    Events: tenant_id, model_id, prefix_hash, seq, kv_ref. An insert replaces the reference and keeps the hits.
+    """
+
+    def update(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ref, hits, used = state.get if state.exists else (None, 0, 0)
+        out = []
+        for seq, new in pd.concat(pdfs).sort_values("seq")[["seq", "kv_ref"]].itertuples(index=False):
+            if new is not None and new == new:
+                ref, used = int(new), seq
+                continue
+            hits, used = (hits + 1, seq) if ref is not None else (hits, used)
+            out.append((seq, ref, hits))
+        state.update((ref, hits, int(used)))
+        yield pd.DataFrame(out, columns=["seq", "kv_ref", "hits"]).astype({"kv_ref": "Int64"})
+
+    keys = ["tenant_id", "model_id", "prefix_hash"]
+    return events.groupBy(*keys).applyInPandasWithState(update, "seq long, kv_ref long, hits long", "kv_ref long, hits long, used long", "append", GroupStateTimeout.NoTimeout)
+
+
+def train_log(spark: SparkSession, path: str) -> DataFrame:
+    """Training rows of a log that grows: lines as they come, parsed and flattened as in a batch; lines have no number in a stream."""
+    from siltstone.operators import telemetry
+
+    return telemetry.train_rows(telemetry.parse(json_log(spark, path).withColumn("i", F.lit(None).cast("long"))))

@@ -92,7 +92,7 @@ def test_rules_and_codecs(spark):
 
     x = np.random.default_rng(7).normal(size=128).astype("f4")
     back = U.rotated_decode(U.rotated_encode(x))
-    assert np.linalg.norm(back - x) / np.linalg.norm(x) < 0.22 and (U.unpack(U.pack([-4, 3, 0, -1], 3), 3, 4) == [-4, 3, 0, -1]).all()
+    assert np.linalg.norm(back - x) / np.linalg.norm(x) < 0.22 and (U.unpack(U.pack([-3, 3, 0, -1], 3), 3, 4) == [-3, 3, 0, -1]).all()
     s = spark.createDataFrame([("Tell me about a fox named Rex who lost his hat.",), ("hello",)], "t string").select(X.story_prompt(F.col("t")).alias("p")).collect()
     assert s[0]["p"] == "Once upon a time, there was a fox named Rex. Rex had a hat. One day, Rex lost his hat." and s[1]["p"] == "hello"
     vals, bad = N.sanitized(F.col("v"))
