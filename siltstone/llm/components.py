@@ -27,11 +27,13 @@ def _small(e: DataFrame) -> DataFrame:
 def roots(links: DataFrame, name: str = "stars") -> DataFrame:
     """(u, v) links to (node, root): root is the smallest node that node reaches; only nodes with links, roots left out."""
     edges = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct()
-    before = None
+    before = last = None
     while True:
         edges = scratch.stored(edges, name)
+        if last is not None:
+            scratch.forget(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before or not now[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        before = now
+        before, last = now, edges
         edges = _small(_large(edges).distinct()).distinct()

@@ -298,6 +298,7 @@ def find(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFrame
     both = linked.join(side("b"), "b").join(side("a").drop("a_words"), "a")
     found = both.select("b.doc_id", "b.h", F.col("a.doc_id").alias("other_id"), F.col("a.h").alias("other_h"), "a_hashes", "b_hashes", "b_words").mapInArrow(_align(least), BLOCKS)
     found = scratch.stored(found, "line-blocks")
+    scratch.forget(linked)
     ends = found.select("doc_id", "h").unionByName(found.select(F.col("other_id").alias("doc_id"), F.col("other_h").alias("h"))).groupBy("doc_id", "h").agg(F.count("*").alias("n_links"))
     lines = found.select("doc_id", "h", "lines").unionByName(held_lines(heads, runs, least)).select("doc_id", "h", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("lines"))
     of_class = heads.select("doc_id", "h", "sha").join(lines, ["doc_id", "h"], "left").join(ends, ["doc_id", "h"], "left").select(F.col("sha").alias("cs"), F.col("doc_id").alias("class_id"), "lines", "n_links")

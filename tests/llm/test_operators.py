@@ -608,6 +608,176 @@ def test_line_dedup_frequent_runs(spark):
     assert all(by[10 + i] == f"{line(i)}\n{line(100 + i)}\n{line(200 + i)}" for i in range(1, 12))
 
 
+def test_line_dedup_every_line(spark):
+    """The lines that go are exactly those in a run of MIN_WORDS words that an earlier document holds: doubled, swapped and hot blocks, blank lines, lines in many documents."""
+    rng, least = random.Random(12), line_dedup.MIN_WORDS
+    pool = [" ".join(f"{k}w{i}" for i in range(rng.choice((1, 3, 9, 14, 30)))) for k in range(60)]
+    blocks = [rng.sample(pool, rng.randrange(1, 6)) for _ in range(8)]
+    rows = []
+    for i in range(120):
+        lines = []
+        for _ in range(rng.randrange(1, 7)):
+            lines += rng.choice((rng.choice(blocks), [rng.choice(pool)], [f"own {i} " * rng.randrange(1, 9)], ["", " "]))
+        rows.append((i, "\n".join(lines)))
+    rows += [(i, "\n".join(blocks[0])) for i in range(200, 230)] + [(300, rows[3][1]), (300, rows[4][1] + "\nmore of the second text with this id"), (300, rows[3][1])]
+    got = {(r["doc_id"], r["n_lines"], r["class_id"]): r["cut"] for r in line_dedup.find(make(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    solid = lambda t: [(n, line.strip()) for n, line in enumerate(t.split("\n")) if line.strip()]
+    seen, heads = {}, []
+    for i, t in sorted(set(rows), key=lambda r: r[0]):
+        if t in seen:
+            continue
+        seen[t] = i
+        heads.append((i, t))
+    for i, t in heads:
+        if i == 300:  # two texts of one id: which is the earlier depends on their hashes
+            continue
+        mine, cut = solid(t), set()
+        earlier = ["\n".join(["", *(x for _, x in solid(other)), ""]) for j, other in heads if j < i]
+        for first in range(len(mine)):
+            for last in range(first, len(mine)):
+                run = [x for _, x in mine[first : last + 1]]
+                if not any("\n".join(["", *run, ""]) in e for e in earlier):
+                    break
+                if sum(len(x.split()) for x in run) >= least:
+                    cut |= set(range(mine[first][0], mine[last][0] + 1))
+        assert got[i, len(t.split("\n")), i] == sorted(cut), i
+
+
+# The stages' own helpers.
+def test_near_helpers(spark):
+    import numpy as np
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = [r["text"] for r in docs.select("text").collect()]
+    count = Counter(s for t in texts for s in near.shingles(t).tolist())
+    held = near.holders(docs)
+    got = {r["s"] % 2**64: r["n"] for r in held.collect()}
+    assert got == {s: n for s, n in count.items() if n > 1 and s < near.COUNTED}
+    common = near.common_shingles(held, least=3)
+    assert common.tolist() == sorted(s for s, n in got.items() if n >= 3)
+    assert len(near.common_shingles(held, least=2, most=20)) <= 40 and len(near.common_shingles(held.limit(0))) == 0
+    filled = np.frombuffer(near.bloom(held, 1 << 16), np.uint8)
+    every = np.array(sorted(count), np.uint64)
+    kept = near.may_be_shared(every, filled)
+    assert all(kept[i] for i, s in enumerate(every.tolist()) if count[s] > 1) and kept[every < near.COUNTED].mean() < 0.2
+    assert not near.may_be_shared(every[every < near.COUNTED], np.frombuffer(near.bloom(held.limit(0), 1 << 12), np.uint8)).any()
+
+
+def test_near_large_group(spark, monkeypatch):
+    """A group too large for its first centres, some of it only linked through others: the search by trees settles the rest."""
+    monkeypatch.setattr(near, "ROUNDS", 0)
+    monkeypatch.setattr(near, "TREE", 7)
+    monkeypatch.setattr(near, "BLOCK", 16)
+    rng = random.Random(21)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(90):
+        own = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+        rows.append((i, " ".join(own), "en", "s"))
+    sets = [word_sets(t) for _, t, *_ in rows]
+    want = set(components(list(range(90)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])).values())
+    assert {r["doc_id"] for r in near.keep(make(spark, rows)).collect()} == want
+
+
+def test_simhash_trees_travel_either_way(spark):
+    rng = random.Random(13)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 4))) for b in base for _ in range(6)}
+    table = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
+    want = components(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 2)
+    for most in (0, 1 << 20):
+        found = {frozenset((r["u"] % 2**64, r["v"] % 2**64)) for r in simhash.links(table, broadcast_bytes=most).collect()}
+        assert all((a ^ b).bit_count() <= 2 for a, b in map(tuple, found)) and components(sorted(fps), lambda a, b: frozenset((a, b)) in found) == want
+    for n, wide in ((10, 21), (1 << 30, 32), (1 << 40, 38)):
+        masks = simhash.shard_masks(n, 2)
+        assert min(m.bit_count() for m in masks) >= wide
+        for _ in range(200):
+            x = sum(1 << k for k in rng.sample(range(64), 2))
+            assert any(x & m == 0 for m in masks)
+    tree = simhash.BKTree()
+    for f in sorted(fps):
+        tree.insert(f)
+    again = simhash.BKTree.unpacked(*tree.packed())
+    assert again.items == tree.items and again.children == tree.children
+
+
+def test_mixing_repeated_rows(spark):
+    """Rows that repeat id, source and text, null ids included: one bucket holds none of it alone, and each row takes its own words."""
+    from pyspark.sql import functions as F
+
+    rows = [(None, f"w{i} x y", "en", "a") for i in range(300)] + [(None, "same text here", "en", "a")] * 300 + [(7, "seven is here", "en", "b")] * 50 + [(8, " ".join(["long"] * 50_000), "en", "b")]
+    got = mixing.mix(make(spark, rows)).collect()
+    assert len(got) == len(rows) and all(r["taken"] <= 3 * r["size"] for r in got)
+    for s in "ab":
+        own = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 1
+    again = mixing.mix(make(spark, rows[::-1]).repartition(5)).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["taken"], str(r["position"])) for r in got) == sorted((str(r["doc_id"]), r["size"], r["taken"], str(r["position"])) for r in again)
+    buckets = make(spark, rows[:300]).select(F.pmod(F.xxhash64(F.lit(mixing.SEED), F.col("doc_id"), F.lit(3).cast("long"), F.xxhash64("text", F.lit(mixing.SEED))), F.lit(16)).alias("b")).distinct().count()
+    assert buckets == 16
+
+
+def test_exact_collisions(spark, monkeypatch):
+    """Texts whose keys collide are told apart by their bytes, from folding to the result."""
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda *_: 5)
+    body = exact_dedup._fold(4)
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text": ["a", "b", "A", None]}, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+    folded = list(body([batch]))
+    entries = pa.Table.from_batches(list(exact_dedup._own(4)(folded))).to_pylist()
+    assert {(e["sha"], e["keep_id"], e["group_size"]) for e in entries} == {(hashlib.sha256(t).hexdigest(), k, n) for t, k, n in ((b"a", 3, 2), (b"b", 2, 1), (b"", 4, 1))} and {e["chain"] for e in entries} == {0, 1, 2}
+
+
+def test_token_files_index(spark, tmp_path):
+    """With an index only the files that may hold the documents are read; an empty table has none."""
+    rows = [(i, f"text {i} " * 30, "en", "a") for i in range(60)] + [(None, "no id", "en", "a")]
+    path = f"file://{tmp_path}/t"
+    token_files.write(make(spark, rows), "byte_bpe_50k.json", path, file_bytes=500)
+    indexed = token_files.index(spark, path)
+    files = indexed.count()
+    assert files > 5 and len(token_files._holding(indexed, [17])) == 1 and len(token_files._holding(indexed, [None])) == 1 and token_files._holding(indexed, [999]) == []
+    for ids in ([17], [3, 59, None], [999]):
+        got = token_files.read(spark, path, ids, indexed=indexed).collect()
+        assert {r["doc_id"] for r in got} == {i for i in ids if i != 999}
+    assert token_files.read(spark, path).count() == 61  # the index is none of the files
+    token_files.write(make(spark, []), "byte_bpe_50k.json", f"file://{tmp_path}/none")
+    assert token_files.with_starts(token_files.read(spark, f"file://{tmp_path}/none")).count() == 0
+
+
+def test_pieces_long_and_empty(spark):
+    long = "漢字かな交じり文" * 30_000 + "abc" * 100_000
+    got = pieces.round_trip(make(spark, [(1, long, "ja", "a"), (2, "x" * 200_000, "en", "a")])).collect()
+    assert all(r["same"] for r in got) and pieces.round_trip(make(spark, [])).count() == 0
+    import public_tokenizers
+    import sentencepiece
+
+    proto = open(public_tokenizers.path(pieces.MODEL), "rb").read()  # noqa: SIM115
+    ids = sentencepiece.SentencePieceProcessor(model_proto=proto).encode("漢字かな交じり文 " * 20_000)
+    assert pieces.Codec(proto).encode("漢字かな交じり文 " * 20_000) == struct.pack(f"<{len(ids)}i", *ids)
+
+
+def test_worker_state():
+    from siltstone.llm import common
+
+    made = []
+    common._state.clear()
+    for key in ("a", "a", "b", "a"):
+        common.worker_state(key, lambda key=key: made.append(key) or key)
+        assert len(common._state) == 1
+    assert made == ["a", "b", "a"]
+    common._state.clear()
+    asked = []
+    cache = common.Cache(lambda k: asked.append(k) or len(k), 4, longest=5)
+    for i in range(50):
+        assert cache["hot"] == 3 and cache[f"{i}"] == len(str(i)) and cache["too long"] == 8
+        assert len(cache) <= 4 and len(cache.old) <= 4 and "too long" not in cache
+    assert asked.count("hot") == 1
+
+
 # Pipeline.
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] and 4 <= len(corpus_pipeline.STAGES) <= 5
@@ -621,3 +791,13 @@ def test_pipeline(spark):
             texts = [r["text"].lower() for r in docs.select("text").collect()]
             assert len(texts) == len(set(texts)) <= before
     assert docs.columns == ["doc_id", "n_pieces", "ids"] and docs.count() > 0
+
+
+def test_pipeline_odd_tables(spark):
+    """An empty table, columns beside those of documents, a very long text."""
+    for rows in ([], [(1, LONG * 3, None, None), (2, "the cat and the dog of the house", "en", "a"), (3, None, "en", "a"), (3, "der hund und die katze im haus", "de", "b")]):
+        docs = make(spark, rows)
+        for _, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, SMALL)
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.columns == ["doc_id", "n_pieces", "ids"] and (docs.count() > 0) == bool(rows)
