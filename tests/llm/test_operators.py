@@ -669,6 +669,7 @@ def test_near_large_group(spark, monkeypatch):
     monkeypatch.setattr(near, "ROUNDS", 0)
     monkeypatch.setattr(near, "TREE", 7)
     monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "SMALL", 5)
     rng = random.Random(21)
     base = [f"w{i}" for i in range(120)]
     rows = []
@@ -679,7 +680,9 @@ def test_near_large_group(spark, monkeypatch):
         rows.append((i, " ".join(own), "en", "s"))
     sets = [word_sets(t) for _, t, *_ in rows]
     want = set(components(list(range(90)), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])).values())
-    assert {r["doc_id"] for r in near.keep(make(spark, rows)).collect()} == want
+    for most in (1 << 15, 10):  # as one group, and shard by shard
+        monkeypatch.setattr(near, "GROUP", most)
+        assert {r["doc_id"] for r in near.keep(make(spark, rows)).collect()} == want
 
 
 def test_simhash_trees_travel_either_way(spark):
