@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from siltstone import scratch
 
 CAP, SEED, ROWS_PER_BUCKET = 3, 17, 128
+#: Bytes of a plan up to which it is broadcast, and of one of its rows, about.
+BROADCAST_BYTES, PLAN_BYTES = 32 << 20, 120
 #: Weight schedules, dealt to sources in turn: knots (time, weight). Rising, falling, level, peaked in the middle.
 SCHEDULES = (((0.0, 0.5), (1.0, 1.5)), ((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 1.5), (1.0, 0.5)))
 
@@ -72,7 +74,7 @@ def inverse_demand(u: Column, place: Column, schedules=SCHEDULES) -> Column:
 
 
 def plan(docs: DataFrame, carry: tuple[str, ...] = (), cap: int = CAP, schedules=SCHEDULES, rows_per_bucket: int = ROWS_PER_BUCKET, seed: int = SEED) -> DataFrame:
-    """One row a document, not yet sorted: doc_id, source, size, source_size, target, taken, passes, position, and struct ``row`` of the columns to carry.
+    """One row a document, not yet sorted: doc_id, source, size, t (hash of the text), source_size, target, taken, passes, position, and struct ``row`` of the columns to carry.
 
     ``passes`` lists (position, words) of each time the mix takes the document; ``position`` is the first, null if none.
     """
@@ -105,7 +107,7 @@ def plan(docs: DataFrame, carry: tuple[str, ...] = (), cap: int = CAP, schedules
     out = own.withColumn("passes", taken)
     total = F.aggregate("passes", F.lit(0).cast("long"), lambda a, p: a + p["words"])
     first = F.when(F.size("passes") > 0, F.col("passes")[0]["position"])
-    return out.select("doc_id", "source", "size", "source_size", "target", total.alias("taken"), "passes", first.alias("position"), "row")
+    return out.select("doc_id", "source", "size", "t", "source_size", "target", total.alias("taken"), "passes", first.alias("position"), "row")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -114,15 +116,26 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return planned.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
-def stream(docs: DataFrame, **options) -> DataFrame:
+def stream(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES, seed: int = SEED, **options) -> DataFrame:
     """The training stream: each document once for each pass that takes it, with ``position`` and ``words``, range-sorted by position.
 
     The columns of ``docs`` are carried whole; only the pass that meets a source's target has ``words`` below the size.
+    The plan is made on narrow rows and meets the documents by id, source and text's hash, as a broadcast where it is small, so that whole
+    texts move once, into their order. Where rows repeat all three, each carries its columns through the plan instead.
     """
     carry = tuple(docs.columns)
-    planned = plan(docs, carry=carry, **options).select("row", "doc_id", F.explode("passes").alias("p"))
-    sort = planned.select("row", F.col("p.position").alias("position"), F.col("p.words").alias("words"), F.col("doc_id").alias("id"))
-    return sort.select(*(F.col("row").getField(c).alias(c) for c in carry), F.col("position").alias("_position"), F.col("words").alias("_words"), F.col("id").alias("_id")).repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id")
+    taken = scratch.stored(plan(docs, seed=seed, **options).filter(F.size("passes") > 0).select("doc_id", "source", "t", "passes"), "mix-plan")
+    if taken.groupBy("doc_id", "source", "t").count().filter("count > 1").isEmpty():
+        m = taken.select(*(F.col(c).alias(f"_m_{c}") for c in taken.columns))
+        if taken.count() * PLAN_BYTES <= broadcast_bytes:
+            m = F.broadcast(m)
+        same = docs["doc_id"].cast("long").eqNullSafe(m["_m_doc_id"]) & docs["source"].cast("string").eqNullSafe(m["_m_source"]) & (F.xxhash64(docs["text"].cast("string"), F.lit(seed)) == m["_m_t"])
+        planned = docs.join(m, same).select(*(docs[c] for c in carry), F.col("_m_doc_id").alias("_id"), F.explode("_m_passes").alias("_p"))
+        placed = planned.select(*(planned[c] for c in carry), F.col("_p.position").alias("_position"), F.col("_p.words").alias("_words"), "_id")
+    else:
+        planned = plan(docs, carry=carry, seed=seed, **options).select("row", "doc_id", F.explode("passes").alias("p"))
+        placed = planned.select(*(F.col("row").getField(c).alias(c) for c in carry), F.col("p.position").alias("_position"), F.col("p.words").alias("_words"), F.col("doc_id").alias("_id"))
+    return placed.repartitionByRange("_position", "_id").sortWithinPartitions("_position", "_id")
 
 
 def op4_mixing(spark, sf_dir) -> DataFrame:

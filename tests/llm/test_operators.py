@@ -332,6 +332,10 @@ def test_mixing(spark):
     assert sorted((r["doc_id"], r["taken"], r["position"] or -1) for r in got) == sorted((r["doc_id"], r["taken"], r["position"] or -1) for r in again)
     stream = mixing.stream(make(spark, rows)).collect()
     assert [r["_position"] for r in stream] == sorted(r["_position"] for r in stream) and sum(r["_words"] for r in stream) == sum(taken.values())
+    exchanged = mixing.stream(make(spark, rows), broadcast_bytes=0).collect()
+    assert [r["_position"] for r in exchanged] == [r["_position"] for r in stream] and sorted(map(str, exchanged)) == sorted(map(str, stream))
+    doubled = mixing.stream(make(spark, rows + rows[:40])).collect()
+    assert [r["_position"] for r in doubled] == sorted(r["_position"] for r in doubled) and {r["doc_id"] for r in doubled} <= {i for i, *_ in rows}
     assert mixing.mix(make(spark, [])).count() == 0 and mixing.mix(make(spark, ODD)).count() == len(ODD)
 
 
