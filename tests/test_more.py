@@ -218,3 +218,17 @@ def test_exported_metrics(spark, tmp_path):
     assert (a["grad_mean"], a["h2d_seconds"], a["train_loss_delta"]) == (0.5, 3.0, None) and (b["memory_reserved_mb"], b["guard_attempts"], b["train_loss_delta"]) == (7.0, 2.0, 2.0) and abs(b["train_loss_ema"] - (0.08 * 4 + 0.92 * 2)) < 1e-12
     sinks.csv(telemetry.visible(rows, "i", 1, 5), list(telemetry.EXPORTED), f"{tmp_path}/csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").first()["train_loss"] == "4.0"
+
+
+def test_reports(spark):
+    from siltstone.operators import dedup, reports, telemetry
+
+    docs = spark.createDataFrame([(1, "a b c", "en"), (2, "a b c", "en"), (3, None, "fr")], "doc_id long, text string, language string")
+    told = reports.profile(profile.whole(docs, "text", "doc_id"))
+    assert "- rows: 3" in told and "- exact duplicates: 1" in told and "## language top" in told and "| en | 2 |" in told
+    assert "- seen: 3" in reports.normalization(normalize.stage_counters(docs, normalize.Rules(min_chars=1, min_words=1))) and "- empty: 1" in reports.normalization(normalize.stage_counters(docs, normalize.Rules(min_chars=1, min_words=1)))
+    decided = dedup.deduplicate(docs.filter("text is not null"), "doc_id", "text", F.lit(5).cast("long"))
+    assert "- exact duplicates: 1" in reports.deduplication(dedup.counters(decided), decided) and "| 2 | exact |" in reports.deduplication(dedup.counters(decided), decided)
+    lines = ['{"step": 1, "train_loss": 5.0, "step_seconds": 2, "h2d_seconds": 1}', '{"step": 2, "train_loss": 3.0, "guarded_step_replay": {"attempts": 2, "attempt_log": [{"accepted": false}]}}', '{"step": 2, "val_loss": 1}']
+    page = reports.dashboard(telemetry.parse(spark.createDataFrame(list(enumerate(lines)), "i long, line string")))
+    assert all(f"<h2>{x}</h2>" in page for x in ("Key figures", "Timing", "Spikes", "Slowest updates", "Replays", "Validation")) and "<td>50.0</td>" in page and "<td>h2d_seconds</td>" in page

@@ -110,8 +110,9 @@ def test_entry_without_llm(tmp_path):
     root = Path(__file__).resolve().parent.parent
     shutil.copytree(root / "siltstone", tmp_path / "siltstone", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
-    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); print(len(q), any(k.startswith('op1') for k in q), len(e.oracle_sql()))"], cwd=tmp_path, capture_output=True, text=True, timeout=100)
-    assert said.stdout.split()[1] == "False" and int(said.stdout.split()[0]) > 50, said.stderr
+    said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; q = e.queries(); from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate(); print(len(q), any(k.startswith('op1') for k in q), len(e.oracle_sql()), e.entry(s).count(), q['sign_dedup'](s, '/root/testdata/sf0.001').count())"], cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    found = said.stdout.split()
+    assert found[1] == "False" and int(found[0]) > 100 and int(found[3]) == 4 and int(found[4]) == 500, said.stderr
 
 
 def _words():
