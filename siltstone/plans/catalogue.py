@@ -487,6 +487,15 @@ def prefix_lookup(spark, t):
     return control.lookup(d.filter("doc_id % 2 = 1").withColumnRenamed("doc_id", "request_id"), index)
 
 
+@query("WITH x AS (SELECT vec_id, label, CAST(list_sum(list_transform(embedding[1:16], lambda x, i: CASE WHEN x > 0 THEN CAST(pow(2, 4 * (i - 1)) AS BIGINT) ELSE 0::BIGINT END)) AS BIGINT) AS s, vec_id % 45 AS h FROM embeddings), i AS (SELECT * FROM x WHERE vec_id % 2 = 0), r AS (SELECT * FROM x WHERE vec_id % 2 = 1), e AS (SELECT label, h, max(vec_id) AS ref FROM i GROUP BY 1, 2), n AS (SELECT r.vec_id, arg_min(i.vec_id, bit_count(xor(r.s, i.s)) * 10000000 + i.vec_id) AS ref FROM r JOIN i ON r.label = i.label AND bit_count(xor(r.s, i.s)) <= 3 GROUP BY 1) SELECT r.vec_id AS request_id, coalesce(e.ref, n.ref) AS kv_ref, CASE WHEN e.ref IS NOT NULL THEN 'exact' WHEN n.ref IS NOT NULL THEN 'near' ELSE 'miss' END AS match FROM r LEFT JOIN e ON r.label = e.label AND r.h = e.h LEFT JOIN n ON r.vec_id = n.vec_id")
+def vector_prefixes(spark, t):
+    signs = _signed(t).select("vec_id", F.col("s").alias("sig"))
+    d = t("embeddings").select("vec_id", F.col("label").alias("tenant_id"), F.lit("m").alias("model_id"), (F.col("vec_id") % 45).alias("prefix_hash")).join(signs, "vec_id")
+    d = scratch.stored(d, "prefixes")
+    index = d.filter("vec_id % 2 = 0").withColumns({"kv_ref": F.col("vec_id"), "seq": F.col("vec_id")})
+    return control.lookup(d.filter("vec_id % 2 = 1").withColumnRenamed("vec_id", "request_id"), index)
+
+
 @query()
 def admissions(spark, t):
     d = t("documents").select("doc_id", F.col("source").alias("tenant_id"), F.coalesce("lang", F.lit("none")).alias("model_id"), X.content_hash(F.col("text")).alias("prefix_hash"), U.simhash(X.hash_tokens(F.col("text"), 2048)).alias("sig"), (F.col("doc_id") * 7 % 16384).alias("context"), (F.col("doc_id") % 20).alias("requests"))
@@ -594,6 +603,50 @@ def selective_codec(spark, t):
     return codecs.selective(e, "label", "vec_id", "score", "embedding", 16, 0.1).select("vec_id", "tier", "n_bytes", F.round("error", 5).alias("error"))
 
 
+@query("SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'empty' WHEN NOT lower(source) IN ('src1', 'src2', 'src5', 'src7') THEN 'license_filtered' WHEN lower(source) = 'src5' THEN 'license_filtered' WHEN lang NOT IN ('en', 'fr') THEN 'collection_filtered' WHEN doc_id % 40 + 1990 < 1995 OR doc_id % 40 + 1990 > 2020 THEN 'date_filtered' END AS reason FROM documents")
+def metadata_filters(spark, t):
+    d = t("documents").select("doc_id", "text", F.col("source").alias("license"), F.col("lang").alias("collection"), F.format_string("%d-05-01", (F.col("doc_id") % 40 + 1990).cast("int")).alias("date"))
+    rules = normalize.Rules(licenses=("SRC1", "src2", "src5", "src7"), license_blocks=("Src5",), collections=("en", "FR"), min_year=1995, max_year=2020)
+    return normalize.documents(d, rules, clean=False).select("doc_id", "reason")
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents")
+def json_lines(spark, t):
+    path = scratch.new_path(spark, "json-lines")
+    sinks.jsonl(t("documents").select("doc_id", "lang", "source", "n_chars"), path)
+    return scans.jsonl(spark, path, "doc_id long, lang string, source string, n_chars long")
+
+
+@query(f"{_TOK} SELECT split, pos // 129 AS block, sha256(string_agg(tok, ' ' ORDER BY pos) FILTER (WHERE pos % 129 < 128)) AS inputs, sha256(string_agg(tok, ' ' ORDER BY pos) FILTER (WHERE pos % 129 > 0)) AS labels FROM p GROUP BY 1, 2 HAVING count(*) = 129")
+def shifted_blocks(spark, t):
+    b = packing.shifted(packing.blocks(_tokens(t), "tok", ["doc_id"], 128, False, ["split"]))
+    return b.select("split", "block", *(F.sha2(F.array_join(c, " "), 256).alias(c) for c in ("inputs", "labels")))
+
+
+@query("SELECT event_id, coalesce(value <= before + 0.5 + abs(before) * 0.1, false) AS accepted FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events)")
+def guard_acceptance(spark, t):
+    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = t("events").select("event_id", "value", before.alias("before"))
+    return e.select("event_id", F.coalesce(N.accepts(F.col("before"), F.col("value"), 0.5, 0.1), F.lit(False)).alias("accepted"))
+
+
+@query("SELECT s_suppkey AS model_id, CASE WHEN s_suppkey % 2 = 0 THEN 'chat' ELSE 'embed' END AS task FROM supplier")
+def model_registry(spark, t):
+    path = scratch.new_path(spark, "registry")
+    rows = t("supplier").select(F.struct(F.col("s_suppkey").alias("model_id"), F.expr("if(s_suppkey % 2 = 0, 'chat', 'embed')").alias("task")).alias("m"))
+    rows.agg(F.collect_list("m").alias("models")).write.json(path)  # a registry is one document
+    return scans.registry(spark, path).select("model_id", "task")
+
+
+@query("WITH b AS (SELECT p_brand AS shard, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i, p_partkey FROM part), n AS (SELECT shard, count(*) AS n FROM b GROUP BY 1) SELECT count(*) AS n, count(DISTINCT shard) AS shards, CAST(sum(p_partkey) AS BIGINT) AS keys, (SELECT count(*) FROM n) AS ranks, 0::BIGINT AS out_of_order FROM b")
+def epoch_order(spark, t):
+    placed = packing.epoch_order(t("part"), "p_brand", "p_partkey", 3, 1, 4).select("p_brand", "p_partkey", "shard_rank", "worker").withColumn("at", F.monotonically_increasing_id())
+    placed = scratch.stored(placed, "epoch")
+    before = F.lag(F.struct("shard_rank", "p_partkey")).over(Window.partitionBy("p_brand").orderBy("at"))
+    odd = placed.withColumn("odd", F.coalesce(before > F.struct("shard_rank", "p_partkey"), F.lit(False)) | (F.col("worker") != F.col("shard_rank") % 4))
+    return odd.agg(F.count("*").alias("n"), F.count_distinct("p_brand").alias("shards"), F.sum("p_partkey").alias("keys"), F.count_distinct("shard_rank").alias("ranks"), F.count_if("odd").alias("out_of_order"))
+
+
 # Requests and tenants.
 @query("WITH h AS (SELECT item_id, sha256(text || ':0') || sha256(text || ':1') AS h FROM benchmark), v AS (SELECT item_id, list_transform(range(40), lambda i: CAST('0x' || substr(h, CAST(2 * i + 1 AS BIGINT), 2) AS INTEGER) / 127.5 - 1) AS v FROM h), n AS (SELECT item_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM v) SELECT item_id, round(v[1] / n, 9) AS first, round(v[40] / n, 9) AS last, round(list_sum(list_transform(v, lambda x, i: x * i)) / n, 7) AS mixed FROM n")
 def hash_embeddings(spark, t):
