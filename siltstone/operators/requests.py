@@ -72,11 +72,11 @@ def answer_kind(text: Column, tools: Column, response_format: Column) -> Column:
     return F.when(tools.isNotNull() & calls, "tool_calls").when(_asks_json(response_format) & parsed.isNull(), "invalid").otherwise("content")
 
 
-#: Backends there are.
-BACKENDS = ("dev", "vllm", "transformers", "perkunas")
+#: Backends that are known without being named.
+BACKENDS = ("dev", "vllm", "transformers")
 
 
-def admitted_models(asks: DataFrame, models: DataFrame) -> DataFrame:
+def admitted_models(asks: DataFrame, models: DataFrame, backends: tuple[str, ...] = BACKENDS) -> DataFrame:
     """Requests (model_id, task_type) with their model's backend and why they are refused: unknown_model, wrong_task, unknown_backend, kv_contract; null if they aren't.
 
     Models have model_id, task, backend, kv_required, kv_mode, forced: a model that needs its cache compressed runs on
@@ -84,7 +84,7 @@ def admitted_models(asks: DataFrame, models: DataFrame) -> DataFrame:
     """
     m = models.select("model_id", F.col("task").alias("_task"), "backend", "kv_required", "kv_mode", "forced")
     kept = ~F.col("kv_required") | (F.col("backend") == "dev") | ((F.col("backend") == "vllm") & (F.col("kv_mode") == "fp8")) | F.col("forced")
-    refused = F.when(F.col("_task").isNull(), "unknown_model").when(F.col("_task") != F.col("task_type"), "wrong_task").when(~F.col("backend").isin(*BACKENDS), "unknown_backend").when(~kept, "kv_contract")
+    refused = F.when(F.col("_task").isNull(), "unknown_model").when(F.col("_task") != F.col("task_type"), "wrong_task").when(~F.col("backend").isin(*backends), "unknown_backend").when(~kept, "kv_contract")
     return asks.join(m, "model_id", "left").withColumn("refused", refused).drop("_task", "kv_required", "kv_mode", "forced")
 
 

@@ -693,12 +693,12 @@ def answer_kinds(spark, t):
     return t("events").select("event_id", requests.answer_kind(text, tools, form).alias("kind"))
 
 
-@query("""WITH m AS (SELECT s_suppkey AS model_id, CASE WHEN s_suppkey % 3 = 0 THEN 'embed' ELSE 'chat' END AS task, CASE s_nationkey % 5 WHEN 0 THEN 'dev' WHEN 1 THEN 'vllm' WHEN 2 THEN 'transformers' WHEN 3 THEN 'perkunas' ELSE 'other' END AS backend, s_suppkey % 2 = 0 AS need, CASE WHEN s_nationkey % 2 = 0 THEN 'fp8' ELSE 'turboquant' END AS kv, s_suppkey % 7 = 0 AS forced FROM supplier)
+@query("""WITH m AS (SELECT s_suppkey AS model_id, CASE WHEN s_suppkey % 3 = 0 THEN 'embed' ELSE 'chat' END AS task, CASE s_nationkey % 5 WHEN 0 THEN 'dev' WHEN 1 THEN 'vllm' WHEN 2 THEN 'transformers' WHEN 3 THEN 'own' ELSE 'other' END AS backend, s_suppkey % 2 = 0 AS need, CASE WHEN s_nationkey % 2 = 0 THEN 'fp8' ELSE 'turboquant' END AS kv, s_suppkey % 7 = 0 AS forced FROM supplier)
 SELECT p_partkey, backend, CASE WHEN m.model_id IS NULL THEN 'unknown_model' WHEN task <> 'chat' THEN 'wrong_task' WHEN backend = 'other' THEN 'unknown_backend' WHEN need AND NOT forced AND backend <> 'dev' AND NOT (backend = 'vllm' AND kv = 'fp8') THEN 'kv_contract' END AS refused FROM part LEFT JOIN m ON p_partkey % 130 = m.model_id""")
 def model_contracts(spark, t):
     e = F.expr
-    m = t("supplier").select(F.col("s_suppkey").alias("model_id"), e("if(s_suppkey % 3 = 0, 'embed', 'chat')").alias("task"), e("case s_nationkey % 5 when 0 then 'dev' when 1 then 'vllm' when 2 then 'transformers' when 3 then 'perkunas' else 'other' end").alias("backend"), e("s_suppkey % 2 = 0").alias("kv_required"), e("if(s_nationkey % 2 = 0, 'fp8', 'turboquant')").alias("kv_mode"), e("s_suppkey % 7 = 0").alias("forced"))
-    return requests.admitted_models(t("part").select("p_partkey", (F.col("p_partkey") % 130).alias("model_id"), F.lit("chat").alias("task_type")), m).select("p_partkey", "backend", "refused")
+    m = t("supplier").select(F.col("s_suppkey").alias("model_id"), e("if(s_suppkey % 3 = 0, 'embed', 'chat')").alias("task"), e("case s_nationkey % 5 when 0 then 'dev' when 1 then 'vllm' when 2 then 'transformers' when 3 then 'own' else 'other' end").alias("backend"), e("s_suppkey % 2 = 0").alias("kv_required"), e("if(s_nationkey % 2 = 0, 'fp8', 'turboquant')").alias("kv_mode"), e("s_suppkey % 7 = 0").alias("forced"))
+    return requests.admitted_models(t("part").select("p_partkey", (F.col("p_partkey") % 130).alias("model_id"), F.lit("chat").alias("task_type")), m, (*requests.BACKENDS, "own")).select("p_partkey", "backend", "refused")
 
 
 @query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'a' END AS tenant_id, CASE WHEN c_custkey % 4 < 3 THEN left(sha256('t' || c_custkey % 4), 16) END AS token_hash FROM customer")

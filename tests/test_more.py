@@ -232,3 +232,13 @@ def test_reports(spark):
     lines = ['{"step": 1, "train_loss": 5.0, "step_seconds": 2, "h2d_seconds": 1}', '{"step": 2, "train_loss": 3.0, "guarded_step_replay": {"attempts": 2, "attempt_log": [{"accepted": false}]}}', '{"step": 2, "val_loss": 1}']
     page = reports.dashboard(telemetry.parse(spark.createDataFrame(list(enumerate(lines)), "i long, line string")))
     assert all(f"<h2>{x}</h2>" in page for x in ("Key figures", "Timing", "Spikes", "Slowest updates", "Replays", "Validation")) and "<td>50.0</td>" in page and "<td>h2d_seconds</td>" in page
+
+
+def test_small_sinks(spark):
+    import base64
+    import struct
+
+    assert [r["id"] for r in sinks.last_of(spark.range(9), "id", 3).collect()] == [8, 7, 6]
+    assert sinks.combined([{"stage": "a", "complete": True}, {"stage": "b"}]) == {"complete": False, "stages": {"a": {"stage": "a", "complete": True}, "b": {"stage": "b"}}}
+    row = spark.createDataFrame([([1.0, -2.5],), (None,)], "v array<float>").select(U.base64_floats(F.col("v")).alias("b")).collect()
+    assert struct.unpack("<2f", base64.b64decode(row[0]["b"])) == (1.0, -2.5) and row[1]["b"] is None
