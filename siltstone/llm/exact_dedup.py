@@ -24,6 +24,8 @@ from siltstone.llm.common import lower_ascii, rows_of
 
 #: Distinct texts in one owner's range, about; keys in one page; bytes that a task holds before it hands on its folded texts.
 ROWS_PER_OWNER, PAGE, HELD_BYTES = 512, 64, 32 << 20
+#: Bytes of the index's narrow entries up to which ``keep`` broadcasts them, and of one entry, about.
+BROADCAST_BYTES, ENTRY_BYTES = 32 << 20, 100
 
 FOLDED = "owner long, key long, sha string, body binary, keep_id long, group_size long, n_keep long"
 ENTRY = "owner long, page long, depth int, directory_depth int, key long, chain int, sha string, body binary, keep_id long, group_size long, n_keep long"
@@ -192,16 +194,22 @@ def mark(docs: DataFrame) -> DataFrame:
     return found.filter(~_tied()).select(*columns).unionByName(tied.select(*columns))
 
 
-def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, all their columns, one per distinct text; of rows that repeat its id and text, the one whose columns' digest is least."""
+def keep(docs: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The rows of ``docs`` that stay, all their columns, one per distinct text; of rows that repeat its id and text, the one whose columns' digest is least.
+
+    A row stays if the index has its text with its id; the index's narrow entries are broadcast where they are few, so that whole rows don't move.
+    """
     index = build_index(docs)
-    found = lookup(docs, index, tuple(docs.columns)).filter("kept")
-    ties = not index.filter("n_keep > 1").isEmpty()
-    kept = found.filter(~_tied()).select("row") if ties else found.select("row")
-    if ties:
-        one = found.filter(_tied()).withColumn("digest", F.xxhash64("row")).groupBy("doc_id", "text_sha256").agg(F.min_by("row", "digest").alias("row"))
-        kept = kept.unionByName(one.select("row"))
-    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    norm = lower_ascii(F.coalesce(docs["text"].cast("string"), F.lit("")))
+    stays = lambda e: docs["doc_id"].cast("long").eqNullSafe(e["_e_id"]) & (F.xxhash64(norm) == e["_e_key"]) & (F.unhex(F.sha2(norm, 256)) == e["_e_sha"])
+    entries = index.select(F.col("keep_id").alias("_e_id"), F.col("key").alias("_e_key"), F.unhex("sha").alias("_e_sha"), (F.col("n_keep") > 1).alias("_tied"))
+    one, several = entries.filter("not _tied"), entries.filter("_tied")
+    kept = docs.join(F.broadcast(one) if index.count() * ENTRY_BYTES <= broadcast_bytes else one, stays(one), "left_semi")
+    if several.isEmpty():
+        return kept
+    rows = docs.join(several, stays(several)).select("_e_id", "_e_sha", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    least = rows.withColumn("digest", F.xxhash64("row")).groupBy("_e_id", "_e_sha").agg(F.min_by("row", "digest").alias("row"))
+    return kept.unionByName(least.select(*(F.col("row").getField(c).alias(c) for c in docs.columns)))
 
 
 ORACLE = """

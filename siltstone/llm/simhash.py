@@ -29,8 +29,8 @@ from siltstone.llm.common import grouped, rows_of, slices
 from siltstone.llm.components import roots
 
 SHINGLE, RADIUS, TREE, BLOCK = 3, 2, 512, 1024
-#: Bytes of all trees up to which they are broadcast.
-BROADCAST_BYTES = 16 << 20
+#: Bytes of all trees, or of the ids that stay, up to which they are broadcast; bytes of an id there, about.
+BROADCAST_BYTES, ID_BYTES = 16 << 20, 24
 #: Shingles of a text that are hashed at a time.
 CHUNK = 1 << 16
 
@@ -246,7 +246,8 @@ def named_rows(docs: DataFrame, own: DataFrame, labels: DataFrame, mark=None) ->
     ids = scratch.stored(ids.select(F.col("doc_id").alias("_kept_id"), (F.expr("doc_id is not null and n = 1")).alias("_sure")), "simhash-kept")
     sure, other = ids.filter("_sure"), ids.filter("not _sure")
     mine = docs["doc_id"].cast("long")
-    kept = docs.join(sure, mine == sure["_kept_id"], "left_semi")
+    few = sure.count() * ID_BYTES <= BROADCAST_BYTES
+    kept = docs.join(F.broadcast(sure) if few else sure, mine == sure["_kept_id"], "left_semi")
     if other.isEmpty():
         return kept
     row = F.struct(*(docs[c] for c in docs.columns))

@@ -46,6 +46,7 @@ def test_exact(spark):
         assert r["group_size"] == len(group) and r["keep_id"] == (max(ids) if ids else None)
     assert len(got) == len(ODD) and sum(r["kept"] for r in got) == len({norm(t) for _, t, *_ in ODD})
     kept = exact_dedup.keep(make(spark, ODD))
+    assert sorted(map(str, exact_dedup.keep(make(spark, ODD), broadcast_bytes=0).collect())) == sorted(map(str, kept.collect()))
     assert kept.columns == make(spark, ODD[:1]).columns and kept.count() == len({norm(t) for _, t, *_ in ODD})
     assert exact_dedup.mark(make(spark, [(4, "a", "en", "x")] * 3)).filter("kept").count() == 1
     assert exact_dedup.mark(make(spark, [])).count() == 0
