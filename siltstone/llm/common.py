@@ -32,6 +32,11 @@ def worker_state(key: str, make: Callable[[], object]):
     return _state[key]
 
 
+def release() -> None:
+    """Let go what an earlier operator has left in this worker; for functions that keep nothing themselves."""
+    _state.clear()
+
+
 class Cache(dict):
     """A dict of bounded size that asks ``fill`` for a key it lacks; hits stay inside the interpreter's C code.
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import scratch
-from siltstone.llm.common import lower_ascii, rows_of
+from siltstone.llm.common import lower_ascii, release, rows_of, slices
 
 #: Distinct texts in one owner's range, about; keys in one page; bytes that a task holds before it hands on its folded texts.
 ROWS_PER_OWNER, PAGE, HELD_BYTES = 512, 64, 32 << 20
@@ -96,6 +96,7 @@ def _fold(bits: int):
         import xxhash
         import zstandard
 
+        release()
         squeeze, schema = zstandard.ZstdCompressor(level=1).compress, _arrow(FOLDED)
         held: dict[int, list[list]] = {}
         size = 0
@@ -109,7 +110,7 @@ def _fold(bits: int):
                         column.append(x)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, schema.types, strict=True)], schema=schema)
 
-        for doc_id, text in rows_of(batches):
+        for doc_id, text in rows_of(slices(batches)):
             body = (text or "").encode().lower()
             key = xxhash.xxh64_intdigest(body, 42)
             chain = held.setdefault(key, [])
