@@ -27,14 +27,22 @@ def worker_state(key: str, make: Callable[[], object]):
     So caches of queries that came before never add up; each cache has its own bound in entries and key lengths.
     """
     if key not in _state:
-        _state.clear()
+        release()
         _state[key] = make()
     return _state[key]
 
 
 def release() -> None:
-    """Let go what an earlier operator has left in this worker; for functions that keep nothing themselves."""
+    """Let go what an earlier operator has left in this worker, and hand its memory back where the C library can; for functions that keep nothing themselves."""
+    import ctypes
+    import gc
+
     _state.clear()
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
 
 
 class Cache(dict):

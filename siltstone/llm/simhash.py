@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import scratch
-from siltstone.llm.common import grouped, rows_of, slices
+from siltstone.llm.common import grouped, release, rows_of, slices
 from siltstone.llm.components import roots
 
 SHINGLE, RADIUS, TREE, BLOCK = 3, 2, 512, 1024
@@ -73,6 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t, shingle) for t in b.column(1).to_pylist()], pa.int64())], schema=schema)
 
