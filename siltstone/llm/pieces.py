@@ -42,7 +42,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: Model types of the format.
 UNIGRAM, BPE = 1, 2
 #: Entries of a generation of the cache of stretches; pairs of pieces; characters of a part, and of a step of the search.
-STRETCHES, PAIRS, PART, STEP = 150_000, 1 << 19, 1 << 16, 4096
+STRETCHES, PAIRS, PART, STEP = 500_000, 1 << 19, 1 << 16, 4096
 
 
 class Model:
