@@ -193,10 +193,10 @@ class Viterbi:
 class Codec:
     """Texts to ids (little-endian signed 32-bit, packed) and back, with a cache of stretches between hard boundaries."""
 
-    def __init__(self, proto: bytes):
+    def __init__(self, proto: bytes, stretches: int | None = None):
         self.model = Model(proto)
-        self.cache = Cache(self._stretch, STRETCHES)
-        self.cuts = Cache(self._search, STRETCHES // 2)
+        self.cache = Cache(self._stretch, stretches or STRETCHES)
+        self.cuts = Cache(self._search, (stretches or STRETCHES) // 2)
         self.plain = not any(a != SPACE and b == SPACE for a, b in self.model.inner)
 
     def _search(self, chars: str) -> bytes:
@@ -253,25 +253,25 @@ class Codec:
         return raw.decode("utf-8", "replace")
 
 
-def _codec(model: str) -> Codec:
+def _codec(model: str, stretches: int | None = None) -> Codec:
     from pathlib import Path
 
     import public_tokenizers
 
-    return worker_state(f"pieces {model}", lambda: Codec(Path(public_tokenizers.path(model)).read_bytes()))
+    return worker_state(f"pieces {model} {stretches}", lambda: Codec(Path(public_tokenizers.path(model)).read_bytes(), stretches))
 
 
 MODEL = "piece_bpe_32k.model"
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids of every row's whole text; ``model`` names a public model file."""
+def encode(docs: DataFrame, model: str = MODEL, stretches: int | None = None) -> DataFrame:
+    """doc_id, ids of every row's whole text; ``model`` names a public model file, ``stretches`` bounds a worker's cache (``STRETCHES``)."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        code = _codec(model).encode
+        code = _codec(model, stretches).encode
         for b in slices(batches):
             packed = [code(t) for t in b.column(1).to_pylist()]
             offsets = np.concatenate(([0], np.cumsum([len(p) >> 2 for p in packed]))).astype(np.int32)
