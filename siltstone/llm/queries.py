@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltstone.llm import bitslice, exact_dedup, langid, line_dedup, mixing, pieces, simhash, token_counts, token_files, warc
+from siltstone.llm import bestfit, bitslice, divergence, exact_dedup, langid, line_dedup, mixing, pieces, simhash, token_counts, token_files, variants, warc
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_language_id": langid.op9_language_id,
     "op10_sentencepiece": pieces.op10_sentencepiece,
+    "op11_bestfit_packing": bestfit.op11_bestfit_packing,
+    "op12_divergence_audit": divergence.op12_divergence_audit,
+    "op13_spelling_variants": variants.op13_spelling_variants,
 }
-ORACLES = {"op2_warc": warc.ORACLE, "op5_bitslice_topk": bitslice.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE}
+ORACLES = {"op2_warc": warc.ORACLE, "op5_bitslice_topk": bitslice.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE, "op12_divergence_audit": divergence.ORACLE, "op13_spelling_variants": variants.ORACLE}
