@@ -1,12 +1,12 @@
 """Token ids in seekable files: independent zstandard frames, a seek table at the end, a checksum per frame.
 
 Layout of a file: one frame per document (its ids as little-endian unsigned 32-bit integers, the frame's own content
-checksum on), a skippable frame with the file's number and its documents' ids, then the seek table as a skippable
+checksum on), a skippable frame with the file's number, its documents' ids and a byte each that marks null ids, then the seek table as a skippable
 frame: per frame its compressed size, its content's size and the low half of the content's XXH64, then the number of
 frames, a descriptor byte (checksums) and the closing magic number. Any zstandard reader can read a file whole; a
 reader with the seek table decompresses only the frames of the documents asked for, and checks each.
 
-Documents are dealt by ranges of doc_id and sorted, so files in the order of their number hold ascending doc_ids; a
+Documents are dealt by ranges of (doc_id, hash of the text) and sorted, so that neither nulls nor a repeated id share a task, and files in the order of their number hold ascending doc_ids; a
 document's start among all ids follows from the tasks' and files' totals and the sizes in the seek tables. A folder may
 hold an index (``index``): per file its range of doc_ids, so that a reader who asks for documents opens the files that
 may hold them and no other. Spark writes the bytes: a row of the text writer is a file, and the row separator is the closing magic number. So files reach
@@ -37,7 +37,7 @@ FILE_BYTES, LEVEL, CHECKSUMS = 16 << 20, 1, 0x80
 END_ID = 2
 #: Folder of the index below the files' own; Spark's readers pass it over.
 INDEX = "_index"
-NULL_ID = -(2**63)
+
 
 def _encoder(vocabulary: str):
     import public_tokenizers
@@ -47,9 +47,9 @@ def _encoder(vocabulary: str):
     return worker_state(f"bpe {vocabulary}", lambda: Encoder(public_tokenizers.path(vocabulary)))
 
 
-def _closed(task: int, place: int, frames: list[bytes], table: list[tuple[int, int, int]], ids: list[int]) -> bytes:
+def _closed(task: int, place: int, frames: list[bytes], table: list[tuple[int, int, int]], ids: list[int | None]) -> bytes:
     """A file's bytes without the closing magic number."""
-    listed = struct.pack("<qqQ", task, place, len(ids)) + struct.pack(f"<{len(ids)}q", *ids)
+    listed = struct.pack("<qqQ", task, place, len(ids)) + struct.pack(f"<{len(ids)}q", *(i or 0 for i in ids)) + bytes(i is None for i in ids)
     listed = struct.pack("<II", DOCS_MAGIC, len(listed)) + listed
     table = [*table, (len(listed), 0, 0)]
     seek = b"".join(struct.pack("<III", *x) for x in table) + struct.pack("<IB", len(table), CHECKSUMS)
@@ -69,7 +69,7 @@ def _files(vocabulary: str, end_id: int, file_bytes: int):
             frame = squeeze(raw)
             frames.append(frame)
             table.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-            ids.append(NULL_ID if doc_id is None else doc_id)
+            ids.append(doc_id)
             size += len(frame)
             if size >= file_bytes:
                 yield pa.RecordBatch.from_pydict({"value": [_closed(task, place, frames, table, ids)]}, schema=pa.schema([("value", pa.binary())]))
@@ -80,10 +80,16 @@ def _files(vocabulary: str, end_id: int, file_bytes: int):
     return run
 
 
-def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES) -> None:
-    """Encode every whole text and write the files to the folder ``path``."""
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    files = dealt.mapInArrow(_files(vocabulary, end_id, file_bytes), "value binary").select(F.col("value").cast("string"))
+def dealt(docs: DataFrame, ranges: int) -> DataFrame:
+    """(doc_id, text) in ``ranges`` sorted ranges of doc_id; rows of one id are split by their texts' hash."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("_h", F.xxhash64("text"))
+    return own.repartitionByRange(ranges, "doc_id", "_h").sortWithinPartitions("doc_id").drop("_h")
+
+
+def write(docs: DataFrame, vocabulary: str, path: str, end_id: int = END_ID, file_bytes: int = FILE_BYTES, ranges: int | None = None) -> None:
+    """Encode every whole text and write the files to the folder ``path``, in ``ranges`` tasks (the session's shuffle partitions where none are given)."""
+    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    files = dealt(docs, ranges).mapInArrow(_files(vocabulary, end_id, file_bytes), "value binary").select(F.col("value").cast("string"))
     end = struct.pack("<I", END_MAGIC).decode("latin1")
     files.write.option("maxRecordsPerFile", 1).option("encoding", "ISO-8859-1").option("lineSep", end).text(path)
 
@@ -103,7 +109,8 @@ def seek_table(data: bytes) -> tuple[int, int, list[tuple[int, int, int, int]]]:
         at += size
     task, place, count = struct.unpack_from("<qqQ", data, offsets[-1] + 8)
     ids = struct.unpack_from(f"<{count}q", data, offsets[-1] + 32)
-    return task, place, [(None if i == NULL_ID else i, o, *e) for i, o, e in zip(ids, offsets[:-1], entries[:-1], strict=True)]
+    none = data[offsets[-1] + 32 + 8 * count :][:count]
+    return task, place, [(None if x else i, o, *e) for i, x, o, e in zip(ids, none, offsets[:-1], entries[:-1], strict=True)]
 
 
 def frame(data: bytes, entry: tuple) -> bytes:

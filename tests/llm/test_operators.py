@@ -8,6 +8,7 @@ import zlib
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siltstone.llm import bitslice, exact_dedup, langid, line_dedup, mixing, near, pieces, queries, simhash, token_counts, token_files, warc
@@ -757,6 +758,18 @@ def test_token_files_index(spark, tmp_path):
     assert token_files.with_starts(token_files.read(spark, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_token_files_hot_ids(spark, tmp_path):
+    """Two thirds null ids and one repeated id are split over the ranges; the least long is an id like any other."""
+    rows = spark.range(12_000).selectExpr("IF(id % 3 < 2, NULL, IF(id % 2 = 0, 7, id)) AS doc_id", "concat('text ', id) AS text")
+    sizes = token_files.dealt(rows, 16).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 15 and max(r[1] for r in sizes) < 2 * 12_000 / 16
+    path = f"file://{tmp_path}/t"
+    token_files.write(make(spark, [(-(2**63), "a", "en", "a"), (None, "b", "en", "a"), (None, None, "en", "a"), (0, "", "en", "a")]), "byte_bpe_50k.json", path)
+    got = token_files.with_starts(token_files.read(spark, path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == [(False, -(2**63)), (False, 0), (True, 0), (True, 0)] and sorted(r["start"] for r in got)[0] == 0
+    assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, None, -(2**63), 0]
+
+
 def test_pieces_long_and_empty(spark):
     long = "漢字かな交じり文" * 30_000 + "abc" * 100_000
     got = pieces.round_trip(make(spark, [(1, long, "ja", "a"), (2, "x" * 200_000, "en", "a")])).collect()
