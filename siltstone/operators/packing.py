@@ -29,11 +29,11 @@ def offsets(df: DataFrame, size: str, order: list[str], within: list[str] = ())
     return joined.select("l.*", (F.col("_local") + F.col("_base")).cast("long").alias("start")).drop("_part", "_local")
 
 
-def blocks(docs: DataFrame, tokens: str, order: list[str], length: int, overlap: bool, within: list[str] = ()) -> DataFrame:
+def blocks(docs: DataFrame, tokens: str, order: list[str], length: int, overlap: bool, within: list[str] = (), tail: bool = False) -> DataFrame:
     """Blocks of ``length`` + 1 tokens of the concatenated documents (per ``within``): block, tokens.
 
     Disjoint blocks step by length + 1; overlapping ones by length, so that a block's last token is the next one's
-    first. What doesn't fill a block is left off. A document adds at most one row a block it touches to the shuffle:
+    first. What doesn't fill a block is left off, or with ``tail`` kept as a last, shorter one. A document adds at most one row a block it touches to the shuffle:
     slices of tokens travel, not single tokens.
     """
     width, step = length + 1, length if overlap else length + 1
@@ -46,7 +46,7 @@ def blocks(docs: DataFrame, tokens: str, order: list[str], length: int, overlap:
     high = F.least(F.col("block") * step + width, F.col("start") + F.col("_n"))
     part = cut.filter(high > low).select(*within, "block", low.alias("low"), F.slice("_tokens", (low - F.col("start") + 1).cast("int"), (high - low).cast("int")).alias("part"))
     whole = part.groupBy(*within, "block").agg(F.sort_array(F.collect_list(F.struct("low", "part"))).alias("parts")).select(*within, "block", F.flatten(F.transform("parts", lambda p: p["part"])).alias("tokens"))
-    return whole.filter(F.size("tokens") == width)
+    return whole if tail else whole.filter(F.size("tokens") == width)
 
 
 def shifted(packed: DataFrame) -> DataFrame:

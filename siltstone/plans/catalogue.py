@@ -13,7 +13,7 @@ from siltstone.functions import text as X
 from siltstone.functions import udfs as U
 from siltstone.operators import catalog, codecs, control, dedup, normalize, packing, profile, requests, telemetry, tokenize
 from siltstone.sources import scans, sinks
-from siltstone.streaming import streams
+from siltstone.streaming import ranges, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -880,3 +880,43 @@ def stream_packing(spark, t):
     _tokens(t).select("split", "doc_id", F.transform("tok", lambda w: F.pmod(F.hash(w), F.lit(50000))).alias("tokens")).write.parquet(path + "/in")
     s = streams.files(spark, path + "/in", "split string, doc_id long, tokens array<int>", 1)
     return streams.run_once(streams.packed(s, "split", "doc_id", 128), path + "/out", path + "/state")
+
+
+#: Words with their global positions over so many passes of the texts in the order of doc_id, and blocks of 129 positions with a step.
+_PASSES = "WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS t, unnest(range(len(string_split(text, ' ')))) AS i FROM documents), p AS (SELECT length(t) AS n, row_number() OVER (ORDER BY e, doc_id, i) - 1 AS pos FROM w, range({0}) r(e)), k AS (SELECT unnest([pos // {1}, CASE WHEN {1} = 128 AND pos % 128 = 0 AND pos > 0 THEN pos // 128 - 1 END]) AS block, pos, n FROM p) SELECT block, CAST(block // {2} AS INTEGER) AS shard, CAST(sum(n) AS BIGINT) AS total, CAST(arg_min(n, pos) AS INTEGER) AS head FROM k WHERE block IS NOT NULL GROUP BY block HAVING count(*) = 129"
+
+
+def _word_lengths(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tokens", F.transform(F.split("text", " "), F.length))
+
+
+def _texts_in_order(t) -> DataFrame:
+    return scratch.stored(t("documents").orderBy("doc_id").select("text"), "texts-in-order")
+
+
+def _digest(blocks: DataFrame) -> DataFrame:
+    return blocks.select("block", "shard", F.aggregate("tokens", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"), F.col("tokens")[0].alias("head"))
+
+
+@query(_PASSES.format(2, 128, 64))
+def endless_blocks(spark, t):
+    """Two epochs of the endless stream, stopped once in between and resumed from its checkpoint."""
+    texts = _texts_in_order(t)
+    files, path = ranges.planned(spark, texts._scratch), scratch.new_path(spark, "endless")
+    rows = max(1, sum(n for _, n in files) // 3)
+    packer = ranges.Packer(spark, path + "/out", _word_lengths, 128)
+    ranges.run(ranges.stream(spark, files, rows, 2), packer, path + "/state", 2)
+    ranges.run(ranges.stream(spark, files, rows, 2), packer, path + "/state")
+    return _digest(packer.blocks())
+
+
+@query(_PASSES.format(1, 129, 16))
+def resumed_packing(spark, t):
+    """One pass over files with a commit log, stopped after its first batch and gone on with."""
+    texts = _texts_in_order(t)
+    files, path = ranges.planned(spark, texts._scratch), scratch.new_path(spark, "packed-files")
+    rows = max(1, sum(n for _, n in files) // 3)
+    packer = ranges.Packer(spark, path, _word_lengths, 128, overlap=False, blocks_per_shard=16)
+    ranges.pack_files(spark, files, packer, rows, batches=1)
+    ranges.pack_files(spark, files, packer, rows)
+    return _digest(packer.blocks())
