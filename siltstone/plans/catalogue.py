@@ -13,7 +13,7 @@ from siltstone.functions import text as X
 from siltstone.functions import udfs as U
 from siltstone.operators import catalog, codecs, control, dedup, normalize, packing, profile, requests, telemetry, tokenize
 from siltstone.sources import scans, sinks
-from siltstone.streaming import ranges, streams
+from siltstone.streaming import prefixes, ranges, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -920,3 +920,24 @@ def resumed_packing(spark, t):
     ranges.pack_files(spark, files, packer, rows, batches=1)
     ranges.pack_files(spark, files, packer, rows)
     return _digest(packer.blocks())
+
+
+@query(
+    "WITH RECURSIVE ev AS (SELECT CAST(user_id % 7 AS VARCHAR) AS tenant_id, CAST((event_id * 31) % 13 AS VARCHAR) AS p, epoch_us(ts) * 1000 + event_id % 1000 AS seq, epoch_ms(ts) AS ms, event_id AS new, CASE WHEN event_id % 97 = 0 THEN 'evict' WHEN event_id % 3 = 0 THEN 'insert' ELSE 'lookup' END AS op FROM events), k AS (SELECT DISTINCT tenant_id, p FROM ev WHERE op <> 'evict'), "
+    "o AS (SELECT k.tenant_id, k.p, seq, ms, new, op, row_number() OVER (PARTITION BY k.tenant_id, k.p ORDER BY seq) AS i FROM k JOIN ev ON ev.tenant_id = k.tenant_id AND (ev.op = 'evict' OR ev.p = k.p)), "
+    "r AS (SELECT tenant_id, p, 0::BIGINT AS i, NULL::BIGINT AS seq, NULL::VARCHAR AS op, NULL::BIGINT AS ref, 0::BIGINT AS hits, 0::BIGINT AS used, false AS had FROM k UNION ALL SELECT tenant_id, p, i, seq, op, CASE WHEN op = 'insert' THEN new WHEN op = 'lookup' AND alive THEN ref END, CASE WHEN op = 'evict' OR NOT alive THEN 0 ELSE hits + CASE WHEN op = 'lookup' THEN 1 ELSE 0 END END, CASE WHEN op = 'insert' OR (op = 'lookup' AND alive) THEN ms ELSE used END, alive FROM (SELECT o.*, r.ref, r.hits, r.used, r.ref IS NOT NULL AND r.used + 21600000 >= o.ms AS alive FROM r JOIN o ON o.tenant_id = r.tenant_id AND o.p = r.p AND o.i = r.i + 1) x) "
+    "SELECT 'lookup' AS kind, tenant_id, seq, ref AS kv_ref, CASE WHEN ref IS NULL THEN 0 ELSE hits END AS hits, NULL::BIGINT AS removed FROM r WHERE op = 'lookup' UNION ALL SELECT 'evict', tenant_id, seq, NULL, NULL, CAST(count(*) FILTER (WHERE had) AS BIGINT) FROM r WHERE op = 'evict' GROUP BY tenant_id, seq HAVING count(*) FILTER (WHERE had) > 0"
+)
+def prefix_index(spark, t):
+    """The index over a stream of events that insert, look up and evict; entries live six hours."""
+    path, key = scratch.new_path(spark, "prefix-index"), "spark.sql.streaming.stateStore.providerClass"
+    op = F.when(F.col("event_id") % 97 == 0, "evict").when(F.col("event_id") % 3 == 0, "insert").otherwise("lookup")
+    at = F.col("ts").cast("timestamp")
+    t("events").select((F.col("user_id") % 7).cast("string").alias("tenant_id"), F.lit("m").alias("model_id"), (F.col("event_id") * 31 % 13).cast("string").alias("prefix_hash"), (F.unix_micros(at) * 1000 + F.col("event_id") % 1000).alias("seq"), at.alias("ts"), F.when(op == "insert", F.col("event_id")).alias("kv_ref"), op.alias("op")).write.parquet(path + "/in")
+    before = spark.conf.get(key)
+    spark.conf.set(key, prefixes.PROVIDER)
+    try:
+        answers = streams.run_once(prefixes.indexed(streams.files(spark, path + "/in", prefixes.EVENTS, 1000), 6 * 3600), path + "/out", path + "/state")
+    finally:
+        spark.conf.set(key, before)
+    return answers.groupBy("kind", "tenant_id", "seq", "kv_ref", "hits").agg(F.sum("removed").alias("removed"))

@@ -156,3 +156,58 @@ def test_hosted_ranges(spark, tmp_path):
         assert rows == [] and asked == []
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def replayed(events, ttl):
+    """A plain replay in the order of seq: answers of lookups, and removed entries per eviction."""
+    held, out = {}, []
+    for tenant, prefix, seq, at, ref, op in events:
+        alive = {k for k, (_, _, used) in held.items() if used + ttl >= at}
+        key = (tenant, prefix)
+        if op == "evict":
+            gone = [k for k in held if k[0] == tenant]
+            if n := sum(k in alive for k in gone):
+                out.append(("evict", tenant, seq, None, None, n))
+            for k in gone:
+                del held[k]
+        elif op == "insert":
+            held[key] = (ref, held[key][1] if key in alive else 0, at)
+        elif key in alive:
+            held[key] = (held[key][0], held[key][1] + 1, at)
+            out.append(("lookup", tenant, seq, held[key][0], held[key][1], None))
+        else:
+            out.append(("lookup", tenant, seq, None, 0, None))
+    return sorted(out, key=lambda r: r[2])
+
+
+def test_prefix_state(spark):
+    """Over several micro-batches: answers of a plain replay, a hot tenant over many buckets, state that shrinks when entries expire."""
+    import datetime
+    import random
+
+    from siltstone.streaming import prefixes, streams
+
+    rng, start, ttl = random.Random(4), datetime.datetime(2024, 1, 1), 60
+    events = [(rng.choice("aaab"), f"p{rng.randrange(12)}", seq, seq * 3, seq, rng.choices(["insert", "lookup", "evict"], [5, 9, 0.3])[0]) for seq in range(240)]
+    path, key = scratch.new_path(spark, "prefix-test"), "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, prefixes.PROVIDER)
+    make = lambda rows: spark.createDataFrame([(t, "m", p, q, start + datetime.timedelta(seconds=x), r if o == "insert" else None, o) for t, p, q, x, r, o in rows], prefixes.EVENTS)
+
+    def step(rows):
+        make(rows).coalesce(1).write.mode("append").parquet(path + "/in")
+        return streams.run_once(prefixes.indexed(streams.files(spark, path + "/in", prefixes.EVENTS, 1), ttl, 3), path + "/out", path + "/state")
+
+    state = lambda: spark.read.format("statestore").option("path", path + "/state").option("stateVarName", "entries").load().count()
+    try:
+        for at in range(0, 240, 80):
+            answers = step(events[at : at + 80])
+        assert 0 < state() <= 24
+        late = [("z", "p", 500, 9000, 1, "insert"), ("z", "p", 501, 9001, None, "lookup")]
+        step(late[:1])
+        answers = step(late[1:])
+        assert state() == 1  # the timers have taken out what had expired
+    finally:
+        spark.conf.set(key, before)
+    got = answers.groupBy("kind", "tenant_id", "seq", "kv_ref", "hits").agg(F.sum("removed").alias("n")).collect()
+    assert sorted(map(tuple, got), key=lambda r: r[2]) == replayed(events + late, ttl)
