@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siltstone.operators import running
+
 
 def tensor_stats(df: DataFrame, key: str, values: str) -> DataFrame:
     """Counts of NaN and infinite values, and moments of the finite ones."""
@@ -41,19 +43,7 @@ def apportion(parts: DataFrame, name: str, count: str, requested: int) -> DataFr
 
 def next_fit(df: DataFrame, run: str, order: str, size: str, most: int) -> DataFrame:
     """Adds ``file``: items in order go to a run's open file; one that doesn't fit opens the next."""
-    def partition(batches):
-        state: dict = {}
-        for pdf in batches:
-            out = []
-            for key, n in zip(pdf[run], pdf[size], strict=True):
-                file, held = state.get(key, (0, 0))
-                if held and held + n > most:
-                    file, held = file + 1, 0
-                state[key] = (file, held + n)
-                out.append(file)
-            yield pdf.assign(file=out)
-
-    return df.repartition(run).sortWithinPartitions(run, order).mapInPandas(partition, T.StructType([*df.schema.fields, T.StructField("file", T.LongType())]))
+    return running.next_fit(df, run, order, size, most)
 
 
 def weight_map(packed: DataFrame, run: str, name: str) -> DataFrame:

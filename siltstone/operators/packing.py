@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone import scratch
+from siltstone.operators import running
 
 
 def offsets(df: DataFrame, size: str, order: list[str], within: list[str] = ()) -> DataFrame:
@@ -56,10 +57,10 @@ def shifted(packed: DataFrame) -> DataFrame:
 
 
 def block_at(shards: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Global block numbers (``block``) to shard and row: the shard (few rows, a row a file) whose range holds it."""
-    w = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    low = shards.withColumn("low", F.coalesce(F.sum("blocks").over(w), F.lit(0))).withColumn("high", F.col("low") + F.col("blocks"))
-    return wanted.join(low, (F.col("block") >= F.col("low")) & (F.col("block") < F.col("high"))).select("block", "shard", (F.col("block") - F.col("low")).alias("row"))
+    """Global block numbers (``block``) to shard and row: the shard whose range holds it, by a sorted sweep; a block that is wanted often is looked up once."""
+    low = offsets(shards.filter("blocks > 0").select("shard", "blocks"), "blocks", ["shard"])
+    held = running.holder(low, "start", wanted, "block").filter(F.col("block") < F.col("start") + F.col("blocks"))
+    return wanted.join(held.select("block", "shard", (F.col("block") - F.col("start")).alias("row")), "block").select("block", "shard", "row")
 
 
 def epoch_order(packed: DataFrame, shard: str, row: str, seed: int, epoch: int, workers: int = 1) -> DataFrame:

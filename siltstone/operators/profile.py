@@ -8,15 +8,16 @@ from pyspark.sql import functions as F
 from siltstone import scratch
 from siltstone.functions import text as X
 from siltstone.functions import udfs as U
+from siltstone.operators import ranks
 
 QUANTILES = (0.01, 0.05, 0.5, 0.95, 0.99)
 
 
 def numeric(df: DataFrame, value: Column) -> DataFrame:
-    """Count, extremes, mean and exact interpolated quantiles, in one pass."""
-    q = F.percentile("v", F.array(*map(F.lit, QUANTILES)))
-    out = df.select(value.cast("double").alias("v")).agg(F.count("v").alias("n"), F.min("v").alias("lowest"), F.max("v").alias("highest"), F.avg("v").alias("mean"), q.alias("q"))
-    return out.select("n", "lowest", "highest", "mean", *(F.col("q")[i].alias(f"p{int(x * 100):02d}") for i, x in enumerate(QUANTILES)))
+    """Count, extremes, mean and exact interpolated quantiles, by histograms that narrow."""
+    row = ranks.profile(df, value, QUANTILES)
+    names = ("lowest", "highest", "mean", *(f"p{int(x * 100):02d}" for x in QUANTILES))
+    return df.sparkSession.createDataFrame([row], ", ".join(("n long", *(f"{c} double" for c in names))))
 
 
 def nulls(df: DataFrame) -> DataFrame:

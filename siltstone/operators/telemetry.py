@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from siltstone.functions.numbers import finite, perplexity, whole
-from siltstone.operators import control
+from siltstone.operators import control, running
 
+#: The names and types of a log line's fields.
 _NUM = "train_loss double, loss double, lr double, learning_rate double, base_lr double, tokens_per_sec double, step_seconds double, data_load_seconds double, forward_compute_seconds double, shard_update_seconds double, backward_update_seconds double, commit_seconds double, global_grad_norm double, global_grad_clip_scale double, val_loss double, val_perplexity double, validation_batches double"
 LOG = (
     f"step long, {_NUM}, active_shard string, timing_breakdown map<string,double>, grad_norm string, "
@@ -56,7 +56,7 @@ PATHS = {
 
 
 def metrics(parsed: DataFrame) -> DataFrame:
-    """Train rows with the columns of ``EXPORTED``; a log is one run, so its moving values are one ordered fold."""
+    """Train rows with the columns of ``EXPORTED``; a log is one run, over as many tasks as it has ranges."""
     at = lambda path: finite(F.get_json_object("line", f"$.{path}"))
     plain = [c for c in EXPORTED[3:] if not c.startswith("train_loss_")]
     rows = parsed.filter("kind = 'train'").select(F.lit(0).alias("_run"), "i", F.col("e.step").alias("step"), F.coalesce(at("train_loss"), at("loss")).alias("train_loss"), *(F.coalesce(at(PATHS.get(c, c)), *([at(f"timing_breakdown.{c}")] if c.endswith("_seconds") else [])).alias(c) for c in plain))
@@ -65,38 +65,19 @@ def metrics(parsed: DataFrame) -> DataFrame:
 
 
 def ema(df: DataFrame, run: str, order: str, value: str, alpha: float = 0.08) -> DataFrame:
-    """Adds ``ema`` per run: the first value seeds it, a null carries it on. One run's rows are one ordered fold, as the recursion asks."""
+    """Adds ``ema`` per run: the first value seeds it, a null carries it on."""
+    return running.ema(df, run, order, value, alpha)
 
-    schema = T.StructType([*df.schema.fields, T.StructField("ema", T.DoubleType())])
-    sorted_ = df.repartition(run).sortWithinPartitions(run, order)
 
-    def partition(batches):
-        import pandas as pd
-
-        states: dict = {}
-        for pdf in batches:
-            out = []
-            for key, v in zip(pdf[run], pdf[value], strict=True):
-                if v is not None and v == v:
-                    states[key] = v if states.get(key) is None else alpha * v + (1 - alpha) * states[key]
-                out.append(states.get(key))
-            yield pdf.assign(ema=pd.Series(out, dtype="float64", index=pdf.index))
-
-    return sorted_.mapInPandas(partition, schema)
-
-
-def rolling_std(df: DataFrame, run: str, order: str, value: str, window: int = 25) -> Column:
-    """Population deviation of the last ``window`` non-null values; null below two of them."""
-    before = Window.partitionBy(run).orderBy(order)
-    n = F.count(value).over(before)
-    last = Window.partitionBy(run).orderBy("_seen").rangeBetween(-(window - 1), 0)
-    return df.withColumn("_seen", n).withColumn("rolling_std", F.when(F.count(value).over(last) >= 2, F.stddev_pop(value).over(last))).drop("_seen")
+def rolling_std(df: DataFrame, run: str, order: str, value: str, window: int = 25) -> DataFrame:
+    """Adds the population deviation of the last ``window`` non-null values; null below two of them."""
+    return running.deviation(df, run, order, value, window)
 
 
 def derived(df: DataFrame, run: str, order: str, loss: str, tokens: str) -> DataFrame:
-    """Adds delta to the last non-null loss, the running sum of tokens, and whether the step was seen before."""
-    past = Window.partitionBy(run).orderBy(order)
-    return df.withColumns({"delta": F.col(loss) - F.last(loss, ignorenulls=True).over(past.rowsBetween(Window.unboundedPreceding, -1)), "cumulative": F.sum(F.coalesce(tokens, F.lit(0.0))).over(past.rowsBetween(Window.unboundedPreceding, 0))})
+    """Adds delta to the last non-null loss, and the running sum of tokens."""
+    own = running.scanned(df, [run], [order], sums={"cumulative": F.coalesce(tokens, F.lit(0.0))}, prior={"_before": F.col(loss)})
+    return own.withColumn("delta", F.col(loss) - F.col("_before")).drop("_before")
 
 
 def repeated_steps(df: DataFrame, run: str, step: str, order: str) -> DataFrame:
