@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone import scratch
 from siltstone.functions import text as X
 
 
@@ -158,20 +159,58 @@ def pruned(df: DataFrame, group: str, position: str, score: str, recent: int, fr
     return own.withColumn("prune", (F.col("_back") > recent) & (F.col("_low") <= most)).drop("_n", "_back", "_low")
 
 
+#: Postings of a query's rarest terms that give its first bound, at least.
+SEEDS = 200
+
+
+def rerank_candidates(queries: DataFrame, docs: DataFrame, top: int, seeds: int = SEEDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The pairs (query_id, doc_id) that may be among a query's ``top``, and the stored queries and documents with their terms.
+
+    An inverted index (term, doc_id, dn) is read by rarity. The rarest terms of a query, until they have ``seeds``
+    postings, give candidates whose exact scores bound it: its ``top``-th best score so far is ``theta``. A document of dn
+    terms that reaches theta shares at least t = theta * sqrt(qn * dn) terms with the query, so dn lies between
+    theta^2 * qn and qn / theta^2, and it holds one of the qn - t + 1 rarest terms. A term past that place for every
+    possible length isn't looked up at all, and of the others' postings only those whose length asks for the place.
+    """
+    q = scratch.stored(queries.select("query_id", X.terms(F.col("query")).alias("qt")).withColumn("qn", F.size("qt")), "rerank-queries")
+    d = scratch.stored(docs.select("doc_id", X.terms(F.col("text")).alias("dt")).withColumn("dn", F.size("dt")).filter("dn > 0"), "rerank-documents")
+    index = d.select("doc_id", "dn", F.explode("dt").alias("term"))
+    asked = q.select("query_id", "qn", F.explode("qt").alias("term"))
+    held = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    own = Window.partitionBy("query_id").orderBy(F.coalesce("df", F.lit(0)), "term")  # a row a term of one query
+    ranked = asked.join(held, "term", "left").withColumns({"place": F.row_number().over(own), "_before": F.coalesce(F.sum("df").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    ranked = scratch.stored(ranked.filter("df is not null"), "rerank-terms")
+    first = ranked.filter(F.col("_before") < seeds).select("query_id", "term").join(index.select("term", "doc_id"), "term").select("query_id", "doc_id").distinct()
+    by = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    bound = rerank_scores(first, q, d).withColumn("_r", F.row_number().over(by)).filter(F.col("_r") == top).select(F.col("query_id").alias("_q"), F.col("score").alias("theta"))
+    terms = ranked.join(bound, F.col("query_id") == F.col("_q"), "left").withColumn("theta", F.coalesce("theta", F.lit(0.0)) * (1 - 1e-12)).drop("_q")
+    low = F.col("theta") * F.col("theta") * F.col("qn")
+    terms = scratch.stored(terms.filter(F.col("place") <= F.col("qn") - F.ceil(low - 1e-6) + 1).select("query_id", "qn", "term", "place", "theta", low.alias("low")), "rerank-looked-up")
+    dn, least = F.col("dn"), F.ceil(F.col("theta") * F.sqrt(F.col("qn") * F.col("dn")) - 1e-6)
+    fits = (dn >= F.col("low") - 1e-6) & (F.col("theta") * F.col("theta") * dn <= F.col("qn") + 1e-6) & (F.col("place") <= F.col("qn") - least + 1)
+    return terms.join(index, "term").filter(fits).select("query_id", "doc_id").distinct(), q, d
+
+
+def rerank_scores(pairs: DataFrame, q: DataFrame, d: DataFrame) -> DataFrame:
+    """query_id, doc_id, score of pairs that share a term."""
+    common = F.size(F.array_intersect("qt", "dt"))
+    return pairs.join(q, "query_id").join(d, "doc_id").select("query_id", "doc_id", (common / F.sqrt(F.col("qn") * F.col("dn"))).alias("score"))
+
+
 def rerank(queries: DataFrame, docs: DataFrame, top: int) -> DataFrame:
     """Per query (query_id, query) its ``top`` documents (doc_id, text) by shared terms over the root of both counts; ties in doc_id order.
 
-    Documents that share a term are found by a join on terms; those without one score 0 and only matter where a query
-    has fewer than ``top`` others: they are filled in from the first documents by id.
+    Documents without a shared term score 0 and only matter where a query has fewer than ``top`` others: such queries are
+    filled from the first ``top`` documents by id, which is all that is broadcast.
     """
-    q = queries.select("query_id", X.terms(F.col("query")).alias("qt")).withColumn("qn", F.size("qt"))
-    d = docs.select("doc_id", X.terms(F.col("text")).alias("dt")).withColumn("dn", F.size("dt"))
-    hits = q.withColumn("term", F.explode("qt")).join(d.select("doc_id", "dn", F.explode("dt").alias("term")), "term").groupBy("query_id", "qn", "doc_id", "dn").agg(F.count("*").alias("common"))
-    scored = hits.select("query_id", "doc_id", (F.col("common") / F.sqrt(F.col("qn") * F.col("dn"))).alias("score"))
-    first = d.select("doc_id").orderBy("doc_id").limit(top)
-    zero = q.select("query_id").crossJoin(F.broadcast(first)).join(scored.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    pairs, q, d = rerank_candidates(queries, docs, top)
+    scored = rerank_scores(pairs, q, d)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.unionByName(zero).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
+    best = scratch.stored(scored.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top), "rerank-best")
+    short = q.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("_n")), "query_id", "left").filter(F.coalesce("_n", F.lit(0)) < top).select("query_id")
+    first = docs.select("doc_id").orderBy("doc_id").limit(top)
+    zero = short.crossJoin(F.broadcast(first)).join(best.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
+    return best.drop("rank").unionByName(zero).withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= top)
 
 
 def histogram(df: DataFrame, group: str, value: str, bounds: list[float]) -> DataFrame:

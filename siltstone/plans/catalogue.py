@@ -836,6 +836,11 @@ def scan_limit(spark, t):
     return scans.parquet(spark, t("orders").inputFiles(), ["o_orderkey"], per_file=900, limit=777).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
 
 
+@query("SELECT count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM (SELECT o_orderkey FROM orders LIMIT 600)")
+def scan_per_file(spark, t):
+    return scans.parquet(spark, t("orders").inputFiles(), ["o_orderkey"], per_file=600, limit=777).agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
 @query("WITH b AS (SELECT CAST(p_size AS BIGINT) AS blocks, row_number() OVER (ORDER BY p_partkey) - 1 AS shard FROM part), c AS (SELECT *, sum(blocks) OVER (ORDER BY shard) AS hi FROM b) SELECT w.k AS block, CAST(shard AS BIGINT) AS shard, CAST(w.k - (hi - blocks) AS BIGINT) AS row FROM c JOIN (SELECT c_custkey AS k FROM customer) w ON w.k >= hi - blocks AND w.k < hi")
 def block_lookup(spark, t):
     shards = t("part").select(F.col("p_partkey").alias("shard"), F.col("p_size").cast("long").alias("blocks"))
