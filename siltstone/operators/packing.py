@@ -38,8 +38,9 @@ def blocks(docs: DataFrame, tokens: str, order: list[str], length: int, overlap:
     slices of tokens travel, not single tokens.
     """
     width, step = length + 1, length if overlap else length + 1
-    own = docs.select(*within, *order, F.col(tokens).alias("_tokens"), F.size(tokens).alias("_n"), F.monotonically_increasing_id().alias("_row")).filter("_n > 0")
-    own = scratch.stored(own, "tokens")
+    numbered = "_row" in docs.columns  # a stored table whose rows have numbers already
+    own = docs.select(*within, *order, F.col(tokens).alias("_tokens"), F.size(tokens).alias("_n"), F.col("_row") if numbered else F.monotonically_increasing_id().alias("_row")).filter("_n > 0")
+    own = own if numbered else scratch.stored(own, "tokens")
     starts = offsets(own.drop("_tokens"), "_n", order, within).select("_row", "start")  # of keys and sizes alone
     first, last = F.expr(f"greatest(0, floor((start - {width - step}) / {step}))"), F.expr(f"(start + _n - 1) div {step}")
     cut = own.join(starts, "_row").withColumn("block", F.explode(F.sequence(first.cast("long"), last)))

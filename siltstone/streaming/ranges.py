@@ -29,6 +29,7 @@ from siltstone.sources import scans
 
 RANGES = "epoch long, file int, path string, low long, high long"
 ORDER = ["epoch", "file", "row"]
+BLOCKS = "block long, shard int, tokens array<int>"
 LOG = "batch long, first_epoch long, first_file int, first_row long, epoch long, file int, row long, next_block long, remainder array<int>, seen long, filtered long, skipped long, documents long, tokens long"
 #: Rows of a micro-batch and of a range, which is one task's.
 BATCH_ROWS, TASK_ROWS = 100_000, 5_000
@@ -146,8 +147,9 @@ class Packer:
         """block, shard, tokens of the batches that count."""
         last = self.state()
         if last is None:
-            return self.spark.createDataFrame([], "block long, shard int, tokens array<int>")
-        return self.spark.read.parquet(f"{self.out}/blocks").filter(F.col("batch") <= last["batch"]).drop("batch")
+            return self.spark.createDataFrame([], BLOCKS)
+        own = self.spark.read.schema(f"{BLOCKS}, batch long").parquet(f"{self.out}/blocks").filter((F.col("batch") <= last["batch"]) & (F.size("tokens") == self.length + 1))
+        return own.drop("batch")
 
     def counters(self) -> DataFrame:
         return self.log().agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("seen", "filtered", "skipped", "documents", "tokens")), F.coalesce(F.max("next_block"), F.lit(0)).alias("blocks"))
@@ -166,20 +168,19 @@ class Packer:
             raise ValueError(f"batch {batch - 1} is not in the log below {self.out}")
         base, left = (last["next_block"], last["remainder"]) if last else (0, [])
         rows = read_rows(self.spark.createDataFrame(asked, RANGES).repartition(len(asked)), self.column)
-        own = scratch.stored(self.tokens(rows).select(*ORDER, "tokens"), "packer-tokens")
+        own = scratch.stored(self.tokens(rows).select(*ORDER, "tokens", F.monotonically_increasing_id().alias("_row")), "packer-tokens")
         size = F.size("tokens")
         counts = own.agg(F.count("*").alias("seen"), F.count_if(F.col("tokens").isNull()).alias("filtered"), F.count_if(F.col("tokens").isNotNull() & (size < self.least)).alias("skipped"), F.count_if(size >= self.least).alias("documents"), F.coalesce(F.sum(F.when(size >= self.least, size)), F.lit(0)).alias("tokens")).first()
-        held = self.spark.createDataFrame([(-1, -1, -1, left)], own.schema)  # less than a block
+        held = self.spark.createDataFrame([(-1, -1, -1, left, -1)], own.schema)  # less than a block
         cut = packing.blocks(own.filter(size >= self.least).unionByName(held), "tokens", ORDER, self.length, self.overlap, tail=True)
-        cut = scratch.stored(cut, "packer-blocks")
-        full = F.size("tokens") == self.length + 1
-        n = cut.filter(full).count()
-        number = F.col("block") + base
-        cut.filter(full).select(number.alias("block"), F.expr(f"cast((block + {base}) div {self.per} as int)").alias("shard"), "tokens").write.mode("overwrite").parquet(f"{self.out}/blocks/batch={batch}")
-        rest = cut.filter(~full).first()
+        # What is left over is written with the blocks, as a shorter last one that no reader is given.
+        at = f"{self.out}/blocks/batch={batch}"
+        cut.select((F.col("block") + base).alias("block"), F.expr(f"cast((block + {base}) div {self.per} as int)").alias("shard"), "tokens").write.mode("overwrite").parquet(at)
+        cut = self.spark.read.schema(BLOCKS).parquet(at)
+        n, rest = cut.filter(F.size("tokens") == self.length + 1).count(), cut.filter(F.size("tokens") <= self.length).first()
         row = (batch, *first, *end, base + n, rest["tokens"] if rest else [], *counts)
         self.spark.createDataFrame([row], LOG).coalesce(1).write.mode("overwrite").parquet(f"{self.out}/log/batch-{batch}")
-        scratch.forget(own, cut)
+        scratch.forget(own)
 
 
 def stream(spark: SparkSession, files: list[tuple[str, int]], rows: int = BATCH_ROWS, epochs: int = 0, start: dict | None = None, task_rows: int = TASK_ROWS) -> DataFrame:
