@@ -290,22 +290,34 @@ def sample(rows: DataFrame, most: int = TRAIN_SEGMENTS) -> DataFrame:
 def train(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Network:
     """A network fitted on the bounded sample.
 
-    One job counts the rows of each language. A second reads the texts of the rows whose hash is below a threshold that
-    about four times the sample of each language passes, and keeps the least hashes of each language, so the sample is
-    spread over the table and the same in every run.
+    Only rows with a letter count. One job counts them by language. A second reads the texts of the rows whose hash of
+    (doc_id, text) is below a threshold that about four times the sample of each language passes, and keeps the least hashes
+    of each language, so the sample is spread over the table and the same in every run. Rows that repeat both share a hash and
+    pass together or not at all: a language that so comes out short is drawn again without a threshold, and has all it can.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    rows = rows.filter(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     languages = sorted(counts)
     if not languages:
         return Network(languages)
     most = share(docs_per_language, len(languages))
-    below = docs.sparkSession.createDataFrame([(lang, min(1.0, 4.0 * most / n)) for lang, n in counts.items()], "l string, part double")
-    drawn = rows.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id")).join(F.broadcast(below), F.col("lang") == F.col("l"))
-    drawn = drawn.filter("(h / 18446744073709551616d + 0.5d) <= part").filter(F.col("text").rlike("\\p{L}"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    texts = sample(drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most).select("lang", "text", "h", "doc_id"))
-    return Network(languages).fit([(t, languages.index(lang)) for lang, t, *_ in sorted(texts.collect(), key=lambda r: (r["lang"], r["h"], r["doc_id"]))])
+    drawn = _draw(rows, {lang: min(1.0, 4.0 * most / n) for lang, n in counts.items()}, most)
+    have = {lang: sum(r["lang"] == lang for r in drawn) for lang in languages}
+    if short := {lang: 1.0 for lang in languages if have[lang] < min(most, counts[lang])}:
+        drawn = [r for r in drawn if r["lang"] not in short] + _draw(rows, short, most)
+    return Network(languages).fit([(r["text"], languages.index(r["lang"])) for r in sorted(drawn, key=lambda r: (r["lang"], r["h"], r["doc_id"], r["text"]))])
+
+
+def _draw(rows: DataFrame, parts: dict[str, float], most: int) -> list:
+    """The ``most`` rows of least hash of each language of ``parts``, among those below its part of the hashes, their texts cut to the sample's length.
+
+    A rank's limit is taken in each task first, so a language's window holds that many rows a task at most.
+    """
+    below = rows.sparkSession.createDataFrame(list(parts.items()), "l string, part double")
+    drawn = rows.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "text")).join(F.broadcast(below), F.col("lang") == F.col("l")).filter("(h / 18446744073709551616d + 0.5d) <= part")
+    first = Window.partitionBy("lang").orderBy("h", "doc_id", "text")
+    return sample(drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= most).select("lang", "text", "h", "doc_id")).collect()
 
 
 def _predicting(docs: DataFrame, network: Network):
