@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: ASCII capitals, in order, and what they become.
@@ -14,6 +14,26 @@ CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Repeats of a row that are written out at once.
+AT_ONCE = 1 << 16
+
+
+def repeated(rows: DataFrame, count: str, number: str, at_once: int = AT_ONCE) -> DataFrame:
+    """Each row as often as ``count`` (1 or more) says, numbered from 0 in ``number``.
+
+    A row becomes ranges of at most ``at_once`` numbers first. Where a row has several, the ranges are dealt to as many tasks
+    as a shuffle of the session has, so neither one array nor one task holds all repeats of a row. ``rows`` should be cheap
+    to read twice.
+    """
+    zero, step = F.lit(0).cast("long"), F.lit(at_once).cast("long")
+    ranges = rows.withColumn("_from", F.explode(F.sequence(zero, F.col(count) - 1, step)))
+    if not rows.filter(F.col(count) > at_once).isEmpty():
+        tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = ranges.repartition(tasks, F.xxhash64(*rows.columns, "_from"))
+    last = F.least(F.col("_from") + step, F.col(count)) - 1
+    return ranges.withColumn(number, F.explode(F.sequence("_from", last))).drop("_from")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, CAPITALS, SMALL)
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone import scratch
-from siltstone.llm.common import lower_ascii, release, rows_of, slices
+from siltstone.llm.common import lower_ascii, release, repeated, rows_of, slices
 
 #: Distinct texts in one owner's range, about; keys in one page; bytes that a task holds before it hands on its folded texts.
 ROWS_PER_OWNER, PAGE, HELD_BYTES = 512, 64, 32 << 20
@@ -186,12 +186,12 @@ def mark(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Rows that repeat the kept row's id and text only differ in ``kept``, so they are told off from their index entry:
-    one is kept, the other n_keep - 1 aren't. However many they are, no task gathers them.
+    one is kept, the other n_keep - 1 aren't. They are written out in ranges, which many tasks share where one row repeats often.
     """
     index = build_index(docs)
     found, columns = lookup(docs, index), ("doc_id", "keep_id", "group_size", "kept", "text_sha256")
-    tied = index.filter("n_keep > 1").select("keep_id", "group_size", F.col("sha").alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "n_keep")).alias("i"))
-    tied = tied.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", (F.col("i") == 1).alias("kept"), "text_sha256")
+    tied = repeated(index.filter("n_keep > 1").select("keep_id", "group_size", F.col("sha").alias("text_sha256"), "n_keep"), "n_keep", "i")
+    tied = tied.select(F.col("keep_id").alias("doc_id"), "keep_id", "group_size", (F.col("i") == 0).alias("kept"), "text_sha256")
     return found.filter(~_tied()).select(*columns).unionByName(tied.select(*columns))
 
 

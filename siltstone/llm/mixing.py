@@ -12,7 +12,7 @@ inverse of the demand reaches its first word. The documents are range-sorted by
 Prefix sums have three levels: documents fall by hash into buckets whose number follows the row count, so a source with
 a third of all rows is many small windows; buckets are grouped by the square root of their number, so that neither a
 group's window nor a source's window over its groups holds more than that root. Rows that repeat id, source and text are one row
-with a count, up to the point where each takes its place, unless columns are carried; texts tell rows with null or repeated ids apart. Every source takes exactly
+with a count, up to the point where each takes its place (in ranges that many tasks share, where one row repeats often), unless columns are carried; texts tell rows with null or repeated ids apart. Every source takes exactly
 its rounded target: passes over all its documents and, at the last one's end, part of one document at most.
 
 Defined cases: a null text has size 0 and is taken 0 words; all-empty corpora have targets 0; null ids and repeated rows
@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone import scratch
+from siltstone.llm.common import repeated
 
 CAP, SEED, ROWS_PER_BUCKET = 3, 17, 128
 #: Bytes of a plan up to which it is broadcast, and of one of its rows, about.
@@ -83,7 +84,7 @@ def plan(docs: DataFrame, carry: tuple[str, ...] = (), cap: int = CAP, schedules
     own = docs.select(id_.alias("doc_id"), source.alias("source"), word_count(text).alias("size"), F.xxhash64(text, F.lit(seed)).alias("t"), F.struct(*carry, F.lit(0).alias("_")).alias("row"))
     own = own.withColumns({"h": F.xxhash64("doc_id", F.lit(seed)), "bucket": F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "t"), F.lit(buckets)).cast("int"), "copies": F.lit(1).cast("long")})
     if not carry:
-        own = scratch.stored(own.drop("row", "copies"), "mix-sizes").groupBy("doc_id", "source", "size", "t", "h", "bucket").agg(F.count("*").alias("copies")).withColumn("row", F.struct(F.lit(0).alias("_")))
+        own = scratch.stored(own.groupBy("doc_id", "source", "size", "t", "h", "bucket").agg(F.count("*").alias("copies")), "mix-sizes").withColumn("row", F.struct(F.lit(0).alias("_")))
     parts = scratch.stored(own.groupBy("source", "bucket").agg(F.sum(F.col("size") * F.col("copies")).alias("size")), "mix-buckets")
     t = targets(parts, cap)
     span = math.isqrt(buckets - 1) + 1
@@ -97,7 +98,7 @@ def plan(docs: DataFrame, carry: tuple[str, ...] = (), cap: int = CAP, schedules
     inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "t").rowsBetween(Window.unboundedPreceding, -1)
     own = own.withColumn("ahead", F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
     if not carry:
-        own = own.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("ahead", F.col("ahead") + F.col("copy") * F.col("size"))
+        own = repeated(own, "copies", "copy").withColumn("ahead", F.col("ahead") + F.col("copy") * F.col("size"))
     own = own.join(offsets, own["source"].eqNullSafe(offsets["s"]) & (F.col("bucket") == F.col("b"))).withColumn("at", F.col("offset") + F.col("ahead"))
     goal = F.round("target").cast("long")
     times = F.sequence(F.lit(0), F.lit(cap - 1))

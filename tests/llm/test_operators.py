@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siltstone.llm import bitslice, exact_dedup, langid, line_dedup, mixing, near, pieces, queries, simhash, token_counts, token_files, warc
+from siltstone.llm import bitslice, common, exact_dedup, langid, line_dedup, mixing, near, pieces, queries, simhash, token_counts, token_files, warc
 from siltstone.llm.bpe import Encoder
 from tests.compare import duck, same
 
@@ -455,6 +455,23 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(make(spark, ODD), langid.train(make(spark, []))).collect()} == {"und"}
 
 
+def test_language_draw(spark):
+    """Classes whose rows repeat one id, or one whole row, or mostly have no letter, are trained like others; one without any letter is none."""
+    rng = random.Random(5)
+    say = lambda words: " ".join(rng.choices(words.split(), k=12))
+    en, pl, de, fi = "the of and with which from", "nie jest oraz dlaczego bardzo przez", "der und nicht auch werden ueber", "kolme neljae viisi kuusi yksi kaksi"
+    for one in (3, 5, 11):
+        rows = [(i, say(en), "en", "a") for i in range(400)] + [(one, say(pl), "pl", "a") for _ in range(2000)] + [(one, fi, "fi", "a")] * 1500
+        rows += [(i, say(de) if i % 20 == 0 else "1234 !!", "de", "a") for i in range(2000)] + [(i, "12", "no", "a") for i in range(300)]
+        docs = make(spark, rows)
+        trained = zlib.crc32(str(one).encode()) % 4 != 2
+        net = langid.train(docs)
+        assert net.languages == (["de", "en", "fi", "pl"] if trained else ["de", "en"])
+        told = langid.Predictor(net).predict([en, pl, de, fi])[0]
+        assert told == (["en", "pl", "de", "fi"] if trained else ["en", told[1], "de", told[3]])
+    assert langid.train(docs.repartition(5)).digest() == net.digest()
+
+
 def test_language_network_equals_plain_loops():
     """States and pooled probabilities against recurrences written out for one position at a time."""
     import numpy as np
@@ -730,6 +747,23 @@ def test_mixing_repeated_rows(spark):
     assert buckets == 16
 
 
+def test_rows_repeated_often(spark):
+    """Many repeats of one row: written out in ranges over several tasks, each repeat once."""
+    few = spark.createDataFrame([(1, 1), (2, 10), (3, 11), (4, 2_345), (5, 20)], "k int, n long")
+    for at_once in (1, 10, 1 << 16):
+        got = common.repeated(few, "n", "i", at_once).groupBy("k", "n").agg(F.count("*").alias("c"), F.min("i").alias("a"), F.max("i").alias("b"), F.count_distinct("i").alias("d")).collect()
+        assert len(got) == 5 and all((r.c, r.a, r.b, r.d) == (r.n, 0, r.n - 1, r.n) for r in got)
+    wide = spark.createDataFrame([(1, 3_000_000)], "k int, n long")
+    sizes = [r["count"] for r in common.repeated(wide, "n", "i").groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 3_000_000 and max(sizes) < 1_500_000
+    docs = spark.range(200_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("a").alias("source"))
+    docs = docs.unionByName(spark.createDataFrame([(3, "some words here", "a")], "doc_id long, text string, source string"))
+    got = exact_dedup.mark(docs).groupBy("doc_id", "kept", "group_size").count().collect()
+    assert sorted((str(r["doc_id"]), r["kept"], r["group_size"], r["count"]) for r in got) == [("3", True, 1, 1), ("None", False, 200_000, 199_999), ("None", True, 200_000, 1)]
+    mixed = mixing.mix(docs).groupBy("size").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()
+    assert sorted((r["size"], r["n"], r["taken"]) for r in mixed) == [(0, 200_000, 0), (3, 1, 3)]
+
+
 def test_exact_collisions(spark, monkeypatch):
     """Texts whose keys collide are told apart by their bytes, from folding to the result."""
     monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda *_: 5)
