@@ -5,9 +5,10 @@ segments, two fingerprints within ``radius`` = 2 bits agree in s - radius of the
 each choice of so many segments and their value: a shard is what agrees there. s grows with the number of fingerprints, so that shards stay small. A
 shard's fingerprints form BK-trees (a child's edge is its Hamming distance to the parent; a search follows edges within
 the radius of its own distance). A tree holds about ``TREE`` fingerprints; a larger shard has several. Each is built once and stored
-as flat arrays. The shards' fingerprints, in blocks of about ``BLOCK``, then search the trees of their own shard: the trees are broadcast where all
-together have at most ``BROADCAST_BYTES``, and beyond that meet the blocks by an exchange, so that neither the driver nor a
-worker holds what grows with the corpus. A cell of tree and block gives its links as a spanning forest, at most a link per row, never all pairs.
+as flat arrays. The shards' fingerprints, in blocks of about ``BLOCK``, then search the trees of their own shard. The trees are broadcast in groups of about
+``BROADCAST_BYTES`` at most, dealt by the hash of shard and tree so that a hot shard's trees lie in many groups; the blocks that ask a group are stored in a folder of
+its own, and a job per group reads them, searches and appends its links. So neither the driver nor a
+worker holds what grows with the corpus; the number of jobs does. A cell of tree and block gives its links as a spanning forest, at most a link per row, never all pairs.
 
 Defined cases: null and wordless texts have fingerprint zero and are linked like any other; fewer words than a shingle
 make one shingle; exact copies have one fingerprint, hence one component. A null doc_id is a member that never names a
@@ -29,7 +30,7 @@ from siltstone.llm.common import grouped, release, rows_of, slices
 from siltstone.llm.components import roots
 
 SHINGLE, RADIUS, TREE, BLOCK = 3, 2, 512, 1024
-#: Bytes of all trees, or of the ids that stay, up to which they are broadcast; bytes of an id there, about.
+#: Bytes of a group of trees, or of the ids that stay, up to which they are broadcast; bytes of an id there, about.
 BROADCAST_BYTES, ID_BYTES = 16 << 20, 24
 #: Shingles of a text that are hashed at a time.
 CHUNK = 1 << 16
@@ -135,6 +136,7 @@ class BKTree:
         return found
 
 
+LINKS = "u long, v long"
 TREES = "combo int, value long, piece int, items binary, parents binary, edges binary"
 
 
@@ -209,10 +211,24 @@ def links(fps: DataFrame, radius: int = RADIUS, broadcast_bytes: int = BROADCAST
     planted = sized.select("combo", "value", F.expr("cast(h % trees as int)").alias("piece"), "fp").repartition("combo", "value", "piece").sortWithinPartitions("combo", "value", "piece")
     trees = scratch.stored(planted.mapInArrow(_build, TREES), "simhash-trees")
     blocks = sized.groupBy("combo", "value", "trees", F.expr("cast(shiftright(h, 3) % blocks as int)").alias("block")).agg(F.collect_list("fp").alias("fps"))
-    asks = blocks.select("combo", "value", F.explode(F.expr("sequence(0, trees - 1)")).alias("piece"), "fps")
+    asks = blocks.select("combo", "value", F.explode(F.expr("sequence(0, trees - 1)")).alias("piece"), "fps", "block")
     size = trees.agg(F.sum(F.octet_length("items") + F.octet_length("parents") + F.octet_length("edges") + 100)).first()[0] or 0
-    cells = asks.join(F.broadcast(trees) if size <= broadcast_bytes else trees, ["combo", "value", "piece"])
-    return cells.select("items", "parents", "edges", "fps").mapInArrow(_cells(radius), "u long, v long")
+    # Groups are dealt by hash: with half the budget on average, none comes near it by more than chance.
+    groups = 1 if size <= broadcast_bytes else -(-2 * size // broadcast_bytes)
+    cells = lambda asks, trees: asks.join(F.broadcast(trees), ["combo", "value", "piece"]).select("items", "parents", "edges", "fps").mapInArrow(_cells(radius), LINKS)
+    if groups == 1:
+        return cells(asks, trees)
+    spark = fps.sparkSession
+    of = F.pmod(F.xxhash64("combo", "value", "piece"), F.lit(groups)).cast("int").alias("of_group")
+    asks = scratch.stored(asks.select("*", of).repartition("of_group", F.col("block") % 16).drop("block").select("combo", "value", "piece", "fps", "of_group"), "simhash-asks", "of_group")
+    dealt = scratch.stored(trees.select("*", of).repartition("of_group"), "simhash-tree-groups", "of_group")
+    scratch.forget(trees, sized)
+    path = scratch.new_path(spark, "simhash-links")
+    for g in range(groups):
+        own = F.col("of_group") == g
+        cells(asks.filter(own).drop("of_group"), dealt.filter(own).drop("of_group")).write.mode("append").parquet(path)
+    scratch.forget(asks, dealt)
+    return spark.read.schema(LINKS).parquet(path)
 
 
 def _labelled(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
