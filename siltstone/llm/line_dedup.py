@@ -1,18 +1,21 @@
 """Line dedup by pairwise alignment.
 
-Candidates: documents that share a rare line (held by at most ``RARE`` documents), or a run of lines of at least
-``MIN_WORDS`` words. A line or run with at most RARE holders pairs each of them with each (so at most RARE - 1 a document); a run held by
-more, whose lines may all be frequent, pairs every later document with the first holder alone. Pairs grow with the lines, never with the
-square of a group. What the pairs miss is cut from the table of runs itself (``held_runs``): every block that any
-earlier document holds goes whole. ``n_links`` counts the aligned pairs that share a block: their closure is that of all overlaps,
-but of a frequent run only the links with its first holder are counted.
+Candidates: documents that share a rare line (held by at most ``RARE`` documents, paired each with each, so at most RARE - 1 a
+document), and of each run of lines of at least ``MIN_WORDS`` words, however many hold it, every later holder with the first one.
+Pairs grow with the lines, never with the square of a group.
 
 Alignment: a patience diff of the two documents' line hashes. Lines unique in both anchor it (their longest increasing
 subsequence), the stretches between anchors are aligned the same way, and matches grow over equal neighbours; a stretch
 whose common lines all repeat is aligned by a longest common subsequence, in bounded memory. An
-aligned common block (neighbouring lines in both) of at least ``MIN_WORDS`` words is deleted from the later document.
+aligned common block (neighbouring lines in both) of at least ``MIN_WORDS`` words is deleted from the later document. What remains
+of it is aligned with the earlier one again, until none of its lines stands in a run that the earlier one holds (``deleted``).
+As the first holder of each run is among a document's partners, every block that any earlier document holds goes whole.
 Documents of equal text (by SHA-256) form a class: its first is aligned for all, the others are deleted whole.
 
+Links: runs with the same holders make a passage. ``passages`` names those of a document's class that other classes hold too, so
+two documents share a block exactly if they share a passage; ``n_links`` counts, over them, the other classes that hold each (a partner in
+two passages with different holders counts twice). Both are aggregates over holders, alike for few and for many.
+
 Order: "later" is by doc_id, then by the text's hash. Lines are told apart by 128 bits of their hash, without white space at their ends; blank lines
 never anchor, but go with a block around them. Defined cases: a null text has no lines; a null doc_id takes no part
 (nothing is deleted, links 0); rows that repeat an id and its text are one document and get the same result; rows that repeat an
@@ -233,96 +236,117 @@ def held_runs(heads: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     return scratch.stored(found.select(F.struct("doc_id", "h").alias("node"), F.explode("runs").alias("run")), "line-runs")
 
 
-def pairs(heads: DataFrame, runs: DataFrame, rare: int = RARE) -> DataFrame:
-    """Pairs (a earlier than b) of class representatives that share a rare line or a run, as structs (doc_id, h)."""
+def passages(runs: DataFrame) -> DataFrame:
+    """node, passage, first, n: the passages that each document holds, the first of their n > 1 holders.
+
+    A passage is all runs with the same holders; it is named by 128 bits that they add up to.
+    """
+    bits = lambda *c: F.bit_xor(F.xxhash64(*c))
+    name = F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("x", "y")))
+    marks = runs.groupBy("run").agg(F.min("node").alias("first"), F.count("*").alias("n"), bits("node").alias("x"), bits("node", F.lit(1)).alias("y"))
+    marks = marks.filter("n > 1").select("run", name.alias("passage"), "first", "n")
+    return runs.join(marks, "run").select("node", "passage", "first", "n").distinct()
+
+
+def pairs(heads: DataFrame, held: DataFrame, rare: int = RARE) -> DataFrame:
+    """Pairs (a earlier than b) of class representatives, as structs (doc_id, h): those that share a rare line, and each passage's first holder with its others."""
     solid = F.array_distinct(F.filter("hashes", lambda x: F.octet_length(x) > 0))
     lines = heads.select(F.struct("doc_id", "h").alias("node"), F.explode(solid).alias("key"))
-    runs = runs.select("node", F.col("run").alias("key"))
-    count = lambda held: held.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    shared = runs.join(count(runs), "key")
-    star = shared.filter(F.col("n") > rare).filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    few = shared.filter(F.col("n") <= rare).select("key", "node").unionByName(lines.join(count(lines).filter(F.col("n") <= rare).select("key"), "key").select("key", "node"))
-    # A run of one line has another hash than the line itself, so a key is of one kind.
-    few = few.groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    few = lines.groupBy("key").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= rare)).select("key")
+    few = lines.join(few, "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
     each = F.flatten(F.transform("nodes", lambda b, i: F.transform(F.slice("nodes", F.lit(1), i), lambda a: F.struct(a.alias("a"), b.alias("b")))))
+    star = held.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     return star.unionByName(few.select(F.explode(each).alias("p")).select("p.a", "p.b")).distinct()
 
 
+def deleted(a: list[bytes], b: list[bytes], words: list[int], a_spans: dict[bytes, tuple[int, int]], least: int = MIN_WORDS) -> set[int]:
+    """Lines of b that go, ``a_spans`` being a's runs with their first and last lines.
+
+    The blocks of the diff of a and b; then those of a with b's remaining runs, as long as that settles half of them or
+    more; then each run still left is aligned with the place where a holds it.
+    """
+    lines = lambda blocks: (i for first, last in blocks for i in range(first, last + 1))
+    cut = set(lines(common_blocks(a, b, words, least)))
+    known = set(a)
+    if not any(x and x in known and i not in cut for i, x in enumerate(b)):
+        return cut
+    open_ = lambda spans: [s for s in spans if any(b[i] and i not in cut for i in range(s[1], s[2] + 1))]
+    left, before = open_([s for s in spans_of(b, words, least) if s[0] in a_spans]), None
+    while left and (before is None or 2 * len(left) <= before):
+        places: list[int] = []
+        for i in sorted({i for _, first, last in left for i in range(first, last + 1)}):
+            places += [-1, i] if places and i != places[-1] + 1 else [i]
+        rest, weights = [b[i] if i >= 0 else PART for i in places], [words[i] if i >= 0 else 0 for i in places]
+        cut.update(places[k] for k in lines(common_blocks(a, rest, weights, least)))
+        left, before = open_(left), len(left)
+    for run, first, last in left:
+        at, to = a_spans[run]
+        cut.update(first + k for k in lines(common_blocks(a[at : to + 1], b[first : last + 1], words[first : last + 1], least)))
+    return cut
+
+
 def _align(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earlier, spans = None, {}
         for batch in slices(batches):
             rows = []
-            for doc_id, h, other_id, other_h, a, b, words in rows_of([batch]):
-                cut = [i for first, last in common_blocks(a, b, words, least) for i in range(first, last + 1)]
-                if cut:
-                    rows.append((doc_id, h, other_id, other_h, cut))
-            yield _batch(rows, BLOCKS)
+            for doc_id, h, other_id, other_h, a, a_words, b, words in rows_of([batch]):
+                if earlier != (other_id, other_h):
+                    earlier, spans = (other_id, other_h), {x: (first, last) for x, first, last in spans_of(a, a_words, least)}
+                if cut := sorted(deleted(a, b, words, spans, least)):
+                    rows.append((doc_id, h, cut))
+            yield _batch(rows, CUTS)
 
     return run
 
 
-BLOCKS = "doc_id long, h long, other_id long, other_h long, lines array<int>"
-
-
-def held_lines(heads: DataFrame, runs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
-    """doc_id, h, lines: the lines in runs that an earlier document holds, wherever they stand and however many hold them.
-
-    A common block of enough words is covered by the runs from each of its lines on and those up to each, so this cuts
-    every such block whole without pairing its holders.
-    """
-    ddl = "doc_id long, h long, lines array<int>"
-
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            rows = []
-            for d, h, hashes, words, early in rows_of([b]):
-                early = set(early)
-                rows.append((d, h, sorted({i for x, first, last in spans_of(hashes, words, least) if x in early for i in range(first, last + 1)})))
-            yield _batch(rows, ddl)
-
-    firsts = runs.groupBy("run").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1").select("run", "first")
-    early = runs.join(firsts, "run").filter("node > first").groupBy("node").agg(F.collect_list("run").alias("early")).select("node.doc_id", "node.h", "early")
-    return heads.select("doc_id", "h", "hashes", "words").join(early, ["doc_id", "h"]).mapInArrow(lines, ddl)
+CUTS = "doc_id long, h long, lines array<int>"
+#: Stands between stretches of a document that aren't neighbours; no line hashes to it.
+PART = b"|"
 
 
 def find(docs: DataFrame, least: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
-    """One row per document (distinct doc_id and text): doc_id, h, class_id, n_links, n_lines, cut (line numbers to delete, in order)."""
+    """One row per document (distinct doc_id and text): doc_id, h, class_id, n_links, passages, n_lines, cut (line numbers to delete, in order)."""
     seq = scratch.stored(sequences(docs), "line-sequences")
     known = seq.filter("doc_id is not null")
     classes = known.groupBy("sha").agg(F.min("doc_id").alias("class_id")).select(F.col("sha").alias("cs"), "class_id")
     heads = known.join(classes, F.col("sha").eqNullSafe(F.col("cs")) & (F.col("doc_id") == F.col("class_id"))).dropDuplicates(["doc_id", "h"])
     heads = scratch.stored(heads.select("doc_id", "h", "sha", "hashes", "words"), "line-heads")
     runs = held_runs(heads, least)
-    linked = scratch.stored(pairs(heads, runs, rare), "line-pairs")
+    held = scratch.stored(passages(runs), "line-passages")
+    linked = scratch.stored(pairs(heads, held, rare), "line-pairs")
+    scratch.forget(runs)
     side = lambda n: heads.select(F.struct("doc_id", "h").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in ("hashes", "words")))
-    both = linked.join(side("b"), "b").join(side("a").drop("a_words"), "a")
-    found = both.select("b.doc_id", "b.h", F.col("a.doc_id").alias("other_id"), F.col("a.h").alias("other_h"), "a_hashes", "b_hashes", "b_words").mapInArrow(_align(least), BLOCKS)
-    found = scratch.stored(found, "line-blocks")
+    both = linked.join(side("b"), "b").join(side("a"), "a")
+    sent = both.select("b.doc_id", "b.h", F.col("a.doc_id").alias("other_id"), F.col("a.h").alias("other_h"), "a_hashes", "a_words", "b_hashes", "b_words")
+    found = scratch.stored(sent.mapInArrow(_align(least), CUTS), "line-cuts")
     scratch.forget(linked)
-    ends = found.select("doc_id", "h").unionByName(found.select(F.col("other_id").alias("doc_id"), F.col("other_h").alias("h"))).groupBy("doc_id", "h").agg(F.count("*").alias("n_links"))
-    lines = found.select("doc_id", "h", "lines").unionByName(held_lines(heads, runs, least)).select("doc_id", "h", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("lines"))
-    of_class = heads.select("doc_id", "h", "sha").join(lines, ["doc_id", "h"], "left").join(ends, ["doc_id", "h"], "left").select(F.col("sha").alias("cs"), F.col("doc_id").alias("class_id"), "lines", "n_links")
+    links = held.groupBy("node").agg(F.sum(F.col("n") - 1).alias("n_links"), F.sort_array(F.collect_list("passage")).alias("passages")).select("node.doc_id", "node.h", "n_links", "passages")
+    lines = found.select("doc_id", "h", F.explode("lines").alias("line")).distinct().groupBy("doc_id", "h").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    of_class = heads.select("doc_id", "h", "sha").join(lines, ["doc_id", "h"], "left").join(links, ["doc_id", "h"], "left")
+    of_class = of_class.select(F.col("sha").alias("cs"), F.col("doc_id").alias("class_id"), "lines", "n_links", "passages")
     own = seq.select("doc_id", "h", "sha", "n_lines").dropDuplicates(["doc_id", "h"])
     own = own.join(of_class, F.col("sha").eqNullSafe(F.col("cs")) & F.col("doc_id").isNotNull(), "left")
     whole = F.sequence(F.lit(0), F.col("n_lines") - 1)
     none = F.array().cast("array<int>")
     cut = F.when(F.col("doc_id").isNull() | (F.col("n_lines") == 0), none).when(F.col("doc_id") != F.col("class_id"), whole).otherwise(F.coalesce("lines", none))
-    return own.select("doc_id", "h", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "n_lines", cut.alias("cut"))
+    n_links, held_by = F.coalesce("n_links", F.lit(0)).cast("long"), F.coalesce("passages", F.array().cast("array<string>"))
+    return own.select("doc_id", "h", F.coalesce("class_id", "doc_id").alias("class_id"), n_links.alias("n_links"), held_by.alias("passages"), "n_lines", cut.alias("cut"))
 
 
 def apply(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``docs`` (doc_id, text) with the lines deleted: class_id, n_links, n_lines, n_cut and the cleaned text."""
+    """``docs`` (doc_id, text) with the lines deleted: class_id, n_links, passages, n_lines, n_cut and the cleaned text."""
     text = F.col("text").cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    f = found.select(F.col("doc_id").alias("fd"), F.col("h").alias("fh"), "class_id", "n_links", "n_lines", "cut")
+    f = found.select(F.col("doc_id").alias("fd"), F.col("h").alias("fh"), "class_id", "n_links", "passages", "n_lines", "cut")
     joined = own.join(f, own["doc_id"].eqNullSafe(F.col("fd")) & (F.col("h") == F.col("fh")))
     gone = F.map_from_arrays("cut", F.transform("cut", lambda _: F.lit(True)))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda _, i: ~F.map_contains_key("gone", i)), "\n")
     cleaned = F.when(F.size("cut") == 0, F.col("text")).when(F.size("cut") == F.col("n_lines"), F.lit("")).otherwise(kept)
-    return joined.withColumn("gone", gone).select("doc_id", "class_id", "n_links", "n_lines", F.size("cut").alias("n_cut"), cleaned.alias("text"))
+    return joined.withColumn("gone", gone).select("doc_id", "class_id", "n_links", "passages", "n_lines", F.size("cut").alias("n_cut"), cleaned.alias("text"))
 
 
 def op1_line_dedup(spark, sf_dir) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     done = apply(docs, find(docs))
-    return done.select("doc_id", "class_id", "n_links", "n_lines", "n_cut", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+    return done.select("doc_id", "class_id", "n_links", "passages", "n_lines", "n_cut", F.length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))

@@ -110,6 +110,9 @@ def test_simhash_hot_shard(spark):
     want = components(sorted(nodes), lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 2)
     assert components(sorted(nodes), lambda a, b: frozenset((a, b)) in mine) == want
     assert len(got) < 12 * len(nodes)
+    table = spark.createDataFrame(rows, "fp long")  # the hot shard's trees are dealt to several groups
+    again = {frozenset((r["u"], r["v"])) for r in simhash.links(table, broadcast_bytes=20_000).collect()}
+    assert components(sorted(nodes), lambda a, b: frozenset((a, b)) in again) == want
 
 
 def test_simhash_odd(spark):
@@ -667,6 +670,45 @@ def test_line_dedup_every_line(spark):
         assert [n for n in told if n in dict(mine)] == [n for n in sorted(cut) if n in dict(mine)], i  # blank lines go with a block
 
 
+def test_line_dedup_alignment_cuts_all():
+    """Diffs alone cut every line in a run that the earlier document holds, moved, doubled and reversed ones too, and no other line."""
+    rng, moved = random.Random(21), 0
+    for n in range(1500):
+        lines = [bytes([65 + k]) * 16 for k in range(rng.choice((3, 8, 25)))] + [b""]
+        weight = {x: rng.choice((1, 4, 9, 26)) if x else 0 for x in lines}
+        a = [rng.choice(lines) for _ in range(rng.randrange(0, 40))]
+        b = [rng.choice(lines) for _ in range(rng.randrange(0, 10))]
+        for _ in range(rng.randrange(0, 5)):
+            at = rng.randrange(0, len(a) + 1)
+            b += a[at : at + rng.randrange(0, 9)] + [rng.choice(lines)]
+        if n % 10 == 0:
+            b = [x for k in range(len(a), 0, -3) for x in a[max(0, k - 3) : k]]
+        words_a, words_b = [weight[x] for x in a], [weight[x] for x in b]
+        spans = {x: (first, last) for x, first, last in line_dedup.spans_of(a, words_a)}
+        want = {i for x, first, last in line_dedup.spans_of(b, words_b) if x in spans for i in range(first, last + 1) if b[i]}
+        got = line_dedup.deleted(a, b, words_b, spans)
+        assert {i for i in got if b[i]} == want
+        moved += {i for first, last in line_dedup.common_blocks(a, b, words_b) for i in range(first, last + 1) if b[i]} != want
+    assert moved > 100  # one diff alone misses these
+
+
+@pytest.mark.parametrize("holders", [2, 8, 9, 12, 40])
+def test_line_dedup_links(spark, holders):
+    """Links are exact for few and many holders alike, and passages tell every pair of documents that share a block."""
+    line = lambda k, n=30: " ".join(f"l{k}w{i}" for i in range(n))
+    rows = [(i, f"{line(i)}\n{line('p')}\n{line(100 + i)}" + (f"\n{line('q')}" if i % 3 == 0 else "") + (f"\nx\n{line('z')}" if i in (0, 1) else "")) for i in range(holders)]
+    rows += [(500, rows[-1][1]), (600, line("alone"))]
+    got = {r["doc_id"]: r for r in line_dedup.find(make(spark, [(i, t, "en", "s") for i, t in rows])).collect()}
+    third = [i for i in range(holders) if i % 3 == 0]
+    if holders == 2:  # p and z have the same holders, so they are one passage
+        assert [got[i]["n_links"] for i in range(2)] == [1, 1]
+    else:
+        assert all(got[i]["n_links"] == holders - 1 + (len(third) - 1) * (i in third) + (i < 2) for i in range(holders))
+    assert got[500]["n_links"] == got[holders - 1]["n_links"] and got[500]["passages"] == got[holders - 1]["passages"] and got[600]["n_links"] == 0 and got[600]["passages"] == []
+    sets = {i: set(got[i]["passages"]) for i in range(holders)}
+    assert all(sets[i] & sets[j] for i in sets for j in sets)
+
+
 # The stages' own helpers.
 def test_near_helpers(spark):
     import numpy as np
@@ -709,13 +751,13 @@ def test_near_large_group(spark, monkeypatch):
         assert {r["doc_id"] for r in near.keep(make(spark, rows)).collect()} == want
 
 
-def test_simhash_trees_travel_either_way(spark):
+def test_simhash_groups_of_trees(spark):
     rng = random.Random(13)
     base = [rng.getrandbits(64) for _ in range(40)]
     fps = {b ^ sum(1 << k for k in rng.sample(range(64), rng.randrange(0, 4))) for b in base for _ in range(6)}
     table = spark.createDataFrame([(f - (f >> 63 << 64),) for f in fps], "fp long")
     want = components(sorted(fps), lambda a, b: (a ^ b).bit_count() <= 2)
-    for most in (0, 1 << 20):
+    for most in (1 << 20, 12_000, 3_000):  # one group of trees and several
         found = {frozenset((r["u"] % 2**64, r["v"] % 2**64)) for r in simhash.links(table, broadcast_bytes=most).collect()}
         assert all((a ^ b).bit_count() <= 2 for a, b in map(tuple, found)) and components(sorted(fps), lambda a, b: frozenset((a, b)) in found) == want
     for n, wide in ((10, 21), (1 << 30, 32), (1 << 40, 38)):
