@@ -36,6 +36,8 @@ from siltstone import scratch
 from siltstone.llm.common import rows_of, slices
 
 MIN_WORDS, RARE = 25, 8
+#: A line with over 1 / HOT of all holders of shared lines is left out before lines are shuffled; there are fewer than HOT such lines.
+HOT = 1000
 #: Bits of the table of a longest common subsequence.
 TABLE_BITS = 1 << 28
 SEQUENCE = "doc_id long, h long, sha binary, n_lines int, hashes array<binary>, words array<int>"
@@ -252,8 +254,10 @@ def pairs(heads: DataFrame, held: DataFrame, rare: int = RARE) -> DataFrame:
     """Pairs (a earlier than b) of class representatives, as structs (doc_id, h): those that share a rare line, and each passage's first holder with its others."""
     solid = F.array_distinct(F.filter("hashes", lambda x: F.octet_length(x) > 0))
     lines = heads.select(F.struct("doc_id", "h").alias("node"), F.explode(solid).alias("key"))
-    few = lines.groupBy("key").agg(F.count("*").alias("n")).filter((F.col("n") > 1) & (F.col("n") <= rare)).select("key")
-    few = lines.join(few, "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
+    shared = scratch.stored(lines.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "line-counts")
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = shared.filter(F.col("n") > max(rare, total // HOT)).select("key")
+    few = lines.join(F.broadcast(hot), "key", "left_anti").join(shared.filter(F.col("n") <= rare).select("key"), "key").groupBy("key").agg(F.sort_array(F.collect_list("node")).alias("nodes")).select("nodes").distinct()
     each = F.flatten(F.transform("nodes", lambda b, i: F.transform(F.slice("nodes", F.lit(1), i), lambda a: F.struct(a.alias("a"), b.alias("b")))))
     star = held.filter("node > first").select(F.col("first").alias("a"), F.col("node").alias("b"))
     return star.unionByName(few.select(F.explode(each).alias("p")).select("p.a", "p.b")).distinct()
