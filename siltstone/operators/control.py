@@ -48,7 +48,7 @@ def admit(requests: DataFrame, models: DataFrame, index: DataFrame, pages: DataF
     return decide(own).drop("_used", "prefix_hash", "sig").join(hits, "request_id").withColumn("allocation_id", F.concat(F.lit("kva_"), F.sha2(F.col("request_id").cast("string"), 256))).withColumn("token_count", F.col("context").cast("long"))
 
 
-def evict(pages: DataFrame, need: int, group: str, order: list[str], size: str = "n_bytes") -> DataFrame:
+def evict(pages: DataFrame, need: int, group: str, order: list[str | Column], size: str = "n_bytes") -> DataFrame:
     """The least recently used pages of each group that free ``need`` bytes: those before whom less has been freed."""
     past = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return pages.withColumn("freed_before", F.coalesce(F.sum(size).over(past), F.lit(0))).filter(F.col("freed_before") < need)

@@ -456,8 +456,8 @@ def rerank_topn(spark, t):
 # Paging, prefixes, rules.
 @query("WITH o AS (SELECT o_orderkey, o_custkey % 50 AS g, CAST(o_totalprice AS BIGINT) AS b, o_orderdate FROM orders), r AS (SELECT *, coalesce(sum(b) OVER (PARTITION BY g ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS f FROM o) SELECT o_orderkey, g, CAST(f AS BIGINT) AS freed_before FROM r WHERE f < 500000")
 def lru_evict(spark, t):
-    o = t("orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("g"), F.expr("cast(round(o_totalprice) as bigint)").alias("n_bytes"), "o_orderdate")
-    return control.evict(o, 500000, "g", ["o_orderdate", "o_orderkey"]).select("o_orderkey", "g", F.col("freed_before").cast("long").alias("freed_before"))
+    o = t("orders").select("o_orderkey", (F.col("o_custkey") % 50).alias("g"), F.rint("o_totalprice").cast("long").alias("n_bytes"), "o_orderdate")  # halves to the even number, as SQL casts them
+    return control.evict(o, 500000, "g", [F.asc_nulls_last("o_orderdate"), F.asc_nulls_last("o_orderkey")]).select("o_orderkey", "g", F.col("freed_before").cast("long").alias("freed_before"))
 
 
 @query("WITH p AS (SELECT l_orderkey % 100 AS r, l_orderkey * 10 + l_linenumber AS page_id, CAST(l_partkey AS BIGINT) AS s, CAST(l_partkey + l_quantity AS BIGINT) AS e FROM lineitem), a AS (SELECT o_custkey % 100 AS r, CAST(o_orderkey % 2000 AS BIGINT) AS pos FROM orders) SELECT a.r AS request_id, pos, page_id FROM a JOIN p ON a.r = p.r AND s <= pos + 64 AND e >= pos")
