@@ -19,6 +19,8 @@ very long text is encoded in parts and cut piece by piece; an empty table gives
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import struct
 import zlib
 from collections import Counter
@@ -39,18 +41,52 @@ WORDS, PART = 300_000, 1 << 16
 FEW_TALLIES = 500_000
 
 
+#: Latin letters whose small forms no normaliser changes further, and a word of them that may end in punctuation; the apostrophe begins tokens of its own.
+LATIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
+#: What the vocabulary has to do before its merges for ``LATIN`` to hold: small letters, runs of letters apart, bytes as characters.
+NORMALISED, SPLIT = ["NFC", "Replace", "Lowercase"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def byte_characters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
-    """Packed little-endian ids. The vocabulary drops white space, so that ids of words don't depend on their neighbours."""
+    """Packed little-endian ids. The vocabulary drops white space, so that ids of words don't depend on their neighbours.
+
+    Words of ``LATIN`` letters, with punctuation behind or not, are told by the library's model alone: in small letters,
+    without what it would find nothing to do for (normalising, splitting, offsets). Punctuation is a word of its own then.
+    All others are told by the whole library.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model, self.characters = self.library.model, byte_characters()
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        cut = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.plain = [n["type"] for n in (made["normalizer"] or {}).get("normalizers", [])] == NORMALISED and [c.get("type") for c in cut] == ["Split", "ByteLevel"] and cut[0]["pattern"] == {"Regex": SPLIT} and not cut[1]["add_prefix_space"] and not cut[1]["use_regex"]
         self.words = Cache(self.word, WORDS)
 
     def word(self, raw: bytes) -> bytes:
-        ids = self.library.encode(raw.decode(), add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        text = raw.decode()
+        if not self.plain or not (m := LATIN.fullmatch(text)):
+            return as_bytes(self.library.encode(text, add_special_tokens=False).ids)
+        letters = m[1].lower().encode()
+        if m[2]:
+            return self.words[letters] + self.words[m[2].encode()]
+        if letters != raw:
+            return self.words[letters]
+        return as_bytes([t.id for t in self.model.tokenize(raw.decode("latin-1").translate(self.characters))])
 
     def parts(self, raw: bytes) -> Iterator[bytes]:
         """Packed ids of the text's parts, cut where white space is."""

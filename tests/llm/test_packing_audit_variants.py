@@ -237,3 +237,28 @@ def test_variants_skewed_block(spark):
     n |= {w[:-1] + "k": 10**5 for w in list(n)[:50]} | {w[:9] + w[10:]: 10**6 for w in list(n)[:50]}
     words = spark.createDataFrame(list(n.items()), "word string, n long").repartition(8)
     assert plain(variants.forms(words)) == brute_forms(n)
+
+
+def test_words_told_by_the_model_alone():
+    """Ids equal the whole library's for odd words; words of Latin letters, in capitals or before punctuation, don't pass through all of it."""
+    import struct
+
+    import public_tokenizers
+
+    from siltstone.llm import bestfit
+
+    encoder = bestfit.Encoder(public_tokenizers.path(bestfit.VOCABULARY))
+    whole, asked = encoder.library, []
+
+    class Counted:
+        def encode(self, text, **how):
+            asked.append(text)
+            return whole.encode(text, **how)
+
+    encoder.library = Counted()
+    odd = "Áb, H̱. İ! ÇÀß.,; ÿ÷× '''s don't it's, <|endoftext|>. x<|endoftext|>, <|ENDOFTEXT|> ab<c= ab≠ ab,̸ Σας, ªº µm. a1b2, ﬁx. K. Ǆ, é́, ab… “ab”. ab_c _a_ `x` {y} 中文, ß. ẞ. ... ab...'s x'S. Ärger!$% naïve&&& à. À"
+    for text in (odd, *odd.split(" ")):
+        ids = whole.encode(text, add_special_tokens=False).ids
+        assert b"".join(encoder.parts(text.encode())) == struct.pack(f"<{len(ids)}I", *ids), text
+    asked.clear()
+    assert b"".join(encoder.parts(b"Plain words, plain WORDS. Plain words!")) and [t for t in asked if t.isalpha()] == [] and len(asked) <= 3
