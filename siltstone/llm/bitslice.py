@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from siltstone import scratch
 from siltstone.llm.common import rows_of, slices
 
-SCALE, K, EVERY, BLOCK_ROWS, QUERY_BYTES, TOGETHER = 64, 20, 20, 4096, 8 << 20, 8
+SCALE, K, EVERY, BLOCK_ROWS, QUERY_BYTES, TOGETHER = 64, 20, 20, 8192, 8 << 20, 4
 #: Components from here on are scaled and sliced as integers of any width.
 FAR = float(1 << 50)
 #: Limits of the score's column.
@@ -123,14 +123,15 @@ def add_columns(columns: list) -> list:
     while w < len(columns):
         c = columns[w]
         while c.shape[1] > 1:
-            n = c.shape[1] // 3 * 3 if c.shape[1] > 2 else 2
-            if n == 2:
+            n = c.shape[1] // 3
+            if not n:
                 a, b = c[:, 0:1], c[:, 1:2]
                 total, carry, rest = a ^ b, a & b, c[:, 2:]
             else:
-                x, y, z = c[:, 0:n:3], c[:, 1:n:3], c[:, 2:n:3]
+                # Thirds, each of neighbouring bitmaps: long runs of memory.
+                x, y, z = c[:, :n], c[:, n : 2 * n], c[:, 2 * n : 3 * n]
                 half = x ^ y
-                total, carry, rest = half ^ z, (x & y) | (half & z), c[:, n:]
+                total, carry, rest = half ^ z, (x & y) | (half & z), c[:, 3 * n :]
             c = np.concatenate((total, rest), axis=1) if rest.shape[1] else total
             if w + 1 == len(columns):
                 columns.append(carry)
@@ -161,6 +162,33 @@ def top_rows(slices, valid, k: int):
     return np.concatenate((inside, bits(tied)[: k - len(inside)]))
 
 
+def _gathered(queries: list[list[int]], first, widths, flip: int, none: int, both) -> list:
+    """Per column w the bitmaps that count 2**w for each query: slice b of an attribute for bit j of the query's, where j + b = w; filled up with empty ones."""
+    import numpy as np
+
+    wide = any(abs(v) >> 62 for q in queries for v in q)
+    q, width = np.array(queries, object if wide else np.int64).reshape(len(queries), -1), np.array(widths, np.int64)
+    size = abs(q)
+    bits = int(size.max()).bit_length() if q.size else 0
+    most = int(width.max()) if len(width) else 0
+    base = first[:-1] + np.where(q < 0, flip, 0)
+    on = [(size >> j & 1).astype(bool) for j in range(bits)]
+    columns = []
+    for w in range(max(1, bits + most - 1)):
+        js = range(max(0, w - most + 1), min(bits, w + 1))
+        if not js:
+            columns.append(both[np.full((len(queries), 1), none)])
+            continue
+        meant = np.concatenate([on[j] & (w - j < width) for j in js], axis=1)
+        where = np.concatenate([base + (w - j) for j in js], axis=1)
+        place = meant.cumsum(axis=1)
+        at = np.full((len(queries), max(1, int(place[:, -1].max()))), none)
+        row, col = np.nonzero(meant)
+        at[row, place[row, col] - 1] = where[row, col]
+        columns.append(both[at])
+    return columns
+
+
 def search_block(ids, numbers, low: list[int], widths, bitmaps, queries: list[tuple[int, list[int]]], k: int) -> Iterator[tuple[int, list[int], list[int]]]:
     """For each (row, q): its place, then the vec_ids and scores of the block's k best; ``numbers`` are the block's rows."""
     import numpy as np
@@ -174,29 +202,7 @@ def search_block(ids, numbers, low: list[int], widths, bitmaps, queries: list[tu
     none, flip = len(both) - 1, len(bitmaps)
     for start in range(0, len(queries), TOGETHER):
         part = queries[start : start + TOGETHER]
-        lists: list[list[list[int]]] = []
-        for _, q in part:
-            own: list[list[int]] = []
-            for d, v in enumerate(q):
-                base, a, j = first[d] + (flip if v < 0 else 0), abs(v), 0
-                while a:
-                    if a & 1:
-                        for b in range(widths[d]):
-                            while len(own) <= j + b:
-                                own.append([])
-                            own[j + b].append(base + b)
-                    a >>= 1
-                    j += 1
-            lists.append(own)
-        depth = max(1, max(map(len, lists)))
-        columns = []
-        for w in range(depth):
-            most = max(1, max(len(x[w]) if w < len(x) else 0 for x in lists))
-            at = np.full((len(part), most), none)
-            for i, x in enumerate(lists):
-                if w < len(x):
-                    at[i, : len(x[w])] = x[w]
-            columns.append(both[at])
+        columns = _gathered([q for _, q in part], first, widths, flip, none, both)
         sums = add_columns(columns)
         for i, (row, q) in enumerate(part):
             mine = [s[i, 0] for s in sums]
@@ -209,7 +215,7 @@ def search_block(ids, numbers, low: list[int], widths, bitmaps, queries: list[tu
             # What was added for a positive q is q (x - low); for a negative one |q| (2**width - 1 - (x - low)).
             shift = sum(v * low[d] if v >= 0 else v * low[d] + v * ((1 << widths[d]) - 1) for d, v in enumerate(q))
             at, bit = found >> 6, (found & 63).astype(np.uint64)
-            scores = sum(((s[at] >> bit) & np.uint64(1)).astype(object) << w for w, s in enumerate(mine)) if len(found) else []
+            scores = sum(((s[at] >> bit) & np.uint64(1)).astype(np.int64 if len(mine) < 63 else object) << w for w, s in enumerate(mine)).tolist() if len(found) else []
             yield start + i, ids[found].tolist(), [int(x) + shift for x in scores]
 
 

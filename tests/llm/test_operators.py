@@ -380,6 +380,36 @@ def test_bitslice(spark):
     assert sorted(map(tuple, got)) == brute_top(rows, 20)
 
 
+def test_bitslice_block():
+    """A block's search against brute force for odd shapes and widths; its steps in the interpreter don't go by a query's single bits."""
+    import cProfile
+    import pstats
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+
+    def search(n, d, big, k=4):
+        e = np.array([[rng.randint(-big, big) for _ in range(d)] for _ in range(n)], object if big >> 60 else np.int64).reshape(n, d)
+        low, widths, bitmaps = bitslice._slices(e) if d else ([], [], np.zeros((0, -(-n // 64)), "<u8"))
+        asked = [(i, [int(x) for x in e[i]]) for i in range(0, n, 3)]
+        return e, asked, list(bitslice.search_block(np.arange(n) * 7, np.arange(n), [int(x) for x in low], widths, bitmaps, asked, k))
+
+    for n, d, big in [(1, 3, 3), (5, 0, 0), (5, 1, 0), (70, 3, 40), (130, 9, 3), (130, 9, 1 << 20), (70, 3, 1 << 70), (5, 9, 1 << 70)]:
+        e, asked, found = search(n, d, big)
+        for place, ids, scores in found:
+            i, q = asked[place]
+            want = sorted((-sum(a * int(b) for a, b in zip(q, e[r], strict=True)), 7 * r) for r in range(n) if r != i)[:4]
+            assert sorted((-s, v) for s, v in zip(scores, ids, strict=True)) == want
+    profile = cProfile.Profile()
+    profile.enable()
+    _, asked, _ = search(600, 64, 30, 20)
+    profile.disable()
+    calls = sum(v[1] for key, v in pstats.Stats(profile).stats.items() if "append" in key[2] or key[2] == "<built-in method builtins.len>")
+    assert calls < 200 * len(asked)  # about 700 bits a query were appended one by one
+
+
 def test_bitslice_wide_and_long(spark):
     """Components past any limit, ties throughout, and vectors of many attributes."""
     rng = random.Random(7)
