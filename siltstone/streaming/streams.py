@@ -11,6 +11,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from siltstone.functions import text as X
 
+#: Blocks that a task hands out at once.
+AT_ONCE = 4096
+
 
 def files(spark: SparkSession, path: str, schema, per_trigger: int = 1) -> DataFrame:
     """Parquet files as they come, oldest first; the checkpoint resumes at the file where a run stopped."""
@@ -26,16 +29,18 @@ def packed(tokens: DataFrame, key: str, order: str, length: int, overlap: bool =
     step = length if overlap else length + 1
 
     def update(k: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
         held, number = state.get if state.exists else ([], 0)
-        held = list(map(int, held))
-        for t in pd.concat(pdfs).sort_values(order)["tokens"]:
-            held += map(int, t)
-        out = []
-        while len(held) > length:
-            out.append((k[0], number, held[: length + 1]))
-            held, number = held[step:], number + 1
-        state.update((held, number))
-        yield pd.DataFrame(out, columns=[key, "block", "tokens"])
+        rows = pd.concat(pdfs).sort_values(order)["tokens"]
+        flat = np.concatenate([np.asarray(held, np.int32), *(np.asarray(t, np.int32) for t in rows if t is not None)])
+        n = max(0, (len(flat) - length - 1) // step + 1)
+        state.update((flat[n * step :].tolist(), number + n))
+        for low in range(0, n, AT_ONCE):
+            high = min(n, low + AT_ONCE)
+            yield pd.DataFrame({key: k[0], "block": range(number + low, number + high), "tokens": [flat[i * step : i * step + length + 1] for i in range(low, high)]})
+        if not n:
+            yield pd.DataFrame([], columns=[key, "block", "tokens"])
 
     kind = tokens.schema[key].dataType.simpleString()
     return tokens.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, block long, tokens array<int>", "held array<int>, number long", "append", GroupStateTimeout.NoTimeout)

@@ -261,3 +261,40 @@ def test_evicted_halves_and_nulls(spark, tmp_path):
         assert not compare.same(found.columns, [tuple(r) for r in found.collect()], *compare.duck(sql, ""))
     finally:
         compare.TABLES = tables
+
+
+def test_stream_packing_in_proportion():
+    """A key's tokens of one micro-batch are cut in one pass, not once a block; null arrays have no tokens."""
+    import time
+
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    class Grouped:
+        def applyInPandasWithState(self, update, *how):
+            return update
+
+    class Stream:
+        schema = {"split": type("Field", (), {"dataType": type("Kind", (), {"simpleString": lambda self: "string"})()})()}
+
+        def groupBy(self, key):
+            return Grouped()
+
+    def took(*parts, overlap=True):
+        state, out, began = State(), [], time.process_time()
+        for part in parts:
+            out += [d for d in streams.packed(Stream(), "split", "i", 128, overlap)(("train",), iter(part), state)]
+        return pd.concat(out), state.get, time.process_time() - began
+
+    batch = lambda low, high: [pd.DataFrame({"i": [9, 3], "tokens": [list(range(low + (high - low) // 2, high)), list(range(low, low + (high - low) // 2))]}), pd.DataFrame({"i": [5], "tokens": [None]})]
+    for overlap, step in ((True, 128), (False, 129)):
+        blocks, (held, number), _ = took(batch(0, 1000), batch(1000, 1050), batch(1050, 3000), overlap=overlap)
+        assert [list(t) for t in blocks["tokens"]] == [list(range(b * step, b * step + 129)) for b in range((3000 - 129) // step + 1)]
+        assert list(blocks["block"]) == list(range(number)) and held == list(range(number * step, 3000))
+    blocks, _, seconds = took(batch(0, 2_000_000))
+    assert len(blocks) == (2_000_000 - 129) // 128 + 1 and seconds < 20
