@@ -929,3 +929,16 @@ def test_pipeline_odd_tables(spark):
             docs = stage(spark, docs, SMALL)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert docs.columns == ["doc_id", "n_pieces", "ids"] and (docs.count() > 0) == bool(rows)
+
+
+def test_near_filter_grows(spark):
+    """The filter follows the number of shared shingles up to its bound, so that it stays mostly empty; it never drops a shared one."""
+    import numpy as np
+
+    shared = np.arange(1, 20_001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7) % np.uint64(near.COUNTED)
+    others = (np.arange(1, 20_001, dtype=np.uint64) * np.uint64(0xC2B2AE3D27D4F) + np.uint64(12345)) % np.uint64(near.COUNTED)
+    held = spark.createDataFrame([(int(x), 2) for x in shared.view(np.int64)], "s long, n long")
+    for most, passed in ((1 << 20, (0, 0.02)), (1 << 10, (0.9, 1))):
+        filled = np.frombuffer(near.bloom(held, 1 << 10, most), np.uint8)
+        assert near.may_be_shared(shared, filled).all() and len(filled) <= max(most, 1 << 10)
+        assert passed[0] <= near.may_be_shared(others, filled).mean() <= passed[1]
