@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: What counts as white space in Python's str.split, as a Java class body; word and punctuation tokens.
 BLANK = "\\s\\x1c-\\x1f"
+#: The same characters one by one, for functions without patterns.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 TOKEN = "[\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_\\s]"
 
 
@@ -70,16 +72,25 @@ def looks_low_value(t: Column) -> Column:
 
 def keep_text(t: Column, least: int = 200) -> Column:
     """Long enough, a fifth letters and 35 % letters or digits of what isn't white space."""
-    solid = _without(t, f"(?U)[{BLANK}]")
-    ok = (_without(t, "[^\\p{L}]") >= 0.20 * solid) & (_without(t, "[^\\p{L}\\p{N}]") >= 0.35 * solid)
+    # Each is made of the one before, so the later patterns meet few characters.
+    dense = F.regexp_replace(t, f"(?U)[{BLANK}]+", "")
+    known = F.regexp_replace(dense, "[^\\p{L}\\p{N}]+", "")
+    solid = F.length(dense)
+    ok = (_without(known, "[^\\p{L}]+") >= 0.20 * solid) & (F.length(known) >= 0.35 * solid)
     return (F.length(t) >= least) & (solid > 0) & ok
 
 
 def normalize_web(t: Column) -> Column:
     """Null to empty, LF line ends, trimmed, horizontal runs to a space, at most one blank line between paragraphs."""
     lf = F.regexp_replace(F.coalesce(t, F.lit("")), "\r\n?", "\n")
-    trimmed = F.regexp_replace(lf, f"(?U)\\A[{BLANK}]+|[{BLANK}]+\\z", "")
-    return F.regexp_replace(F.regexp_replace(trimmed, "[ \t\r\f\\x0B]+", " "), "\n{3,}", "\n\n")
+    trimmed = F.btrim(lf, F.lit(BLANKS))
+    return F.regexp_replace(F.regexp_replace(trimmed, "[ \t\r\f\\x0B]{2,}|[\t\r\f\\x0B]", " "), "\n{3,}", "\n\n")
+
+
+def web_text(t: Column, least: int = 200) -> Column:
+    """The normalised text where it is kept, else null. One value to select: a filter on a normalised column makes Spark normalise again for each use in it."""
+    clean = normalize_web(t)
+    return F.when(keep_text(clean, least), clean)
 
 
 def year_of(v: Column) -> Column:

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import os
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,40 +17,87 @@ from siltstone.functions import text as X
 from siltstone.functions import udfs as U
 from siltstone.operators import packing
 
-#: Largest tokenizer description that is broadcast; its size doesn't grow with the data.
-MOST_BYTES, RUN = 64 << 20, 64
+#: Largest tokenizer description that is broadcast; its size doesn't grow with the data. Texts encoded at once. Fewest tokens of a row that is packed.
+MOST_BYTES, RUN, LEAST = 64 << 20, 64, 2
 
 _workers: dict[str, object] = {}
 
 
-def encoder(spark: SparkSession, tokenizer_json: str):
-    """Column function: ids of whole texts under a tokenizer's JSON, special tokens as its template adds them; null stays null."""
+def _shared(spark: SparkSession, tokenizer_json: str):
+    """The broadcast description and its key."""
     if len(tokenizer_json) > MOST_BYTES:
         raise ValueError("tokenizer description too large to broadcast")
-    shared, key = spark.sparkContext.broadcast(tokenizer_json), hashlib.sha256(tokenizer_json.encode()).hexdigest()
+    return spark.sparkContext.broadcast(tokenizer_json), hashlib.sha256(tokenizer_json.encode()).hexdigest()
+
+
+def _tokenizer(shared, key: str):
+    """This worker's tokenizer, on one thread: Spark's tasks have the cores already."""
+    from tokenizers import Tokenizer
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    if key not in _workers:
+        _workers.clear()
+        _workers[key] = Tokenizer.from_str(shared.value)
+    return _workers[key]
+
+
+def encoder(spark: SparkSession, tokenizer_json: str):
+    """Column function: ids of whole texts under a tokenizer's JSON, special tokens as its template adds them; null stays null."""
+    shared, key = _shared(spark, tokenizer_json)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def run(s: pd.Series) -> pd.Series:
-        from tokenizers import Tokenizer
-
         from siltstone.operators import tokenize as own
 
-        if key not in own._workers:
-            own._workers.clear()
-            own._workers[key] = Tokenizer.from_str(shared.value)
         texts, out = s.tolist(), []
         for i in range(0, len(texts), RUN):
-            got = own._workers[key].encode_batch_fast([t or "" for t in texts[i : i + RUN]])
+            got = own._tokenizer(shared, key).encode_batch_fast([t or "" for t in texts[i : i + RUN]])
             out += [None if t is None else e.ids for t, e in zip(texts[i : i + RUN], got, strict=True)]
         return pd.Series(out, index=s.index, dtype=object)
 
     return run
 
 
-def tokenized(docs: DataFrame, split: Column, tokenizer_json: str, order: list[str], text: str = "text") -> DataFrame:
-    """order, split, ids of every row, stored: encoding runs once, whatever reads it afterwards."""
-    ids = encoder(docs.sparkSession, tokenizer_json)(F.col(text))
-    return scratch.stored(docs.select(*order, split.alias("split"), ids.alias("ids")), "tokenized")
+def _placed(shared, key: str, nulls: bool):
+    """Rows in order (the text last, the split before it) to rows with their ids, and how many tokens of rows that are packed came before in the split and task. Few texts at a time become Python objects, and their ids don't stay such."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        from siltstone.operators import tokenize as own
+
+        tok, before = own._tokenizer(shared, key), {}
+        for batch in batches:
+            for at in range(0, batch.num_rows, RUN):
+                part = batch.slice(at, RUN)
+                part = part if nulls else part.filter(part.column("text").is_valid())
+                texts, splits = part.column("text").to_pylist(), part.column("split").to_pylist()
+                ids = [np.array(e.ids, np.int32) for e in tok.encode_batch_fast([t or "" for t in texts])]
+                ids = [i[:0] if t is None else i for t, i in zip(texts, ids, strict=True)]
+                local = []
+                for s, i in zip(splits, ids, strict=True):
+                    local.append(before.get(s, 0))
+                    before[s] = local[-1] + (len(i) if len(i) >= LEAST else 0)
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                values = pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32))
+                lists = pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([t is None for t in texts], pa.bool_()))
+                names = part.schema.names[:-1]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], lists, pa.array(local, pa.int64())], names=[*names, "ids", "_local"])
+
+    return run
+
+
+def tokenized(docs: DataFrame, split: Column, tokenizer_json: str, order: list[str], text: str = "text", clean: Callable[[Column], Column] | None = None) -> DataFrame:
+    """order, split, ids of every row, with its place, stored: encoding runs once, whatever reads it afterwards.
+
+    Texts are dealt to ranges of ``order`` and sorted before they are encoded, so each task's rows follow one another and
+    ``packed`` needn't move their tokens to put them in order. ``clean`` makes a text of the raw one, null where it is to be left out.
+    """
+    place = [*order, F.xxhash64(text)]  # rows of one place are split by their texts' hash
+    dealt = docs.repartitionByRange(*place).sortWithinPartitions(*place)
+    own = dealt.select(*order, F.spark_partition_id().alias("_part"), split.alias("split"), (clean(F.col(text)) if clean else F.col(text)).alias("text"))
+    schema = T.StructType([*own.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("_local", T.LongType())])
+    return scratch.stored(own.mapInArrow(_placed(*_shared(docs.sparkSession, tokenizer_json), clean is None), schema), "tokenized")
 
 
 def hash_split(docs: DataFrame, fraction: float, text: str = "text") -> Column:
@@ -59,14 +109,15 @@ def hash_split(docs: DataFrame, fraction: float, text: str = "text") -> Column:
 
 def counters(rows: DataFrame) -> DataFrame:
     """Per split: documents and tokens of rows with two tokens or more, and how many have fewer."""
-    enough = F.coalesce(F.size("ids"), F.lit(0)) >= 2
+    enough = F.coalesce(F.size("ids"), F.lit(0)) >= LEAST
     return rows.groupBy("split").agg(F.count_if(enough).alias("documents"), F.coalesce(F.sum(F.when(enough, F.size("ids"))), F.lit(0)).cast("long").alias("tokens"), F.count_if(~enough).alias("skipped"))
 
 
 def packed(rows: DataFrame, order: list[str], length: int, blocks_per_shard: int, overlap: bool) -> DataFrame:
     """split, block, shard, tokens: blocks of length + 1 tokens per split, rows in ``order``; ``blocks_per_shard`` a shard."""
-    kept = rows.filter(F.size("ids") >= 2)
-    return packing.blocks(kept, "ids", order, length, overlap, ["split"]).withColumn("shard", F.expr(f"cast(block div {max(1, blocks_per_shard)} as int)"))
+    kept = rows.filter(F.size("ids") >= LEAST)
+    made = packing.placed_blocks(kept, "ids", length, overlap, ["split"]) if "_part" in rows.columns else packing.blocks(kept, "ids", order, length, overlap, ["split"])
+    return made.withColumn("shard", F.expr(f"cast(block div {max(1, blocks_per_shard)} as int)"))
 
 
 def shards(blocks: DataFrame) -> DataFrame:
@@ -82,8 +133,7 @@ def corpus(docs: DataFrame, tokenizer_json: str, order: list[str], length: int,
 
 def web_corpus(docs: DataFrame, split: Column, tokenizer_json: str, order: list[str], length: int, blocks_per_shard: int, least: int = 200) -> tuple[DataFrame, DataFrame]:
     """Raw web texts, normalised and filtered, to overlapping blocks and counters; null texts count as empty and are filtered."""
-    clean = docs.withColumn("text", X.normalize_web(F.col("text")))
-    rows = tokenized(clean.filter(X.keep_text(F.col("text"), least)), split, tokenizer_json, order)
+    rows = tokenized(docs, split, tokenizer_json, order, clean=lambda t: X.web_text(t, least))
     return packed(rows, order, length, blocks_per_shard, True), counters(rows)
 
 
@@ -131,8 +181,7 @@ def evaluation(docs: DataFrame, tokenizer_json: str, order: list[str], sample: i
 
 def epochs(docs: DataFrame, tokenizer_json: str, order: list[str], length: int, n: int, least: int = 50) -> DataFrame:
     """``n`` passes over raw web texts as one stream of overlapping blocks (block, tokens): what an epoch leaves over begins the next one's first block. Texts are tokenised once."""
-    clean = docs.withColumn("text", X.normalize_web(F.col("text"))).filter(X.keep_text(F.col("text"), least))
-    rows = tokenized(clean, F.lit("train"), tokenizer_json, order)
+    rows = tokenized(docs, F.lit("train"), tokenizer_json, order, clean=lambda t: X.web_text(t, least))
     passes = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     return packing.blocks(passes, "ids", ["epoch", *order], length, True)
 

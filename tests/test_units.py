@@ -174,3 +174,85 @@ def test_admission_and_selective_codec(spark):
     assert all(r["error"] < {"recent": 0.001, "hot": 0.07, "cold": 0.4}[r["tier"]] for r in one.values()) and sum(r["n_bytes"] for r in one.values()) < sum(r["raw_bytes"] for r in one.values())
     assert {r["i"]: (r["payload"], r["n_bytes"]) for r in c if r["g"] == 2} == {0: (None, 0), 1: (b"", 0)}
     assert "<td>a&amp;b</td>" in sinks.html("t", {"s": spark.createDataFrame([("a&b",)], "x string")})
+
+
+def test_web_text_as_defined(spark):
+    import re
+    import unicodedata
+
+    rng, blank = random.Random(8), [chr(i) for i in range(0x3100) if chr(i).isspace()]
+    assert sorted(X.BLANKS) == sorted(blank)
+    some = [*blank, "\r\n", "\n\n\n", " \t ", "a", "É", "我", "٣", "²", "7", "😀", "!", "​", "́"]
+    texts = [None, "", *blank, *("".join(rng.choices(some, [1] * len(blank) + [3] * (len(some) - len(blank)), k=rng.randrange(1, 60))) for _ in range(600))]
+
+    def normal(t):
+        t = re.sub("\r\n?", "\n", t or "").strip()
+        return re.sub("\n{3,}", "\n\n", re.sub("[ \t\r\f\v]+", " ", t))
+
+    def kept(t, least):
+        solid = [c for c in t if not c.isspace()]
+        kinds = [unicodedata.category(c)[0] for c in solid]
+        return len(t) >= least and bool(solid) and kinds.count("L") >= 0.20 * len(solid) and kinds.count("L") + kinds.count("N") >= 0.35 * len(solid)
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").select("i", X.normalize_web(F.col("text")).alias("n"), X.web_text(F.col("text"), 5).alias("w"))
+    got = {r["i"]: (r["n"], r["w"]) for r in df.collect()}
+    for i, t in enumerate(texts):
+        n = normal(t)
+        assert got[i] == (n, n if kept(n, 5) else None), (i, t)
+    assert 0 < sum(w is not None for _, w in got.values()) < len(texts)
+
+
+def test_pieces_of_runs_in_any_order():
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    for overlap in (False, True):
+        width, step = 9, 8 if overlap else 9
+        for seed in range(40):
+            rows, flat = [], {"a": [], "b": [], None: []}
+            for _ in range(rng.randrange(1, 60)):
+                key, ids = rng.choice("ab") if rng.random() < 0.9 else None, [rng.randrange(1000) for _ in range(rng.choice((1, 2, 5, 30)))]
+                rows.append((key, len(flat[key]), ids))
+                flat[key] += ids
+            if seed % 2:
+                rng.shuffle(rows)
+            schema = pa.schema([("split", pa.string()), ("start", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+            cut = rng.randrange(len(rows) + 1)
+            batches = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in part], schema=schema) for part in (rows[:cut], rows[cut:])]
+            made = {}
+            for b in packing._pieces(["split"], step, width, 7)(iter(batches)):
+                for r in b.to_pylist():
+                    assert r["size"] == len(r["part"]) > 0
+                    made.setdefault((r["split"], r["block"]), []).append((r["low"], r["part"]))
+            got = {k: [x for _, part in sorted(v) for x in part] for k, v in made.items()}
+            due = {(k, b): ids[b * step : b * step + width] for k, ids in flat.items() for b in range(-(-len(ids) // step))}
+            assert got == {k: v for k, v in due.items() if v}
+
+
+def test_web_blocks_leave_tokens_where_they_are(spark, monkeypatch):
+    from siltstone import scratch
+
+    made, stored = {}, scratch.stored
+
+    def kept(df, name, *more):
+        made[name] = stored(df, name, *more)
+        return made[name]
+
+    monkeypatch.setattr(scratch, "stored", kept)
+    rng, tok = random.Random(10), _words()
+    docs = [(rng.randrange(200) if rng.random() < 0.95 else None, " ".join(rng.choice("abcdef") for _ in range(rng.randrange(0, 60)))) for _ in range(400)]
+    df = spark.createDataFrame([*docs, (7, None), (8, "a b")], "doc_id long, text string").repartition(5)
+    split = F.when(F.col("doc_id") % 3 == 0, "val").otherwise("train")
+    blocks, counted = tokenize.web_corpus(df, split, tok.to_str(), ["doc_id"], 8, 5, 20)
+    long = [(i, t) for i, t in docs if len(t.strip()) >= 20]
+    counts = {r["split"]: (r["documents"], r["tokens"], r["skipped"]) for r in counted.collect()}
+    for name, own in (("val", True), ("train", False)):
+        sizes = [len(t.split()) for i, t in long if (i is not None and i % 3 == 0) == own]
+        assert counts[name] == (len(sizes), sum(sizes), 0)
+        got = blocks.filter(F.col("split") == name).orderBy("block").collect()
+        assert [r["block"] for r in got] == list(range((sum(sizes) - 1) // 8)) and all(len(r["tokens"]) == 9 for r in got)
+        assert all(a["tokens"][-1] == b["tokens"][0] for a, b in zip(got[:-1], got[1:], strict=True))
+    # Only what lies on the edges of a task's runs is shuffled.
+    parts = made["tokenized"].select("_part").distinct().count()
+    edges = made["pieces"].filter("size < 9").count()
+    assert edges <= 4 * 2 * parts and made["pieces"].count() - edges > 10 * edges
