@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.bpe import Cache  # noqa: F401
+
 #: Fixed value: ASCII capitals, in order, and what they become.
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: a word is a run of anything but ASCII white space.
@@ -65,30 +67,6 @@ def release() -> None:
         pass
 
 
-class Cache(dict):
-    """A dict of bounded size that asks ``fill`` for a key it lacks; hits stay inside the interpreter's C code.
-
-    It holds two generations of at most ``most`` entries whose keys have at most ``longest`` characters: when the young
-    one is full it becomes the old one, and what is asked for again moves back. Frequent keys so outlive any number of
-    rare ones.
-    """
-
-    def __init__(self, fill: Callable, most: int, longest: int = 64):
-        super().__init__()
-        self.fill, self.most, self.longest, self.old = fill, most, longest, {}
-
-    def __missing__(self, key):
-        if (value := self.old.pop(key, None)) is None:
-            value = self.fill(key)
-            if len(key) > self.longest:
-                return value
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts, so that few texts at a time become Python objects."""
     for b in batches:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Callable, Iterator
 
@@ -13,12 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone import scratch
+from siltstone.functions import bpe
 from siltstone.functions import text as X
 from siltstone.functions import udfs as U
 from siltstone.operators import packing
 
-#: Largest tokenizer description that is broadcast; its size doesn't grow with the data. Texts encoded at once. Fewest tokens of a row that is packed.
-MOST_BYTES, RUN, LEAST = 64 << 20, 64, 2
+#: Largest tokenizer description that is broadcast; its size doesn't grow with the data. Texts encoded at once. Fewest tokens of a row that is packed. Pre-tokens in a generation of a worker's cache.
+MOST_BYTES, RUN, LEAST, CACHED = 64 << 20, 64, 2, 150_000
 
 _workers: dict[str, object] = {}
 
@@ -41,6 +43,19 @@ def _tokenizer(shared, key: str):
     return _workers[key]
 
 
+def _ids(shared, key: str) -> Callable[[list[str]], list]:
+    """Texts to arrays of their ids: through a cache of pre-tokens where the description allows it, else by the library alone."""
+    import numpy as np
+
+    tok = _tokenizer(shared, key)
+    if (kind := f"{key} cached") not in _workers:
+        _workers[kind] = bpe.Encoder(None, tok, CACHED) if bpe.byte_level(json.loads(shared.value)) else None
+    cached = _workers[kind]
+    if cached is None:
+        return lambda texts: [np.array(e.ids, np.int32) for e in tok.encode_batch_fast(texts)]
+    return lambda texts: [np.frombuffer(cached.encode(t), "<u4").astype(np.int32) for t in texts]
+
+
 def encoder(spark: SparkSession, tokenizer_json: str):
     """Column function: ids of whole texts under a tokenizer's JSON, special tokens as its template adds them; null stays null."""
     shared, key = _shared(spark, tokenizer_json)
@@ -66,13 +81,13 @@ def _placed(shared, key: str, nulls: bool):
 
         from siltstone.operators import tokenize as own
 
-        tok, before = own._tokenizer(shared, key), {}
+        encode, before = own._ids(shared, key), {}
         for batch in batches:
             for at in range(0, batch.num_rows, RUN):
                 part = batch.slice(at, RUN)
                 part = part if nulls else part.filter(part.column("text").is_valid())
                 texts, splits = part.column("text").to_pylist(), part.column("split").to_pylist()
-                ids = [np.array(e.ids, np.int32) for e in tok.encode_batch_fast([t or "" for t in texts])]
+                ids = encode([t or "" for t in texts])
                 ids = [i[:0] if t is None else i for t, i in zip(texts, ids, strict=True)]
                 local = []
                 for s, i in zip(splits, ids, strict=True):

@@ -256,3 +256,36 @@ def test_web_blocks_leave_tokens_where_they_are(spark, monkeypatch):
     parts = made["tokenized"].select("_part").distinct().count()
     edges = made["pieces"].filter("size < 9").count()
     assert edges <= 4 * 2 * parts and made["pieces"].count() - edges > 10 * edges
+
+
+def test_cached_ids_are_the_librarys():
+    import json
+    from pathlib import Path
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from siltstone.functions import bpe
+
+    class Shared:
+        value = Path(public_tokenizers.path("byte_bpe_50k.json")).read_text(encoding="utf-8")
+
+    lib, rng = Tokenizer.from_str(Shared.value), random.Random(11)
+    some = ["a", "Zebra", " ", "  ", "\n", "'s", "12", "²", "É", "我们", "😀", "<|endoftext|>", "-", "\u0085", "the ", "\t"]
+    texts = ["", "<|endoftext|>", *("".join(rng.choices(some, k=rng.randrange(1, 40))) for _ in range(500))]
+    due = [e.ids for e in lib.encode_batch_fast(texts)]
+    got = tokenize._ids(Shared, "cached")(texts)
+    assert isinstance(tokenize._workers["cached cached"], bpe.Encoder)
+    assert [i.tolist() for i in got] == due and all(i.dtype == np.int32 for i in got)
+    # Where anything comes before or after the model, the library alone is asked.
+    known = json.loads(Shared.value)
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {**known["pre_tokenizer"], "add_prefix_space": True}}):
+
+        class Other:
+            value = json.dumps({**known, **change})
+
+        own = tokenize._ids(Other, str(change))
+        assert tokenize._workers[f"{change} cached"] is None
+        assert [i.tolist() for i in own(texts)] == [e.ids for e in Tokenizer.from_str(Other.value).encode_batch_fast(texts)]
+    tokenize._workers.clear()
